@@ -57,7 +57,7 @@ def p02(spark, sf_dir):
              round(least(greatest(((y1 - y2 / 2) - 8) / 0.5, 0), 48), 6) AS y1,
              round(least(greatest(((x1 + x2 / 2) - 4) / 0.5, 0), 64), 6) AS x2,
              round(least(greatest(((y1 + y2 / 2) - 8) / 0.5, 0), 48), 6) AS y2,
-             round(x1 / 640 * 1280 + 3, 6) AS moved_x1, round((x1 + x2) / 640, 6) AS share_x2 FROM boxes""",
+             round(x1 / 640 * 1280 + 3, 6) AS moved_x1, round((x1 + x2) / 640, 9) AS share_x2 FROM boxes""",
         *BOXES,
     ),
 )
@@ -73,7 +73,7 @@ def p03(spark, sf_dir):
         .withColumn("_m", geo.offset(geo.denormalise(F.col("_n"), 1280, 960), 3, 0))
         .withColumn("_k", geo.normalise(geo.from_corner_size(b["x1"], b["y1"], b["x2"], b["y2"]), 640, 480))
     )
-    return steps.select("image_id", "det_seq", *flat("clipped"), r6("_m.x1").alias("moved_x1"), r6("_k.x2").alias("share_x2"))
+    return steps.select("image_id", "det_seq", *flat("clipped"), r6("_m.x1").alias("moved_x1"), F.round("_k.x2", 9).alias("share_x2"))
 
 
 @query("p04_above_floor", fx.with_ctes("SELECT image_id, det_seq, confidence FROM boxes WHERE confidence >= 0.4", *BOXES))
