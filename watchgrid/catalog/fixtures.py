@@ -240,11 +240,11 @@ def cameras(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-# Series.
+# Series. Divisors are primes, so that values do not end where rounding ties.
 
 SQL["signal"] = """
-    SELECT user_id AS camera_id, event_id AS seq, epoch_us(ts) / 1e6 AS ts, value / 1000 AS value,
-           least(value / 600, 1.0) AS area_fraction FROM events"""
+    SELECT user_id AS camera_id, event_id AS seq, epoch_us(ts) / 1e6 AS ts, value / 1013 AS value,
+           least(value / 607, 1.0) AS area_fraction FROM events"""
 
 
 def signal(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -252,8 +252,8 @@ def signal(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("user_id").alias("camera_id"),
         F.col("event_id").alias("seq"),
         epoch_seconds(F.col("ts")).alias("ts"),
-        (F.col("value") / 1000).alias("value"),
-        F.least(F.col("value") / 600, F.lit(1.0)).alias("area_fraction"),
+        (F.col("value") / 1013).alias("value"),
+        F.least(F.col("value") / 607, F.lit(1.0)).alias("area_fraction"),
     )
 
 
@@ -372,12 +372,12 @@ def match_sql(pred: str, truth_: str, limit: float, key: str = "image_id") -> di
     }
 
 
-# Masks: one run per (frame, row) on a canvas of 160 by 8.
+# Masks: one run per (frame, row) on a canvas of 163 by 8.
 
 SQL["mask_runs"] = """
     SELECT k AS frame_index, k % 50 AS camera_id, n::BIGINT AS y, pk % 100 AS x0, pk % 100 + q::BIGINT AS x1 FROM lines"""
 SQL["mask_frames"] = """
-    SELECT o_orderkey AS frame_index, o_orderkey % 50 AS camera_id, o_orderkey * 60.0 AS ts, 160 AS width, 8 AS height FROM orders"""
+    SELECT o_orderkey AS frame_index, o_orderkey % 50 AS camera_id, o_orderkey * 60.0 AS ts, 163 AS width, 8 AS height FROM orders"""
 
 
 def mask_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -396,7 +396,7 @@ def mask_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
         key.alias("frame_index"),
         (key % 50).alias("camera_id"),
         (key * 60.0).alias("ts"),
-        F.lit(160).alias("width"),
+        F.lit(163).alias("width"),
         F.lit(8).alias("height"),
     )
 

@@ -374,12 +374,12 @@ def a09_dig(spark, sf_dir):
     )
 
 
-_HISTORY = "SELECT event_type AS run, user_id AS epoch, round(avg(value), 2) AS metric FROM events GROUP BY ALL"
+_HISTORY = "SELECT event_type AS run, user_id AS epoch, max(value) AS metric FROM events GROUP BY ALL"
 
 
 def history(spark, sf_dir):
     events = fx.table(spark, sf_dir, "events")
-    return events.groupBy(F.col("event_type").alias("run"), F.col("user_id").alias("epoch")).agg(F.round(F.avg("value"), 2).alias("metric"))
+    return events.groupBy(F.col("event_type").alias("run"), F.col("user_id").alias("epoch")).agg(F.max("value").alias("metric"))
 
 
 @query(
@@ -492,7 +492,7 @@ def g22(spark, sf_dir):
 @query(
     "g21_probe_scores",
     fx.with_ctes(
-        """SELECT clip, hazard, frames_with_hits, hits, round(best, 6) AS best_confidence, round(m, 6) AS mean_confidence, round(frames_with_hits * m, 6) AS score,
+        """SELECT clip, hazard, frames_with_hits, hits, round(best, 9) AS best_confidence, round(m, 9) AS mean_confidence, round(frames_with_hits * m, 9) AS score,
              (row_number() OVER (PARTITION BY clip ORDER BY frames_with_hits * m DESC, hazard))::INTEGER AS rank FROM (
            SELECT clip, hazard, count(*) AS frames_with_hits, sum(n)::BIGINT AS hits, max(CASE WHEN hazard = 'flood' THEN cov / n ELSE mx END) AS best,
              CASE WHEN hazard = 'flood' THEN sum(cov / n) / count(*) ELSE sum(s) / sum(n) END AS m
@@ -506,7 +506,8 @@ def g21(spark, sf_dir):
     hits = det.select(
         F.col("camera_id").alias("clip"), "hazard", F.floor(F.col("frame_index") / 3).alias("frame_index"), "confidence", (F.col("ts") % 100 / 250).alias("coverage")
     )
-    return rounded(reports.probe_scores(hits), "best_confidence", "mean_confidence", "score")
+    scores = reports.probe_scores(hits)
+    return scores.withColumns({n: F.round(n, 9) for n in ("best_confidence", "mean_confidence", "score")})
 
 
 @query(
