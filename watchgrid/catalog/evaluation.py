@@ -9,6 +9,7 @@ from watchgrid.catalog.registry import query, r6, rounded
 from watchgrid.operators import metrics, reports
 from watchgrid.operators.cascade import ValidatorConfig
 from watchgrid.plans import experiments
+from watchgrid.session import cut_lineage
 
 KEYS = ["camera_id", "hazard"]
 RATE_COLUMNS = ("false_alarm_rate", "detection_rate", "median_minutes_to_detect")
@@ -47,8 +48,8 @@ def rounded_sql(inner: str, extra_columns: str = "") -> str:
 
 
 def numbered(spark, sf_dir):
-    """Sequences with their dense frame numbers."""
-    return fx.sequences(spark, sf_dir)
+    """Sequences with their dense frame numbers, written once: every experiment reads them several times."""
+    return cut_lineage(fx.sequences(spark, sf_dir))
 
 
 BASE = [ValidatorConfig("cascade", min_confidence=0.20, min_frames=3, enable_cooldown=False)]
@@ -244,7 +245,7 @@ MULTI = [
     ),
 )
 def e05(spark, sf_dir):
-    table, _ = experiments.multi_hazard(fx.detections(spark, sf_dir), MULTI)
+    table, _ = experiments.multi_hazard(fx.stored_detections(spark, sf_dir), MULTI)
     return rounded(table, "suppression")
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from watchgrid.functions.geometry import make_box
 from watchgrid.operators import scans
 from watchgrid.operators.cascade import ValidatorConfig, default_configs
-from watchgrid.session import ensure_checkpoint_dir
+from watchgrid.session import cut_lineage, ensure_checkpoint_dir
 from watchgrid.sources.detections import epoch_seconds
 
 #: Events lie hours to days apart, so chunks are months and the cooldown is days.
@@ -82,6 +82,11 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scans.ordinal(raw_detections(spark, sf_dir), ["camera_id", "hazard"], chunk, order, "frame_index")
 
 
+def stored_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The numbered detections as a written table, which is what a deployment keeps; plans below read it twice."""
+    return cut_lineage(detections(spark, sf_dir))
+
+
 SQL["frames"] = "SELECT DISTINCT camera_id, hazard, frame_index, ts FROM detections"
 
 

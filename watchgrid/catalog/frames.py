@@ -519,7 +519,7 @@ def g21(spark, sf_dir):
     ),
 )
 def g23(spark, sf_dir):
-    det = fx.detections(spark, sf_dir)
+    det = fx.stored_detections(spark, sf_dir)
     rows = validate(det, DEFAULTS)
     return reports.clip_report(fx.frames(det), rows, confirmed_events(rows))
 
@@ -533,7 +533,7 @@ def g23(spark, sf_dir):
     ),
 )
 def g23_findings(spark, sf_dir):
-    det = fx.detections(spark, sf_dir)
+    det = fx.stored_detections(spark, sf_dir)
     sizes = det.select("camera_id", "frame_index").distinct().withColumns({"width": F.lit(640), "height": F.lit(480)})
     found = reports.clip_findings(confirmed_events(validate(det, DEFAULTS)), sizes)
     return found.select(
@@ -559,7 +559,7 @@ def g20(spark, sf_dir):
 )
 def st07(spark, sf_dir):
     stamp = F.expr("TIMESTAMPADD(MICROSECOND, CAST(round(confirmed_time * 1000000) AS BIGINT), TIMESTAMP_NTZ '1970-01-01 00:00:00')")
-    events = confirmed_events(validate(fx.detections(spark, sf_dir), DEFAULTS)).withColumn("event_time", stamp)
+    events = confirmed_events(validate(fx.stored_detections(spark, sf_dir), DEFAULTS)).withColumn("event_time", stamp)
     return reports.event_windows(events, "1 day").select("hazard", "window_start", "events", r6("peak").alias("peak"))
 
 
@@ -575,5 +575,5 @@ def st07(spark, sf_dir):
 )
 def st07_sessions(spark, sf_dir):
     stamp = F.expr("TIMESTAMPADD(MICROSECOND, CAST(round(confirmed_time * 1000000) AS BIGINT), TIMESTAMP_NTZ '1970-01-01 00:00:00')")
-    events = confirmed_events(validate(fx.detections(spark, sf_dir), DEFAULTS)).withColumn("event_time", stamp)
+    events = confirmed_events(validate(fx.stored_detections(spark, sf_dir), DEFAULTS)).withColumn("event_time", stamp)
     return reports.event_sessions(events, "6 hours").select("hazard", "window_start", "events")

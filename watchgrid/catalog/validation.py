@@ -10,6 +10,7 @@ from watchgrid.operators import gate as gates
 from watchgrid.operators import reports, series
 from watchgrid.operators.cascade import DEFAULT_SETTINGS, ValidatorConfig, default_configs
 from watchgrid.operators.validator import confidence_level, confirmed_events, validate
+from watchgrid.session import cut_lineage
 from watchgrid.sources import alerts
 
 DEFAULTS = fx.cascade_configs()
@@ -31,7 +32,7 @@ def cascade(sql: str, *names: str, configs=None, extra=None, source="detections"
 
 
 def annotated(spark, sf_dir, configs=DEFAULTS):
-    return validate(fx.detections(spark, sf_dir), configs)
+    return validate(fx.stored_detections(spark, sf_dir), configs)
 
 
 @query(
@@ -49,7 +50,7 @@ def annotated(spark, sf_dir, configs=DEFAULTS):
     ),
 )
 def flagship(spark, sf_dir):
-    kept = gates.gated(fx.detections(spark, sf_dir), gates.gate(fx.cameras(spark, sf_dir)))
+    kept = gates.gated(fx.stored_detections(spark, sf_dir), gates.gate(fx.cameras(spark, sf_dir)))
     report = reports.suppression(validate(kept, DEFAULTS), ["camera_id", "hazard"], totals=True)
     return rounded(report, "suppression_rate", "filtering_rate", "deduplication_rate")
 
@@ -216,7 +217,7 @@ def v10(spark, sf_dir):
     clip = F.col("camera_id") * 10 + F.floor(F.col("det_seq") / 2500)
     clips = fx.raw_detections(spark, sf_dir).withColumn("camera_id", clip)
     chunk = fx.scans.chunk_of(F.col("ts"), fx.MONTH)
-    det = fx.scans.ordinal(clips, ["camera_id", "hazard"], chunk, [F.col("ts"), F.col("det_seq")], "frame_index")
+    det = cut_lineage(fx.scans.ordinal(clips, ["camera_id", "hazard"], chunk, [F.col("ts"), F.col("det_seq")], "frame_index"))
     return validate(det, DEFAULTS).select("camera_id", "hazard", "det_seq", "rejected_by", "track")
 
 
@@ -233,7 +234,7 @@ def v10(spark, sf_dir):
 def v11(spark, sf_dir):
     from watchgrid.operators.metrics import event_alarms, frame_alarms
 
-    det = fx.detections(spark, sf_dir)
+    det = fx.stored_detections(spark, sf_dir)
     key = ["camera_id", "hazard", "frame_index"]
     alarms = event_alarms(validate(det, DEFAULTS), key).drop("config_id")
     return frame_alarms(fx.frames(det).drop("ts"), alarms, key)
@@ -282,7 +283,7 @@ def g10(spark, sf_dir):
     ),
 )
 def g11(spark, sf_dir):
-    det = fx.detections(spark, sf_dir)
+    det = fx.stored_detections(spark, sf_dir)
     report = reports.pipeline_report(fx.frames(det), validate(det, DEFAULTS))
     return rounded(report, "suppression_rate", "filtering_rate", "deduplication_rate")
 
@@ -304,7 +305,7 @@ TWO_HAZARDS = [
     ),
 )
 def g25(spark, sf_dir):
-    det = fx.detections(spark, sf_dir)
+    det = fx.stored_detections(spark, sf_dir)
     raw = reports.raw_arm(det, 0.25).select("hazard", "raw_detections")
     return rounded(reports.suppression_between(raw, validate(det, DEFAULTS)), "suppression")
 

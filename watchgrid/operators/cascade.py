@@ -75,12 +75,19 @@ def box_iou(a, b) -> float:
 
 
 class Track:
-    __slots__ = ("box", "seen", "hits", "peak", "first_frame", "first_ts", "label", "local_hits", "local_peak")
+    __slots__ = ("box", "seen", "hits", "peak", "total", "first_frame", "first_ts", "label", "local_hits")
 
-    def __init__(self, box, seen, hits, peak, first_frame, first_ts, label):
-        self.box, self.seen, self.hits, self.peak = box, seen, hits, peak
+    def __init__(self, box, seen, hits, peak, total, first_frame, first_ts, label):
+        self.box, self.seen, self.hits, self.peak, self.total = box, seen, hits, peak, total
         self.first_frame, self.first_ts, self.label = first_frame, first_ts, label
-        self.local_hits, self.local_peak = hits, peak
+        self.local_hits = hits
+
+    def hit(self, box, number, confidence):
+        self.box, self.seen = box, number
+        self.hits += 1
+        self.local_hits += 1
+        self.peak = max(self.peak, confidence)
+        self.total += confidence
 
 
 class Cascade:
@@ -94,13 +101,13 @@ class Cascade:
 
     def frame(self, number: int, frame_index: int, ts: float, detections) -> list[tuple]:
         """Process one frame. ``detections``: (confidence, box) in input order.
-        Returns, per detection, (rejected_by, track label, hits, peak, first frame, first time)."""
+        Returns, per detection, (rejected_by, track label, hits, peak and mean confidence, first frame, first time)."""
         config = self.config
         out: list = [None] * len(detections)
         strong, weak = [], []
         for i, (confidence, _) in enumerate(detections):
             if config.enable_confidence and confidence < config.min_confidence:
-                out[i] = (CONFIDENCE, None, None, None, None, None)
+                out[i] = (CONFIDENCE, None, None, None, None, None, None)
                 if confidence >= config.association_floor:
                     weak.append(i)
             else:
@@ -116,15 +123,11 @@ class Cascade:
             track = self._claim(box, free)
             if track is None:
                 self.opened += 1
-                track = Track(box, number, 1, confidence, frame_index, ts, self.opened)
+                track = Track(box, number, 1, confidence, confidence, frame_index, ts, self.opened)
                 opened.append(track)
             else:
                 free.remove(track)
-                track.box, track.seen = box, number
-                track.hits += 1
-                track.local_hits += 1
-                track.peak = confidence if track.peak is None else max(track.peak, confidence)
-                track.local_peak = confidence if track.local_peak is None else max(track.local_peak, confidence)
+                track.hit(box, number, confidence)
             pairs.append((i, track))
         self.tracks = [t for t in self.tracks if t.seen > horizon] + opened
 
@@ -145,7 +148,8 @@ class Cascade:
                 reason = COOLDOWN
             elif config.enable_cooldown:
                 self.recent.append((detections[i][1], ts))
-            out[i] = (reason, track.label, track.hits, track.peak, track.first_frame, track.first_ts)
+            mean = track.total / track.hits
+            out[i] = (reason, track.label, track.hits, track.peak, mean, track.first_frame, track.first_ts)
         return out
 
     def _claim(self, box, candidates):
@@ -179,7 +183,9 @@ class Cascade:
 
     def save(self) -> dict:
         return {
-            "tracks": [[*t.box, t.seen, t.hits, t.peak, t.first_frame, t.first_ts, t.label] for t in self.tracks],
+            "tracks": [
+                [*t.box, t.seen, t.hits, t.peak, t.total, t.first_frame, t.first_ts, t.label] for t in self.tracks
+            ],
             "recent": [[*b, t] for b, t in self.cooling(None)],
             "opened": self.opened,
         }
@@ -204,7 +210,7 @@ class Cascade:
         """Start from a guess; carried tracks are labelled -1, -2, ... by position."""
         self.tracks = []
         for position, t in enumerate(shape["tracks"]):
-            track = Track(tuple(t[:4]), t[4], t[5], None, None, None, -(position + 1))
+            track = Track(tuple(t[:4]), t[4], t[5], float("-inf"), 0.0, None, None, -(position + 1))
             track.local_hits = 0
             self.tracks.append(track)
         self.recent = [(tuple(r[:4]), r[4]) for r in shape["recent"]]
@@ -214,7 +220,8 @@ class Cascade:
         """Identities and totals of this chunk alone, to be chained over the chunks of a key."""
         return {
             "tracks": [
-                [t.label, t.local_hits, t.local_peak, t.first_frame, t.first_ts] for t in self.live(next_number)
+                [t.label, t.local_hits, t.peak if t.local_hits else None, t.total, t.first_frame, t.first_ts]
+                for t in self.live(next_number)
             ],
             "opened": self.opened,
         }

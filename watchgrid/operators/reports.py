@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from watchgrid.functions import geometry as geo
 from watchgrid.functions.stats import safe_ratio
-from watchgrid.operators import scans
 from watchgrid.operators.cascade import LEVELS
 from watchgrid.sources import dims
 
@@ -298,19 +297,11 @@ def with_empty_frames(frames: DataFrame, det: DataFrame, keys: Sequence[str]) ->
     return frames.join(det.select(*extra), list(keys), "left")
 
 
-def running_track_stats(annotated: DataFrame, keys: Sequence[str] = ("config_id", "camera_id", "hazard")) -> DataFrame:
-    """Per sighting the track's mean and peak confidence so far. Hit numbers order a track's sightings and cut a very
-    long track into chunks."""
-    tracked = annotated.filter(F.col("track").isNotNull())
-    summed = scans.running(
-        tracked,
-        [*keys, "track"],
-        scans.chunk_of(F.col("hits"), 65_536),
-        [F.col("hits")],
-        sums={"_sum": F.col("confidence")},
-        maxima={"peak_confidence": F.col("confidence")},
+def running_track_stats(annotated: DataFrame) -> DataFrame:
+    """Per sighting the track's mean and peak confidence so far, which the ordered pass has already kept."""
+    return annotated.filter(F.col("track").isNotNull()).withColumnsRenamed(
+        {"mean": "mean_confidence", "peak": "peak_confidence"}
     )
-    return summed.withColumn("mean_confidence", F.col("_sum") / F.col("hits")).drop("_sum")
 
 
 def first_alerts(alarms: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -26,15 +26,32 @@ def nearest_join(
     and the first one after are running maxima and minima over it."""
     keys = list(keys)
     payload = F.struct(F.col(time).alias("_rt"), *[c for c in right.columns if c not in (*keys, time)])
-    marks = right.select(*keys, F.col(time), payload.alias("_r")).withColumn("_left", F.lit(None))
     rows = F.struct(*[c for c in left.columns if c not in (*keys, time)])
-    wanted = left.select(*keys, F.col(time), F.lit(None).cast(marks.schema["_r"].dataType).alias("_r"), rows.alias("_left"))
-    marks = marks.withColumn("_left", F.lit(None).cast(wanted.schema["_left"].dataType))
-    both = marks.unionByName(wanted).withColumn("_side", F.col("_left").isNotNull().cast("int"))
+    marks = right.select(*keys, F.col(time), payload.alias("_r"))
+    wanted = left.select(*keys, F.col(time), rows.alias("_left"))
     chunk = scans.chunk_of(F.col(time), chunk_seconds)
-    forward = scans.running(both, keys, chunk, [F.col(time), F.col("_side")], maxima={"_before": F.col("_r")})
-    both_ways = scans.running(
-        forward, keys, -chunk, [F.desc(time), F.col("_side")], minima={"_after": F.col("_r")}
+    both = (
+        marks.unionByName(wanted, allowMissingColumns=True)
+        .withColumn("_side", F.col("_left").isNotNull().cast("int"))
+        .withColumn(scans.CHUNK, chunk)
+    )
+    place = [*keys, scans.CHUNK]
+    over_chunks = Window.partitionBy(*keys).orderBy(scans.CHUNK)
+    # Only the right rows have a mark, so the chunk table reads nothing else; chunks with left rows alone need no row.
+    ends = marks.withColumn(scans.CHUNK, chunk).groupBy(*place).agg(F.max("_r").alias("_last"), F.min("_r").alias("_first"))
+    present = ends.unionByName(wanted.select(*keys, chunk.alias(scans.CHUNK)).distinct(), allowMissingColumns=True)
+    carried = present.groupBy(*place).agg(F.max("_last").alias("_last"), F.min("_first").alias("_first")).select(
+        *place,
+        F.max("_last").over(over_chunks.rowsBetween(Window.unboundedPreceding, -1)).alias("_b0"),
+        F.min("_first").over(over_chunks.rowsBetween(1, Window.unboundedFollowing)).alias("_a0"),
+    )
+    inside = Window.partitionBy(*place)
+    forward = inside.orderBy(F.col(time), F.col("_side")).rowsBetween(Window.unboundedPreceding, 0)
+    backward = inside.orderBy(F.desc(time), F.col("_side")).rowsBetween(Window.unboundedPreceding, 0)
+    both_ways = (
+        both.join(carried, place)
+        .withColumn("_before", F.coalesce(F.max("_r").over(forward), F.col("_b0")))
+        .withColumn("_after", F.coalesce(F.min("_r").over(backward), F.col("_a0")))
     )
     to_before = F.col(time) - F.col("_before._rt")
     to_after = F.col("_after._rt") - F.col(time)

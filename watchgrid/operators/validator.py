@@ -17,13 +17,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from watchgrid.operators import scans
-from watchgrid.operators.cascade import CONFIDENCE, LEVELS, Cascade, ValidatorConfig, dump
+from watchgrid.operators.cascade import CONFIDENCE, Cascade, ValidatorConfig, dump
 from watchgrid.session import cut_lineage
 
 KEYS = ("camera_id", "hazard")
 CHUNK_FRAMES = 65_536
 _BOX = ("x1", "y1", "x2", "y2")
-_RESULT = "rejected_by string, track long, hits long, peak double, first_frame long, first_ts double"
+_RESULT = "rejected_by string, track long, hits long, peak double, mean double, first_frame long, first_ts double"
 
 
 class ConfigSet:
@@ -97,7 +97,7 @@ def validate(
     ``det``: keys, frame_index, ts, det_seq, confidence, x1..y2 and any ``carry`` columns. ``frames``: all processed
     frames (keys or a part of them, frame_index), so that empty frames age tracks; without it ``frame_index`` itself,
     or ``frame_no`` where present, must count the processed frames densely. ``ts`` must not fall within a key.
-    Adds config_id, rejected_by, track, hits, peak, first_frame, first_ts and track_id (-1 unless confirmed).
+    Adds config_id, rejected_by, track, hits, peak, mean, first_frame, first_ts and track_id (-1 unless confirmed).
     """
     keys, carry = list(keys), list(carry)
     config_set = ConfigSet(configs)
@@ -128,6 +128,7 @@ def validate(
         F.lit(None).cast("long").alias("track"),
         F.lit(None).cast("long").alias("hits"),
         F.lit(None).cast("double").alias("peak"),
+        F.lit(None).cast("double").alias("mean"),
         F.lit(None).cast("long").alias("first_frame"),
         F.lit(None).cast("double").alias("first_ts"),
     )
@@ -386,18 +387,11 @@ def _chain(tried: DataFrame, config_set: ConfigSet, keys: list[str]) -> DataFram
                 )
 
     def _extend(entry, known, offset):
-        label, hits, peak, first_frame, first_ts = entry
+        label, hits, peak, total, first_frame, first_ts = entry
         if label > 0:
-            return [hits, peak, first_frame, first_ts, offset + label]
+            return [hits, peak, total, first_frame, first_ts, offset + label]
         past = known[-label - 1]
-        return [past[0] + hits, past[1] if peak is None else max(past[1], peak), *past[2:]]
+        return [past[0] + hits, past[1] if peak is None else max(past[1], peak), past[2] + total, *past[3:]]
 
     ordered = tried.repartition(*keys).sortWithinPartitions(*keys, scans.CHUNK)
     return cut_lineage(ordered.mapInArrow(run, schema))
-
-
-# Columns and levels.
-
-
-def level_names() -> tuple[str, ...]:
-    return LEVELS

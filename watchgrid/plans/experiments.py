@@ -12,6 +12,7 @@ from watchgrid.operators.detect import passes_grey
 from watchgrid.operators.overlap import merge_tiles
 from watchgrid.operators.sampling import camera_folds
 from watchgrid.operators.validator import validate
+from watchgrid.session import cut_lineage
 
 #: The floors a threshold search walks through.
 SWEEP_FLOORS = [step / 100 for step in range(20, 96)]
@@ -64,6 +65,7 @@ def ablation(
     table = metrics.sequence_metrics(
         frames, alarms, sequence=keys, by=by, config_ids=[RAW, *[c.config_id for c in configs]]
     )
+    table = cut_lineage(table)
     baseline = table.filter(F.col("config_id") == RAW).select(*by, F.col("false_alarm_rate").alias("_raw"))
     joined = table.join(baseline, list(by)) if by else table.crossJoin(baseline)
     reduction = F.when(F.col("_raw") > 0, 1 - F.col("false_alarm_rate") / F.col("_raw"))
@@ -159,7 +161,7 @@ def threshold_matched(det: DataFrame, frames: DataFrame, keys: Sequence[str], **
     alarms, _ = arms(det, frames, [cascade], keys, raw_floor=None, **options)
     reference = metrics.sequence_metrics(frames, alarms, sequence=keys, config_ids=["cascade"])
     target = reference.select(F.bround("false_alarm_rate", 4).alias("target_far"))
-    sweep = floor_sweep(det, frames, keys)
+    sweep = cut_lineage(floor_sweep(det, frames, keys))
     matched = match_operating_point(sweep, target)
     return sweep.crossJoin(F.broadcast(matched)).withColumn("is_matched", F.coalesce(F.col("floor") == F.col("matched_floor"), F.lit(False))).drop("matched_floor")
 
@@ -174,9 +176,9 @@ def threshold_transfer(
     **options,
 ) -> DataFrame:
     """Tune a floor on one half of the cameras, apply it to the other, both ways, against the untuned cascade."""
-    folds = camera_folds(frames, camera=camera)
+    folds = cut_lineage(camera_folds(frames, camera=camera))
     det, frames = det.join(folds, camera), frames.join(folds, camera)
-    sweep = floor_sweep(det, frames, keys, by=["fold"])
+    sweep = cut_lineage(floor_sweep(det, frames, keys, by=["fold"]))
     targets = folds.select("fold").distinct().withColumn("target_far", F.lit(float(target_far)))
     tuned = match_operating_point(sweep, targets, ["fold"]).select(
         "fold", F.coalesce("matched_floor", F.lit(fallback)).alias("floor")
@@ -256,7 +258,7 @@ def sliced_vs_full(
     key: str = "image_id",
 ) -> DataFrame:
     """Metrics of full-frame detections against full frame and tiles merged, per floor."""
-    merged = merge_tiles(full, tiles, 0.5, [key])
+    merged = cut_lineage(merge_tiles(full, tiles, 0.5, [key]))
     arms_ = {"baseline": full.select(key, "det_seq", "confidence", "box"), "sliced": merged}
     parts = [
         metrics.confidence_sweep(rows, truth, images, floors, 0.3, key).withColumn("mode", F.lit(mode))
