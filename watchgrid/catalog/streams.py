@@ -1 +1,196 @@
-"""Registered queries."""
+"""Registered queries: the tables replayed as streams of files, drained to the end, compared with the batch answers."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from watchgrid.catalog import fixtures as fx
+from watchgrid.catalog.cameras import _STILLS_SQL, stills
+from watchgrid.catalog.frames import cache_frames
+from watchgrid.catalog.registry import query, r6
+from watchgrid.catalog.validation import DEFAULTS, _EVENTS, cascade
+from watchgrid.catalog.water import _PH, _RISE
+from watchgrid.operators.validator import confirmed_events
+from watchgrid.sources.detections import stream_detections
+from watchgrid.streaming import operators as streams
+from watchgrid.streaming.ordered import late_rows
+
+FILES = 8
+#: Sent last, twice, by a camera of its own: it moves the watermark past every real frame.
+_END = 4_102_444_800.0
+_END_KEY = -1
+
+
+def replay(spark, rows, *, ending=True, late=None):
+    """Write rows (with ``ts``) as one wave of files and, later, the waves that move the watermark; stream them."""
+    folder = fx.shared_folder(spark)
+    stamp = F.timestamp_micros((F.col("ts") * 1_000_000).cast("long"))
+    rows = rows.withColumn("event_time", stamp)
+    rows.repartition(FILES).write.mode("append").json(folder)
+    if ending:
+        for wave in (0, 1):
+            last = spark.range(FILES, numPartitions=FILES).withColumn("ts", F.lit(_END + wave)).drop("id")
+            for field in rows.schema.fields:
+                if field.name not in ("ts", "event_time"):
+                    value = F.lit(_END_KEY) if field.name == "camera_id" else F.lit("fire") if field.name == "hazard" else F.lit(None)
+                    last = last.withColumn(field.name, value.cast(field.dataType))
+            filled = last.withColumn("event_time", stamp).select(*rows.columns)
+            filled = filled.withColumn("frame_index", F.lit(wave).cast("long"))
+            filled.write.mode("append").json(folder)
+    if late is not None:
+        late.withColumn("event_time", stamp).repartition(FILES).write.mode("append").json(folder)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", FILES).json(folder)
+
+
+def drain(spark, stream):
+    """Run a stream to its end; returns (its output as a table, the finished query)."""
+    folder = fx.shared_folder(spark)
+    query_ = (
+        stream.writeStream.format("parquet")
+        .option("path", f"{folder}/out")
+        .option("checkpointLocation", f"{folder}/mark")
+        .trigger(availableNow=True)
+        .start()
+    )
+    query_.awaitTermination()
+    out = spark.read.schema(stream.schema).parquet(f"{folder}/out")
+    return out, query_
+
+
+def whole_frames(det):
+    """One row per frame with its detections as an array."""
+    found = F.struct(F.array("x1", "y1", "x2", "y2").alias("box"), "confidence", "det_seq")
+    return det.select("camera_id", "hazard", "frame_index", "ts", F.array(found).alias("detections"))
+
+
+def validated(spark, sf_dir):
+    streams.use_rocksdb(spark)
+    frames = replay(spark, whole_frames(fx.detections(spark, sf_dir)))
+    return streams.validate_stream(frames, DEFAULTS)
+
+
+@query(
+    "a11_stream_detections",
+    fx.with_ctes("SELECT camera_id || '_' || hazard AS sequence, count(*) AS frames, max(frame_index)::INTEGER AS last_frame FROM detections GROUP BY ALL", "detections"),
+)
+def a11(spark, sf_dir):
+    folder = fx.shared_folder(spark)
+    cache_frames(spark, sf_dir).repartition(FILES).write.json(folder)
+    out, _ = drain(spark, stream_detections(spark, folder, files_per_trigger=4).select("sequence", "frame_index"))
+    return out.groupBy("sequence").agg(F.count("*").alias("frames"), F.max("frame_index").alias("last_frame"))
+
+
+@query("st01_validate_stream", cascade("SELECT camera_id, hazard, det_seq, rejected_by, track, hits, round(peak, 6) AS peak FROM annotated"))
+def st01(spark, sf_dir):
+    out, _ = drain(spark, validated(spark, sf_dir))
+    return out.select("camera_id", "hazard", "det_seq", "rejected_by", "track", "hits", r6("peak").alias("peak"))
+
+
+def signal_stream(spark, sf_dir):
+    streams.use_rocksdb(spark)
+    return replay(spark, fx.signal(spark, sf_dir).withColumnRenamed("seq", "frame_index"))
+
+
+@query(
+    "st02_page_hinkley_stream",
+    fx.with_ctes(
+        """SELECT camera_id, seq AS frame_index, samples, round(statistic, 6) AS statistic, over AND count(*) FILTER (over) OVER (PARTITION BY camera_id ORDER BY samples) = 1 AS alarm
+           FROM (SELECT *, samples >= 5 AND statistic > 0.10 AS over FROM tested)""",
+        "signal",
+        extra={"tested": _PH.format(keys="camera_id", delta="0.005", source="signal")},
+    ),
+)
+def st02(spark, sf_dir):
+    out, _ = drain(spark, streams.page_hinkley_stream(signal_stream(spark, sf_dir).fillna(0.0, ["value"])))
+    kept = out.filter(F.col("camera_id") != _END_KEY)
+    return kept.select("camera_id", "frame_index", "samples", r6("statistic").alias("statistic"), "alarm")
+
+
+@query(
+    "st03_rise_stream",
+    fx.with_ctes(
+        """SELECT camera_id, seq AS frame_index, trend, samples, round(rate, 9)::DOUBLE AS area_rate_per_min, round(r_squared, 6)::DOUBLE AS r_squared FROM rises""",
+        "signal",
+        extra=_RISE,
+    ),
+)
+def st03(spark, sf_dir):
+    out, _ = drain(spark, streams.rise_stream(signal_stream(spark, sf_dir).fillna(0.0, ["area_fraction"]), rising=1e-5))
+    kept = out.filter(F.col("camera_id") != _END_KEY)
+    return kept.select("camera_id", "frame_index", "trend", "samples", F.round("area_rate_per_min", 9).alias("area_rate_per_min"), r6("r_squared").alias("r_squared"))
+
+
+@query(
+    "st04_alert_sink",
+    cascade(
+        """SELECT hazard, CAST(camera_id AS VARCHAR) AS camera_id, first_frame AS first_seen_frame, frame_index AS confirmed_frame, hits AS supporting_detections, track AS track_id,
+             printf('%d_%s_%06d.jpg', camera_id, hazard, frame_index) AS evidence FROM confirmed_rows""",
+        extra=_EVENTS,
+    ),
+)
+def st04(spark, sf_dir):
+    folder = fx.shared_folder(spark)
+    events = confirmed_events(validated(spark, sf_dir))
+    streams.start_alert_sink(events, f"{folder}/alerts", f"{folder}/mark").awaitTermination()
+    schema = (
+        "hazard string, camera_id string, first_seen_frame long, confirmed_frame long, supporting_detections long, "
+        "track_id long, evidence string"
+    )
+    return spark.read.schema(schema).json(f"{folder}/alerts/batch_id=*")
+
+
+@query(
+    "st05_drop_repeats_stream",
+    fx.with_ctes("SELECT camera_id, frame_index, signature FROM stills WHERE NOT is_repeat", extra={"stills": _STILLS_SQL}),
+)
+def st05(spark, sf_dir):
+    streams.use_rocksdb(spark)
+    out, _ = drain(spark, streams.drop_repeats_stream(replay(spark, stills(spark, sf_dir))))
+    return out.filter(F.col("camera_id") != _END_KEY).select("camera_id", "frame_index", "signature")
+
+
+@query(
+    "st06_live_counters",
+    cascade(
+        """SELECT camera_id, count(*) AS proposed, count(*) FILTER (rejected_by IS NULL) AS confirmed, count(*) FILTER (rejected_by = 'confidence') AS rejected_confidence,
+             count(*) FILTER (rejected_by = 'persistence') AS rejected_persistence, count(*) FILTER (rejected_by = 'cooldown') AS rejected_cooldown FROM annotated GROUP BY ALL"""
+    ),
+)
+def st06(spark, sf_dir):
+    """Annotated detections, as the cascade stream leaves them, counted by a second stream in complete mode."""
+    from watchgrid.operators.validator import validate
+
+    folder = fx.shared_folder(spark)
+    validate(fx.stored_detections(spark, sf_dir), DEFAULTS).write.parquet(f"{folder}/annotated")
+    schema = spark.read.parquet(f"{folder}/annotated").schema
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(f"{folder}/annotated")
+
+    def publish(batch, batch_id):
+        batch.write.mode("overwrite").parquet(f"{folder}/counters")
+
+    writer = streams.live_counters(source).writeStream.outputMode("complete").foreachBatch(publish)
+    writer.option("checkpointLocation", f"{folder}/mark").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/counters")
+
+
+@query("st08_late_frames", "SELECT count(*) FILTER (event_type <> 'error') AS processed, count(*) FILTER (event_type = 'error') AS late FROM events")
+def st08(spark, sf_dir):
+    """Fire frames are sent after the watermark has passed them: dropped, and counted by the engine."""
+    streams.use_rocksdb(spark)
+    frames = whole_frames(fx.detections(spark, sf_dir))
+    late = F.col("hazard") == "fire"
+    stream = streams.validate_stream(replay(spark, frames.filter(~late), late=frames.filter(late)), DEFAULTS)
+    out, done = drain(spark, stream)
+    return out.agg(F.count("*").alias("processed")).withColumn("late", F.lit(late_rows(done)).cast("long"))
+
+
+@query("ux03_frame_hook", cascade("SELECT hazard, count(*) AS rows_seen FROM annotated GROUP BY ALL"))
+def ux03(spark, sf_dir):
+    """A user's hook sees every annotated batch."""
+    folder = fx.shared_folder(spark)
+
+    def hook(batch, batch_id):
+        batch.select("hazard", "det_seq").write.mode("overwrite").parquet(f"{folder}/seen/batch={batch_id}")
+
+    streams.observe_frames(validated(spark, sf_dir), hook, f"{folder}/mark").awaitTermination()
+    return spark.read.parquet(f"{folder}/seen").groupBy("hazard").agg(F.count("*").alias("rows_seen"))
