@@ -9,6 +9,7 @@ from watchgrid.catalog.registry import query, r6, rounded
 from watchgrid.functions import geometry as geo
 from watchgrid.functions.stats import upper_median
 from watchgrid.operators import detect, metrics, overlap, reports, sampling
+from watchgrid.operators.medians import exact_medians
 from watchgrid.plans import experiments
 from watchgrid.sources import dims, truth as truths
 
@@ -661,12 +662,8 @@ def a05(spark, sf_dir):
          list_sort(list(l_extendedprice))[count(*) // 2 + 1] AS upper FROM lineitem GROUP BY ALL""",
 )
 def g13(spark, sf_dir):
-    price = F.col("l_extendedprice")
-    return fx.table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("grp")).agg(
-        F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY l_extendedprice)").alias("lower"),
-        r6(F.percentile(price, 0.5)).alias("middle"),
-        metrics.median_upper("l_extendedprice").alias("upper"),
-    )
+    rows = fx.table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("grp"), "l_extendedprice")
+    return rounded(exact_medians(rows, ["grp"], "l_extendedprice").drop("n"), "middle")
 
 
 @query(

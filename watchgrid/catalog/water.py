@@ -168,8 +168,7 @@ _GRID = [(d, t) for d in (0.002, 0.005, 0.010) for t in (0.05, 0.10, 0.30)]
     ),
 )
 def f06(spark, sf_dir):
-    grid = spark.createDataFrame(_GRID, "delta double, threshold double")
-    table = flood.ph_calibration(fx.signal(spark, sf_dir), grid, ["camera_id"], scans.chunk_of(F.col("ts"), _MONTHS))
+    table = flood.ph_calibration(fx.signal(spark, sf_dir), _GRID, ["camera_id"], scans.chunk_of(F.col("ts"), _MONTHS))
     return rounded(table, "alarm_share", "mean_samples_to_alarm")
 
 

@@ -39,7 +39,7 @@ def merge_classes(
     """Fold model classes into merged ones, keeping the original as ``model_class``. Unmapped classes are dropped, or
     kept as context under their own name."""
     joined = det.withColumn("model_class", F.col("label")).join(
-        F.broadcast(merge), "model_class", "left" if keep_unmerged else "inner"
+        merge, "model_class", "left" if keep_unmerged else "inner"
     )
     alarm = F.col("merged_class").isin(list(alarm_labels))
     tagged = joined.withColumn("label", F.coalesce("merged_class", "model_class")).withColumn(

@@ -117,11 +117,13 @@ def gate_summary(cameras: DataFrame) -> DataFrame:
     """What the gate saves, in detector invocations per frame, in one row."""
     active = resolve_cameras(cameras).filter("enabled").withColumn("_n", F.size(F.array_distinct("active_hazards")))
     total = len(dims.HAZARDS)
-    counts = active.agg(F.count("*").alias("cameras"), F.coalesce(F.sum("_n"), F.lit(0)).alias("gated"))
-    models = active.select(F.explode("active_hazards").alias("h")).agg(
-        F.array_sort(F.collect_set("h")).alias("models_loaded")
+    counts = active.agg(
+        F.count("*").alias("cameras"),
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("gated"),
+        # A set of hazards has at most as many members as there are hazards.
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("active_hazards")))).alias("models_loaded"),
     )
-    return counts.crossJoin(models).select(
+    return counts.select(
         "cameras",
         F.lit(total).alias("hazards_available"),
         (F.col("cameras") * total).alias("ungated_invocations"),

@@ -71,10 +71,9 @@ def floor_of(confidence: Column, floors: Sequence[float]) -> Column:
 
 def at_or_above(histogram: DataFrame, floors: Sequence[float], keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Counts held per ``floor`` bucket to counts at or above every floor; the table is as small as the floor list."""
-    spark = histogram.sparkSession
-    grid = spark.createDataFrame([(float(f),) for f in floors], "floor double")
-    if keys:
-        grid = grid.crossJoin(histogram.select(*keys).distinct())
+    groups = histogram.select(*keys).distinct() if keys else histogram.sparkSession.range(1)
+    ladder = F.array(*[F.lit(float(f)) for f in floors])
+    grid = groups.select(*keys, F.explode(ladder).alias("floor"))
     full = grid.join(histogram, [*keys, "floor"], "left")
     above = Window.partitionBy(*keys).orderBy(F.desc("floor")).rowsBetween(Window.unboundedPreceding, 0)
     return full.select(
@@ -107,9 +106,9 @@ def confidence_sweep(
         .agg(F.count(F.when(should, 1)).alias("img_tp"), F.count(F.when(~should, 1)).alias("img_fp"))
     )
     alarmed = at_or_above(alarmed, floors, [], ["img_tp", "img_fp"])
-    totals = flags.agg(F.count(F.when(should, 1)).alias("_pos"), F.count(F.when(~should, 1)).alias("_neg"))
-    n_truth = truth.agg(F.count("*").alias("_truths"))
-    table = boxes.join(alarmed, "floor").crossJoin(totals).crossJoin(n_truth)
+    table = boxes.join(alarmed, "floor")
+    table = attach_totals(table, flags, [], {"_pos": F.count(F.when(should, 1)), "_neg": F.count(F.when(~should, 1))})
+    table = attach_totals(table, truth, [], {"_truths": F.count("*")})
     box = rates(F.col("box_tp"), F.col("box_fp"), F.col("box_fn"), F.lit(0))
     img = rates(F.col("img_tp"), F.col("img_fp"), F.col("img_fn"), F.col("img_tn"))
     return (
@@ -132,6 +131,14 @@ def confidence_sweep(
     )
 
 
+def attach_totals(table: DataFrame, source: DataFrame, by: Sequence[str], totals: dict[str, Column]) -> DataFrame:
+    """Add aggregates of ``source`` to every row of a small table: per group by a join, overall by a scalar subquery."""
+    if by:
+        return table.join(source.groupBy(*by).agg(*[c.alias(n) for n, c in totals.items()]), list(by))
+    whole = source.agg(F.struct(*[c.alias(n) for n, c in totals.items()])).scalar()
+    return table.withColumn("_totals", whole).select(*table.columns, *[F.col(f"_totals.{n}").alias(n) for n in totals])
+
+
 # Frames of event-relative sequences.
 
 
@@ -158,7 +165,8 @@ def frame_alarms(frames: DataFrame, alarms: DataFrame, keys: Sequence[str]) -> D
 
 
 def median_upper(value: str) -> Column:
-    """Aggregate: the element n // 2 of the ascending order."""
+    """Aggregate: the element n // 2 of the ascending order. It keeps one counter per distinct value, which is bounded
+    for alert delays in whole sampling steps; ``medians.exact_medians`` serves unbounded values."""
     return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {value} DESC)")
 
 
@@ -185,12 +193,12 @@ def sequence_metrics(
     per_sequence = frames.groupBy(*by, *sequence).agg(
         F.count("*").alias("frames"), F.count(F.when(before, 1)).alias("pre_frames")
     )
-    totals = per_sequence.groupBy(*by).agg(
-        F.count("*").alias("total_sequences"),
-        F.sum("frames").alias("frames"),
-        F.sum("pre_frames").alias("pre_frames"),
-        F.sum(F.col("frames") - F.col("pre_frames")).alias("post_frames"),
-    )
+    totals = {
+        "total_sequences": F.count("*"),
+        "frames": F.sum("frames"),
+        "pre_frames": F.sum("pre_frames"),
+        "post_frames": F.sum(F.col("frames") - F.col("pre_frames")),
+    }
     seen = alarms.groupBy("config_id", *by, *sequence).agg(
         F.count(F.when(before, 1)).alias("alarmed_pre"),
         F.count(F.when(~before, 1)).alias("alarmed_post"),
@@ -209,14 +217,15 @@ def sequence_metrics(
             median_upper("_minutes").alias("median_minutes_to_detect"),
         )
     )
-    if config_ids is None:
-        joined = summed.join(F.broadcast(totals), by) if by else summed.crossJoin(F.broadcast(totals))
-    else:
+    if config_ids is not None:
+        groups = frames.select(*by).distinct() if by else frames.sparkSession.range(1)
         ids = F.array(*[F.lit(i) for i in config_ids])
-        grid = totals.withColumn("config_id", F.explode(ids))
-        joined = grid.join(summed, ["config_id", *by], "left").fillna(
-            0, ["alarmed_pre", "alarmed_post", "alerts_pre", "alerts_post", "sequences_detected"]
+        summed = (
+            groups.select(*by, F.explode(ids).alias("config_id"))
+            .join(summed, [*by, "config_id"], "left")
+            .fillna(0, ["alarmed_pre", "alarmed_post", "alerts_pre", "alerts_post", "sequences_detected"])
         )
+    joined = attach_totals(summed, per_sequence, by, totals)
     return joined.select(
         "config_id",
         *by,
@@ -289,14 +298,13 @@ def interval_table(counts: DataFrame, z: float = 1.96) -> DataFrame:
 def mask_value_share(histogram: DataFrame, labels: DataFrame) -> DataFrame:
     """(value, pixels) to totals and shares, with label, water flag and whether the value is documented at all."""
     totals = histogram.groupBy("value").agg(F.sum("pixels").alias("pixels"))
-    everything = totals.agg(F.sum("pixels").alias("_all"))
+    whole = totals.agg(F.sum("pixels")).scalar()
     return (
-        totals.crossJoin(F.broadcast(everything))
-        .join(F.broadcast(labels), "value", "left")
+        totals.join(labels, "value", "left")
         .select(
             "value",
             "pixels",
-            safe_ratio(F.col("pixels"), F.col("_all")).alias("share"),
+            safe_ratio(F.col("pixels"), whole).alias("share"),
             "name",
             F.coalesce("is_water", F.lit(False)).alias("is_water"),
             F.col("name").isNotNull().alias("is_known"),

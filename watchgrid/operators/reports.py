@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from watchgrid.functions import geometry as geo
 from watchgrid.functions.stats import safe_ratio
 from watchgrid.operators.cascade import LEVELS
+from watchgrid.operators.medians import exact_medians
 from watchgrid.sources import dims
 
 
@@ -269,12 +270,16 @@ def region_stability(regions: DataFrame) -> DataFrame:
         ["camera_id", "frame_index"],
         "left",
     ).withColumn("_iou", geo.iou(F.col("_before"), F.col("_box")))
-    return pairs.agg(
-        F.count("*").alias("masks"),
-        F.percentile("_n", 0.5).alias("median_regions"),
-        F.percentile("_largest", 0.5).alias("median_largest_share"),
-        F.percentile(F.when(F.col("_before").isNotNull(), F.col("_iou")), 0.5).alias("median_step_iou"),
-    )
+    measures = {
+        "median_regions": F.col("_n").cast("double"),
+        "median_largest_share": F.col("_largest"),
+        "median_step_iou": F.when(F.col("_before").isNotNull(), F.col("_iou")),
+    }
+    listed = F.array(*[F.struct(F.lit(n).alias("measure"), c.alias("value")) for n, c in measures.items()])
+    middles = exact_medians(pairs.select(F.inline(listed)), ["measure"], "value")
+    named = [F.max(F.when(F.col("measure") == n, F.col("middle"))).alias(n) for n in measures]
+    masks = F.max(F.when(F.col("measure") == "median_regions", F.col("n"))).alias("masks")
+    return middles.agg(masks, *named)
 
 
 def pair_by_stem(a: DataFrame, b: DataFrame, path: str = "path") -> DataFrame:

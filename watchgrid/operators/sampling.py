@@ -58,14 +58,10 @@ def even_picks(frames: DataFrame, totals: DataFrame, k: int = 6, key: str = "cli
 def strided_limit(df: DataFrame, limit: int, order: Column, chunk: Column) -> DataFrame:
     """At most ``limit`` rows spread over the whole order instead of its first rows."""
     numbered = scans.ordinal(df.withColumn("_all", F.lit(0)), ["_all"], chunk, [order], "_n")
-    total = df.agg(F.count("*").alias("_total"))
-    stride = F.greatest(F.lit(1), F.floor(F.col("_total") / limit))
+    total = df.agg(F.count("*")).scalar()
+    stride = F.greatest(F.lit(1), F.floor(total / limit))
     position = F.col("_n") - 1
-    return (
-        numbered.crossJoin(F.broadcast(total))
-        .filter((position % stride == 0) & (position / stride < limit))
-        .select(*df.columns)
-    )
+    return numbered.filter((position % stride == 0) & (position / stride < limit)).select(*df.columns)
 
 
 def ignition_window(frames: DataFrame, limit: int, negatives_only: bool = False, key: str = "sequence") -> DataFrame:
@@ -142,7 +138,7 @@ def _ranked_in_stratum(items: DataFrame, stratum: str, order: Column, buckets: i
     chunk = F.floor(F.col("_o") / F.lit(float(2**64 // buckets))).cast("long")
     ranked = scans.ordinal(ordered, [stratum], chunk, [F.col("_o")], "_n")
     sizes = items.groupBy(stratum).agg(F.count("*").alias("_size"))
-    return ranked.join(F.broadcast(sizes), stratum)
+    return ranked.join(sizes, stratum)
 
 
 def stratified_split(
@@ -161,9 +157,14 @@ def capped_split(
     ``max(40, cap // 4)`` test items of each class in hash order; the cap is the sampling feature itself."""
     numbered = scans.ordinal(items, [stratum], chunk, [index], "_i")
     sizes = items.groupBy(stratum).agg(F.count("*").alias("_all"))
-    split = numbered.join(F.broadcast(sizes), stratum).withColumn(
+    split = numbered.join(sizes, stratum).withColumn(
         "split", F.when(F.col("_i") <= F.floor(F.col("_all") * F.lit(0.8)), "training").otherwise("test")
     )
-    rank = F.row_number().over(Window.partitionBy(stratum, "split").orderBy(order))
-    limit = F.when(F.col("split") == "training", F.lit(cap)).otherwise(F.lit(max(40, cap // 4)))
-    return split.withColumn("_r", rank).filter(F.col("_r") <= limit).select(*items.columns, "split")
+    rank = F.row_number().over(Window.partitionBy(stratum).orderBy(order))
+
+    def first(side: str, n: int) -> DataFrame:
+        # A literal limit lets every task keep only its own first n before the shuffle.
+        return split.filter(F.col("split") == side).withColumn("_r", rank).filter(F.col("_r") <= n)
+
+    kept = first("training", cap).unionByName(first("test", max(40, cap // 4)))
+    return kept.select(*items.columns, "split")

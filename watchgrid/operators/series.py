@@ -159,7 +159,7 @@ def continuity(
     )
     unrelated = (
         draws.join(first.select("sequence", "_n", "hist"), ["sequence", "_n"])
-        .join(F.broadcast(outside), "_o")
+        .join(outside, "_o")
         .groupBy("sequence")
         .agg(F.percentile(array_corr(F.col("hist"), F.col("_other")), 0.5).alias("unrelated"))
     )

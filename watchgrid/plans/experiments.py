@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from watchgrid.operators import metrics, reports
 from watchgrid.operators.cascade import ValidatorConfig
@@ -65,11 +65,9 @@ def ablation(
     table = metrics.sequence_metrics(
         frames, alarms, sequence=keys, by=by, config_ids=[RAW, *[c.config_id for c in configs]]
     )
-    table = cut_lineage(table)
-    baseline = table.filter(F.col("config_id") == RAW).select(*by, F.col("false_alarm_rate").alias("_raw"))
-    joined = table.join(baseline, list(by)) if by else table.crossJoin(baseline)
-    reduction = F.when(F.col("_raw") > 0, 1 - F.col("false_alarm_rate") / F.col("_raw"))
-    return joined.withColumn("far_reduction", reduction).drop("_raw")
+    # One row per configuration and group by now, so the raw row can be looked up in a window.
+    raw = F.max(F.when(F.col("config_id") == RAW, F.col("false_alarm_rate"))).over(Window.partitionBy(*by))
+    return table.withColumn("far_reduction", F.when(raw > 0, 1 - F.col("false_alarm_rate") / raw))
 
 
 def sequence_evaluation(
@@ -131,9 +129,10 @@ def floor_sweep(
         .groupBy(*by, "floor")
         .agg(F.count("*").alias("sequences_detected"), metrics.median_upper("_minutes").alias("median_minutes_to_detect"))
     )
-    totals = frames.groupBy(*by).agg(F.count("*").alias("frames"), F.count(F.when(before, 1)).alias("pre_frames"))
     joined = frames_alarmed.join(alerts, [*by, "floor"]).join(firsts, [*by, "floor"], "left")
-    joined = joined.join(F.broadcast(totals), by) if by else joined.crossJoin(F.broadcast(totals))
+    joined = metrics.attach_totals(
+        joined, frames, by, {"frames": F.count("*"), "pre_frames": F.count(F.when(before, 1))}
+    )
     pre, post = F.col("pre_frames"), F.col("frames") - F.col("pre_frames")
     return joined.select(
         *by,
@@ -150,7 +149,8 @@ def match_operating_point(sweep: DataFrame, targets: DataFrame, by: Sequence[str
     """Per target the lowest floor whose rounded false-alarm rate is no worse; null when no floor gets there.
     ``targets``: by, target_far."""
     reached = F.bround("false_alarm_rate", 4) <= F.col("target_far")
-    joined = targets.join(sweep, list(by), "left") if by else targets.crossJoin(F.broadcast(sweep))
+    # A sweep has one row per floor and group; the inequality is checked against that small table.
+    joined = targets.join(sweep, list(by), "left") if by else targets.join(F.broadcast(sweep), reached, "left")
     floor = F.min(F.when(reached, F.col("floor")))
     return joined.groupBy(*by, "target_far").agg(floor.alias("matched_floor"))
 
@@ -162,8 +162,12 @@ def threshold_matched(det: DataFrame, frames: DataFrame, keys: Sequence[str], **
     reference = metrics.sequence_metrics(frames, alarms, sequence=keys, config_ids=["cascade"])
     target = reference.select(F.bround("false_alarm_rate", 4).alias("target_far"))
     sweep = cut_lineage(floor_sweep(det, frames, keys))
-    matched = match_operating_point(sweep, target)
-    return sweep.crossJoin(F.broadcast(matched)).withColumn("is_matched", F.coalesce(F.col("floor") == F.col("matched_floor"), F.lit(False))).drop("matched_floor")
+    found = match_operating_point(sweep, target).agg(F.struct(F.max("target_far").alias("far"), F.max("matched_floor").alias("floor"))).scalar()
+    return sweep.withColumn("_found", found).select(
+        *sweep.columns,
+        F.col("_found.far").alias("target_far"),
+        F.coalesce(F.col("floor") == F.col("_found.floor"), F.lit(False)).alias("is_matched"),
+    )
 
 
 def threshold_transfer(

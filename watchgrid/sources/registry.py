@@ -75,16 +75,10 @@ def load_cameras(rows: DataFrame, strict: bool = False) -> tuple[DataFrame, Data
     violations = registry_violations(cameras)
     if not strict:
         return cameras, violations
-    worst = violations.agg(
-        F.count("*").alias("_bad"), F.max(F.concat_ws(": ", "camera_id", "violation")).alias("_example")
-    )
-    checked = cameras.crossJoin(F.broadcast(worst)).withColumn(
-        "camera_id",
-        F.when(
-            F.col("_bad") > 0, F.raise_error(F.concat(F.lit("invalid camera registry, e.g. "), F.col("_example")))
-        ).otherwise(F.col("camera_id")),
-    )
-    return checked.drop("_bad", "_example"), violations
+    worst = violations.agg(F.max(F.concat_ws(": ", "camera_id", "violation"))).scalar()
+    message = F.concat(F.lit("invalid camera registry, e.g. "), worst)
+    checked = F.when(worst.isNotNull(), F.raise_error(message).cast("string")).otherwise(F.col("camera_id"))
+    return cameras.withColumn("camera_id", checked), violations
 
 
 def first_entries(cameras: DataFrame) -> DataFrame:

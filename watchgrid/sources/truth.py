@@ -40,12 +40,12 @@ def coco_rows(annotations: DataFrame, images: DataFrame, categories: DataFrame,
     """The same over already flattened tables."""
     wide, high = F.col("bbox")[2], F.col("bbox")[3]
     kept = annotations.filter((wide > 1) & (high > 1))
-    wanted = categories.join(F.broadcast(merge), categories["name"] == merge["model_class"]).select(
+    wanted = categories.join(merge, categories["name"] == merge["model_class"]).select(
         "category_id", "merged_class"
     )
     box = from_corner_size(F.col("bbox")[0], F.col("bbox")[1], wide, high)
     return (
-        kept.join(F.broadcast(wanted), "category_id")
+        kept.join(wanted, "category_id")
         .join(images, "image_id")
         .select("image_id", "file_name", "truth_seq", F.col("merged_class").alias("class"), box.alias("box"))
     )
