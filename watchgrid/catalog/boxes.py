@@ -11,6 +11,7 @@ from watchgrid.functions.stats import upper_median
 from watchgrid.operators import detect, metrics, overlap, reports, sampling
 from watchgrid.operators.medians import exact_medians
 from watchgrid.plans import experiments
+from watchgrid.session import cut_lineage
 from watchgrid.sources import dims, truth as truths
 
 BOXES = ("lines", "boxes")
@@ -240,7 +241,7 @@ def p19(spark, sf_dir):
 )
 def j07(spark, sf_dir):
     wanted = fx.truth(spark, sf_dir).withColumnRenamed("truth_seq", "det_seq")
-    return rounded(detect.iou_pairs(fx.predictions(spark, sf_dir), wanted, 0.3, ["image_id"], cell=32.0), "iou")
+    return rounded(detect.iou_pairs(fx.predictions(spark, sf_dir), wanted, 0.3, ["image_id"], cell=64.0), "iou")
 
 
 # Suppression and matching.
@@ -382,8 +383,7 @@ _TILES = {
 }
 
 
-def tiled(spark, sf_dir):
-    rows = fx.boxes(spark, sf_dir)
+def tiled(rows):
     full = rows.filter("det_seq % 3 = 0")
     tiles = rows.filter("det_seq % 3 <> 0").select(
         "image_id", "det_seq", "confidence", geo.offset(F.col("box"), -8, -4).alias("box"),
@@ -403,7 +403,7 @@ def tiled(spark, sf_dir):
     ),
 )
 def t09(spark, sf_dir):
-    merged = overlap.merge_tiles(*tiled(spark, sf_dir))
+    merged = overlap.merge_tiles(*tiled(fx.boxes(spark, sf_dir)))
     return merged.select("image_id", r6("confidence").alias("confidence"), *flat())
 
 
@@ -415,7 +415,7 @@ _MATCH = fx.match_sql("pred", "truth", 0.3)
     fx.with_ctes("SELECT image_id, det_seq, truth_seq, round(match_iou, 6) AS match_iou FROM matched", *PAIRS, extra=_MATCH, recursive=True),
 )
 def j06(spark, sf_dir):
-    rows = overlap.match_predictions(fx.predictions(spark, sf_dir), fx.truth(spark, sf_dir), 0.3, ["image_id"])
+    rows = overlap.match_predictions(*fx.stored_pairs(spark, sf_dir), 0.3, ["image_id"])
     return rounded(rows.select("image_id", "det_seq", "truth_seq", "match_iou"), "match_iou")
 
 
@@ -431,7 +431,7 @@ def j06(spark, sf_dir):
     ),
 )
 def j06_counts(spark, sf_dir):
-    return overlap.match_boxes(fx.predictions(spark, sf_dir), fx.truth(spark, sf_dir), 0.3)
+    return overlap.match_boxes(*fx.stored_pairs(spark, sf_dir), 0.3)
 
 
 _RATES = """CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END AS precision, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END AS recall,
@@ -506,7 +506,7 @@ _BY_CLASS = {
     ),
 )
 def g04(spark, sf_dir):
-    return rounded(metrics.per_class_metrics(fx.predictions(spark, sf_dir), fx.truth(spark, sf_dir)), *_METRICS)
+    return rounded(metrics.per_class_metrics(*fx.stored_pairs(spark, sf_dir)), *_METRICS)
 
 
 def _sweep_sql(floors: str, preds: str, matched: str = "matched") -> str:
@@ -547,7 +547,8 @@ def sweep_truth(spark, sf_dir):
     ),
 )
 def g05(spark, sf_dir):
-    rows = metrics.confidence_sweep(fx.predictions(spark, sf_dir), sweep_truth(spark, sf_dir), fx.images(spark, sf_dir), FLOORS)
+    pred, wanted = fx.stored_pairs(spark, sf_dir)
+    rows = metrics.confidence_sweep(pred, wanted.filter("class = 'R'"), fx.images(spark, sf_dir), FLOORS)
     return rounded(rows, *SWEEP_COLUMNS)
 
 
@@ -585,8 +586,9 @@ def _renamed(ctes: dict, suffix: str) -> dict:
     ),
 )
 def e06(spark, sf_dir):
-    full, tiles = tiled(spark, sf_dir)
-    return rounded(experiments.sliced_vs_full(full, tiles, sweep_truth(spark, sf_dir), fx.images(spark, sf_dir)), *SWEEP_COLUMNS)
+    rows = cut_lineage(fx.boxes(spark, sf_dir))
+    wanted = fx.truth_of(rows).filter("class = 'R'")
+    return rounded(experiments.sliced_vs_full(*tiled(rows), wanted, fx.images(spark, sf_dir)), *SWEEP_COLUMNS)
 
 
 @query(

@@ -308,14 +308,28 @@ SQL["truth"] = """
 SQL["images"] = "SELECT o_orderkey AS image_id FROM orders"
 
 
-def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return boxes(spark, sf_dir).filter("det_seq % 2 = 1")
+def predictions_of(rows: DataFrame) -> DataFrame:
+    return rows.filter("det_seq % 2 = 1")
 
 
-def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+def truth_of(rows: DataFrame) -> DataFrame:
     box = F.col("box")
     moved = make_box(box["x1"] + 2, box["y1"] + 2, box["x2"] + 2, box["y2"] + 2)
-    return boxes(spark, sf_dir).select("image_id", F.col("det_seq").alias("truth_seq"), moved.alias("box"), "class")
+    return rows.select("image_id", F.col("det_seq").alias("truth_seq"), moved.alias("box"), "class")
+
+
+def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predictions_of(boxes(spark, sf_dir))
+
+
+def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truth_of(boxes(spark, sf_dir))
+
+
+def stored_pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(predictions, truth) over boxes written once, as an evaluation would find them."""
+    rows = cut_lineage(boxes(spark, sf_dir))
+    return predictions_of(rows), truth_of(rows)
 
 
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -66,7 +66,11 @@ def per_class_metrics(pred: DataFrame, truth: DataFrame, iou: float = 0.3, key:
 
 def floor_of(confidence: Column, floors: Sequence[float]) -> Column:
     """The largest floor not above a confidence; null below all of them."""
-    return F.array_max(F.filter(F.array(*[F.lit(float(f)) for f in sorted(floors)]), lambda f: f <= confidence))
+    levels = sorted((float(f) for f in floors), reverse=True)
+    decision = F.when(confidence >= levels[0], F.lit(levels[0]))
+    for level in levels[1:]:
+        decision = decision.when(confidence >= level, F.lit(level))
+    return decision
 
 
 def at_or_above(histogram: DataFrame, floors: Sequence[float], keys: Sequence[str], columns: Sequence[str]) -> DataFrame:

@@ -135,36 +135,42 @@ def match_predictions(
 
 
 def _match_fold(pred: DataFrame, truth: DataFrame, iou: float, keys: list[str]) -> DataFrame:
+    area = geo.box_area(F.col("box")).alias("a")
     found = pred.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct((-F.col("confidence")).alias("o"), F.col("det_seq").alias("s"), "box"))).alias("_p")
+        F.array_sort(
+            F.collect_list(F.struct((-F.col("confidence")).alias("o"), F.col("det_seq").alias("s"), "box", area))
+        ).alias("_p")
     )
     wanted = truth.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct(F.col("truth_seq").alias("t"), "box"))).alias("_t")
+        F.array_sort(F.collect_list(F.struct(F.col("truth_seq").alias("t"), "box", area))).alias("_t")
     )
     both = found.join(wanted, keys, "left")
+    truths = F.coalesce(F.col("_t"), F.array().cast(both.schema["_t"].dataType))
+
+    def options(p: Column) -> Column:
+        # Best overlap first, the first truth of equals; only overlaps that reach the limit. Each is computed once.
+        shared = F.transform(truths, lambda t: F.struct(geo.intersection(p["box"], t["box"]).alias("i"), t["a"].alias("a"), t["t"].alias("t")))
+        touching = F.filter(shared, lambda m: m["i"] > 0)
+        rated = F.transform(touching, lambda m: F.struct((-(m["i"] / (p["a"] + m["a"] - m["i"]))).alias("v"), m["t"].alias("t")))
+        return F.array_sort(F.filter(rated, lambda m: m["v"] <= -iou))
+
+    listed = both.select(
+        *keys, F.transform("_p", lambda p: F.struct(p["o"].alias("o"), p["s"].alias("s"), options(p).alias("w"))).alias("_l")
+    )
     start = F.array().cast("array<struct<s:bigint,c:double,t:bigint,v:double>>")
 
-    def claim(done: Column, candidate: Column) -> Column:
-        taken = F.transform(done, lambda d: d["t"])
-        free = F.filter(
-            F.coalesce(F.col("_t"), F.array().cast(both.schema["_t"].dataType)),
-            lambda t: ~F.coalesce(F.array_contains(taken, t["t"]), F.lit(False)),
-        )
-        rated = F.transform(
-            free,
-            lambda t: F.struct(geo.iou(candidate["box"], t["box"]).alias("v"), (-t["t"]).cast("bigint").alias("n")),
-        )
-        best = F.array_max(rated)
-        good = (best["v"] > 0) & (best["v"] >= iou)
+    def claim(done: Column, p: Column) -> Column:
+        free = F.filter(p["w"], lambda m: ~F.exists(done, lambda d: d["t"].eqNullSafe(m["t"])))
+        best = F.get(free, F.lit(0))
         entry = F.struct(
-            candidate["s"].cast("bigint").alias("s"),
-            (-candidate["o"]).cast("double").alias("c"),
-            F.when(good, -best["n"]).cast("bigint").alias("t"),
-            F.when(good, best["v"]).cast("double").alias("v"),
+            p["s"].cast("bigint").alias("s"),
+            (-p["o"]).cast("double").alias("c"),
+            best["t"].cast("bigint").alias("t"),
+            (-best["v"]).cast("double").alias("v"),
         )
         return F.concat(done, F.array(entry))
 
-    folded = both.select(*keys, F.explode(F.aggregate("_p", start, claim)).alias("_m"))
+    folded = listed.select(*keys, F.explode(F.aggregate("_l", start, claim)).alias("_m"))
     return folded.select(
         *keys,
         F.col("_m.s").alias("det_seq"),

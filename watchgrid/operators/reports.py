@@ -10,6 +10,7 @@ from watchgrid.functions import geometry as geo
 from watchgrid.functions.stats import safe_ratio
 from watchgrid.operators.cascade import LEVELS
 from watchgrid.operators.medians import exact_medians
+from watchgrid.session import cut_lineage
 from watchgrid.sources import dims
 
 
@@ -263,6 +264,7 @@ def region_stability(regions: DataFrame) -> DataFrame:
         (F.max("area") / F.sum("area")).alias("_largest"),
         F.max_by(geo.box_of(), F.struct("area", -F.col("y1"), -F.col("x1"))).alias("_box"),
     )
+    per_frame = cut_lineage(per_frame)
     step = per_frame.withColumn("_next", F.col("frame_index") + 1)
     # The previous frame is an equi-join away, so no camera is ever sorted as a whole.
     pairs = per_frame.join(
