@@ -174,6 +174,15 @@ def median_upper(value: str) -> Column:
     return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {value} DESC)")
 
 
+def event_sides(columns: Sequence[str]) -> tuple[Column, Column]:
+    """Which frames count as before and as after the event. With a ``role`` column ("negative" or "positive" set), only
+    negative sequences count towards false alarms and only positive ones towards detection."""
+    before = F.col("offset") < 0
+    if "role" not in columns:
+        return before, ~before
+    return before & (F.col("role") == "negative"), ~before & (F.col("role") == "positive")
+
+
 def sequence_metrics(
     frames: DataFrame,
     alarms: DataFrame,
@@ -188,28 +197,33 @@ def sequence_metrics(
     ``frames``: by, sequence, offset. ``alarms``: config_id, by, sequence, offset, alerts for alarmed frames only, so
     silent frames are counted once and not once per configuration. ``detected`` "any_after": some alarm has a positive
     offset; "first_ever": the first alarm of all has one, so an early false alarm hides the detection.
-    ``config_ids`` also reports configurations that never alarmed.
+    ``config_ids`` also reports configurations that never alarmed. Frames and alarms may both carry ``role``, see
+    ``event_sides``; all sequences then still run through the cascade from their first frame.
     """
     if detected not in ("any_after", "first_ever"):
         raise ValueError(f"unknown detection rule {detected!r}")
     by, sequence = list(by), list(sequence)
-    before = F.col("offset") < 0
+    before, after = event_sides(frames.columns)
+    wanted = (F.col("role") == "positive") if "role" in frames.columns else F.lit(True)
     per_sequence = frames.groupBy(*by, *sequence).agg(
-        F.count("*").alias("frames"), F.count(F.when(before, 1)).alias("pre_frames")
+        F.count("*").alias("frames"),
+        F.count(F.when(before, 1)).alias("pre_frames"),
+        F.count(F.when(after, 1)).alias("post_frames"),
+        F.max(wanted).alias("_wanted"),
     )
     totals = {
-        "total_sequences": F.count("*"),
+        "total_sequences": F.count(F.when(F.col("_wanted"), 1)),
         "frames": F.sum("frames"),
         "pre_frames": F.sum("pre_frames"),
-        "post_frames": F.sum(F.col("frames") - F.col("pre_frames")),
+        "post_frames": F.sum("post_frames"),
     }
     seen = alarms.groupBy("config_id", *by, *sequence).agg(
         F.count(F.when(before, 1)).alias("alarmed_pre"),
-        F.count(F.when(~before, 1)).alias("alarmed_post"),
+        F.count(F.when(after, 1)).alias("alarmed_post"),
         F.coalesce(F.sum(F.when(before, F.col("alerts"))), F.lit(0)).alias("alerts_pre"),
-        F.coalesce(F.sum(F.when(~before, F.col("alerts"))), F.lit(0)).alias("alerts_post"),
-        F.min("offset").alias("first_alert"),
-        F.min(F.when(F.col("offset") > 0, F.col("offset"))).alias("first_after"),
+        F.coalesce(F.sum(F.when(after, F.col("alerts"))), F.lit(0)).alias("alerts_post"),
+        F.min(F.when(wanted, F.col("offset"))).alias("first_alert"),
+        F.min(F.when(after & (F.col("offset") > 0), F.col("offset"))).alias("first_after"),
     )
     first = F.col("first_after") if detected == "any_after" else F.when(F.col("first_alert") > 0, F.col("first_alert"))
     summed = (

@@ -68,6 +68,11 @@ class ConfigSet:
             decision = (decision.when if decision is not None else F.when)(hazard == name, test(name))
         return test(None) if decision is None else decision.otherwise(test(None))
 
+    def weakest_floor(self) -> float | None:
+        """A bound under which no row matters to any hazard; simple enough for the scan to skip row groups by."""
+        floors = [c.floor_needed() for name in (None, *self.hazards) for c in self.for_hazard(name)]
+        return None if None in floors else min(floors)
+
 
 def confidence_level(det: DataFrame, config: ValidatorConfig) -> DataFrame:
     """Annotate the stateless level: ``rejected_by`` and whether the row is in the band that may refresh tracks."""
@@ -119,7 +124,9 @@ def validate(
     )
     hazard = F.col("hazard") if "hazard" in keys else F.lit(None).cast("string")
     needed = config_set.must_pass(hazard, F.col("confidence"))
-    ordered = _ordered(base.filter(needed), config_set, keys, carry, chunk_frames)
+    weakest = config_set.weakest_floor()
+    eligible = base if weakest is None else base.filter(F.col("confidence") >= weakest)
+    ordered = _ordered(eligible.filter(needed), config_set, keys, carry, chunk_frames)
     settled = base.filter(~needed).select(
         *keys,
         F.explode(F.array(*[F.lit(i) for i in config_set.ids])).alias("config_id"),

@@ -38,8 +38,9 @@ def arms(
 ) -> tuple[DataFrame, DataFrame]:
     """(alarms per configuration and alarmed frame, annotated detections). The raw arm keeps its own fixed floor
     whatever the configurations say. Detections must carry ``offset`` (and ``by``)."""
-    annotated = replay(det, None, configs, keys, carry=["offset", *by], **options)
-    frame = [*by, *keys, "frame_index", "offset"]
+    role = ["role"] if "role" in det.columns else []
+    annotated = replay(det, None, configs, keys, carry=["offset", *by, *role], **options)
+    frame = [*by, *keys, *role, "frame_index", "offset"]
     alarms = metrics.event_alarms(annotated, frame)
     if raw_floor is not None:
         raw = metrics.detection_alarms(det, raw_floor, frame).withColumn("config_id", F.lit(RAW))
@@ -106,12 +107,14 @@ def floor_sweep(
     alerts = metrics.at_or_above(
         kept.groupBy(*by, bucket.alias("floor")).agg(F.count("*").alias("alerts")), floors, by, ["alerts"]
     )
-    peaks = kept.groupBy(*by, *keys, "frame_index", "offset").agg(F.max(bucket).alias("floor"))
-    before = F.col("offset") < 0
+    before, after = metrics.event_sides(frames.columns)
+    role = ["role"] if "role" in det.columns else []
+    peaks = kept.groupBy(*by, *keys, *role, "frame_index", "offset").agg(F.max("confidence").alias("_peak"))
+    peaks = peaks.withColumn("floor", metrics.floor_of(F.col("_peak"), floors))
     per_sequence = peaks.groupBy(*by, *keys, "floor").agg(
         F.count(F.when(before, 1)).alias("alarmed_pre"),
-        F.count(F.when(~before, 1)).alias("alarmed_post"),
-        F.min(F.when(F.col("offset") > 0, F.col("offset"))).alias("_first"),
+        F.count(F.when(after, 1)).alias("alarmed_post"),
+        F.min(F.when(after & (F.col("offset") > 0), F.col("offset"))).alias("_first"),
     )
     frames_alarmed = metrics.at_or_above(
         per_sequence.groupBy(*by, "floor").agg(*[F.sum(c).alias(c) for c in ("alarmed_pre", "alarmed_post")]),
@@ -131,9 +134,9 @@ def floor_sweep(
     )
     joined = frames_alarmed.join(alerts, [*by, "floor"]).join(firsts, [*by, "floor"], "left")
     joined = metrics.attach_totals(
-        joined, frames, by, {"frames": F.count("*"), "pre_frames": F.count(F.when(before, 1))}
+        joined, frames, by, {"pre_frames": F.count(F.when(before, 1)), "post_frames": F.count(F.when(after, 1))}
     )
-    pre, post = F.col("pre_frames"), F.col("frames") - F.col("pre_frames")
+    pre, post = F.col("pre_frames"), F.col("post_frames")
     return joined.select(
         *by,
         "floor",
