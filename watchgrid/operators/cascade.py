@@ -65,13 +65,17 @@ LEVELS = (CONFIDENCE, PERSISTENCE, COOLDOWN)
 
 
 def box_iou(a, b) -> float:
-    wide = min(a[2], b[2]) - max(a[0], b[0])
-    high = min(a[3], b[3]) - max(a[1], b[1])
-    inter = wide * high if wide > 0 and high > 0 else 0.0
-    size_a = max(0.0, a[2] - a[0]) * max(0.0, a[3] - a[1])
-    size_b = max(0.0, b[2] - b[0]) * max(0.0, b[3] - b[1])
-    union = size_a + size_b - inter
-    return inter / union if union > 0 else 0.0
+    """Overlap of two (x1, y1, x2, y2) tuples. Boxes that share no area leave early, which is the common case."""
+    ax1, ay1, ax2, ay2 = a
+    bx1, by1, bx2, by2 = b
+    wide = (ax2 if ax2 < bx2 else bx2) - (ax1 if ax1 > bx1 else bx1)
+    if wide <= 0.0:
+        return 0.0
+    high = (ay2 if ay2 < by2 else by2) - (ay1 if ay1 > by1 else by1)
+    if high <= 0.0:
+        return 0.0
+    inter = wide * high
+    return inter / ((ax2 - ax1) * (ay2 - ay1) + (bx2 - bx1) * (by2 - by1) - inter)
 
 
 class Track:
@@ -112,7 +116,8 @@ class Cascade:
                     weak.append(i)
             else:
                 strong.append(i)
-        strong.sort(key=lambda i: -detections[i][0])
+        if len(strong) > 1:
+            strong.sort(key=lambda i: -detections[i][0])
 
         horizon = number - config.max_misses - 1
         free = [t for t in self.tracks if t.seen >= horizon]
@@ -161,9 +166,12 @@ class Cascade:
         return best
 
     def _cooling(self, box, ts) -> bool:
-        limit = self.config.cooldown_seconds
-        self.recent = [(b, t) for b, t in self.recent if ts - t <= limit]
-        return any(box_iou(box, b) >= self.config.cooldown_iou for b, _ in self.recent)
+        limit, least = self.config.cooldown_seconds, self.config.cooldown_iou
+        self.recent = [r for r in self.recent if ts - r[1] <= limit]
+        for other, _ in self.recent:
+            if box_iou(box, other) >= least:
+                return True
+        return False
 
     # State that outlives a task: streaming state, and the hand-over between chunks of one key.
 

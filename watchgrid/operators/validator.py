@@ -202,26 +202,21 @@ class _Reader:
         self.keys = [*keys, scans.CHUNK]
 
     def frames(self, batches: Iterator[pa.RecordBatch]):
-        group, number, pending, state = None, None, [], None
+        group, number, pending = None, None, []
         for batch in batches:
             columns = {n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)}
-            key_columns = [columns[k] for k in self.keys]
-            numbers, states = columns["frame_no"], columns["_state"]
-            names = [n for n in columns if n not in (*self.keys, "_state")]
-            records = zip(*[columns[n] for n in names])
-            for position, record in enumerate(records):
-                here = tuple(c[position] for c in key_columns)
-                if here != group or numbers[position] != number:
+            rest = [c for n, c in columns.items() if n not in (*self.keys, "_state")]
+            places = zip(*[columns[k] for k in self.keys])
+            for here, at, given, record in zip(places, columns["frame_no"], columns["_state"], zip(*rest)):
+                if at != number or here != group:
                     if pending:
-                        yield group, pending, state
-                        pending, state = [], None
-                    group, number = here, numbers[position]
-                if number < 0:
-                    state = states[position]
-                    yield group, [], state
-                    state = None
-                    continue
-                pending.append(record)
+                        yield group, pending, None
+                        pending = []
+                    group, number = here, at
+                if at < 0:
+                    yield group, [], given
+                else:
+                    pending.append(record)
             yield None, [], None
         if pending:
             yield group, pending, None
