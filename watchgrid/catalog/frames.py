@@ -541,14 +541,30 @@ def g23_findings(spark, sf_dir):
     )
 
 
-@query("g20_continuity")
-def g20(spark, sf_dir):
+def continuity(spark, sf_dir):
     vectors = fx.table(spark, sf_dir, "embeddings").select(
         (F.col("vec_id") % 50).alias("sequence"), F.col("vec_id").alias("pos"), F.transform("embedding", lambda v: v.cast("double")).alias("hist"), "label"
     )
     return series.continuity(vectors.drop("label"), vectors.filter("label = 0").select("pos", "hist"))
 
 
+@query("g20_continuity")
+def g20(spark, sf_dir):
+    """Which frames are paired with outside footage is drawn by Spark's hash, so this one has no SQL."""
+    return continuity(spark, sf_dir)
+
+
+@query(
+    "g20_adjacent_similarity",
+    """WITH h AS (SELECT vec_id % 50 AS sequence, vec_id, embedding, row_number() OVER (PARTITION BY vec_id % 50 ORDER BY vec_id) AS n FROM embeddings),
+            steps AS (SELECT b.sequence, b.n, unnest(a.embedding)::DOUBLE AS x, unnest(b.embedding)::DOUBLE AS y
+                      FROM h a JOIN h b ON b.sequence = a.sequence AND b.n = a.n + 1 WHERE b.n <= 24)
+       SELECT sequence, count(*) + 1 AS frames, round(median(r), 6) AS adjacent FROM (SELECT sequence, n, corr(x, y) AS r FROM steps GROUP BY ALL) GROUP BY sequence""",
+)
+def g20_adjacent(spark, sf_dir):
+    return continuity(spark, sf_dir).select("sequence", "frames", r6("adjacent").alias("adjacent"))
+
+
 @query(
     "st07_event_windows",
     cascade(

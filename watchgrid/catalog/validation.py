@@ -373,10 +373,26 @@ def w07_timeline(spark, sf_dir):
 OPEN = [ValidatorConfig("open", enable_cooldown=False, min_frames=2)]
 
 
-@query("w08_track_trails")
+@query(
+    "w08_track_trails",
+    cascade(
+        """SELECT camera_id, hazard, track_id, frame_no, trail_length, frame_no + trail_length AS fades_at, newest_x FROM trails""",
+        configs=OPEN,
+        extra={
+            "sighted": """SELECT camera_id, hazard, track AS track_id, frame_index AS frame_no, (cell * 100 + 30)::INTEGER AS newest_x,
+                row_number() OVER (PARTITION BY camera_id, hazard, track ORDER BY frame_index) AS n FROM annotated WHERE rejected_by IS NULL""",
+            "trails": """SELECT camera_id, hazard, track_id, frame_no, newest_x, n, 1 AS trail_length FROM sighted WHERE n = 1
+                UNION ALL SELECT s.camera_id, s.hazard, s.track_id, s.frame_no, s.newest_x, s.n,
+                  least(24, greatest(0, t.trail_length - (s.frame_no - t.frame_no - 1)) + 1)::INTEGER
+                FROM trails t JOIN sighted s ON s.camera_id = t.camera_id AND s.hazard = t.hazard AND s.track_id = t.track_id AND s.n = t.n + 1""",
+        },
+    ),
+)
 def w08(spark, sf_dir):
     rows = annotated(spark, sf_dir, OPEN).filter("track_id > 0")
-    return series.track_trails(rows).select("camera_id", "hazard", "track_id", "frame_no", "trail_length", "trail")
+    trails = series.track_trails(rows)
+    newest = F.element_at("trail", -1)["x"].alias("newest_x")
+    return trails.select("camera_id", "hazard", "track_id", "frame_no", "trail_length", "fades_at", newest)
 
 
 @query(

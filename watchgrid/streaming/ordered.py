@@ -24,7 +24,7 @@ class OrderedProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
         self._state = handle.getValueState("state", "payload string")
-        self._pending = handle.getMapState("pending", "at_ms long, frame_index long, seq long", "payload string")
+        self._pending = handle.getListState("pending", "at_ms long, frame_index long, seq long, payload string")
 
     def _load(self) -> dict:
         if self._state.exists():
@@ -32,31 +32,38 @@ class OrderedProcessor(StatefulProcessor):
         return {"memo": {}, "timer": None, "last_ms": None, "arrivals": 0}
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        state = self._load()
+        state, fresh = self._load(), []
         for row in rows:
             frame = row.asDict(recursive=True)
             at_ms = int(frame.pop(self._time).timestamp() * 1000)
             state["arrivals"] += 1
-            slot = (at_ms, int(frame.get("frame_index") or 0), state["arrivals"])
-            self._pending.updateValue(slot, (json.dumps(frame),))
-        yield from self._release(key, state, timerValues.getCurrentWatermarkInMs())
+            fresh.append((at_ms, int(frame.get("frame_index") or 0), state["arrivals"], json.dumps(frame)))
+        yield from self._release(key, state, fresh, timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         state = self._load()
         state["timer"] = None
-        yield from self._release(key, state, timerValues.getCurrentWatermarkInMs())
+        yield from self._release(key, state, [], timerValues.getCurrentWatermarkInMs())
 
-    def _release(self, key, state: dict, watermark: int) -> Iterator[Row]:
-        waiting = sorted((tuple(slot), payload[0]) for slot, payload in self._pending.iterator())
-        ready = [entry for entry in waiting if entry[0][0] <= watermark]
+    def _release(self, key, state: dict, fresh: list[tuple], watermark: int) -> Iterator[Row]:
+        # Whole lists cross to the state store at once: one read and one write per key and batch, not one per frame.
+        held = [tuple(entry) for entry in self._pending.get()] if self._pending.exists() else []
+        waiting = sorted(held + fresh)
+        ready = [entry for entry in waiting if entry[0] <= watermark]
+        left = waiting[len(ready) :]
+        if not ready:
+            if fresh:
+                self._pending.appendList(fresh)
+        elif left:
+            self._pending.put(left)
+        else:
+            self._pending.clear()
         emitted, record = [], Row(*self._names)
-        for slot, payload in ready:
-            self._pending.removeKey(slot)
-            state["last_ms"] = slot[0]
+        for at_ms, _, _, payload in ready:
+            state["last_ms"] = at_ms
             for values in self._step(state["memo"], {**json.loads(payload), **dict(zip(self._columns, key))}):
                 emitted.append(record(*key, *values))
-        left = waiting[len(ready) :]
-        wake = left[0][0][0] if left else None
+        wake = left[0][0] if left else None
         if wake is None and self._idle is not None and state["last_ms"] is not None:
             wake = state["last_ms"] + int(self._idle * 1000)
             if wake <= watermark:
