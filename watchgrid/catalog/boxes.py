@@ -241,7 +241,7 @@ def p19(spark, sf_dir):
 )
 def j07(spark, sf_dir):
     wanted = fx.truth(spark, sf_dir).withColumnRenamed("truth_seq", "det_seq")
-    return rounded(detect.iou_pairs(fx.predictions(spark, sf_dir), wanted, 0.3, ["image_id"], cell=64.0), "iou")
+    return rounded(detect.iou_pairs(fx.predictions(spark, sf_dir), wanted, 0.3, ["image_id"]), "iou")
 
 
 # Suppression and matching.

@@ -50,7 +50,8 @@ def annotated(spark, sf_dir, configs=DEFAULTS):
     ),
 )
 def flagship(spark, sf_dir):
-    kept = gates.gated(fx.stored_detections(spark, sf_dir), gates.gate(fx.cameras(spark, sf_dir)))
+    gate_rows = cut_lineage(gates.gate(fx.cameras(spark, sf_dir)))
+    kept = gates.gated(fx.stored_detections(spark, sf_dir), gate_rows)
     report = reports.suppression(validate(kept, DEFAULTS), ["camera_id", "hazard"], totals=True)
     return rounded(report, "suppression_rate", "filtering_rate", "deduplication_rate")
 
