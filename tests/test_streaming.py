@@ -1,4 +1,5 @@
 import json
+import os
 import random
 from datetime import datetime, timedelta, timezone
 
@@ -25,6 +26,8 @@ def write_batches(folder, batches):
     for n, rows in enumerate(batches):
         path = folder / f"{n:03d}.json"
         path.write_text("\n".join(json.dumps(r) for r in rows))
+        # The file source reads in order of modification; files written at once may share a time stamp.
+        os.utime(path, (1_700_000_000 + n, 1_700_000_000 + n))
 
 
 def stamp(ts):
