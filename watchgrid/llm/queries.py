@@ -4,10 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from watchgrid.llm.common import tables
+from watchgrid.llm.decontamination import contamination, summarised
+from watchgrid.llm.packing import pack_documents
 from watchgrid.llm.sharding import shard_documents
+from watchgrid.llm.token_counts import count_tokens
+
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+VOCABULARY_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -34,3 +41,48 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+@query("op1_packing")
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(tables(spark, sf_dir, "documents"), VOCABULARY_RANKS, VOCABULARY)
+
+
+@query(
+    "op3_decontamination",
+    r"""
+    WITH doc AS (
+        SELECT row_number() OVER () AS r, doc_id,
+               regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                  '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+        FROM documents),
+    item AS (
+        SELECT item_id,
+               regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                  '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+        FROM benchmark),
+    win AS (
+        SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS g
+        FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM item WHERE len(w) > 0)),
+    sizes AS (SELECT DISTINCT n FROM win),
+    dwin AS (
+        SELECT r, i, n, array_to_string(w[i:i + n - 1], ' ') AS g
+        FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM doc CROSS JOIN sizes WHERE len(w) >= n)),
+    occ AS (SELECT r, i, n, item_id FROM dwin JOIN win USING (n, g)),
+    hit AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM occ) GROUP BY r),
+    its AS (SELECT r, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS items
+            FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS s FROM occ) GROUP BY r)
+    SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+           sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM doc LEFT JOIN hit USING (r) LEFT JOIN its USING (r)
+    """,
+)
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(tables(spark, sf_dir, "documents"), tables(spark, sf_dir, "benchmark"))
+    return summarised(found).select("row.doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+@query("op7_token_counts")
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = count_tokens(tables(spark, sf_dir, "documents"), VOCABULARY)
+    return counted.select("row.doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
