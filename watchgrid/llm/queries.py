@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from watchgrid.llm.common import tables
 from watchgrid.llm.decontamination import contamination, summarised
+from watchgrid.llm.near_duplicates import near_duplicates
 from watchgrid.llm.packing import pack_documents
 from watchgrid.llm.sharding import shard_documents
 from watchgrid.llm.token_counts import count_tokens
@@ -86,3 +87,27 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = count_tokens(tables(spark, sf_dir, "documents"), VOCABULARY)
     return counted.select("row.doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
+
+
+@query(
+    "op9_near_duplicates",
+    r"""
+    WITH RECURSIVE doc AS (
+        SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                          '[^\x20\x09-\x0D]+') AS w
+        FROM documents),
+    sh AS (
+        SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g
+        FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM doc WHERE len(w) > 0)),
+    n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+    inter AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM sh x JOIN sh y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+    link AS (SELECT a, b FROM inter JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * c >= 75 * (p.n + q.n - c)),
+    edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+    reach AS (SELECT DISTINCT a, a AS b FROM edge UNION SELECT r.a, e.b FROM reach r JOIN edge e ON r.b = e.a),
+    comp AS (SELECT a, min(b) AS c FROM reach GROUP BY a)
+    SELECT doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c, doc_id) AS component_id, coalesce(c, doc_id) = doc_id AS kept
+    FROM doc LEFT JOIN n USING (doc_id) LEFT JOIN comp ON comp.a = doc_id
+    """,
+)
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(tables(spark, sf_dir, "documents"))
