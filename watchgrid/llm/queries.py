@@ -11,6 +11,7 @@ from watchgrid.llm.common import tables
 from watchgrid.llm.decontamination import contamination, summarised
 from watchgrid.llm.near_duplicates import near_duplicates
 from watchgrid.llm.packing import pack_documents
+from watchgrid.llm.quality import judged
 from watchgrid.llm.sharding import shard_documents
 from watchgrid.llm.token_counts import count_tokens
 
@@ -111,3 +112,49 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(tables(spark, sf_dir, "documents"))
+
+
+@query(
+    "op6_quality_rules",
+    r"""
+    WITH doc AS (
+        SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t,
+               regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+               list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
+        FROM documents),
+    win AS (SELECT r, i, array_to_string(w[i:i + 4], ' ') AS g
+            FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM doc WHERE len(w) >= 5)),
+    again AS (SELECT r, g FROM win GROUP BY r, g HAVING count(*) > 1),
+    rep AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + 5)) AS p FROM win JOIN again USING (r, g)) GROUP BY r),
+    m AS (
+        SELECT doc_id, source, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+               (length(t) - length(translate(t, '#*$%&|<>', '')))::BIGINT AS n_symbols, len(l)::BIGINT AS n_lines,
+               (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words
+        FROM doc LEFT JOIN rep USING (r)),
+    f AS (
+        SELECT *, word_chars / greatest(n_words, 1) AS mean,
+               n_symbols > 0.1 * n_words AS ms, n_dup_lines > 0.3 * n_lines AS ml,
+               n_words > 0 AND (word_chars / greatest(n_words, 1) < 2.5 OR word_chars / greatest(n_words, 1) > 12.0) AS mw
+        FROM m),
+    long AS (SELECT source, 's' AS rule, ms::INT AS x FROM f UNION ALL SELECT source, 'l', ml::INT FROM f UNION ALL SELECT source, 'w', mw::INT FROM f),
+    host AS (SELECT source, rule, count(*) AS n, sum(x) AS k FROM long GROUP BY ALL),
+    tot AS (SELECT rule, count(*) AS hosts, sum(n) AS nn, sum(k) / sum(n) AS m FROM host GROUP BY rule),
+    spread AS (SELECT rule, sum(power(k - m * n, 2) / n) / any_value(nn) - any_value(m * (1 - m) * hosts / nn) AS v FROM host JOIN tot USING (rule) GROUP BY rule),
+    prior AS (SELECT rule, m, least(greatest(m * (1 - m) / greatest(v, 1e-9) - 1, 10.0), 1e6) AS s FROM tot JOIN spread USING (rule)),
+    bad AS (SELECT source, rule FROM host JOIN prior USING (rule) WHERE (k + m * s) / (n + s) > 0.5),
+    v AS (
+        SELECT f.*, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+               EXISTS (SELECT 1 FROM bad WHERE bad.source IS NOT DISTINCT FROM f.source AND rule = 's') AS bs,
+               EXISTS (SELECT 1 FROM bad WHERE bad.source IS NOT DISTINCT FROM f.source AND rule = 'l') AS bl,
+               EXISTS (SELECT 1 FROM bad WHERE bad.source IS NOT DISTINCT FROM f.source AND rule = 'w') AS bw
+        FROM f)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+           NOT (base_failed OR n_symbols > 0.3 * n_words OR n_dup_lines > 0.5 * n_lines OR (n_words > 0 AND (mean < 1.5 OR mean > 20.0))
+                OR (ms AND bs) OR (ml AND bl) OR (mw AND bw)) AS kept
+    FROM v
+    """,
+)
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = judged(tables(spark, sf_dir, "documents"))
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return found.select("row.doc_id", *counts, "base_failed", "kept")
