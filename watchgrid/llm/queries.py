@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from watchgrid.llm.chat import chains, digests, format_conversations
 from watchgrid.llm.common import tables
 from watchgrid.llm.decontamination import contamination, summarised
+from watchgrid.llm.html_content import extract
 from watchgrid.llm.near_duplicates import near_duplicates
 from watchgrid.llm.packing import pack_documents
 from watchgrid.llm.quality import judged
@@ -189,3 +190,8 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
         [(-1, 0, "user", PLANTED_TURN), (-1, 1, "assistant", PLANTED_TURN)], "conv_id long, turn int, role string, text string"
     )
     return digests(format_conversations(chains(talks.unionByName(planted))))
+
+
+@query("op8_html_extraction")
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(tables(spark, sf_dir, "pages"))
