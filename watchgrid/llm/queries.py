@@ -16,6 +16,7 @@ from watchgrid.llm.packing import pack_documents
 from watchgrid.llm.quality import judged
 from watchgrid.llm.sharding import shard_documents
 from watchgrid.llm.token_counts import count_tokens
+from watchgrid.llm.toxicity import train
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 VOCABULARY_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -195,3 +196,10 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_html_extraction")
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(tables(spark, sf_dir, "pages"))
+
+
+@query("op5_toxicity")
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = tables(spark, sf_dir, "documents")
+    score = train(docs, tables(spark, sf_dir, "labels"))
+    return score(docs).select("row.doc_id", "held_out", "score", "predicted")
