@@ -5,10 +5,11 @@ signature of 128 values. Each agrees between two documents with the probability
 band come from different permutations. 32 bands of four values miss a pair at similarity 0.75 with probability 5e-6.
 
 Documents with equal shingle sets form a class, and only its smallest id goes on. Classes that share a band are not paired
-all with all: in each band bucket every member is first compared with one hub, then with up to sixteen, then with every
-other, each time only across components that are still apart, until each bucket is one component or all its pairs have
-been compared. A group of thousands of near copies so costs a few comparisons a member, and no link between components
-is lost. Every link is confirmed on the full shingle sets, which are made again from the texts of bucket members only.
+all with all: each member of a bucket is compared with the bucket's smallest id, which joins nearly all of a group of
+copies. Members of buckets that are then still of several components, hub aside, meet once more in a prefix-filtered join
+across components only: the rarest shingles of both must meet, so members of a large group that are too far edited to be
+linked with any other find no partner there. No link between components is lost, and every link is confirmed on the full
+shingle sets, which are made again from the texts of bucket members only.
 
 Defined results: a null, empty or blank text has no shingles, is linked with nothing and is kept; a null id is linked with
 nothing, its ``component_id`` is null and it is kept; repeated rows each get the same result; an empty table gives none;
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from watchgrid.session import cut_lineage
 
@@ -135,6 +136,30 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return met.where(100 * F.col("shared") >= percent * (F.col("sizes") - F.col("shared"))).select("a", "b")
 
 
+def prefix_pairs(live: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs a, b of different components that can be similar: they share one of the rarest shingles of either.
+
+    Two sets of similarity t agree somewhere in their first n - ceil(t n) + 1 shingles, whatever the common order; with the
+    rarest first, a copy's own edits come before what the whole group has. The places where they meet bound the overlap.
+    """
+    tokens = live.join(sets, "rep").select("rep", "n", "comp", F.explode("shingles").alias("shingle"))
+    common = tokens.groupBy("shingle").agg(F.count("*").alias("df"))
+    order = Window.partitionBy("rep").orderBy("df", "shingle")
+    needed = F.floor((F.lit(percent) * F.col("n") + 99) / 100)
+    ranked = tokens.join(common, "shingle").withColumn("place", F.row_number().over(order))
+    first = ranked.where((F.col("place") <= F.col("n") - needed + 1) & (F.col("df") > 1))
+    first = cut_lineage(first.select("shingle", "rep", "n", "comp", "place"))
+    one, other = (first.select("shingle", *[F.col(c).alias(f"{c}_{x}") for c in ("rep", "n", "comp", "place")]) for x in "ab")
+    overlap = 1 + F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
+    met = one.join(other, "shingle").where(
+        (F.col("rep_a") < F.col("rep_b"))
+        & (F.col("comp_a") != F.col("comp_b"))
+        & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+        & ((100 + percent) * overlap >= percent * (F.col("n_a") + F.col("n_b")))
+    )
+    return met.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Per row of ``docs``: ``doc_id``, ``n_shingles``, ``component_id``, ``kept``."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -147,37 +172,19 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     shared = banded.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
     members = cut_lineage(banded.join(shared, "key"))
     sets = cut_lineage(_sets(docs, members))
-    links = compared = None
-    roots = None
-    for hubs_per_key in (1, 16, None):
-        labelled = members.select("key", "rep", "n")
-        if roots is None:
-            labelled = labelled.withColumn("comp", F.col("rep"))
-        else:
-            labelled = labelled.join(roots, F.col("rep") == F.col("node"), "left").select(
-                "key", "rep", "n", F.coalesce("root", "rep").alias("comp")
-            )
-        apart = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("key")
-        live = cut_lineage(labelled.join(apart, "key"))
-        member = F.struct("rep", "n", "comp").alias("hub")
-        if hubs_per_key is None:
-            hubs = live.select("key", member)
-        else:
-            turn = F.pmod(F.xxhash64("rep", "key"), F.lit(hubs_per_key)).alias("turn")
-            hubs = live.groupBy("key", turn).agg(F.min(F.struct("rep", "n", "comp")).alias("hub")).select("key", "hub")
-        near = (F.col("comp") != F.col("hub.comp")) & (
-            100 * F.least("n", "hub.n") >= percent * F.greatest("n", "hub.n")
-        )
-        pairs = live.join(hubs, "key").where(near).select(
-            F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b")
-        ).distinct()
-        if compared is not None:
-            pairs = pairs.join(compared, ["a", "b"], "left_anti")
-        pairs = cut_lineage(pairs)
-        compared = pairs if compared is None else compared.union(pairs)
-        found = cut_lineage(_confirmed(pairs, sets, percent))
-        links = found if links is None else links.union(found)
-        roots = components(links)
+    # Every member of a bucket against its smallest id.
+    hubs = members.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("hub"))
+    others = cut_lineage(members.join(hubs, "key").where(F.col("rep") != F.col("hub.rep")).select("key", "rep", "n", "hub"))
+    alike = 100 * F.least("n", "hub.n") >= percent * F.greatest("n", "hub.n")
+    pairs = others.where(alike).select(F.col("hub.rep").alias("a"), F.col("rep").alias("b")).distinct()
+    links = cut_lineage(_confirmed(pairs, sets, percent))
+    roots = components(links)
+    # Members that a bucket's other members may still tie to another component.
+    placed = others.join(roots, F.col("rep") == F.col("node"), "left").select("key", "rep", "n", F.coalesce("root", "rep").alias("comp"))
+    apart = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("key")
+    live = placed.join(apart, "key").select("rep", "n", "comp").distinct()
+    more = _confirmed(cut_lineage(prefix_pairs(live, sets, percent)), sets, percent)
+    roots = components(links.union(more))
     group = classes.join(roots, F.col("rep") == F.col("node"), "left").select(
         F.col("digest").alias("of"), F.coalesce("root", "rep").alias("component")
     )
