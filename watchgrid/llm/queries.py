@@ -11,6 +11,7 @@ from watchgrid.llm.chat import chains, digests, format_conversations
 from watchgrid.llm.common import tables
 from watchgrid.llm.decontamination import contamination, summarised
 from watchgrid.llm.html_content import extract
+from watchgrid.llm.lm_scoring import lm_scores
 from watchgrid.llm.near_duplicates import near_duplicates
 from watchgrid.llm.packing import pack_documents
 from watchgrid.llm.quality import judged
@@ -203,3 +204,36 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = tables(spark, sf_dir, "documents")
     score = train(docs, tables(spark, sf_dir, "labels"))
     return score(docs).select("row.doc_id", "held_out", "score", "predicted")
+
+
+@query(
+    "op2_lm_scoring",
+    r"""
+    WITH doc AS (
+        SELECT row_number() OVER () AS r, doc_id,
+               regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                  '[^\x20\x09-\x0D]+') AS w
+        FROM documents),
+    tok AS (SELECT r, i, w[i] AS w1, CASE WHEN i > 1 THEN w[i - 1] END AS w0 FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM doc)),
+    size AS (SELECT r, len(w) AS n FROM doc),
+    total AS (SELECT sum(n) AS n FROM size),
+    uni AS (SELECT w1, count(*) AS c FROM tok GROUP BY w1),
+    uown AS (SELECT r, w1, count(*) AS c FROM tok GROUP BY r, w1),
+    bi AS (SELECT w0, w1, count(*) AS c FROM tok WHERE i > 1 GROUP BY w0, w1),
+    bown AS (SELECT r, w0, w1, count(*) AS c FROM tok WHERE i > 1 GROUP BY r, w0, w1),
+    s AS (
+        SELECT t.r, CASE
+            WHEN i > 1 AND bi.c - bown.c > 0 THEN ln((bi.c - bown.c) / (cu.c - co.c))
+            ELSE CASE WHEN i > 1 THEN ln(0.4) ELSE 0 END + ln(greatest(uni.c - uown.c, 0.5) / greatest(1, (SELECT n FROM total) - size.n)) END AS x
+        FROM tok t JOIN size USING (r) JOIN uni ON uni.w1 = t.w1 JOIN uown ON uown.r = t.r AND uown.w1 = t.w1
+        LEFT JOIN bi ON bi.w0 = t.w0 AND bi.w1 = t.w1 LEFT JOIN bown ON bown.r = t.r AND bown.w0 = t.w0 AND bown.w1 = t.w1
+        LEFT JOIN uni cu ON cu.w1 = t.w0 LEFT JOIN uown co ON co.r = t.r AND co.w1 = t.w0),
+    sums AS (SELECT r, sum(x) AS x FROM s GROUP BY r)
+    SELECT doc_id, len(w)::BIGINT AS n_words, round(coalesce(x, 0.0), 6) AS log_score,
+           CASE WHEN len(w) > 0 THEN round(x / len(w), 6) END AS mean_log_score
+    FROM doc LEFT JOIN sums USING (r)
+    """,
+)
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm_scores(tables(spark, sf_dir, "documents"))
+    return scored.select("row.doc_id", "n_words", F.round("log_score", 6).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
