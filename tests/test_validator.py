@@ -3,6 +3,7 @@ import random
 import pytest
 
 from tests.brute import cascade
+from watchgrid.operators import validator
 from watchgrid.operators.cascade import ValidatorConfig
 from watchgrid.operators.validator import confirmed_events, validate
 
@@ -89,3 +90,17 @@ def test_event_carries_the_peak_and_track_ids_only_when_confirmed(spark):
     assert [(e.confidence, e.confirmed_frame, e.supporting_detections) for e in events] == [(0.9, 2, 3)]
     ids = {r.det_seq: r.track_id for r in annotated.collect()}
     assert ids == {0: -1, 1: -1, 2: 1, 3: -1}
+
+
+@pytest.mark.parametrize("cooldown", [60.0, 300.0])
+def test_a_steady_object_costs_few_passes_over_many_chunks(spark, monkeypatch, cooldown):
+    frames = [("cam0", "fire", i, float(i), [(i, 0.9, (0.0, 0.0, 50.0, 50.0))]) for i in range(1, 1601)]
+    frames += [("cam1", "fire", i, float(i), [(10_000 + i, 0.9, (0.0, 0.0, 50.0, 50.0))] if i % 90 < 50 else []) for i in range(1, 1601)]
+    frame, det = as_tables(spark, frames)
+    passes, ran = [], validator._run
+    monkeypatch.setattr(validator, "_run", lambda *a, **b: passes.append(1) or ran(*a, **b))
+    config = ValidatorConfig("steady", cooldown_seconds=cooldown)
+    got = {r.det_seq: (r.rejected_by, r.track_id) for r in validate(det, [config], frame, chunk_frames=40).collect()}
+    want = expected(frames, config)
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+    assert len(passes) <= 4

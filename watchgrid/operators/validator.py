@@ -3,8 +3,10 @@
 One shuffle by (camera, hazard, chunk) brings the detections that can matter into order; one ordered Arrow pass runs
 every configuration side by side. A chunk holds a bounded number of frames, so a camera that owns a large share of
 all rows is spread over many tasks. What one chunk hands to the next is settled first on a small table: every chunk
-runs from a guessed start, chunks whose guess turns out wrong run again until none is left, and then identities and
-totals are chained over the chunks. The result equals one sequential pass.
+runs from a guessed start, and chunks whose guess turns out wrong run once more, which settles nearly all, since tracks
+are soon forgotten. A cooldown that never ends keeps its phase from chunk to chunk; the keys that are still open then are
+walked through once in order, skipping every chunk that begins as it was assumed to. Identities and totals are chained
+over the chunks at last. No chunk is run more than three times, and the result equals one sequential pass.
 """
 
 from __future__ import annotations
@@ -183,15 +185,20 @@ def _ordered(
     return _run(rows, states, keys, _emit(config_set, keys, carry, schema), schema)
 
 
-def _run(rows: DataFrame, states: DataFrame | None, keys: list[str], function, schema: T.StructType) -> DataFrame:
-    """Bring each chunk's rows into order, its hand-over row first, and stream them through ``function``."""
+def _run(
+    rows: DataFrame, states: DataFrame | None, keys: list[str], function, schema: T.StructType, together: list[str] | None = None
+) -> DataFrame:
+    """Bring each chunk's rows into order, its hand-over row first, and stream them through ``function``. Rows that
+    agree in ``together`` (a chunk's own, by default) go to one task."""
     feed = rows.withColumn("_state", F.lit(None).cast("string"))
     if states is not None:
         known = {*keys, scans.CHUNK, "_state"}
         head = states.select(*known).withColumn("frame_no", F.lit(-1).cast("long"))
         absent = [f for f in feed.schema.fields if f.name not in (*known, "frame_no")]
         feed = feed.unionByName(head.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in absent]))
-    feed = feed.repartition(*keys, scans.CHUNK).sortWithinPartitions(*keys, scans.CHUNK, "frame_no", "det_seq")
+    # By a hash of the keys, so that both parts are dealt out anew and together, however each lies already.
+    feed = feed.repartition(F.xxhash64(*(together or [*keys, scans.CHUNK])))
+    feed = feed.sortWithinPartitions(*keys, scans.CHUNK, "frame_no", "det_seq")
     return feed.mapInArrow(function, schema)
 
 
@@ -296,32 +303,92 @@ def _starting_states(rows: DataFrame, config_set: ConfigSet, keys: list[str]) ->
         packed = F.to_json(F.struct("next_no", "next_ts", "assumed"))
         return _run(part, guesses.withColumn("_state", packed), keys, survey, schema)
 
+    def unsettled(tried: DataFrame) -> DataFrame:
+        due = tried.select("*", F.lag("shape").over(by_chunk).alias("due"))
+        return due.filter(~F.col("assumed").eqNullSafe(F.col("due")))
+
     tried = cut_lineage(try_from(rows, chunks.withColumn("assumed", F.lit(None).cast("string"))))
-    while True:
-        due = tried.select(*chunk_keys, "assumed", F.lag("shape").over(by_chunk).alias("due"))
-        wrong = cut_lineage(
-            due.filter(~F.col("assumed").eqNullSafe(F.col("due")))
-            .select(*chunk_keys, F.col("due").alias("assumed"))
-            .join(chunks, chunk_keys)
-        )
-        if wrong.limit(1).count() == 0:
-            return _chain(tried, config_set, keys)
-        again = try_from(rows.join(wrong.select(*chunk_keys), chunk_keys, "left_semi"), wrong)
-        tried = cut_lineage(tried.join(wrong, chunk_keys, "left_anti").unionByName(again))
+    wrong = cut_lineage(unsettled(tried).select(*chunk_keys, F.col("due").alias("assumed")).join(chunks, chunk_keys))
+    if wrong.isEmpty():
+        return _chain(tried, config_set, keys)
+    again = try_from(rows.join(wrong.select(*chunk_keys), chunk_keys, "left_semi"), wrong)
+    tried = cut_lineage(tried.join(wrong, chunk_keys, "left_anti").unionByName(again))
+
+    first = unsettled(tried).groupBy(*keys).agg(F.min_by(F.struct(scans.CHUNK, "due"), scans.CHUNK).alias("_from"))
+    first = cut_lineage(first)
+    if first.isEmpty():
+        return _chain(tried, config_set, keys)
+    behind = F.col(scans.CHUNK) >= F.col(f"_from.{scans.CHUNK}")
+    open_rows = rows.join(first, keys).filter(behind).drop("_from")
+    known = tried.join(first, keys).filter(behind).join(chunks, chunk_keys)
+    packed = F.to_json(F.struct("next_no", "next_ts", "assumed", "shape", "ledger", F.col("_from.due").alias("due")))
+    walked = _run(open_rows, known.withColumn("_state", packed), keys, _walk(config_set, keys, schema), schema, keys)
+    walked = cut_lineage(walked)
+    return _chain(tried.join(walked, chunk_keys, "left_anti").unionByName(walked), config_set, keys)
+
+
+def _closing(config_set: ConfigSet, group: tuple, cascades: list[Cascade], start: dict) -> tuple:
+    """A chunk's hand-over row: what it assumed, what it leaves, and its own identities and totals."""
+    shapes, ledgers = {}, {}
+    for cascade, config_id in zip(cascades, config_set.ids):
+        shapes[config_id] = cascade.shape(start["next_no"], start.get("next_ts"))
+        ledgers[config_id] = cascade.ledger(start["next_no"])
+    empty = not any(s["tracks"] or s["recent"] for s in shapes.values())
+    return (*group, start.get("assumed"), None if empty else dump(shapes), dump(ledgers))
+
+
+def _opened(config_set: ConfigSet, hazard: str | None, assumed: str | None) -> list[Cascade]:
+    cascades = [Cascade(c) for c in config_set.for_hazard(hazard)]
+    if assumed:
+        shapes = json.loads(assumed)
+        for cascade, config_id in zip(cascades, config_set.ids):
+            cascade.load_shape(shapes[config_id])
+    return cascades
+
+
+def _walk(config_set: ConfigSet, keys: list[str], schema: T.StructType):
+    """Go through the chunks of a key in order, each from what the one before leaves; run those that assumed otherwise."""
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, cascades, start, kept, left = None, None, None, None, None
+        out: list[tuple] = []
+
+        def finish() -> str | None:
+            out.append(kept if cascades is None else _closing(config_set, group, cascades, start))
+            return out[-1][-2]
+
+        for here, frame, state in _Reader(keys).frames(batches):
+            if here is None:
+                continue
+            if here != group:
+                if group is not None:
+                    left = finish()
+                same_key = group is not None and group[:-1] == here[:-1]
+                saved = {"next_no": None, "next_ts": None, "assumed": None, "shape": None, "ledger": None, "due": None}
+                saved |= json.loads(state)
+                begins = left if same_key else saved["due"]
+                group, start = here, {"next_no": saved["next_no"], "next_ts": saved["next_ts"], "assumed": begins}
+                kept = (*here, saved["assumed"], saved["shape"], saved["ledger"])
+                cascades = None if saved["assumed"] == begins else _opened(config_set, _hazard_of(here, keys), begins)
+            if frame and cascades is not None:
+                detections = _detections(frame)
+                for cascade in cascades:
+                    cascade.frame(frame[0][_NUMBER], frame[0][_INDEX], frame[0][_TS], detections)
+        if group is not None:
+            finish()
+        if out:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, type=f.type) for c, f in zip(zip(*out), arrow)], schema=arrow
+            )
+
+    return run
 
 
 def _survey(config_set: ConfigSet, keys: list[str], schema: T.StructType):
     """Run chunks for their final state only."""
     arrow = to_arrow_schema(schema)
 
-    def closing(group, cascades, start):
-        shapes, ledgers = {}, {}
-        for cascade, config_id in zip(cascades, config_set.ids):
-            shapes[config_id] = cascade.shape(start["next_no"], start.get("next_ts"))
-            ledgers[config_id] = cascade.ledger(start["next_no"])
-        empty = not any(s["tracks"] or s["recent"] for s in shapes.values())
-        return (*group, start.get("assumed"), None if empty else dump(shapes), dump(ledgers))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, cascades, start, out = None, [], None, []
         for here, frame, state in _Reader(keys).frames(batches):
@@ -329,21 +396,15 @@ def _survey(config_set: ConfigSet, keys: list[str], schema: T.StructType):
                 continue
             if here != group:
                 if group is not None:
-                    out.append(closing(group, cascades, start))
-                group = here
-                cascades = [Cascade(c) for c in config_set.for_hazard(_hazard_of(here, keys))]
-            if state is not None:
-                start = {"next_no": None, **json.loads(state)}
-                if start.get("assumed"):
-                    shapes = json.loads(start["assumed"])
-                    for cascade, config_id in zip(cascades, config_set.ids):
-                        cascade.load_shape(shapes[config_id])
+                    out.append(_closing(config_set, group, cascades, start))
+                group, start = here, {"next_no": None, **json.loads(state)}
+                cascades = _opened(config_set, _hazard_of(here, keys), start.get("assumed"))
             if frame:
                 detections = _detections(frame)
                 for cascade in cascades:
                     cascade.frame(frame[0][_NUMBER], frame[0][_INDEX], frame[0][_TS], detections)
         if group is not None:
-            out.append(closing(group, cascades, start))
+            out.append(_closing(config_set, group, cascades, start))
         if out:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, type=f.type) for c, f in zip(zip(*out), arrow)], schema=arrow
