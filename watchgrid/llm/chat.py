@@ -77,18 +77,24 @@ def pointer_tables(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     """Tables of the ancestors 1, 2, 4, ... above each node, and per node with a root the ``total`` score down to it."""
     alone = nodes.select("tree", "node")
     known = _met(nodes.select("tree", "node", "parent", "score"), alone, "parent", "left")
-    state = known.select("tree", "node", F.col("node_r").alias("up"), F.col("score").cast("double").alias("total"), F.lit(1).cast("long").alias("length"))
-    found, size = [], None
-    while True:
-        state = cut_lineage(state)
-        moving = state.agg(F.count("*").alias("n"), F.count("up").alias("moving")).first()
-        size = moving.n if size is None else size
-        if not moving.moving or 2 ** len(found) > size:
-            return found, state.where("up IS NULL").select("tree", "node", "total", "length")
-        found.append(state.where("up IS NOT NULL").select("tree", "node", "up"))
-        state = _met(state, state, "up", "left").select(
-            "tree", "node", F.col("up_r").alias("up"), (F.col("total") + F.coalesce("total_r", F.lit(0.0))).alias("total"), (F.col("length") + F.coalesce("length_r", F.lit(0))).alias("length")
+    state = cut_lineage(known.select("tree", "node", F.col("node_r").alias("up"), F.col("score").cast("double").alias("total"), F.lit(1).cast("long").alias("length")))
+    size = state.count()
+    found, done = [], state.where("up IS NULL")
+    moving = cut_lineage(state.where("up IS NOT NULL"))
+    while not moving.isEmpty() and 2 ** len(found) <= size:
+        found.append(moving.select("tree", "node", "up"))
+        # Only messages that have not reached their root yet are joined again.
+        state = _met(moving, done.union(moving), "up").select(
+            "tree",
+            "node",
+            F.col("up_r").alias("up"),
+            (F.col("total") + F.col("total_r")).alias("total"),
+            (F.col("length") + F.col("length_r")).alias("length"),
         )
+        state = cut_lineage(state)
+        done = done.union(state.where("up IS NULL"))
+        moving = state.where("up IS NOT NULL")
+    return found, done.select("tree", "node", "total", "length")
 
 
 def best_paths(nodes: DataFrame, branches: int | None = 1) -> DataFrame:
