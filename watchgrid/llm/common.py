@@ -11,6 +11,8 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 PART = "__part"
 BEFORE = "__before"
+#: Most bytes of a table that is sent whole to every executor.
+BROADCAST_BYTES = 48_000_000
 SLOT = "__slot"
 
 
@@ -62,3 +64,8 @@ def number_within(df: DataFrame, key: str, name: str) -> DataFrame:
     return joined.select(*df.columns, (F.col(SLOT) + F.col(BEFORE)).alias(name))
 
 
+def sent_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast of a materialised table if its measured size allows it; otherwise the join shuffles, same result."""
+    sizes = [F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0)) for c in df.columns]
+    measured = df.agg(F.sum(sum(sizes, F.lit(16)).cast("long"))).first()[0] or 0
+    return F.broadcast(df) if measured <= limit else df

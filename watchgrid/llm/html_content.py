@@ -8,8 +8,9 @@ whose text varies are content slots. A constant node needs the support of many d
 do not make it template. What the slots cannot tell apart (menus and adverts vary too) is decided by the element: its
 tag, its role and the words of its class and id. Where a page marks an article, only slots inside it count.
 
-Only one small row per (host, node, text) is shuffled to find the constants; reference trees are joined to pages by host,
-and a large host's pages need not meet in one task.
+Only one small row per (host, node, text) is shuffled to find the constants. Reference trees, one per host, go to every
+executor if they measure less than a fixed number of bytes; beyond it pages and trees are shuffled by host, with the same
+result, and adaptive execution splits the pages of a large host.
 
 Defined results: null, empty and tag-free inputs give their own text or none; a null URL is a host of its own; a truncated
 tag at the end is markup; repeated pages are extracted one by one; columns other than those named are ignored.
@@ -26,6 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from watchgrid.llm.common import sent_if_small
 from watchgrid.session import cut_lineage
 
 #: A constant node is seen in so many different pages at least, and in this share of its host's pages.
@@ -299,6 +301,7 @@ def references(pages: DataFrame) -> DataFrame:
     """``of_host``, ``reference``: the outline of one page of each host, chosen by hash."""
     marked = pages.withColumn("mark", F.xxhash64("page_id", "url"))
     first = marked.groupBy(F.col("host").alias("of_host")).agg(F.min("mark").alias("of_mark"))
+    first = sent_if_small(cut_lineage(first))
     chosen = marked.join(first, (F.col("host") == F.col("of_host")) & (F.col("mark") == F.col("of_mark")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -360,8 +363,8 @@ def extract(pages: DataFrame) -> DataFrame:
     """Per page: ``page_id``, ``url``, ``text`` (main text) and ``n_chars`` (its code points)."""
     pages = _host(pages)
     found = cut_lineage(references(pages))
-    template = cut_lineage(constants(pages.join(found, F.col("host") == F.col("of_host"))))
-    known = found.join(template, "of_host")  # only hosts with constant nodes need alignment
+    template = cut_lineage(constants(pages.join(sent_if_small(found), F.col("host") == F.col("of_host"))))
+    known = sent_if_small(cut_lineage(found.join(template, "of_host")))  # only hosts with constant nodes need alignment
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wrapper = Wrapper()
