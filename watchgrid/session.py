@@ -21,6 +21,8 @@ def local_session(cpus: str = "8", **conf: str) -> SparkSession:
         .config("spark.sql.shuffle.partitions", cpus)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
@@ -30,15 +32,26 @@ def local_session(cpus: str = "8", **conf: str) -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The shared folder the cluster names in ``spark.checkpoint.dir``. Only a session on one machine may leave it unset.
+
+    Set ``spark.cleaner.referenceTracking.cleanCheckpoints`` to have the files of finished steps removed."""
     context = spark.sparkContext
     if context.getCheckpointDir():
         return context.getCheckpointDir()
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not on_one_machine(context.master):
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
+        folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
     context.setCheckpointDir(folder)
     return folder
 
 
+def on_one_machine(master: str) -> bool:
+    """``local`` and ``local[...]`` run in one process; ``local-cluster`` does not."""
+    return master == "local" or master.startswith("local[")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise on reliable storage, so an iterative job survives a lost executor."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -4,19 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-_MAX_DEPTH = 12
+from watchgrid.session import cut_lineage
 
 
 def flatten_results(documents: DataFrame) -> DataFrame:
     """(file, json) to one row per scalar leaf: (file, path, value). Path parts are joined by ``|`` because keys may
-    hold dots; list items appear under their index."""
+    hold dots; list items appear under their index. Documents are opened level by level until none holds another."""
     level = documents.select("file", F.lit("").alias("path"), F.parse_json("json").alias("node"))
     leaves = None
-    for _ in range(_MAX_DEPTH):
-        kind = F.schema_of_variant("node")
+    kind = F.schema_of_variant("node")
+    while True:
         nested = kind.startswith("OBJECT") | kind.startswith("ARRAY")
         here = level.filter(~nested).select("file", "path", F.col("node").cast("string").alias("value"))
         leaves = here if leaves is None else leaves.unionByName(here)
+        if level.filter(nested).isEmpty():
+            return leaves
         step = level.filter(nested).lateralJoin(
             documents.sparkSession.tvf.variant_explode(F.col("node").outer())
         )
@@ -26,7 +28,7 @@ def flatten_results(documents: DataFrame) -> DataFrame:
             F.when(F.col("path") == "", part).otherwise(F.concat_ws("|", "path", part)).alias("path"),
             F.col("value").alias("node"),
         )
-    return leaves
+        level = cut_lineage(level)
 
 
 def dig(document: Column, path: str) -> Column:

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from watchgrid.operators.cascade import Cascade, ValidatorConfig
-from watchgrid.operators.flood import RISE_TYPE, RiseTracker
+from watchgrid.operators.flood import MAX_READINGS, RISE_TYPE, rise_rows
 from watchgrid.operators.validator import ConfigSet
 from watchgrid.sources.alerts import alert_writer
-from watchgrid.streaming.ordered import step_in_order
+from watchgrid.streaming.ordered import one_by_one, step_in_order
 
 STATE_STORE = (
     "spark.sql.streaming.stateStore.providerClass",
@@ -31,26 +32,41 @@ def use_rocksdb(spark) -> None:
 def cascade_step(configs: Sequence[ValidatorConfig]):
     config_set = ConfigSet(configs)
 
-    def step(memo: dict, frame: dict) -> list[tuple]:
-        memo["number"] = number = memo.get("number", 0) + 1
-        detections = [(d["confidence"], tuple(d["box"])) for d in frame["detections"] or []]
-        index, ts, out = frame["frame_index"], frame["ts"], []
-        for config in config_set.for_hazard(frame.get("hazard")):
-            cascade = Cascade(config)
-            if config.config_id in memo:
-                cascade.load(memo[config.config_id])
-            results = cascade.frame(number, index, ts, detections)
+    def step(memo: dict, frames: list[dict]) -> list[tuple]:
+        running = [Cascade(c) for c in config_set.for_hazard(frames[0].get("hazard"))]
+        for cascade in running:
+            if cascade.config.config_id in memo:
+                cascade.load(memo[cascade.config.config_id])
+        number, out = memo.get("number", 0), []
+        for frame in frames:
+            number += 1
+            given = frame["detections"] or []
+            detections = [(d["confidence"], tuple(d["box"])) for d in given]
+            index, ts = frame["frame_index"], frame["ts"]
+            for cascade in running:
+                results = cascade.frame(number, index, ts, detections)
+                for place, ((confidence, box), result) in enumerate(zip(detections, results)):
+                    sequence = given[place].get("det_seq")
+                    named = place if sequence is None else sequence
+                    out.append((cascade.config.config_id, index, ts, named, confidence, *box, *result))
+        memo["number"] = number
+        for cascade in running:
             # Tracks and confirmations that can no longer matter are left out of the state.
-            cascade.tracks, cascade.recent = cascade.live(number + 1), cascade.cooling(ts)
-            memo[config.config_id] = cascade.save()
-            for sequence, ((confidence, box), result) in enumerate(zip(detections, results)):
-                given = frame["detections"][sequence].get("det_seq")
-                out.append((config.config_id, index, ts, sequence if given is None else given, confidence, *box, *result))
+            cascade.tracks, cascade.recent = cascade.live(number + 1), cascade.cooling(frames[-1]["ts"])
+            memo[cascade.config.config_id] = cascade.save()
         return out
 
     return step
 
 
+def quiet_cascade(memo: dict) -> dict:
+    """What an idle camera keeps: how many frames it had and how many tracks it opened, so that ids go on."""
+    return {
+        name: value if name == "number" else {"tracks": [], "recent": [], "opened": value["opened"]}
+        for name, value in memo.items()
+    }
+
+
 def validate_stream(
     frames: DataFrame,
     configs: Sequence[ValidatorConfig],
@@ -61,9 +77,20 @@ def validate_stream(
     idle_seconds: float | None = None,
 ) -> DataFrame:
     """The cascade over a stream of whole frames: keys, event_time, frame_index, ts, detections (array of box,
-    confidence and optionally det_seq; empty arrays age tracks). Emits what ``validate`` emits."""
+    confidence and optionally det_seq; empty arrays age tracks). Emits what ``validate`` emits. A camera that is quiet for
+    ``idle_seconds`` loses its tracks; that may not be shorter than a cooldown, which would be forgotten with them."""
+    longest = max((c.cooldown_seconds for c in configs if c.enable_cooldown), default=0.0)
+    if idle_seconds is not None and idle_seconds < longest:
+        raise ValueError(f"idle_seconds {idle_seconds} is shorter than a cooldown of {longest}")
     annotated = step_in_order(
-        frames, keys, cascade_step(configs), ANNOTATED, time=time, delay=delay, idle_seconds=idle_seconds
+        frames,
+        keys,
+        cascade_step(configs),
+        ANNOTATED,
+        time=time,
+        delay=delay,
+        idle_seconds=idle_seconds,
+        forget=quiet_cascade,
     )
     confirmed = F.when(F.col("rejected_by").isNull(), F.col("track")).otherwise(F.lit(-1).cast("long"))
     return annotated.withColumn("track_id", confirmed)
@@ -92,7 +119,7 @@ def page_hinkley_stream(
         return [(row["frame_index"], n, drift - low, alarm)]
 
     return step_in_order(
-        series, keys, step, "frame_index long, samples long, statistic double, alarm boolean", **options
+        series, keys, one_by_one(step), "frame_index long, samples long, statistic double, alarm boolean", **options
     )
 
 
@@ -102,17 +129,22 @@ def rise_stream(
     keys: Sequence[str] = ("camera_id",),
     window_seconds: float = 300.0,
     rising: float = 0.005,
+    max_readings: int = MAX_READINGS,
     **options,
 ) -> DataFrame:
     """Rate of rise per key over its newest readings (frame_index, ts, area_fraction, level_fraction, metres)."""
-
-    def step(memo: dict, row: dict) -> list[tuple]:
-        tracker = RiseTracker(window_seconds, rising)
-        for reading in memo.get("readings", []):
-            tracker.add(*reading)
-        tracker.add(row["ts"], row["area_fraction"], row.get("level_fraction"))
-        memo["readings"] = [list(r) for r in tracker.readings]
-        return [(row["frame_index"], row["ts"], *tracker.estimate(row.get("metres")))]
+    names = ("ts", "area_fraction", "level_fraction")
+
+    def step(memo: dict, rows: list[dict]) -> list[tuple]:
+        held = memo.get("readings", [])
+        readings = held + [[row.get(c) for c in names] for row in rows]
+        columns = np.array(readings, dtype=float).T
+        metres = np.array([None] * len(held) + [row.get("metres") for row in rows], dtype=float)
+        found = rise_rows(*columns, metres, window_seconds, rising, max_readings)
+        memo["readings"] = readings[-max_readings:]
+        made = [found[name][len(held) :].tolist() for name in found]
+        plain = [[None if v != v else v for v in values] for values in made]
+        return [(row["frame_index"], row["ts"], *values) for row, values in zip(rows, zip(*plain))]
 
     return step_in_order(readings, keys, step, f"frame_index long, ts double, {RISE_TYPE}", **options)
 
@@ -126,7 +158,7 @@ def drop_repeats_stream(frames: DataFrame, *, keys: Sequence[str] = ("camera_id"
         memo["last"] = row["signature"]
         return [] if repeat else [(row["frame_index"], row["ts"], row["signature"])]
 
-    return step_in_order(frames, keys, step, "frame_index long, ts double, signature string", **options)
+    return step_in_order(frames, keys, one_by_one(step), "frame_index long, ts double, signature string", **options)
 
 
 def live_counters(annotated: DataFrame, keys: Sequence[str] = ("camera_id",)) -> DataFrame:

@@ -10,16 +10,34 @@ import json
 from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.sql import DataFrame, Row, types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery, StreamingQueryListener
 
-#: Steps one frame: (state, frame as dict) -> rows to emit. ``state`` is a JSON-ready dict the step may change.
-Step = Callable[[dict, dict], list[tuple]]
+#: Steps the frames that are due: (state, frames as dicts, in order) -> rows to emit. ``state`` is a JSON-ready dict that
+#: the step may change; it is read and written once per key and batch.
+Step = Callable[[dict, list[dict]], list[tuple]]
+
+
+def one_by_one(step: Callable[[dict, dict], list[tuple]]) -> Step:
+    """A step over single frames as a step over all that are due."""
+
+    def run(memo: dict, frames: list[dict]) -> list[tuple]:
+        return [row for frame in frames for row in step(memo, frame)]
+
+    return run
 
 
 class OrderedProcessor(StatefulProcessor):
-    def __init__(self, step: Step, keys: Sequence[str], names: Sequence[str], time: str, idle_seconds: float | None):
+    def __init__(
+        self,
+        step: Step,
+        keys: Sequence[str],
+        names: Sequence[str],
+        time: str,
+        idle_seconds: float | None,
+        forget: Callable[[dict], dict | None] | None = None,
+    ):
         self._step, self._columns, self._names = step, list(keys), list(names)
-        self._time, self._idle = time, idle_seconds
+        self._time, self._idle, self._forget = time, idle_seconds, forget
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
@@ -59,18 +77,22 @@ class OrderedProcessor(StatefulProcessor):
         else:
             self._pending.clear()
         emitted, record = [], Row(*self._names)
-        for at_ms, _, _, payload in ready:
-            state["last_ms"] = at_ms
-            for values in self._step(state["memo"], {**json.loads(payload), **dict(zip(self._columns, key))}):
-                emitted.append(record(*key, *values))
+        if ready:
+            state["last_ms"] = ready[-1][0]
+            named = dict(zip(self._columns, key))
+            frames = [{**json.loads(payload), **named} for *_, payload in ready]
+            emitted = [record(*key, *values) for values in self._step(state["memo"], frames)]
         wake = left[0][0] if left else None
         if wake is None and self._idle is not None and state["last_ms"] is not None:
             wake = state["last_ms"] + int(self._idle * 1000)
             if wake <= watermark:
-                # The key has gone quiet: forget it, as its objects would have aged out.
-                self._state.clear()
-                yield from emitted
-                return
+                # The key has gone quiet: drop what would have aged out; counters stay, so that ids never repeat.
+                kept = self._forget(state["memo"]) if self._forget else None
+                if kept is None:
+                    self._state.clear()
+                    yield from emitted
+                    return
+                state["memo"], state["last_ms"], wake = kept, None, None
         if wake is not None and wake != state["timer"]:
             if state["timer"] is not None:
                 self._handle.deleteTimer(state["timer"])
@@ -92,28 +114,50 @@ def step_in_order(
     time: str = "event_time",
     delay: str = "1 minute",
     idle_seconds: float | None = None,
+    forget: Callable[[dict], dict | None] | None = None,
 ) -> DataFrame:
-    """Run ``step`` over each key's rows in event-time order. ``output`` names the columns after the keys."""
+    """Run ``step`` over each key's rows in event-time order. ``output`` names the columns after the keys. A key that is
+    quiet for ``idle_seconds`` keeps of its state only what ``forget`` returns."""
     keys = list(keys)
     schema = T.StructType([stream.schema[k] for k in keys] + T.StructType.fromDDL(output).fields)
     marked = stream.withWatermark(time, delay)
     return marked.groupBy(*keys).transformWithState(
-        statefulProcessor=OrderedProcessor(step, keys, schema.names, time, idle_seconds),
+        statefulProcessor=OrderedProcessor(step, keys, schema.names, time, idle_seconds, forget),
         outputStructType=schema,
         outputMode="Append",
         timeMode="EventTime",
     )
 
 
-def late_rows(query: StreamingQuery) -> int:
-    """Frames that came after the watermark, over the query's kept progress reports: dropped, and never hidden."""
-    return sum(
-        operator.get("numRowsDroppedByWatermark", 0)
-        for progress in query.recentProgress
-        for operator in _operators(progress)
-    )
+class LateRows(StreamingQueryListener):
+    """Counts the frames that came after the watermark, of every query and batch, for as long as it is registered."""
+
+    def __init__(self) -> None:
+        self.dropped: dict[tuple[str, int], int] = {}
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        self.note(event.progress)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+    def note(self, progress) -> None:
+        report = progress if isinstance(progress, dict) else json.loads(progress.json)
+        late = sum(operator.get("numRowsDroppedByWatermark", 0) for operator in report.get("stateOperators", []))
+        self.dropped[str(report["id"]), int(report["batchId"])] = late
 
 
-def _operators(progress) -> list[dict]:
-    report = progress if isinstance(progress, dict) else json.loads(progress.json)
-    return report.get("stateOperators", [])
+def late_rows(query: StreamingQuery, listener: LateRows | None = None) -> int:
+    """Frames that came after the watermark: dropped, and never hidden. A query keeps reports of its last batches only
+    (``spark.sql.streaming.numRecentProgressUpdates``); over longer runs pass a listener that was registered before the
+    query started."""
+    counted = listener or LateRows()
+    for progress in query.recentProgress:
+        counted.note(progress)
+    return sum(n for (name, _), n in counted.dropped.items() if name == str(query.id))
