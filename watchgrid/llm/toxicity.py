@@ -2,8 +2,8 @@
 
 Features of a whole text: densities of a lexicon, nearness of its words to the second person, capitals, punctuation, and
 rates of obfuscation (digits and signs inside words, drawn-out letters, single spaced letters) with what the lexicon finds
-once those are undone. The lexicon is learned from labelled texts: words and word stems (leading 4 to 6 letters) that are
-far more frequent in toxic texts than in others. Trees are fitted on two of four folds of the documents' ids, the
+once those are undone. The lexicon is learned from labelled texts: words and word stems (leading 4 to 8 letters) that
+are far more frequent in toxic texts than in others; how often a text repeats one of them is a feature of its own. Trees are fitted on two of four folds of the documents' ids, the
 calibration on a third, and the fourth is held out of everything.
 
 Fitting uses a sample of at most ``most_labelled`` labelled rows, the ones of smallest id hash; only their ids are sent to
@@ -53,7 +53,7 @@ _SEPARATORS = re.compile(r"[^\w]+|_")
 _CAPITALS = bytes(range(65, 91))
 _LETTERS = bytes([*range(65, 91), *range(97, 123)])
 _SIGNS = bytes(b for b in range(33, 127) if not chr(b).isalnum() and b not in b"!?,.")
-FEATURES = 14
+FEATURES = 16
 
 
 def fold(doc_id: Column) -> Column:
@@ -62,7 +62,7 @@ def fold(doc_id: Column) -> Column:
 
 def terms_of(word: str) -> list[str]:
     """The word itself, and its stems, marked by a trailing star."""
-    return [word, *[word[:n] + "*" for n in (4, 5, 6) if len(word) >= n]] if len(word) > 2 else []
+    return [word, *[word[:n] + "*" for n in range(4, 9) if len(word) >= n]] if len(word) > 2 else []
 
 
 def plain_words(text: str) -> list[str]:
@@ -70,8 +70,8 @@ def plain_words(text: str) -> list[str]:
 
 
 class Token(NamedTuple):
-    weight: float
-    undone: float
+    term: str
+    undone: str
     signs: int
     drawn: int
     person: int
@@ -79,26 +79,28 @@ class Token(NamedTuple):
 
 
 class Scorer:
-    """Features of texts under one lexicon (term -> log odds)."""
+    """Features of texts under one lexicon (term -> log odds, the surest terms first)."""
 
     def __init__(self, lexicon: dict[str, float]):
-        self._lexicon = lexicon
+        self._lexicon, self._rank = lexicon, {term: i for i, term in enumerate(lexicon)}
         self._tokens = Remembered(self._token)
 
-    def _weight(self, word: str) -> float:
-        return max((self._lexicon.get(t, 0.0) for t in terms_of(word)), default=0.0)
+    def _term(self, *words: str) -> str:
+        """The surest term that one of the words stands for, or nothing."""
+        known = [t for word in words for t in terms_of(word) if t in self._rank]
+        return min(known, key=self._rank.__getitem__, default="")
 
     def _token(self, token: str) -> Token | bool:
         lower = token.lower()
         word = lower.strip(_EDGES)
-        weight = self._weight(word)
+        term = self._term(word)
         signs, drawn = bool(_INNER_SIGN.search(word)), bool(_DRAWN.search(word))
-        undone = 0.0
-        if (signs or drawn or not word.isalpha()) and not weight:
+        undone = ""
+        if (signs or drawn or not word.isalpha()) and not term:
             plain = _SEPARATORS.sub("", lower.translate(_LEET))
-            undone = max(self._weight(plain), self._weight(_SEPARATORS.sub("", lower)), self._weight(_DRAWN.sub(r"\1", plain)), self._weight(_DRAWN.sub(r"\1\1", plain)))
+            undone = self._term(plain, _SEPARATORS.sub("", lower), _DRAWN.sub(r"\1", plain), _DRAWN.sub(r"\1\1", plain))
         single = len(word) == 1 and word.isalpha()
-        found = Token(weight, undone, int(signs), int(drawn), int(word in SECOND_PERSON), int(single))
+        found = Token(term, undone, int(signs), int(drawn), int(word in SECOND_PERSON), int(single))
         return found if any(found) else False
 
     def _spaced(self, tokens: list[str], singles: list[int]) -> float:
@@ -121,7 +123,9 @@ class Scorer:
             return [0.0] * FEATURES
         count, data = len(tokens), text.encode("utf-8")
         marked = [(i, t) for i, t in enumerate(map(self._tokens.__getitem__, tokens)) if t]
-        hits = [(i, t.weight or t.undone) for i, t in marked if t.weight or t.undone]
+        terms = [(i, t.term or t.undone) for i, t in marked if t.term or t.undone]
+        hits = [(i, self._lexicon[term]) for i, term in terms]
+        most = max(Counter(term for _, term in terms).values(), default=0)
         persons = [i for i, t in marked if t.person]
         near, k = 0, 0
         for i, _ in hits:
@@ -145,8 +149,10 @@ class Scorer:
             (size - len(data.translate(None, _SIGNS))) / count,
             sum(t.signs for _, t in marked) / count,
             sum(t.drawn for _, t in marked) / count,
-            max(max((t.undone for _, t in marked), default=0.0), self._spaced(tokens, singles) if len(singles) > 3 else 0.0),
+            max(max((self._lexicon[t.undone] for _, t in marked if t.undone), default=0.0), self._spaced(tokens, singles) if len(singles) > 3 else 0.0),
             math.log1p(count),
+            float(most),
+            most / count,
         ]
 
 
@@ -178,7 +184,7 @@ def learn_lexicon(sample: DataFrame, most: int = MOST_TERMS) -> dict[str, float]
         c = in_clean.get(term, 0)
         odds = math.log((t + 0.5) / (toxic + 1)) - math.log((c + 0.5) / (clean + 1))
         certainty = odds / math.sqrt(1 / (t + 0.5) + 1 / (c + 0.5))
-        if odds > 2 and certainty > 3:
+        if odds > 1.5 and certainty > 3.8:
             scored.append((certainty, term, odds))
     return {term: odds for _, term, odds in sorted(scored, reverse=True)[:most]}
 
