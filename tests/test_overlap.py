@@ -113,3 +113,24 @@ def test_published_counts_give_the_published_rates(spark):
     table = spark.createDataFrame([("full", 12, 12), ("none", 0, 0), ("zero", 0, 10)], "name string, k long, n long")
     got = {r.name: (round(r.lo, 4), round(r.hi, 4)) for r in metrics.interval_table(table).collect()}
     assert got["full"] == (0.7575, 1.0) and got["none"] == (0.0, 1.0) and got["zero"][0] == 0.0
+
+
+@pytest.mark.parametrize("limit", [-0.1, 0.0, 0.5, 1.0, 1.1])
+@pytest.mark.parametrize("keep_equal", [True, False])
+def test_suppression_is_one_rule_at_every_size_and_limit(spark, limit, keep_equal):
+    from watchgrid.functions.geometry import box_of
+
+    rows = [(0, 1, 0.9, 0.0, 0.0, 0.4, 0.4), (0, 2, 0.8, 0.0, 0.0, 0.4, 0.4), (0, 3, 0.7, 0.5, 0.5, 0.9, 0.9), (0, 4, 0.7, 0.1, 0.0, 0.5, 0.4),
+            (1, 5, 0.5, 0.0, 0.0, 100.0, 100.0), (1, 6, 0.6, 0.0, 0.0, 1e4, 1e4), (1, 7, 0.5, 0.0, 0.0, 100.0, 100.0), (1, 8, 0.1, 3.0, 3.0, 3.0, 9.0)]
+    df = spark.createDataFrame(rows, "image_id long, det_seq long, confidence double, x1 double, y1 double, x2 double, y2 double")
+    boxes = df.withColumn("box", box_of()).drop("x1", "y1", "x2", "y2")
+    kept = [sorted(r.det_seq for r in overlap.nms(boxes, limit, ["image_id"], keep_equal=keep_equal, array_boxes=n).collect()) for n in (4096, 2)]
+    assert kept[0] == kept[1]
+
+
+def test_merged_tiles_have_unique_ids_for_table_wide_sequences(spark):
+    schema = "image_id long, det_seq long, confidence double, box struct<x1: double, y1: double, x2: double, y2: double>"
+    full = spark.createDataFrame([(1, 5_000_000_000, 0.5, (500.0, 500.0, 510.0, 510.0))], schema)
+    tiles = spark.createDataFrame([(1, 100_001, 0.5, (0.0, 0.0, 5.0, 5.0), 0, 0), (1, 1, 0.5, (50.0, 0.0, 55.0, 5.0), 1, 0)], schema + ", tile_x1 int, tile_y1 int")
+    got = overlap.merge_tiles(full, tiles).orderBy("det_seq").collect()
+    assert [r.det_seq for r in got] == [1, 2, 3] and [r.box.x1 for r in got] == [500.0, 0.0, 51.0]

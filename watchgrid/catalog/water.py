@@ -243,8 +243,9 @@ def f05(spark, sf_dir):
 @query(
     "w05_time_to_threshold",
     fx.with_ctes(
-        f"""SELECT camera_id, seq AS frame_index, CASE WHEN area_fraction >= 0.9 THEN 0.0 ELSE round((0.9 - area_fraction) / rate * 60, 1) END AS seconds_left
-            FROM rises JOIN signal USING (camera_id, seq) WHERE trend = 'rising' AND {_CONFIDENT} AND rate > 0""",
+        f"""SELECT camera_id, seq AS frame_index, CASE WHEN trend = 'rising' AND {_CONFIDENT} AND rate > 0 THEN
+              CASE WHEN area_fraction >= 0.9 THEN 0.0 ELSE round((0.9 - area_fraction) / rate * 60, 1) END END AS seconds_left
+            FROM rises JOIN signal USING (camera_id, seq)""",
         "signal",
         extra=_RISE,
     ),
@@ -253,8 +254,7 @@ def w05(spark, sf_dir):
     """The level here is the area signal itself, read as a level."""
     readings = fx.signal(spark, sf_dir).withColumnRenamed("seq", "frame_index").withColumn("level_fraction", F.col("area_fraction"))
     rows = flood.rise_estimate(readings, rising=1e-5, time_chunk_seconds=_MONTHS)
-    left = rows.select("camera_id", "frame_index", F.round(flood.time_to_threshold(0.9), 1).alias("seconds_left"))
-    return left.filter("seconds_left IS NOT NULL")
+    return rows.select("camera_id", "frame_index", F.round(flood.time_to_threshold(0.9), 1).alias("seconds_left"))
 
 
 @query(

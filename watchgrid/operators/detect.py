@@ -114,9 +114,28 @@ def passes_grey(boxes: DataFrame, pixels: DataFrame, cut: int, min_fraction: flo
 # Geometry between boxes of one frame.
 
 
-def iou_pairs(a: DataFrame, b: DataFrame, threshold: float, keys: Sequence[str], cell: float = 128.0) -> DataFrame:
+#: No box spans more than this many cells of its frame's grid, plus one, in either direction.
+_WIDEST = 16
+
+
+def _cell_sizes(boxes: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Per frame the grid cell that nine of ten boxes fit into, whatever unit the boxes are in."""
+    side = F.greatest(F.col("box.x2") - F.col("box.x1"), F.col("box.y2") - F.col("box.y1"))
+    size = F.greatest(F.percentile_approx(side, 0.9, 1000), F.max(side) / _WIDEST)
+    return boxes.filter(side > 0).groupBy(*keys).agg(size.alias("_cell"))
+
+
+def iou_pairs(a: DataFrame, b: DataFrame, threshold: float, keys: Sequence[str], cell: float | None = None) -> DataFrame:
     """Pairs of boxes of the same frame with IoU >= threshold (> 0). Boxes meet only where they share a grid cell, and
-    the cell that holds the overlap's upper left corner reports the pair once. ``a``, ``b``: keys, det_seq, box."""
+    the cell that holds the overlap's upper left corner reports the pair once. ``a``, ``b``: keys, det_seq, box. Without
+    ``cell`` each frame's cell follows from the boxes of ``a``."""
+    if cell is None:
+        sizes = _cell_sizes(a, keys)
+        a, b = a.join(sizes, list(keys)), b.join(sizes, list(keys))
+        cell = F.col("_cell")
+    else:
+        a, b = a.withColumn("_cell", F.lit(float(cell))), b.withColumn("_cell", F.lit(float(cell)))
+        cell = F.col("_cell")
 
     def cells(df: DataFrame, side: str) -> DataFrame:
         box = F.col("box")
@@ -124,10 +143,10 @@ def iou_pairs(a: DataFrame, b: DataFrame, threshold: float, keys: Sequence[str],
         ys = F.sequence(F.floor(box["y1"] / cell), F.floor(box["y2"] / cell))
         valid = df.filter((box["x2"] > box["x1"]) & (box["y2"] > box["y1"]))
         return valid.select(
-            *keys, F.col("det_seq").alias(f"{side}_seq"), box.alias(f"{side}_box"), F.explode(xs).alias("_cx"), ys.alias("_ys")
-        ).select(*keys, f"{side}_seq", f"{side}_box", "_cx", F.explode("_ys").alias("_cy"))
+            *keys, F.col("det_seq").alias(f"{side}_seq"), box.alias(f"{side}_box"), F.explode(xs).alias("_cx"), ys.alias("_ys"), "_cell"
+        ).select(*keys, f"{side}_seq", f"{side}_box", "_cx", F.explode("_ys").alias("_cy"), "_cell")
 
-    left, right = cells(a, "a"), cells(b, "b")
+    left, right = cells(a, "a"), cells(b, "b").drop("_cell")
     joined = left.join(right, [*keys, "_cx", "_cy"])
     corner_x = F.floor(F.greatest(F.col("a_box.x1"), F.col("b_box.x1")) / cell)
     corner_y = F.floor(F.greatest(F.col("a_box.y1"), F.col("b_box.y1")) / cell)

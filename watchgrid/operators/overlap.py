@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from watchgrid.functions import geometry as geo
 from watchgrid.functions.stats import argmax, sigmoid
@@ -39,6 +39,13 @@ def nms(
     """Keep, most confident first, every box that overlaps no kept one. ``boxes``: keys, det_seq, confidence, box, any
     other columns. An overlap equal to the limit survives when ``keep_equal`` (decoding), else not (merging)."""
     keys = list(keys)
+    # Limits that settle every pair alike, however many boxes there are.
+    if iou < 0 or (iou == 0 and not keep_equal):
+        row = F.struct(*[c for c in boxes.columns if c not in keys])
+        strongest = F.min_by(row, F.struct(-F.col("confidence"), F.col("det_seq"))).alias("_b")
+        return boxes.groupBy(*keys).agg(strongest).select(*keys, "_b.*")
+    if iou > 1 or (iou == 1 and keep_equal):
+        return boxes
     large = _oversize(boxes, keys, array_boxes)
     if large is None:
         return _nms_fold(boxes, iou, keys, keep_equal)
@@ -49,7 +56,8 @@ def nms(
 
 
 def _drop_copies(boxes: DataFrame, keys: list[str]) -> DataFrame:
-    """Of equal boxes only the strongest can be kept, since each suppresses the rest; empty boxes overlap nothing."""
+    """Of equal boxes only the strongest can be kept, since at limits under 1 each suppresses the rest; empty boxes overlap
+    nothing."""
     flat = {f"_{c}": F.col(f"box.{c}") for c in ("x1", "y1", "x2", "y2")}
     row = F.struct(*[c for c in boxes.columns if c not in keys])
     has_area = geo.box_area(F.col("box")) > 0
@@ -57,7 +65,7 @@ def _drop_copies(boxes: DataFrame, keys: list[str]) -> DataFrame:
         boxes.filter(has_area)
         .withColumns(flat)
         .groupBy(*keys, *flat)
-        .agg(F.max_by(row, F.struct("confidence", -F.col("det_seq"))).alias("_b"))
+        .agg(F.min_by(row, F.struct(-F.col("confidence"), F.col("det_seq"))).alias("_b"))
         .select(*keys, "_b.*")
     )
     return strongest.unionByName(boxes.filter(~has_area))
@@ -306,7 +314,7 @@ def decode_query_predictions(
 
 def merge_tiles(full: DataFrame, tiles: DataFrame, iou: float = 0.5, keys: Sequence[str] = ("image_id",)) -> DataFrame:
     """Full-frame detections and tile detections (box relative to tile_x1, tile_y1) merged by suppression. On equal
-    confidence the full frame comes first, then tiles by row and column; ``det_seq`` numbers them in that order."""
+    confidence the full frame comes first, then tiles by row and column; ``det_seq`` numbers what is kept in that order."""
     keys = list(keys)
     moved = tiles.withColumn("box", geo.offset(F.col("box"), F.col("tile_x1"), F.col("tile_y1")))
     columns = [*keys, "confidence", "box"]
@@ -321,7 +329,7 @@ def merge_tiles(full: DataFrame, tiles: DataFrame, iou: float = 0.5, keys: Seque
             F.col("det_seq").alias("_seq"),
         )
     )
-    # A number that sorts like (pass, tile row, tile column, sequence) without ranking the image in one task.
-    packed = ((F.col("_pass") * 1_000_000 + F.col("_ty")) * F.lit(1_000_000).cast("long") + F.col("_tx")) * 100_000
-    numbered = everything.select(*columns, (packed + F.col("_seq")).cast("long").alias("det_seq"))
-    return nms(numbered, iou, keys, keep_equal=False)
+    place = F.struct("_pass", "_ty", "_tx", "_seq")
+    merged = nms(everything.select(*columns, place.alias("det_seq")), iou, keys, keep_equal=False)
+    order = Window.partitionBy(*keys).orderBy("det_seq")
+    return merged.withColumn("det_seq", F.row_number().over(order).cast("long"))
