@@ -95,7 +95,7 @@ def _sketches(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<long>")
 
 
-def _sets(docs: DataFrame, members: DataFrame) -> DataFrame:
+def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """``rep`` and its shingle hashes, for the classes in some bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,7 +105,6 @@ def _sets(docs: DataFrame, members: DataFrame) -> DataFrame:
             sets = pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), sets], names=["rep", "shingles"]).filter(pa.array(same, pa.bool_()))
 
-    wanted = members.select("rep", "digest").distinct()
     texts = docs.join(wanted, F.col("doc_id") == F.col("rep")).select("rep", "digest", "text")
     return texts.mapInArrow(run, "rep long, shingles array<long>").groupBy("rep").agg(F.first("shingles").alias("shingles"))
 
@@ -168,13 +167,14 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")
     )
     classes = cut_lineage(classes)
-    banded = classes.select("rep", "digest", "n", F.explode("bands").alias("key"))
+    banded = classes.select("rep", "n", F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
     members = cut_lineage(banded.join(shared, "key"))
-    sets = cut_lineage(_sets(docs, members))
+    wanted = classes.select("rep", "digest").join(members.select("rep").distinct(), "rep", "left_semi")
+    sets = cut_lineage(_sets(docs, wanted))
     # Every member of a bucket against its smallest id.
     hubs = members.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("hub"))
-    others = cut_lineage(members.join(hubs, "key").where(F.col("rep") != F.col("hub.rep")).select("key", "rep", "n", "hub"))
+    others = members.join(hubs, "key").where(F.col("rep") != F.col("hub.rep")).select("key", "rep", "n", "hub")
     alike = 100 * F.least("n", "hub.n") >= percent * F.greatest("n", "hub.n")
     pairs = others.where(alike).select(F.col("hub.rep").alias("a"), F.col("rep").alias("b")).distinct()
     links = cut_lineage(_confirmed(pairs, sets, percent))
