@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from watchgrid.catalog import fixtures as fx
 from watchgrid.catalog.registry import query, r6, rounded
@@ -240,18 +242,18 @@ def e10(spark, sf_dir):
 @query(
     "u01_union_of_results",
     fx.with_ctes(
-        """SELECT 'fire' AS hazard, camera_id, count(*) AS detections FROM detections WHERE hazard = 'fire' GROUP BY ALL
-           UNION ALL SELECT 'flood', camera_id, count(*) FROM detections WHERE hazard = 'flood' GROUP BY ALL""",
+        "SELECT hazard, camera_id, count(*) AS detections FROM detections GROUP BY ALL",
         "detections",
     ),
 )
 def u01(spark, sf_dir):
+    """One result per hazard, put together."""
     det = fx.raw_detections(spark, sf_dir)
     parts = [
         det.filter(F.col("hazard") == h).groupBy("camera_id").agg(F.count("*").alias("detections")).withColumn("hazard", F.lit(h))
-        for h in ("fire", "flood")
+        for h in dims.HAZARDS
     ]
-    return parts[0].unionByName(parts[1])
+    return reduce(DataFrame.unionByName, parts)
 
 
 _MANIFEST = """SELECT o_orderkey AS clip, CASE o_custkey % 6 WHEN 0 THEN 'fire' WHEN 1 THEN 'flood' WHEN 2 THEN 'traffic' WHEN 3 THEN 'drowning' ELSE 'building_access' END AS hazard,
@@ -545,13 +547,25 @@ def continuity(spark, sf_dir):
     vectors = fx.table(spark, sf_dir, "embeddings").select(
         (F.col("vec_id") % 50).alias("sequence"), F.col("vec_id").alias("pos"), F.transform("embedding", lambda v: v.cast("double")).alias("hist"), "label"
     )
-    return series.continuity(vectors.drop("label"), vectors.filter("label = 0").select("pos", "hist"))
+    return series.continuity(vectors.drop("label"), vectors.filter("label = 0").select("pos", "hist"), number=F.col("sequence"))
 
 
-@query("g20_continuity")
+@query(
+    "g20_continuity",
+    """WITH h AS (SELECT vec_id % 50 AS sequence, vec_id, embedding, row_number() OVER (PARTITION BY vec_id % 50 ORDER BY vec_id) AS n FROM embeddings),
+            seen AS (SELECT * FROM h WHERE n <= 24),
+            steps AS (SELECT b.sequence, b.n, unnest(a.embedding)::DOUBLE AS x, unnest(b.embedding)::DOUBLE AS y FROM seen a JOIN seen b ON b.sequence = a.sequence AND b.n = a.n + 1),
+            adjacent AS (SELECT sequence, count(*) + 1 AS frames, median(r) AS adjacent FROM (SELECT sequence, n, corr(x, y) AS r FROM steps GROUP BY ALL) GROUP BY sequence),
+            outside AS (SELECT embedding, row_number() OVER (ORDER BY vec_id) AS o FROM embeddings WHERE label = 0 QUALIFY o <= 12),
+            draws AS (SELECT sequence, d, (7 * sequence + 5 * d) % count(*) + 1 AS n, (3 * sequence + 11 * d) % 12 + 1 AS o FROM seen, range(1, 13) t(d) GROUP BY sequence, d),
+            drawn AS (SELECT draws.sequence, d, unnest(seen.embedding)::DOUBLE AS x, unnest(outside.embedding)::DOUBLE AS y
+                      FROM draws JOIN seen ON seen.sequence = draws.sequence AND seen.n = draws.n JOIN outside ON outside.o = draws.o),
+            apart AS (SELECT sequence, median(r) AS unrelated FROM (SELECT sequence, d, corr(x, y) AS r FROM drawn GROUP BY ALL) GROUP BY sequence)
+       SELECT sequence, frames, round(adjacent, 6) AS adjacent, round(unrelated, 6) AS unrelated, adjacent >= unrelated + 0.15 AS continuous
+       FROM adjacent JOIN apart USING (sequence)""",
+)
 def g20(spark, sf_dir):
-    """Which frames are paired with outside footage is drawn by Spark's hash, so this one has no SQL."""
-    return continuity(spark, sf_dir)
+    return continuity(spark, sf_dir).select("sequence", "frames", r6("adjacent").alias("adjacent"), r6("unrelated").alias("unrelated"), "continuous")
 
 
 @query(

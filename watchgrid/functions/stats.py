@@ -86,8 +86,3 @@ def upper_median(values: Column) -> Column:
     """Element n // 2 of a sorted array: the upper of the two middle values."""
     ordered = F.array_sort(values)
     return F.get(ordered, (F.size(ordered) / 2).cast("int"))
-
-
-def round_half_even(value: Column, digits: int) -> Column:
-    """Decimal rounding with ties to even, as published figures were rounded."""
-    return F.bround(value, digits)

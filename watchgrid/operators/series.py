@@ -137,11 +137,21 @@ def paired_corr(pairs: DataFrame, a: str, b: str, keys: Sequence[str] = (), leas
 
 
 def continuity(
-    hists: DataFrame, baseline: DataFrame, *, head: int = 24, others: int = 12, pairs: int = 12, seed: int = 0, margin: float = 0.15
+    hists: DataFrame,
+    baseline: DataFrame,
+    *,
+    head: int = 24,
+    others: int = 12,
+    pairs: int = 12,
+    seed: int = 0,
+    margin: float = 0.15,
+    number: Column | None = None,
 ) -> DataFrame:
     """Does a sequence look like itself? Median correlation of adjacent frames against that of frames paired with
     footage from outside; passes when it is higher by ``margin``. ``hists``: sequence, pos, hist; ``baseline``: pos,
-    hist. The first ``head`` frames and ``others`` outside frames are what the check looks at."""
+    hist. The first ``head`` frames and ``others`` outside frames are what the check looks at. Which of them are paired
+    follows by arithmetic from the seed and a sequence's ``number`` (a checksum of its name, if not given)."""
+    number = F.crc32(F.col("sequence").cast("string").cast("binary")) if number is None else number.cast("long")
     order = Window.partitionBy("sequence").orderBy("pos")
     first = hists.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= head)
     adjacent = (
@@ -154,8 +164,8 @@ def continuity(
     sizes = first.groupBy("sequence").agg(F.count("*").alias("_size"))
     draws = (
         sizes.withColumn("_draw", F.explode(F.sequence(F.lit(1), F.lit(pairs))))
-        .withColumn("_n", (F.pmod(F.xxhash64(F.lit(seed), "sequence", "_draw"), F.col("_size")) + 1).cast("int"))
-        .withColumn("_o", (F.pmod(F.xxhash64(F.lit(seed + 1), "sequence", "_draw"), F.lit(others)) + 1).cast("int"))
+        .withColumn("_n", (F.pmod(7 * number + 5 * F.col("_draw") + seed, F.col("_size")) + 1).cast("int"))
+        .withColumn("_o", (F.pmod(3 * number + 11 * F.col("_draw") + seed, F.lit(others)) + 1).cast("int"))
     )
     unrelated = (
         draws.join(first.select("sequence", "_n", "hist"), ["sequence", "_n"])

@@ -152,8 +152,13 @@ def match_operating_point(sweep: DataFrame, targets: DataFrame, by: Sequence[str
     """Per target the lowest floor whose rounded false-alarm rate is no worse; null when no floor gets there.
     ``targets``: by, target_far."""
     reached = F.bround("false_alarm_rate", 4) <= F.col("target_far")
-    # A sweep has one row per floor and group; the inequality is checked against that small table.
-    joined = targets.join(sweep, list(by), "left") if by else targets.join(F.broadcast(sweep), reached, "left")
+    if not by:
+        # All floors as one array, a scalar to the targets.
+        points = sweep.agg(F.collect_list(F.struct("false_alarm_rate", "floor"))).scalar()
+        listed = targets.withColumn("_points", points).select("target_far", F.explode_outer("_points").alias("_p"))
+        joined = listed.select("target_far", "_p.*")
+    else:
+        joined = targets.join(sweep, list(by), "left")
     floor = F.min(F.when(reached, F.col("floor")))
     return joined.groupBy(*by, "target_far").agg(floor.alias("matched_floor"))
 

@@ -58,18 +58,6 @@ def explode_detections(frames: DataFrame, labels: Sequence[str] | None = None) -
     )
 
 
-def pack_detections(det: DataFrame, frames: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The inverse: all frames with their detections as one array each, in ``det_seq`` order."""
-    item = F.struct(
-        "det_seq", F.array("x1", "y1", "x2", "y2").alias("box"), F.col("confidence"), F.col("label")
-    )
-    packed = det.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("_items"))
-    inner = F.transform(
-        F.coalesce("_items", F.array()), lambda d: F.struct(d["box"].alias("box"), d["confidence"], d["label"])
-    )
-    return frames.join(packed, list(keys), "left").select(*frames.columns, inner.alias("detections"))
-
-
 # Metadata kept in file names.
 
 

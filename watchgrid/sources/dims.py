@@ -97,10 +97,6 @@ def context_dim(spark: SparkSession) -> DataFrame:
     )
 
 
-def hazard_dim(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(h, HAZARD_LABELS[h]) for h in HAZARDS], "hazard string, hazard_label string")
-
-
 def envelope_dim(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(
         [(h, v, m) for h, served in ENVELOPE.items() for v, m in served.items()],

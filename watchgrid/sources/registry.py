@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from watchgrid.sources import dims
 
@@ -79,9 +79,3 @@ def load_cameras(rows: DataFrame, strict: bool = False) -> tuple[DataFrame, Data
     message = F.concat(F.lit("invalid camera registry, e.g. "), worst)
     checked = F.when(worst.isNotNull(), F.raise_error(message).cast("string")).otherwise(F.col("camera_id"))
     return cameras.withColumn("camera_id", checked), violations
-
-
-def first_entries(cameras: DataFrame) -> DataFrame:
-    """One row per camera id, for callers that report duplicates apart."""
-    order = Window.partitionBy("camera_id").orderBy("source")
-    return cameras.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
