@@ -75,7 +75,10 @@ def measured(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), host_col: st
         lambda a: a["n"],
     )
     n_repeat = F.when(F.size(F.array_distinct("windows")) < F.size("windows"), covered).otherwise(0)
-    return counted.withColumn("n_repeat_words", n_repeat.cast("long")).drop("windows")
+    names = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines")
+    found = F.struct(*names, n_repeat.cast("long").alias("n_repeat_words"))
+    # A generator of one row: filters on the counts stay above it, where pushing them down would repeat the counting.
+    return counted.select("row", "host", F.explode(F.array(found)).alias("found")).select("row", "host", "found.*")
 
 
 def broken(mild: bool) -> dict[str, Column]:
