@@ -17,6 +17,7 @@ def test_main_text_of_single_pages():
     )
     assert text_of(page) == "Head & Title Bold one. Two Abc i j"
     assert text_of("<div>No marks <a href=x>link</a> here</div><div><a>only links here</a></div><p>end") == "No marks link here end"
+    assert text_of("<article>A<ol class='commentlist'><li>r</ol><div id='topNav'>n</div><p class='intro'>B</p></article>") == "A B"
     assert text_of("plain &lt;text&gt;") == "plain <text>"
     assert text_of("") == text_of(None) == ""
     assert text_of("<p>a<!-- unclosed <p>b") == "a"

@@ -47,8 +47,10 @@ WORDS = {
     "ad", "ads", "advert", "advertisement", "adverts", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie",
     "cookies", "disqus", "footer", "login", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "pagination",
     "popup", "promo", "promoted", "promotion", "related", "replies", "reply", "search", "share", "sharing", "sidebar", "signup", "social",
-    "sponsor", "sponsored", "subscribe", "toolbar", "topbar", "widget",
+    "alert", "disclaimer", "gdpr", "paywall", "sponsor", "sponsored", "subscribe", "toast", "toolbar", "topbar", "widget",
 }
+BEGINNINGS = ("advert", "breadcrumb", "comment", "cookie", "footer", "navbar", "newsletter", "promo", "sidebar", "sponsor")
+ENDINGS = ("ads", "comments", "footer", "menu", "nav", "sidebar")
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 _TOKEN = re.compile(
@@ -75,10 +77,14 @@ class Node:
 def _furniture(tag: str, attributes: dict[str, str], inside: bool) -> bool:
     if tag in FURNITURE or (tag == "header" and not inside) or attributes.get("role", "").lower() in ROLES:
         return True
-    if tag in ("html", "body", "article", "main"):
-        return "comment" in (words := {w.lower() for w in _NAME.findall(attributes.get("class", "") + " " + attributes.get("id", ""))}) or "comments" in words
+    if not attributes or tag in ("html", "body"):
+        return False
     words = {w.lower() for w in _NAME.findall(attributes.get("class", "") + " " + attributes.get("id", ""))}
-    return bool(words & WORDS) or ("header" in words and not inside)
+    if tag in ("article", "main"):
+        return any(w.startswith("comment") for w in words)
+    if words & WORDS or ("header" in words and not inside):
+        return True
+    return any(w.startswith(BEGINNINGS) or w.endswith(ENDINGS) for w in words)
 
 
 def parse(page: str | None) -> Node:
