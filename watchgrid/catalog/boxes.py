@@ -211,6 +211,15 @@ _PIXELS = {
 }
 
 
+CUTOFFS = (40, 60, 80, 100, 120)
+_GREYS = (
+    "SELECT image_id, det_seq, "
+    + ", ".join(f"sum(CASE WHEN saturation <= {c} AND value >= 50 THEN w ELSE 0 END) / sum(w) AS g{c}" for c in CUTOFFS)
+    + """ FROM (SELECT f.*, saturation, value, least(x1, bx2) - greatest(x0, bx1) AS w FROM fitted f JOIN pixels p USING (image_id) WHERE y >= by1 AND y < by2)
+        WHERE w > 0 GROUP BY ALL"""
+)
+
+
 def pixels(spark, sf_dir):
     return fx.lines(spark, sf_dir).select(
         F.col("k").alias("image_id"), (F.col("n").cast("long") * 4).alias("y"), (F.col("pk") % 100).alias("x0"),
@@ -598,14 +607,14 @@ def e06(spark, sf_dir):
             f"""SELECT '{name}' AS prior, tp, fp, fn, tn, {_BETAS} FROM (SELECT *, {_RATES} FROM (
               SELECT count(*) FILTER (a AND t) AS tp, count(*) FILTER (a AND NOT t) AS fp, count(*) FILTER (NOT a AND t) AS fn, count(*) FILTER (NOT a AND NOT t) AS tn
               FROM (SELECT image_id IN (SELECT image_id FROM {source}) AS a, image_id IN (SELECT image_id FROM truth) AS t FROM images)))"""
-            for name, source in (("colour off", "pred"), ("S<=40", "grey WHERE grey_fraction >= 0.1"))
+            for name, source in [("colour off", "pred"), *[(f"S<={c}", f"greys WHERE g{c} >= 0.1") for c in CUTOFFS]]
         ),
-        "lines", "boxes", "pred", "images", extra={**_SWEEP_TRUTH, **_PIXELS},
+        "lines", "boxes", "pred", "images", extra={**_SWEEP_TRUTH, **_PIXELS, "greys": _GREYS},
     ),
 )
 def e07(spark, sf_dir):
     rows = experiments.colour_prior_stills(
-        flat_predictions(spark, sf_dir), pixels(spark, sf_dir), sweep_truth(spark, sf_dir), fx.images(spark, sf_dir), cutoffs=(40,)
+        flat_predictions(spark, sf_dir), pixels(spark, sf_dir), sweep_truth(spark, sf_dir), fx.images(spark, sf_dir), cutoffs=CUTOFFS
     )
     return rounded(rows, *_METRICS)
 

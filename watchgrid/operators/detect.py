@@ -86,29 +86,51 @@ def attach_water_context(det: DataFrame, readings: DataFrame) -> DataFrame:
     return det.join(context, ["camera_id", "frame_index"])
 
 
-def grey_fraction(boxes: DataFrame, pixels: DataFrame, cut: int, min_value: int = 50, keys=("camera_id", "frame_index")) -> DataFrame:
-    """Share of a box's pixels that are bright and hardly saturated. ``pixels``: keys, y, x0, x1, saturation, value as
-    horizontal runs. Boxes without an overlapping pixel get no share and fail the test."""
+#: Pixel rows in one band; boxes and pixel runs meet by frame and band.
+_BAND_ROWS = 32
+
+
+def grey_fractions(
+    boxes: DataFrame, pixels: DataFrame, cuts: Sequence[int], min_value: int = 50, keys=("camera_id", "frame_index")
+) -> DataFrame:
+    """Share of a box's pixels that are bright and hardly saturated, for every saturation cut at once (``grey_<cut>``).
+    ``pixels``: keys, y, x0, x1, saturation, value as horizontal runs. Boxes without an overlapping pixel have no row."""
     wide = F.least(F.col("x1p"), F.col("bx2")) - F.greatest(F.col("x0p"), F.col("bx1"))
-    runs = pixels.select(*keys, F.col("y").alias("yp"), F.col("x0").alias("x0p"), F.col("x1").alias("x1p"), "saturation", "value")
+    runs = pixels.select(
+        *keys,
+        F.col("y").alias("yp"),
+        F.col("x0").alias("x0p"),
+        F.col("x1").alias("x1p"),
+        "saturation",
+        "value",
+        F.floor(F.col("y") / _BAND_ROWS).cast("long").alias("_band"),
+    )
     clipped = boxes.select(
         *keys,
         "det_seq",
         *[F.bround(F.col(n), 0).cast("long").alias(f"b{n}") for n in ("x1", "y1", "x2", "y2")],
-    )
+    ).filter("by2 > by1")
+    bands = F.sequence(F.floor(F.col("by1") / _BAND_ROWS), F.floor((F.col("by2") - 1) / _BAND_ROWS))
+    banded = clipped.withColumn("_band", F.explode(bands.cast("array<bigint>")))
     inside = (F.col("yp") >= F.col("by1")) & (F.col("yp") < F.col("by2")) & (wide > 0)
-    grey = (F.col("saturation") <= cut) & (F.col("value") >= min_value)
-    return (
-        clipped.join(runs, list(keys))
-        .filter(inside)
-        .groupBy(*keys, "det_seq")
-        .agg((F.sum(F.when(grey, wide).otherwise(0)) / F.sum(wide)).alias("grey_fraction"))
-    )
+
+    def share(cut: int) -> Column:
+        grey = (F.col("saturation") <= cut) & (F.col("value") >= min_value)
+        return (F.sum(F.when(grey, wide).otherwise(0)) / F.sum(wide)).alias(f"grey_{cut}")
+
+    met = banded.join(runs, [*keys, "_band"]).filter(inside)
+    return met.groupBy(*keys, "det_seq").agg(*[share(cut) for cut in cuts])
+
+
+def grey_fraction(boxes: DataFrame, pixels: DataFrame, cut: int, min_value: int = 50, keys=("camera_id", "frame_index")) -> DataFrame:
+    """``grey_fractions`` at one cut. Boxes without an overlapping pixel get no share and fail the test."""
+    return grey_fractions(boxes, pixels, [cut], min_value, keys).withColumnRenamed(f"grey_{cut}", "grey_fraction")
 
 
-def passes_grey(boxes: DataFrame, pixels: DataFrame, cut: int, min_fraction: float = 0.10, keys=("camera_id", "frame_index")) -> DataFrame:
-    shares = grey_fraction(boxes, pixels, cut, keys=keys).filter(F.col("grey_fraction") >= min_fraction)
-    return boxes.join(shares.select(*keys, "det_seq"), [*keys, "det_seq"], "left_semi")
+def passes_grey(boxes: DataFrame, shares: DataFrame, cut: int, min_fraction: float = 0.10, keys=("camera_id", "frame_index")) -> DataFrame:
+    """The boxes whose share at the cut (from ``grey_fractions``) is large enough."""
+    enough = shares.filter(F.col(f"grey_{cut}") >= min_fraction)
+    return boxes.join(enough.select(*keys, "det_seq"), [*keys, "det_seq"], "left_semi")
 
 
 # Geometry between boxes of one frame.

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from watchgrid.operators import metrics, reports
 from watchgrid.operators.cascade import ValidatorConfig
-from watchgrid.operators.detect import passes_grey
+from watchgrid.operators.detect import grey_fractions, passes_grey
 from watchgrid.operators.overlap import merge_tiles
 from watchgrid.operators.sampling import camera_folds
 from watchgrid.operators.validator import validate
@@ -289,8 +289,9 @@ def colour_prior_stills(
 ) -> DataFrame:
     """Image-level confusion with and without a prior on achromatic boxes, per saturation cut."""
     rows = [metrics.image_confusion(det, truth, images, keys).withColumn("prior", F.lit("colour off"))]
+    shares = cut_lineage(grey_fractions(det, pixels, cutoffs, keys=tuple(keys)))
     for cut in cutoffs:
-        kept = passes_grey(det, pixels, cut, keys=tuple(keys))
+        kept = passes_grey(det, shares, cut, keys=tuple(keys))
         rows.append(metrics.image_confusion(kept, truth, images, keys).withColumn("prior", F.lit(f"S<={cut}")))
     out = rows[0]
     for row in rows[1:]:
@@ -310,7 +311,9 @@ def colour_prior_sequences(
     numbered densely (``frame_no``), since the prior empties frames that still count."""
     config = ValidatorConfig("cascade", min_confidence=0.20, min_frames=3, enable_cooldown=False)
     arms_: list[tuple[str, DataFrame]] = [("colour off", det)]
-    arms_ += [(f"S<={cut}", passes_grey(det, pixels, cut, keys=(*keys, "frame_index"))) for cut in cutoffs]
+    box_keys = (*keys, "frame_index")
+    shares = cut_lineage(grey_fractions(det, pixels, cutoffs, keys=box_keys))
+    arms_ += [(f"S<={cut}", passes_grey(det, shares, cut, keys=box_keys)) for cut in cutoffs]
     out = None
     for name, rows in arms_:
         alarms, _ = arms(rows, frames, [config], keys, raw_floor=None, **options)
