@@ -78,23 +78,22 @@ def pointer_tables(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     alone = nodes.select("tree", "node")
     known = _met(nodes.select("tree", "node", "parent", "score"), alone, "parent", "left")
     state = cut_lineage(known.select("tree", "node", F.col("node_r").alias("up"), F.col("score").cast("double").alias("total"), F.lit(1).cast("long").alias("length")))
-    size = state.count()
-    found, done = [], state.where("up IS NULL")
-    moving = cut_lineage(state.where("up IS NOT NULL"))
-    while not moving.isEmpty() and 2 ** len(found) <= size:
+    size, found = state.count(), []
+    tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    while True:
+        moving = state.where("up IS NOT NULL")
+        if 2 ** len(found) > size or moving.isEmpty():
+            return found, state.where("up IS NULL").select("tree", "node", "total", "length")
         found.append(moving.select("tree", "node", "up"))
         # Only messages that have not reached their root yet are joined again.
-        state = _met(moving, done.union(moving), "up").select(
+        further = _met(moving, state, "up").select(
             "tree",
             "node",
             F.col("up_r").alias("up"),
             (F.col("total") + F.col("total_r")).alias("total"),
             (F.col("length") + F.col("length_r")).alias("length"),
         )
-        state = cut_lineage(state)
-        done = done.union(state.where("up IS NULL"))
-        moving = state.where("up IS NOT NULL")
-    return found, done.select("tree", "node", "total", "length")
+        state = cut_lineage(state.where("up IS NULL").union(further).coalesce(tasks))
 
 
 def best_paths(nodes: DataFrame, branches: int | None = 1) -> DataFrame:
@@ -108,15 +107,18 @@ def best_paths(nodes: DataFrame, branches: int | None = 1) -> DataFrame:
         chosen = chosen.where(F.col("branch") <= branches)
     path = cut_lineage(chosen.select("tree", "branch", (F.col("length") - 1).alias("depth"), "node"))
     for k in range(len(tables) - 1, -1, -1):
-        higher = _met(path, tables[k], "node").select("tree", "branch", (F.col("depth") - 2**k).alias("depth"), F.col("up_r").alias("node"))
-        path = cut_lineage(path.union(higher))
+        here, above = F.struct("depth", "node"), F.struct((F.col("depth") - 2**k).alias("depth"), F.col("up_r").alias("node"))
+        both = F.when(F.col("up_r").isNull(), F.array(here)).otherwise(F.array(here, above))
+        found = _met(path, tables[k], "node", "left").select("tree", "branch", F.explode(both).alias("at"))
+        path = cut_lineage(found.select("tree", "branch", "at.depth", "at.node"))
     return path
 
 
 def format_conversations(nodes: DataFrame, branches: int | None = 1) -> DataFrame:
     """Per chosen path: ``tree``, ``branch``, ``formatted`` and ``loss_mask``; nodes have tree, node, parent, score, role, text."""
     nodes = cut_lineage(nodes.select("tree", "node", "parent", "score", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")))
-    said = _met(best_paths(nodes, branches), nodes, "node").select("tree", "branch", F.struct("depth", F.col("role_r").alias("role"), F.col("text_r").alias("text")).alias("turn"))
+    shape = cut_lineage(nodes.select("tree", "node", "parent", "score"))
+    said = _met(best_paths(shape, branches), nodes, "node").select("tree", "branch", F.struct("depth", F.col("role_r").alias("role"), F.col("text_r").alias("text")).alias("turn"))
     turns = said.groupBy("tree", "branch").agg(F.sort_array(F.collect_list("turn")).alias("turns"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
