@@ -25,6 +25,16 @@ def test_main_text_of_single_pages():
     assert text_of("<div>" * 3000 + "deep" + "</div>" * 3000) == "deep"
 
 
+def test_all_marks_count_and_a_small_one_never_hides_the_rest():
+    words = " ".join(f"w{i}" for i in range(100))
+    assert text_of(f"<main><h1>T</h1><p>{words}</p><article class='card'>x y</article></main>") == f"T {words} x y"
+    assert text_of("<article>A b c</article><p>x</p><article>D</article>") == "A b c D"
+    assert text_of("<main><h1>Head</h1><article>One two three four</article></main>") == "Head One two three four"
+    assert text_of(f"<div>{words}</div><article>x y</article>") == f"{words} x y"
+    assert text_of("<p>Text</p><ul><li><a>one</a></li><li><a>two</a></li></ul><p>see <a>this long page</a>") == "Text one two see this long page"
+    assert text_of("<div>" * 3000 + "deep" + "</div>" * 3000) == "deep"
+
+
 def tree(rng, depth):
     node = Node("x", rng.choice("ab"), False)
     node.children = [tree(rng, depth - 1) for _ in range(rng.randrange(4))] if depth else []

@@ -6,7 +6,8 @@ children is found by dynamic programming, after equal subtrees at both ends have
 the host, a reference node whose text is the same in every page that has it is a constant node and becomes template; nodes
 whose text varies are content slots. A constant node needs the support of many different pages, so copies of one article
 do not make it template. What the slots cannot tell apart (menus and adverts vary too) is decided by the element: its
-tag, its role and the words of its class and id. Where a page marks an article, only slots inside it count.
+tag, its role and the words of its class and id. Where a page marks its content, only slots inside the marks count; all
+outermost marks do, in page order, unless they hold less than half of the page's text.
 
 Only one small row per (host, node, text) is shuffled to find the constants. Reference trees, one per host, go to every
 executor if they measure less than a fixed number of bytes; beyond it pages and trees are shuffled by host, with the same
@@ -266,13 +267,16 @@ def _blocks(node: Node, template: set[int], out: list[str]) -> None:
     flush()
 
 
-def _words_below(node: Node) -> int:
-    found: list[str] = []
-    _blocks(node, set(), found)
-    return sum(len(b.split()) for b in found)
+def _words(blocks: list[str]) -> int:
+    return sum(len(b.split()) for b in blocks)
 
 
-def main_text(root: Node, template: set[int]) -> str:
+def main_text(root: Node, template: set[int], navigation: set[int] | None = None) -> str:
+    """The text of all content marks, or of the whole page where the marks hold less than the rest of it.
+
+    ``navigation`` has the nodes that alignment shows to be lists of links; they go from pages without marks. None says that
+    the page was aligned with nothing; then bare containers of nothing but links go.
+    """
     marked, todo = [], [root]
     while todo:
         node = todo.pop()
@@ -280,22 +284,16 @@ def main_text(root: Node, template: set[int]) -> str:
             continue
         if node.tag in ("article", "main"):
             marked.append(node)
-        todo += node.children[::-1]
-    if marked:
-        # The innermost mark that holds most of what its surroundings hold; the first of equals.
-        weights = [(_words_below(n), n) for n in marked]
-        most = max(w for w, _ in weights)
-        best = [n for w, n in weights if w == most][-1]
-        inner = [(w, n) for w, n in weights if n.tag == "article" and w]
-        if best.tag == "main" and inner:
-            best = max(inner, key=lambda p: p[0])[1]
-        out: list[str] = []
-        _blocks(best, template, out)
-        return " ".join(out)
-    linked = {id(n) for n in in_order(root) if n.linked and 2 * n.linked > len(n.own_text().split())}
-    out = []
-    _blocks(root, template | linked, out)
-    return " ".join(out)
+        else:
+            todo += node.children[::-1]
+    out: list[str] = []
+    for node in marked:
+        _blocks(node, template, out)
+    if navigation is None:
+        navigation = {id(n) for n in in_order(root) if n.linked and n.tag == "div" and n.linked == len(n.own_text().split())}
+    whole: list[str] = []
+    _blocks(root, template | navigation, whole)
+    return " ".join(out if 2 * _words(out) >= _words(whole) and out else whole)
 
 
 def _host(pages: DataFrame) -> DataFrame:
@@ -377,11 +375,12 @@ def extract(pages: DataFrame) -> DataFrame:
         for batch in batches:
             texts = []
             for page, reference, fixed in zip(*[batch.column(i).to_pylist() for i in (2, 3, 4)]):
-                root, constant = parse(page), set()
+                root, constant, navigation = parse(page), set(), None
                 if reference is not None:
+                    navigation = set()
                     numbers = set(fixed)
                     constant = {id(node) for node, number in wrapper.matched(reference, root) if number in numbers}
-                texts.append(main_text(root, constant))
+                texts.append(main_text(root, constant, navigation))
             columns = [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "text", "n_chars"])
 
