@@ -35,6 +35,24 @@ def test_all_marks_count_and_a_small_one_never_hides_the_rest():
     assert text_of("<div>" * 3000 + "deep" + "</div>" * 3000) == "deep"
 
 
+def test_names_of_furniture_are_whole_words_and_yield_to_running_text():
+    words = " ".join(f"w{i}" for i in range(100))
+    for name in ("threads", "downloads", "heads", "roads", "uploads", "commentary", "elementor-widget"):
+        assert text_of(f"<article>A<div class='{name}'>B</div></article>") == "A B"
+        assert text_of(f"<div class='{name}'><p>B</p></div>") == "B"
+    assert text_of("<article class='comment'>Leader</article>") == text_of("<main class='comments'>Leader</main>") == "Leader"
+    for name in ("related", "share", "alert", "notice", "search", "widget"):
+        assert text_of(f"<article>A<section class='{name}'><h2>H</h2><p>{words}</p></section></article>") == f"A H {words}"
+        assert text_of(f"<article>A<section class='{name}'><p>few words</p></section></article>") == "A"
+        assert text_of(f"<article>A<section class='{name}'><p><a>{words}</a></p></section></article>") == "A"
+    assert text_of(f"<article>A<div class='comments'><article class='comment'>{words}</article></div><div class='ad'>{words}</div></article>") == "A"
+    assert text_of("<div class='has-sidebar'><main>Text</main><div class='sidebar'>S</div></div>") == "Text"
+    assert text_of(f"<div>{words}</div><div class='sidebar'><article>Teaser</article></div>") == words
+    # Constant running text below a name is template, so it does not overrule.
+    page = parse(f"<article>A<div class='notice'><p>{words}</p></div></article>")
+    assert main_text(page, {id(n) for n in in_order(page) if n.tag == "p"}) == "A"
+
+
 def tree(rng, depth):
     node = Node("x", rng.choice("ab"), False)
     node.children = [tree(rng, depth - 1) for _ in range(rng.randrange(4))] if depth else []

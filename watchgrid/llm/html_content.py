@@ -6,7 +6,8 @@ children is found by dynamic programming, after equal subtrees at both ends have
 the host, a reference node whose text is the same in every page that has it is a constant node and becomes template; nodes
 whose text varies are content slots. A constant node needs the support of many different pages, so copies of one article
 do not make it template. What the slots cannot tell apart (menus and adverts vary too) is decided by the element: its
-tag, its role and the words of its class and id. Where a page marks its content, only slots inside the marks count; all
+tag, its role and the whole words of its class and id; inside an article, much running text that varies overrules most names,
+and marks that lie below named elements and hold most of the page free those. Where a page marks its content, only slots inside the marks count; all
 outermost marks do, in page order, unless they hold less than half of the page's text.
 
 Only one small row per (host, node, text) is shuffled to find the constants. Reference trees, one per host, go to every
@@ -44,14 +45,22 @@ INLINE = {
 }
 FURNITURE = {"nav", "footer", "aside", "form", "button", "select", "option", "label", "noscript", "template", "svg", "head", "dialog", "menu", "object", "canvas", "audio", "video"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "form"}
-WORDS = {
-    "ad", "ads", "advert", "advertisement", "adverts", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie",
-    "cookies", "disqus", "footer", "login", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "pagination",
-    "popup", "promo", "promoted", "promotion", "related", "replies", "reply", "search", "share", "sharing", "sidebar", "signup", "social",
-    "alert", "disclaimer", "gdpr", "paywall", "sponsor", "sponsored", "subscribe", "toast", "toolbar", "topbar", "widget",
+#: Whole words of class and id. What carries a FIRM word is never main text; of the others, running text inside an article decides.
+FIRM = {
+    "ad", "adbox", "ads", "adsbygoogle", "adsense", "adslot", "adunit", "advert", "advertisement", "advertisements", "advertising", "adverts",
+    "comment", "commentform", "commentlist", "comments", "disqus", "replies",
 }
-BEGINNINGS = ("advert", "breadcrumb", "comment", "cookie", "footer", "navbar", "newsletter", "promo", "sidebar", "sponsor")
-ENDINGS = ("ads", "comments", "footer", "menu", "nav", "sidebar")
+WORDS = FIRM | {
+    "banner", "breadcrumb", "breadcrumbs", "consent", "cookie", "cookies", "footer", "login", "menu", "modal", "nav", "navbar", "navigation",
+    "navmenu", "newsletter", "notice", "notices", "pagination", "popup", "promo", "promoted", "promotion", "promotions", "related", "reply",
+    "search", "share", "sharing", "sidebar", "sidebars", "sidenav", "signup", "sitefooter", "social", "subfooter", "submenu", "subnav",
+    "alert", "disclaimer", "gdpr", "paywall", "sponsor", "sponsored", "sponsors", "subscribe", "toast", "toolbar", "topbar", "topnav",
+}
+#: Running text: blocks of so many words without links; so many of them inside an article overrule a name.
+LEAST_BLOCK = 10
+MUCH_TEXT = 40
+#: Kinds of furniture.
+BY_NAME, FIRMLY = 1, 2
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 _TOKEN = re.compile(
@@ -65,7 +74,7 @@ _END = {tag: re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.IGNORECASE) for tag in RA
 class Node:
     __slots__ = ("tag", "label", "parts", "children", "furniture", "shape", "size", "linked")
 
-    def __init__(self, tag: str, label: str, furniture: bool):
+    def __init__(self, tag: str, label: str, furniture: int):
         self.tag, self.label, self.furniture = tag, label, furniture
         self.parts: list = []
         self.children: list[Node] = []
@@ -75,22 +84,26 @@ class Node:
         return " ".join(html.unescape("".join(p if isinstance(p, str) else " " for p in self.parts)).split())
 
 
-def _furniture(tag: str, attributes: dict[str, str], inside: bool) -> bool:
+def _furniture(tag: str, attributes: dict[str, str], inside: bool, in_article: bool) -> int:
     if tag in FURNITURE or (tag == "header" and not inside) or attributes.get("role", "").lower() in ROLES:
-        return True
+        return FIRMLY
     if not attributes or tag in ("html", "body"):
-        return False
-    words = {w.lower() for w in _NAME.findall(attributes.get("class", "") + " " + attributes.get("id", ""))}
-    if tag in ("article", "main"):
-        return any(w.startswith("comment") for w in words)
-    if words & WORDS or ("header" in words and not inside):
-        return True
-    return any(w.startswith(BEGINNINGS) or w.endswith(ENDINGS) for w in words)
+        return 0
+    names = attributes.get("class", "") + " " + attributes.get("id", "")
+    words = {w.lower() for w in _NAME.findall(names)}
+    if tag in ("article", "main"):  # a mark of content, but readers' comments are articles inside the article
+        return FIRMLY if in_article and words & {"comment", "comments"} else 0
+    if words & FIRM:
+        return FIRMLY
+    # Page builders wrap all content in "builder-widget"; sidebars say "widget" or "widget_name".
+    if words & WORDS or ("header" in words and not inside) or any(n.lower().startswith("widget") for n in names.split()):
+        return BY_NAME
+    return 0
 
 
 def parse(page: str | None) -> Node:
     """The tree of block elements; inline elements only add to their block's text."""
-    root = Node("#", "#", False)
+    root = Node("#", "#", 0)
     stack, page, at, links, landmarks = [root], page or "", 0, 0, 0
     while match := _TOKEN.search(page, at):
         if match.start() > at:
@@ -121,7 +134,8 @@ def parse(page: str | None) -> Node:
             stack[-1].parts.append(" " if tag in ("br", "hr") else "")
             continue
         attributes = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(match[3])} if match[3] else {}
-        furniture = _furniture(tag, attributes, landmarks > 0)
+        in_article = landmarks > 0 and bool(attributes) and any(n.tag == "article" for n in stack)
+        furniture = _furniture(tag, attributes, landmarks > 0, in_article)
         if tag in INLINE and not furniture:
             links = links or int(tag == "a")
             continue
@@ -169,7 +183,7 @@ def from_outline(text: str) -> Node:
     stack: list[Node] = []
     for line in text.split("\n"):
         depth, label = line.split("\t", 1)
-        node = Node(label.split(".")[0], label, False)
+        node = Node(label.split(".")[0], label, 0)
         del stack[int(depth) :]
         if stack:
             stack[-1].children.append(node)
@@ -267,6 +281,50 @@ def _blocks(node: Node, template: set[int], out: list[str]) -> None:
     flush()
 
 
+def _running(node: Node, template: set[int]) -> int:
+    """Words of running text below a node that are neither template nor firm furniture nor links."""
+    total, todo = 0, [node]
+    while todo:
+        item = todo.pop()
+        if item.furniture < FIRMLY:
+            words = 0 if id(item) in template else len(item.own_text().split()) - item.linked
+            total += words if words >= LEAST_BLOCK else 0
+            todo += item.children
+    return total
+
+
+def _overrule(root: Node, template: set[int]) -> None:
+    """Clear names that running text contradicts: inside a mark by how much varies, around the marks if all are below names."""
+    named, clear, todo = [], 0, [(root, False, ())]
+    while todo:
+        node, inside, above = todo.pop()
+        if node.furniture == FIRMLY:
+            continue
+        if node.furniture:
+            if inside and _running(node, template) >= MUCH_TEXT:
+                node.furniture = 0
+            elif not inside:
+                above = (*above, node)
+            else:
+                continue
+        if node.tag in ("article", "main"):
+            inside = True
+            clear += not above
+            named += above
+        todo += [(c, inside, above) for c in node.children]
+    if named and not clear:
+        counts = []
+        for furniture in (BY_NAME, 0):
+            for node in named:
+                node.furniture = furniture
+            blocks: list[str] = []
+            _blocks(root, template, blocks)
+            counts.append(_words(blocks))
+        if counts[1] < 2 * counts[0]:
+            for node in named:
+                node.furniture = BY_NAME
+
+
 def _words(blocks: list[str]) -> int:
     return sum(len(b.split()) for b in blocks)
 
@@ -277,6 +335,7 @@ def main_text(root: Node, template: set[int], navigation: set[int] | None = None
     ``navigation`` has the nodes that alignment shows to be lists of links; they go from pages without marks. None says that
     the page was aligned with nothing; then bare containers of nothing but links go.
     """
+    _overrule(root, template)
     marked, todo = [], [root]
     while todo:
         node = todo.pop()
@@ -347,7 +406,7 @@ def constants(pages: DataFrame) -> DataFrame:
                 whole = xxhash.xxh64_intdigest(" ".join(n.own_text() for n in in_order(root))) >> 1
                 seen[host, -1, 0, whole] += 1
                 for node, number in wrapper.matched(reference, root):
-                    if not node.furniture and (text := node.own_text()):
+                    if node.furniture < FIRMLY and (text := node.own_text()):
                         seen[host, number, xxhash.xxh64_intdigest(text) >> 1, whole] += 1
             keys = list(seen)
             columns = [pa.array([k[i] for k in keys], kind) for i, kind in enumerate((pa.string(), pa.int32(), pa.int64(), pa.int64()))]
