@@ -1,4 +1,5 @@
 import random
+import re
 from functools import lru_cache
 
 from watchgrid.llm.html_content import Node, _shape, align, extract, from_outline, in_order, main_text, outline, parse
@@ -103,3 +104,26 @@ def test_constant_nodes_become_template_and_copies_do_not(spark):
     assert {i: found[i] for i in want} == want
     assert found[100].startswith("Once ") and found[200] == "" and found[201] == "x"
     assert extract(pages.limit(0)).count() == 0
+
+
+def test_each_layout_has_its_template_and_one_odd_page_does_not_cancel_it(spark):
+    rng = random.Random(3)
+    say = lambda: " ".join(rng.choice(["lorem", "ipsum", "dolor"]) + str(rng.randrange(999)) for _ in range(12))
+    rows, want = [], {}
+    for i in range(40):  # two layouts at half each; every tenth page has another line at the top, the year changes
+        body = [say() for _ in range(rng.randrange(1, 5))]
+        paragraphs = "".join(f"<p>{b}</p>" for b in body)
+        top, year = "Sale" if i % 20 == 7 else "Welcome to us", 2020 + i % 5
+        one = f"<body><div>{top}</div>{paragraphs}<div>© {year} Host</div></body>"
+        other = f"<body><table><tr><td>Top</td></tr></table><section>{paragraphs}</section><section class=x>© {year} Host</section></body>"
+        rows.append((i, "http://two.example/x", one if i % 2 else other))
+        want[i] = ("Sale " if i % 20 == 7 else "") + " ".join(body)
+    rows.append((50, "http://two.example/x", "<body><main>Lone layout</main></body>"))
+    want[50] = "Lone layout"
+    for i in range(60, 70):  # the same menu of varying links on all pages; the list of links in the text of one page stays
+        links = "".join(f"<li><a>{say()}</a></li>" for _ in range(3)) if i == 60 else ""
+        text = say()
+        rows.append((i, "http://links.example/x", f"<body><div><a>{say()}</a></div><p>{text}</p><ul>{links}</ul><div>Fixed</div></body>"))
+        want[i] = " ".join([text, *re.findall("<li><a>(.*?)</a>", links)])
+    got = extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()
+    assert {r.page_id: r.text for r in got} == want

@@ -1,18 +1,20 @@
 """Main text of web pages by wrapper induction.
 
-Pages become trees of block elements. For each host one page (by hash) is the reference; every page of the host is aligned
-with it by simple tree matching: two nodes match if their labels agree, and the best order-preserving matching of their
-children is found by dynamic programming, after equal subtrees at both ends have been matched outright. Over all pages of
-the host, a reference node whose text is the same in every page that has it is a constant node and becomes template; nodes
-whose text varies are content slots. A constant node needs the support of many different pages, so copies of one article
-do not make it template. What the slots cannot tell apart (menus and adverts vary too) is decided by the element: its
-tag, its role and the whole words of its class and id; inside an article, much running text that varies overrules most names,
-and marks that lie below named elements and hold most of the page free those. Where a page marks its content, only slots inside the marks count; all
-outermost marks do, in page order, unless they hold less than half of the page's text.
-
-Only one small row per (host, node, text) is shuffled to find the constants. Reference trees, one per host, go to every
-executor if they measure less than a fixed number of bytes; beyond it pages and trees are shuffled by host, with the same
-result, and adaptive execution splits the pages of a large host.
+Pages become trees of block elements. The pages of a host fall into layouts by the outline of their containers, and one page
+of each layout (by hash) is its reference; layouts of too few pages are aligned with the commonest one of their host. Every
+page is aligned with its reference by simple tree matching: two nodes match if their labels agree, and the best
+order-preserving matching of their children is found by dynamic programming, after equal subtrees at both ends have been
+matched outright. A text that stands at one reference node in most pages of the layout becomes template there; other texts
+of that node, and nodes whose text varies, are content. A template text needs the support of many different pages, so copies
+of one article do not make it template. What the slots cannot tell apart (menus and adverts vary too) is decided by the
+element: its tag, its role and the whole words of its class and id; inside an article, much running text that varies
+overrules most names, and marks that lie below named elements and hold most of the page free those. Where a page marks its
+content, only slots inside the marks count; all outermost marks do, in page order, unless they hold less than half of the
+page's text.
+
+Only one small row per (host, layout, node, text, page) is shuffled to find the template. Reference trees, one per layout, go
+to every executor if they measure less than a fixed number of bytes; beyond it pages and trees are shuffled by host and layout,
+with the same result, and adaptive execution splits the pages of a large host.
 
 Defined results: null, empty and tag-free inputs give their own text or none; a null URL is a host of its own; a truncated
 tag at the end is markup; repeated pages are extracted one by one; columns other than those named are ignored.
@@ -22,17 +24,16 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from watchgrid.llm.common import sent_if_small
 from watchgrid.session import cut_lineage
 
-#: A constant node is seen in so many different pages at least, and in this share of its host's pages.
+#: A template text is seen in so many different pages at least, and in this share of its layout's pages.
 LEAST_PAGES = 5
 LEAST_SHARE = 0.8
 
@@ -68,6 +69,12 @@ _TOKEN = re.compile(
 )
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+#: What outlines a layout: opening and closing tags of containers, with their classes.
+_CONTAINER = r"(?i)</?(?:div|section|article|main|header|footer|nav|aside|form|table|center|body)\b[^>]*>"
+_CLASS = r"(?i)\sclass\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)"
+_YEARS = re.compile(r"((?:©|\(c\)|\bcopyright\b)\D{0,20})(?:19|20)\d\d(?:\s*[-–]\s*(?:19|20)\d\d)?", re.IGNORECASE)
+#: In place of the hash of a text: a block of nothing but links.
+LINKS = -2
 _END = {tag: re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.IGNORECASE) for tag in RAW}
 
 
@@ -329,6 +336,15 @@ def _words(blocks: list[str]) -> int:
     return sum(len(b.split()) for b in blocks)
 
 
+def _only_links(node: Node) -> bool:
+    return node.linked > 0 and node.linked == len(node.own_text().split())
+
+
+def _text_key(text: str) -> int:
+    """A hash of a block's text that ignores the year of a copyright line."""
+    return xxhash.xxh64_intdigest(_YEARS.sub(r"\1", text)) >> 1
+
+
 def main_text(root: Node, template: set[int], navigation: set[int] | None = None) -> str:
     """The text of all content marks, or of the whole page where the marks hold less than the rest of it.
 
@@ -349,7 +365,7 @@ def main_text(root: Node, template: set[int], navigation: set[int] | None = None
     for node in marked:
         _blocks(node, template, out)
     if navigation is None:
-        navigation = {id(n) for n in in_order(root) if n.linked and n.tag == "div" and n.linked == len(n.own_text().split())}
+        navigation = {id(n) for n in in_order(root) if n.tag == "div" and _only_links(n)}
     whole: list[str] = []
     _blocks(root, template | navigation, whole)
     return " ".join(out if 2 * _words(out) >= _words(whole) and out else whole)
@@ -360,24 +376,57 @@ def _host(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host.alias("host"))
 
 
+def _outline_hash(html: Column) -> Column:
+    """A hash of the set of neighbouring container tags, so how often one is repeated in a row does not matter."""
+
+    def name(tag: Column) -> Column:
+        return F.concat_ws(" ", F.regexp_extract(tag, r"^</?\w+", 0), F.regexp_replace(F.regexp_extract(tag, _CLASS, 1), r"[\"'\d]+", ""))
+
+    names = F.transform(F.regexp_extract_all(html, F.lit(_CONTAINER), F.lit(0)), lambda tag: F.lower(name(tag)))
+    # After a closing tag comes its own kind again when a container is repeated; closing tags carry no class.
+    pairs = F.zip_with(names, F.slice(names, 2, 1 << 30), lambda a, b: F.concat_ws(">", a, b))
+    once = F.filter(pairs, lambda pair: ~pair.rlike(r"^</(\w+) ?><\1\b"))
+    return F.xxhash64(F.array_sort(F.array_distinct(once)))
+
+
+def layouts(pages: DataFrame) -> DataFrame:
+    """Add ``layout``, ``own`` (the page has that very outline) and ``votes`` (it helps to find the layout's template)."""
+    outlined = pages.withColumn("outline", _outline_hash(F.col("html")))
+    different = outlined.select("host", "outline", F.xxhash64("html").alias("page")).distinct()
+    sizes = cut_lineage(different.groupBy("host", "outline").agg(F.count("*").alias("n")))
+    large = sizes.where(F.col("n") >= LEAST_PAGES).select(F.col("host").alias("large_host"), F.col("outline").alias("large"))
+    most = F.max(F.struct("n", "outline"))
+    usual = sizes.groupBy(F.col("host").alias("usual_host")).agg(most.alias("usual"))
+    known = outlined.join(sent_if_small(cut_lineage(usual)), F.col("host") == F.col("usual_host"))
+    known = known.join(sent_if_small(cut_lineage(large)), (F.col("host") == F.col("large_host")) & (F.col("outline") == F.col("large")), "left")
+    layout = F.coalesce("large", "usual.outline")
+    votes = F.col("large").isNotNull() | (F.col("usual.n") < LEAST_PAGES)
+    return known.select("page_id", "url", "html", "host", layout.alias("layout"), (F.col("outline") == layout).alias("own"), votes.alias("votes"))
+
+
+def _same_layout() -> Column:
+    return (F.col("host") == F.col("of_host")) & (F.col("layout") == F.col("of_layout"))
+
+
 def references(pages: DataFrame) -> DataFrame:
-    """``of_host``, ``reference``: the outline of one page of each host, chosen by hash."""
-    marked = pages.withColumn("mark", F.xxhash64("page_id", "url"))
-    first = marked.groupBy(F.col("host").alias("of_host")).agg(F.min("mark").alias("of_mark"))
+    """``of_host``, ``of_layout``, ``reference``: the outline of one page of each layout, chosen by hash."""
+    marked = pages.where("own").withColumn("mark", F.xxhash64("page_id", "url"))
+    first = marked.groupBy(F.col("host").alias("of_host"), F.col("layout").alias("of_layout")).agg(F.min("mark").alias("of_mark"))
     first = sent_if_small(cut_lineage(first))
-    chosen = marked.join(first, (F.col("host") == F.col("of_host")) & (F.col("mark") == F.col("of_mark")))
+    chosen = marked.join(first, _same_layout() & (F.col("mark") == F.col("of_mark")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [outline(parse(page)) for page in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.string())], names=["of_host", "reference"])
+            made = [outline(parse(page)) for page in batch.column(2).to_pylist()]
+            names = ["of_host", "of_layout", "reference"]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.string())], names=names)
 
-    outlines = chosen.select("of_host", "html").mapInArrow(run, "of_host string, reference string")
-    return outlines.groupBy("of_host").agg(F.min("reference").alias("reference"))  # pages may be repeated
+    outlines = chosen.select("of_host", "of_layout", "html").mapInArrow(run, "of_host string, of_layout long, reference string")
+    return outlines.groupBy("of_host", "of_layout").agg(F.min("reference").alias("reference"))  # pages may be repeated
 
 
 class Wrapper:
-    """Reference trees by host, parsed once each and kept while few."""
+    """Reference trees by layout, parsed once each and kept while few."""
 
     def __init__(self) -> None:
         self._trees: dict[str, tuple[Node, dict[int, int]]] = {}
@@ -394,55 +443,83 @@ class Wrapper:
         return [(node, numbers[id(other)]) for node, other in align(root, tree)]
 
 
+def _hidden(root: Node) -> set[int]:
+    """Nodes that no rule makes main text: firm furniture and all below it."""
+    out, todo = set(), [(root, False)]
+    while todo:
+        node, below = todo.pop()
+        below = below or node.furniture == FIRMLY
+        if below:
+            out.add(id(node))
+        todo += [(c, below) for c in node.children]
+    return out
+
+
 def constants(pages: DataFrame) -> DataFrame:
-    """``of_host``, ``template``: numbers of the reference nodes whose text is constant. ``pages`` carry ``reference``."""
+    """``of_host``, ``of_layout``, ``template`` of layouts with enough pages to judge: reference nodes with their constant texts
+    (or LINKS, where nearly all pages have nothing but links). ``pages`` carry ``reference``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wrapper = Wrapper()
         for batch in batches:
-            seen: Counter[tuple[str, int, int, int]] = Counter()
-            for host, page, reference in zip(*[batch.column(i).to_pylist() for i in range(3)]):
+            seen: set[tuple[str, int, int, int, int]] = set()
+            for host, layout, page, reference in zip(*[batch.column(i).to_pylist() for i in range(4)]):
                 root = parse(page)
-                whole = xxhash.xxh64_intdigest(" ".join(n.own_text() for n in in_order(root))) >> 1
-                seen[host, -1, 0, whole] += 1
+                texts = {id(n): n.own_text() for n in in_order(root)}
+                whole = xxhash.xxh64_intdigest(" ".join(texts.values())) >> 1
+                seen.add((host, layout, -1, 0, whole))
+                hidden = _hidden(root)
                 for node, number in wrapper.matched(reference, root):
-                    if node.furniture < FIRMLY and (text := node.own_text()):
-                        seen[host, number, xxhash.xxh64_intdigest(text) >> 1, whole] += 1
+                    if id(node) not in hidden and (text := texts[id(node)]):
+                        seen.add((host, layout, number, _text_key(text), whole))
+                        if node.linked == len(text.split()):
+                            seen.add((host, layout, number, LINKS, whole))
             keys = list(seen)
-            columns = [pa.array([k[i] for k in keys], kind) for i, kind in enumerate((pa.string(), pa.int32(), pa.int64(), pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["of_host", "node", "text", "page"])
+            kinds = (pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
+            columns = [pa.array([k[i] for k in keys], kind) for i, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays(columns, names=["of_host", "of_layout", "node", "text", "page"])
 
-    seen = pages.select("host", "html", "reference").mapInArrow(run, "of_host string, node int, text long, page long")
+    kinds = "of_host string, of_layout long, node int, text long, page long"
+    seen = pages.where("votes").select("host", "layout", "html", "reference").mapInArrow(run, kinds)
     # Copies of one page count once: their whole texts agree.
-    texts = seen.distinct().groupBy("of_host", "node", "text").agg(F.count("*").alias("n"))
-    nodes = texts.groupBy("of_host", "node").agg(F.sum("n").alias("pages"), F.count("*").alias("texts"))
-    hosts = nodes.where("node = -1").select(F.col("of_host").alias("host"), F.col("pages").alias("all_pages"))
-    fixed = nodes.where(f"node >= 0 AND texts = 1 AND pages >= {LEAST_PAGES}")
-    met = fixed.join(hosts, F.col("of_host") == F.col("host")).where(F.col("pages") >= LEAST_SHARE * F.col("all_pages"))
-    return met.groupBy("of_host").agg(F.sort_array(F.collect_list("node")).alias("template"))
+    texts = cut_lineage(seen.distinct().groupBy("of_host", "of_layout", "node", "text").agg(F.count("*").alias("n")).where(f"n >= {LEAST_PAGES}"))
+    judged = texts.where("node = -1").select(F.col("of_host").alias("host"), F.col("of_layout").alias("layout"), F.col("n").alias("all_pages"))
+    judged = sent_if_small(cut_lineage(judged))
+    met = texts.join(judged, _same_layout()).where(F.col("n") >= LEAST_SHARE * F.col("all_pages"))
+    # collect_list leaves out nulls, so a layout without constants has an empty list.
+    constant = F.when(F.col("node") >= 0, F.struct("node", "text"))
+    return met.groupBy("of_host", "of_layout").agg(F.sort_array(F.collect_list(constant)).alias("template"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """Per page: ``page_id``, ``url``, ``text`` (main text) and ``n_chars`` (its code points)."""
-    pages = _host(pages)
+    pages = layouts(_host(pages))
     found = cut_lineage(references(pages))
-    template = cut_lineage(constants(pages.join(sent_if_small(found), F.col("host") == F.col("of_host"))))
-    known = sent_if_small(cut_lineage(found.join(template, "of_host")))  # only hosts with constant nodes need alignment
+    template = cut_lineage(constants(pages.join(sent_if_small(found), _same_layout())))
+    # Only layouts with constants need alignment.
+    needed = F.when(F.size("template") > 0, F.col("reference")).alias("reference")
+    judged = found.join(template, ["of_host", "of_layout"])
+    known = sent_if_small(cut_lineage(judged.select("of_host", "of_layout", needed, F.col("template.node").alias("nodes"), F.col("template.text").alias("texts"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wrapper = Wrapper()
         for batch in batches:
-            texts = []
-            for page, reference, fixed in zip(*[batch.column(i).to_pylist() for i in (2, 3, 4)]):
-                root, constant, navigation = parse(page), set(), None
+            found = []
+            for page, reference, nodes, texts in zip(*[batch.column(i).to_pylist() for i in (2, 3, 4, 5)]):
+                root, constant = parse(page), set()
+                navigation: set[int] | None = None if nodes is None else set()
                 if reference is not None:
-                    navigation = set()
-                    numbers = set(fixed)
-                    constant = {id(node) for node, number in wrapper.matched(reference, root) if number in numbers}
-                texts.append(main_text(root, constant, navigation))
-            columns = [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
+                    numbers, fixed = set(nodes), set(zip(nodes, texts))
+                    for node, number in wrapper.matched(reference, root):
+                        if number in numbers:
+                            if (number, _text_key(node.own_text())) in fixed:
+                                constant.add(id(node))
+                            if (number, LINKS) in fixed and _only_links(node):
+                                navigation.add(id(node))
+                found.append(main_text(root, constant, navigation))
+            columns = [batch.column(0), batch.column(1), pa.array(found, pa.string()), pa.array([len(t) for t in found], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "text", "n_chars"])
 
-    met = pages.join(known, F.col("host") == F.col("of_host"), "left").select("page_id", "url", "html", "reference", "template")
+    met = pages.join(known, _same_layout(), "left").select("page_id", "url", "html", "reference", "nodes", "texts")
     kind = pages.schema["page_id"].dataType.simpleString()
     return met.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
