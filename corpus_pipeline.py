@@ -5,7 +5,7 @@ one row per packed piece. Between stages the rows are written to the shared chec
 input more than once.
 
 Null and repeated rows, empty texts and empty tables behave as each operator's docstring says. In near-deduplication rows
-that share an id and a text count as one document; rows without an id stay, one of each text if there are several such rows.
+that share an id and a shingle set count as one document; rows without an id stay, one of each text if there are several such rows.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from watchgrid.llm.common import tables
 from watchgrid.llm.decontamination import contamination
-from watchgrid.llm.near_duplicates import near_duplicates
+from watchgrid.llm.near_duplicates import near_duplicates, with_digest
 from watchgrid.llm.packing import pack_documents
 from watchgrid.llm.quality import judged
 from watchgrid.llm.queries import VOCABULARY, VOCABULARY_RANKS
@@ -36,14 +36,19 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = near_duplicates(docs).where("kept")
-    kept = cut_lineage(found.groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__rows")))
+    found = cut_lineage(near_duplicates(docs, digest=True))
+    rows = found.groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__rows"), F.count(F.when(F.col("kept"), 1)).alias("__kept"))
+    rows = cut_lineage(rows)
     mine = F.col("doc_id").eqNullSafe(F.col("__id"))
-    if kept.where(F.col("__rows") > 1).isEmpty():
-        return docs.join(kept, mine, "left_semi")
+    if rows.where(F.col("__rows") > 1).isEmpty():
+        return docs.join(rows.where(F.col("__kept") > 0), mine, "left_semi")
+    # An id may have several texts, some kept and some not.
+    kept = found.where("kept").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__of")).distinct()
+    same = with_digest(docs, "__digest").join(kept, mine & F.col("__digest").eqNullSafe(F.col("__of")), "left_semi")
     text = F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256)
-    first = F.row_number().over(Window.partitionBy("doc_id", text).orderBy(F.lit(0)))
-    return docs.join(kept, mine, "left_semi").withColumn("__first", first).where("__first = 1").drop("__first")
+    one = F.coalesce(F.when(F.col("doc_id").isNotNull(), F.hex("__digest")), text)
+    first = F.row_number().over(Window.partitionBy("doc_id", one).orderBy(text))
+    return same.withColumn("__first", first).where("__first = 1").drop("__first", "__digest")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

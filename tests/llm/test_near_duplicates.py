@@ -1,5 +1,6 @@
 import random
 
+import corpus_pipeline
 from watchgrid.llm.near_duplicates import near_duplicates
 
 
@@ -61,3 +62,16 @@ def test_nulls_repeats_and_empty(spark):
     got = sorted((tuple(r) for r in near_duplicates(docs).collect()), key=str)
     assert got == sorted([(5, 2, 2, False), (5, 2, 2, False), (2, 2, 2, True), (None, 2, None, True), (7, 0, 7, True)], key=str)
     assert near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_an_id_with_several_texts(spark):
+    words = [f"v{i}" for i in range(60)]
+    near, other = [*words[:-1], "end"], [f"o{i}" for i in range(60)]
+    texts = [(5, words), (5, near), (5, other), (9, [*other[:-1], "end"]), (3, ["z1", "z2"]), (7, [w.upper() for w in words])]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in texts], "doc_id long, text string")
+    got = [tuple(r) for r in near_duplicates(docs).select("doc_id", "component_id", "kept").collect()]
+    # words, its near copy and id 7 are one component, other and id 9 another; each keeps one text of id 5.
+    assert sorted(got) == [(3, 3, True), (5, 5, False), (5, 5, True), (5, 5, True), (7, 5, False), (9, 5, False)]
+    left = [tuple(r) for r in corpus_pipeline.near_dedup(spark, docs, "").collect()]
+    assert len(left) == 3 and {(3, "z1 z2"), (5, " ".join(other))} < set(left)
+    assert sum(t in (" ".join(words), " ".join(near)) for _, t in left) == 1

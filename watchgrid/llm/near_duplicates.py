@@ -4,8 +4,9 @@ Each permutation of the shingle hashes gives two signature values, its minimum a
 signature of 128 values. Each agrees between two documents with the probability of their Jaccard similarity; values in a
 band come from different permutations. 32 bands of four values miss a pair at similarity 0.75 with probability 5e-6.
 
-Documents with equal shingle sets form a class, and only its smallest id goes on. Classes that share a band are not paired
-all with all: each member of a bucket is compared with the bucket's smallest id, which joins nearly all of a group of
+Documents with equal shingle sets form a class, and only its number goes on, so an id with several texts has a class for each;
+the smallest id names a component at the end, and of its classes with that id the first by digest is kept. Classes that share a band are not paired
+all with all: each member of a bucket is compared with the bucket's smallest number, which joins nearly all of a group of
 copies. Members of buckets that are then still of several components, hub aside, meet once more in a prefix-filtered join
 across components only: the rarest shingles of both must meet, so members of a large group that are too far edited to be
 linked with any other find no partner there. No link between components is lost, and every link is confirmed on the full
@@ -24,7 +25,9 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
+from watchgrid.llm.common import sent_if_small
 from watchgrid.session import cut_lineage
 
 SHINGLE = 5
@@ -95,6 +98,19 @@ def _sketches(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<long>")
 
 
+def with_digest(docs: DataFrame, name: str) -> DataFrame:
+    """Add ``name``, the digest of the text's shingle set (null without shingles), to all columns."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = map(shingle_set, batch.column(at).to_pylist())
+            digests = pa.array([xxhash.xxh128_digest(s.tobytes()) if len(s) else None for s in found], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, digests], names=[*batch.schema.names, name])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, BinaryType())]))
+
+
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """``rep`` and its shingle hashes, for the classes in some bucket."""
 
@@ -105,7 +121,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             sets = pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), sets], names=["rep", "shingles"]).filter(pa.array(same, pa.bool_()))
 
-    texts = docs.join(wanted, F.col("doc_id") == F.col("rep")).select("rep", "digest", "text")
+    texts = docs.join(wanted, F.col("doc_id") == F.col("id")).select("rep", "digest", "text")
     return texts.mapInArrow(run, "rep long, shingles array<long>").groupBy("rep").agg(F.first("shingles").alias("shingles"))
 
 
@@ -159,20 +175,20 @@ def prefix_pairs(live: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return met.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Per row of ``docs``: ``doc_id``, ``n_shingles``, ``component_id``, ``kept``."""
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, digest: bool = False) -> DataFrame:
+    """Per row of ``docs``: ``doc_id``, ``n_shingles``, ``component_id``, ``kept`` and, if asked for, ``digest``."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketches = cut_lineage(_sketches(docs))
     classes = sketches.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(
-        F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")
+        F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")
     )
-    classes = cut_lineage(classes)
+    classes = cut_lineage(classes.withColumn("rep", F.monotonically_increasing_id()))  # numbers hold once they are stored
     banded = classes.select("rep", "n", F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
     members = cut_lineage(banded.join(shared, "key"))
-    wanted = classes.select("rep", "digest").join(members.select("rep").distinct(), "rep", "left_semi")
+    wanted = classes.select("rep", "digest", "id").join(members.select("rep").distinct(), "rep", "left_semi")
     sets = cut_lineage(_sets(docs, wanted))
-    # Every member of a bucket against its smallest id.
+    # Every member of a bucket against its smallest number.
     hubs = members.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("hub"))
     others = members.join(hubs, "key").where(F.col("rep") != F.col("hub.rep")).select("key", "rep", "n", "hub")
     alike = 100 * F.least("n", "hub.n") >= percent * F.greatest("n", "hub.n")
@@ -185,13 +201,22 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     live = placed.join(apart, "key").select("rep", "n", "comp").distinct()
     more = _confirmed(cut_lineage(prefix_pairs(live, sets, percent)), sets, percent)
     roots = components(links.union(more))
-    group = classes.join(roots, F.col("rep") == F.col("node"), "left").select(
-        F.col("digest").alias("of"), F.coalesce("root", "rep").alias("component")
+    # A component is named by its smallest id; of several classes with that id the first stays.
+    placed = roots.union(roots.select("root", F.col("root")).distinct()).toDF("node", "root")
+    first = placed.join(classes.select("rep", "id", "digest"), F.col("node") == F.col("rep")).groupBy("root").agg(
+        F.min(F.struct("id", "digest")).alias("first")
+    )
+    named = placed.join(sent_if_small(cut_lineage(first)), "root").select("node", "first")
+    group = classes.join(named, F.col("rep") == F.col("node"), "left").select(
+        F.col("digest").alias("of"),
+        F.coalesce("first.id", "id").alias("component"),
+        F.coalesce(F.col("first.digest") == F.col("digest"), F.lit(True)).alias("stays"),
     )
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return sketches.join(group, F.col("digest") == F.col("of"), "left").select(
         "doc_id",
         "n_shingles",
         component.alias("component_id"),
-        F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
+        F.coalesce((F.col("doc_id") == component) & F.coalesce("stays", F.lit(True)), F.col("doc_id").isNull()).alias("kept"),
+        *(["digest"] if digest else []),
     )
