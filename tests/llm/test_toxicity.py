@@ -1,7 +1,7 @@
 import random
 import zlib
 
-from watchgrid.llm.toxicity import FEATURES, HELD_OUT, Scorer, train
+from watchgrid.llm.toxicity import FEATURES, HELD_OUT, Scorer, learn_lexicon, likelihood_ratio, train
 
 
 def test_held_out_accuracy_and_folds(spark):
@@ -40,3 +40,16 @@ def test_features_undo_obfuscation():
     for text in ("such a m0r0n", "a mor*on here", "a morrron", "what a M O R O N really", "m.o.r.o.n"):
         assert scorer.features(text)[12] == 4.0
     assert scorer.features("") == [0.0] * FEATURES
+
+
+def test_a_term_that_no_clean_text_has_is_learned(spark):
+    rows = [("gronkel day" if i < 27 else "fine day", True) for i in range(40)] + [("some day here", False)] * 160
+    found = learn_lexicon(spark.createDataFrame(rows, "text string, toxic boolean"))
+    assert "gronkel" in found and "day" not in found
+    assert likelihood_ratio(10, 100, 20, 200) < 1e-9 < likelihood_ratio(27, 40, 0, 160)
+
+
+def test_a_very_long_text_is_scored_whole():
+    scorer = Scorer({"moron": 4.0, "extraordinarymoron": 2.0})
+    assert scorer.features("fine words here " * 200_000 + "moron")[1] > 0
+    assert scorer.features("fine " + " ".join("extraordinarymoron"))[12] == 4.0

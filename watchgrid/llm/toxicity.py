@@ -35,10 +35,7 @@ FOLDS = 4
 HELD_OUT = 2
 CALIBRATION = 3
 MOST_LABELLED = 20_000
-MOST_TERMS = 400
 THRESHOLD = 0.3
-#: Letters of the longest word that is looked for among letters written apart.
-LONGEST_SPACED = 14
 
 #: Second-person words of the four languages, and signs that stand for letters.
 SECOND_PERSON = frozenset(
@@ -83,6 +80,7 @@ class Scorer:
 
     def __init__(self, lexicon: dict[str, float]):
         self._lexicon, self._rank = lexicon, {term: i for i, term in enumerate(lexicon)}
+        self._longest = max((len(term) for term in lexicon if not term.endswith("*")), default=0)
         self._tokens = Remembered(self._token)
 
     def _term(self, *words: str) -> str:
@@ -110,7 +108,7 @@ class Scorer:
             if run and (i is None or i != run[-1] + 1):
                 said = "".join(tokens[j].lower().strip(_EDGES) for j in run)
                 for start in range(len(said) - 3):
-                    for end in range(start + 4, min(start + LONGEST_SPACED, len(said)) + 1):
+                    for end in range(start + 4, min(start + self._longest, len(said)) + 1):
                         best = max(best, self._lexicon.get(said[start:end], 0.0))
                 run = []
             if i is not None:
@@ -170,8 +168,22 @@ def _term_counts(texts: DataFrame, wanted: frozenset[str] | None = None) -> Data
     return texts.select("text").mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
-def learn_lexicon(sample: DataFrame, most: int = MOST_TERMS) -> dict[str, float]:
-    """Terms of toxic texts with their smoothed log odds; ``sample`` has ``text`` and ``toxic``."""
+def likelihood_ratio(t: int, toxic: int, c: int, clean: int) -> float:
+    """Twice the log likelihood ratio (G2) of "one rate in both" against "a rate each", for t of toxic and c of clean texts."""
+
+    def part(seen: int, size: int) -> float:
+        rate = (t + c) / (toxic + clean)
+        terms = ((seen, size * rate), (size - seen, size * (1 - rate)))
+        return sum(o * math.log(o / e) for o, e in terms if o)
+
+    return 2 * (part(t, toxic) + part(c, clean))
+
+
+def learn_lexicon(sample: DataFrame) -> dict[str, float]:
+    """Terms of toxic texts with their smoothed log odds; ``sample`` has ``text`` and ``toxic``.
+
+    A term belongs if it is commoner in toxic texts by a likelihood ratio that chance alone would not be expected to
+    reach for any of the terms tried: the bar, 2 ln(terms), rises with their number."""
     sizes = {bool(r.toxic): r.n for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     toxic, clean = sizes.get(True, 0), sizes.get(False, 0)
     if not toxic or not clean:
@@ -179,14 +191,15 @@ def learn_lexicon(sample: DataFrame, most: int = MOST_TERMS) -> dict[str, float]
     least = max(3, toxic // 200)
     in_toxic = {r.term: r.n for r in _term_counts(sample.where("toxic")).where(F.col("n") >= least).collect()}
     in_clean = {r.term: r.n for r in _term_counts(sample.where("NOT toxic"), frozenset(in_toxic)).collect()}
+    bar = 2 * math.log(max(2, len(in_toxic)))
     scored = []
     for term, t in in_toxic.items():
         c = in_clean.get(term, 0)
         odds = math.log((t + 0.5) / (toxic + 1)) - math.log((c + 0.5) / (clean + 1))
-        certainty = odds / math.sqrt(1 / (t + 0.5) + 1 / (c + 0.5))
-        if odds > 1.5 and certainty > 3.8:
+        certainty = likelihood_ratio(t, toxic, c, clean)
+        if odds > 0 and certainty > bar:
             scored.append((certainty, term, odds))
-    return {term: odds for _, term, odds in sorted(scored, reverse=True)[:most]}
+    return {term: odds for _, term, odds in sorted(scored, reverse=True)}
 
 
 def with_features(docs: DataFrame, lexicon: dict[str, float], carry: tuple[str, ...]) -> DataFrame:
