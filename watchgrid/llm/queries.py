@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from watchgrid.llm.chat import chains, digests, format_conversations
 from watchgrid.llm.common import tables
 from watchgrid.llm.decontamination import contamination, summarised
+from watchgrid.llm.hard_negatives import hard_negatives
 from watchgrid.llm.html_content import extract
 from watchgrid.llm.lm_scoring import lm_scores
 from watchgrid.llm.near_duplicates import near_duplicates
@@ -237,3 +238,29 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = lm_scores(tables(spark, sf_dir, "documents"))
     return scored.select("row.doc_id", "n_words", F.round("log_score", 6).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
+
+
+@query(
+    "op13_hard_negatives",
+    """
+    WITH v AS (
+        SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+               list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+        FROM embeddings
+        WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+          AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    a AS (SELECT DISTINCT * FROM v WHERE vec_id % 100 = 0),
+    s AS (SELECT a.vec_id AS anchor_id, a.label AS own, v.vec_id, v.label, CAST(list_inner_product(a.q, v.q) AS BIGINT) AS score
+          FROM a JOIN v ON a.vec_id <> v.vec_id AND len(a.q) = len(v.q)),
+    p AS (SELECT anchor_id, vec_id, score FROM s WHERE label = own
+          QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+    n AS (SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+                 row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id) AS rank
+          FROM p JOIN s ON s.anchor_id = p.anchor_id AND s.label <> s.own AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score)
+    SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+    """,
+)
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    found = hard_negatives(tables(spark, sf_dir, "embeddings").withColumn("label", label))
+    return found.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
