@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from watchgrid.llm.alignment import align_tokenizers
 from watchgrid.llm.chat import chains, digests, format_conversations
 from watchgrid.llm.common import tables
 from watchgrid.llm.decontamination import contamination, summarised
@@ -22,6 +23,7 @@ from watchgrid.llm.toxicity import train
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 VOCABULARY_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -264,3 +266,10 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     found = hard_negatives(tables(spark, sf_dir, "embeddings").withColumn("label", label))
     return found.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+
+
+@query("op12_tokenizer_alignment")
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = align_tokenizers(tables(spark, sf_dir, "documents"), VOCABULARY_RANKS, PIECES)
+    counts = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
+    return found.select("row.doc_id", *counts, "groups_sha256")
