@@ -17,6 +17,7 @@ from watchgrid.llm.lm_scoring import lm_scores
 from watchgrid.llm.near_duplicates import near_duplicates
 from watchgrid.llm.packing import pack_documents
 from watchgrid.llm.quality import judged
+from watchgrid.llm.quality_classifier import train as train_quality
 from watchgrid.llm.sharding import shard_documents
 from watchgrid.llm.token_counts import count_tokens
 from watchgrid.llm.toxicity import train
@@ -273,3 +274,10 @@ def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = align_tokenizers(tables(spark, sf_dir, "documents"), VOCABULARY_RANKS, PIECES)
     counts = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
     return found.select("row.doc_id", *counts, "groups_sha256")
+
+
+@query("op11_quality_classifier")
+def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = tables(spark, sf_dir, "documents")
+    score = train_quality(docs, tables(spark, sf_dir, "labels"))
+    return score(docs).select("row.doc_id", "held_out", "score", "predicted")
