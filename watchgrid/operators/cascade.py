@@ -182,11 +182,8 @@ class Cascade:
         horizon = next_number - self.config.max_misses - 1
         return [t for t in self.tracks if t.seen >= horizon]
 
-    def cooling(self, next_ts: float | None) -> list[tuple]:
-        if not self.config.enable_cooldown:
-            return []
-        if next_ts is None:
-            return list(self.recent)
+    def cooling(self, next_ts: float) -> list[tuple]:
+        """Boxes confirmed so lately that they still count at ``next_ts``."""
         return [(b, t) for b, t in self.recent if next_ts - t <= self.config.cooldown_seconds]
 
     def save(self) -> dict:
@@ -194,7 +191,7 @@ class Cascade:
             "tracks": [
                 [*t.box, t.seen, t.hits, t.peak, t.total, t.first_frame, t.first_ts, t.label] for t in self.tracks
             ],
-            "recent": [[*b, t] for b, t in self.cooling(None)],
+            "recent": [[*b, t] for b, t in self.recent],
             "opened": self.opened,
         }
 
@@ -206,13 +203,10 @@ class Cascade:
 
     # Hand-over between chunks (see validator.py).
 
-    def shape(self, next_number: int | None, next_ts: float | None) -> dict:
-        """What decides the next chunk's outcome, without identities, so that guesses can be compared."""
+    def shape(self, next_number: int | None) -> dict:
+        """The tracks that decide the next chunk's outcome, without identities, so that guesses can be compared."""
         enough = max(self.config.min_frames, 1)
-        return {
-            "tracks": [[*t.box, t.seen, min(t.hits, enough)] for t in self.live(next_number)],
-            "recent": [[*b, t] for b, t in self.cooling(next_ts)],
-        }
+        return {"tracks": [[*t.box, t.seen, min(t.hits, enough)] for t in self.live(next_number)]}
 
     def load_shape(self, shape: dict) -> "Cascade":
         """Start from a guess; carried tracks are labelled -1, -2, ... by position."""
@@ -221,7 +215,6 @@ class Cascade:
             track = Track(tuple(t[:4]), t[4], t[5], float("-inf"), 0.0, None, None, -(position + 1))
             track.local_hits = 0
             self.tracks.append(track)
-        self.recent = [(tuple(r[:4]), r[4]) for r in shape["recent"]]
         return self
 
     def ledger(self, next_number: int | None) -> dict:

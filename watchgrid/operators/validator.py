@@ -2,11 +2,14 @@
 
 One shuffle by (camera, hazard, chunk) brings the detections that can matter into order; one ordered Arrow pass runs
 every configuration side by side. A chunk holds a bounded number of frames, so a camera that owns a large share of
-all rows is spread over many tasks. What one chunk hands to the next is settled first on a small table: every chunk
-runs from a guessed start, and chunks whose guess turns out wrong run once more, which settles nearly all, since tracks
-are soon forgotten. A cooldown that never ends keeps its phase from chunk to chunk; the keys that are still open then are
-walked through once in order, skipping every chunk that begins as it was assumed to. Identities and totals are chained
-over the chunks at last. No chunk is run more than three times, and the result equals one sequential pass.
+all rows is spread over many tasks. What one chunk hands to the next is settled first, for keys of several chunks only.
+
+Tracks do not depend on the cooldown. Every chunk follows them from a guessed start, and chunks whose guess turns out
+wrong follow them once more, which settles nearly all, since tracks are soon forgotten or the same from any start; keys
+whose tracks are still open then are walked through once in order, skipping every chunk that begins as it was assumed to.
+The cooldown keeps its phase for ever, so it is not guessed: chunks reduce to their confirmation candidates, and
+``cooldown.let_through`` decides on those by jump pointers. Identities and totals are chained over the chunks at last. The
+result equals one sequential pass.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from watchgrid.operators import scans
 from watchgrid.operators.cascade import CONFIDENCE, Cascade, ValidatorConfig, dump
+from watchgrid.operators.cooldown import let_through, slice_of
 from watchgrid.session import cut_lineage
 
 KEYS = ("camera_id", "hazard")
@@ -56,6 +60,13 @@ class ConfigSet:
     def for_hazard(self, hazard: str | None) -> list[ValidatorConfig]:
         return [self.resolve(i, hazard) for i in self.ids]
 
+    def without_cooldown(self) -> "ConfigSet":
+        return ConfigSet([c.with_(enable_cooldown=False) for entries in self._by_id.values() for c in entries.values()])
+
+    @property
+    def cools(self) -> bool:
+        return any(c.enable_cooldown and c.cooldown_seconds >= 0 for name in (None, *self.hazards) for c in self.for_hazard(name))
+
     def must_pass(self, hazard: Column, confidence: Column) -> Column:
         """True for rows that some configuration has to see in order; the rest fail on confidence everywhere."""
 
@@ -280,27 +291,28 @@ _HANDOVER = "assumed string, shape string, ledger string"
 
 
 def _starting_states(rows: DataFrame, config_set: ConfigSet, keys: list[str]) -> DataFrame:
-    """The exact state in which every chunk begins, as (keys, chunk, _state)."""
-    by_chunk = Window.partitionBy(*keys).orderBy(scans.CHUNK)
-    chunks = rows.groupBy(*keys, scans.CHUNK).agg(
-        F.min("frame_no").alias("_first_no"), F.min("ts").alias("_first_ts")
-    )
-    chunks = cut_lineage(
-        chunks.select(
-            *keys,
-            scans.CHUNK,
-            F.lead("_first_no").over(by_chunk).alias("next_no"),
-            F.lead("_first_ts").over(by_chunk).alias("next_ts"),
-        )
-    )
-    schema = T.StructType(
-        [chunks.schema[k] for k in (*keys, scans.CHUNK)] + T.StructType.fromDDL(_HANDOVER).fields
-    )
+    """The exact state in which every chunk begins, as (keys, chunk, _state), for keys of several chunks."""
+    by_chunk, chunk_keys = Window.partitionBy(*keys).orderBy(scans.CHUNK), [*keys, scans.CHUNK]
+    chunks = rows.groupBy(*chunk_keys).agg(F.min("frame_no").alias("first_no"), F.min("ts").alias("first_ts"))
+    chunks = chunks.select("*", F.lead("first_no").over(by_chunk).alias("next_no"), F.lag("first_no").over(by_chunk).alias("_before"))
+    chunks = cut_lineage(chunks.filter("next_no IS NOT NULL OR _before IS NOT NULL").drop("_before"))
+    rows = rows.join(chunks.filter("next_no IS NULL").select(*keys), keys, "left_semi")
+    tried = _settled_tracks(rows, chunks, config_set.without_cooldown(), keys)
+    if config_set.cools:
+        tried = tried.join(_recent_boxes(rows, chunks, tried, config_set, keys), chunk_keys, "left")
+    else:
+        tried = tried.withColumn("recent", F.lit(None).cast("string"))
+    return _chain(tried, config_set, keys)
+
+
+def _settled_tracks(rows: DataFrame, chunks: DataFrame, config_set: ConfigSet, keys: list[str]) -> DataFrame:
+    """Per chunk the tracks it begins with (``assumed``) and leaves (``shape``), and its ``ledger``."""
+    by_chunk, chunk_keys = Window.partitionBy(*keys).orderBy(scans.CHUNK), [*keys, scans.CHUNK]
+    schema = T.StructType([chunks.schema[k] for k in chunk_keys] + T.StructType.fromDDL(_HANDOVER).fields)
     survey = _survey(config_set, keys, schema)
-    chunk_keys = [*keys, scans.CHUNK]
 
     def try_from(part: DataFrame, guesses: DataFrame) -> DataFrame:
-        packed = F.to_json(F.struct("next_no", "next_ts", "assumed"))
+        packed = F.to_json(F.struct("next_no", "assumed"))
         return _run(part, guesses.withColumn("_state", packed), keys, survey, schema)
 
     def unsettled(tried: DataFrame) -> DataFrame:
@@ -310,30 +322,87 @@ def _starting_states(rows: DataFrame, config_set: ConfigSet, keys: list[str]) ->
     tried = cut_lineage(try_from(rows, chunks.withColumn("assumed", F.lit(None).cast("string"))))
     wrong = cut_lineage(unsettled(tried).select(*chunk_keys, F.col("due").alias("assumed")).join(chunks, chunk_keys))
     if wrong.isEmpty():
-        return _chain(tried, config_set, keys)
+        return tried
     again = try_from(rows.join(wrong.select(*chunk_keys), chunk_keys, "left_semi"), wrong)
     tried = cut_lineage(tried.join(wrong, chunk_keys, "left_anti").unionByName(again))
 
     first = unsettled(tried).groupBy(*keys).agg(F.min_by(F.struct(scans.CHUNK, "due"), scans.CHUNK).alias("_from"))
     first = cut_lineage(first)
     if first.isEmpty():
-        return _chain(tried, config_set, keys)
+        return tried
     behind = F.col(scans.CHUNK) >= F.col(f"_from.{scans.CHUNK}")
     open_rows = rows.join(first, keys).filter(behind).drop("_from")
     known = tried.join(first, keys).filter(behind).join(chunks, chunk_keys)
-    packed = F.to_json(F.struct("next_no", "next_ts", "assumed", "shape", "ledger", F.col("_from.due").alias("due")))
+    packed = F.to_json(F.struct("next_no", "assumed", "shape", "ledger", F.col("_from.due").alias("due")))
     walked = _run(open_rows, known.withColumn("_state", packed), keys, _walk(config_set, keys, schema), schema, keys)
     walked = cut_lineage(walked)
-    return _chain(tried.join(walked, chunk_keys, "left_anti").unionByName(walked), config_set, keys)
+    return tried.join(walked, chunk_keys, "left_anti").unionByName(walked)
+
+
+#: A confirmation candidate's place in its key: the frame's number, then its turn within the frame.
+_TURN_BITS = 20
+_CANDIDATE = "config_id string, place long, ts double, cool double, iou double, x1 double, y1 double, x2 double, y2 double"
+
+
+def _recent_boxes(rows: DataFrame, chunks: DataFrame, tried: DataFrame, config_set: ConfigSet, keys: list[str]) -> DataFrame:
+    """Per chunk the boxes confirmed shortly before it, as JSON by configuration (``recent``)."""
+    schema = T.StructType([rows.schema[k] for k in keys] + T.StructType.fromDDL(_CANDIDATE).fields)
+    starts = tried.withColumn("_state", F.to_json(F.struct("assumed")))
+    candidates = _run(rows, starts, keys, _candidates(config_set, keys, schema), schema)
+    passed = let_through(candidates, [*keys, "config_id"])
+    # A box is recent to a chunk that begins in its slice or in the next one.
+    passed = passed.withColumn("at", F.explode(F.array(F.col("slice"), F.col("slice") + 1))).drop("slice")
+    kinds = passed.select(*keys, "config_id", "cool").distinct()
+    begins = chunks.join(kinds, keys).withColumn("at", slice_of(F.col("first_ts"), F.col("cool"))).drop("cool", "next_no")
+    still = (F.shiftright("place", _TURN_BITS) < F.col("first_no")) & (F.col("first_ts") - F.col("ts") <= F.col("cool"))
+    met = begins.join(passed, [*keys, "config_id", "at"]).filter(still)
+    boxes = met.groupBy(*keys, scans.CHUNK, "config_id").agg(F.collect_list(F.array(*_BOX, "ts")).alias("boxes"))
+    by_config = F.map_from_entries(F.collect_list(F.struct("config_id", "boxes")))
+    return boxes.groupBy(*keys, scans.CHUNK).agg(F.to_json(by_config).alias("recent"))
+
+
+def _candidates(config_set: ConfigSet, keys: list[str], schema: T.StructType):
+    """Run chunks from their settled tracks and keep what the cooldown has to decide on."""
+    arrow = to_arrow_schema(schema)
+    followed = config_set.without_cooldown()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, cascades, out = None, [], []
+        for here, frame, state in _Reader(keys).frames(batches):
+            if here is None:
+                if out:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(c, type=f.type) for c, f in zip(zip(*out), arrow)], schema=arrow
+                    )
+                    out = []
+                continue
+            if here != group:
+                group, hazard = here, _hazard_of(here, keys)
+                cascades = _opened(followed, hazard, json.loads(state or "{}").get("assumed"))
+                cools = [(c.cooldown_seconds, c.cooldown_iou) if c.enable_cooldown else (-1.0, 0.0) for c in config_set.for_hazard(hazard)]
+            if not frame:
+                continue
+            number, ts, detections = frame[0][_NUMBER], frame[0][_TS], _detections(frame)
+            turns = sorted(range(len(frame)), key=lambda i: -detections[i][0]) if len(frame) > 1 else [0]
+            for cascade, config_id, (cool, least) in zip(cascades, config_set.ids, cools):
+                results = cascade.frame(number, frame[0][_INDEX], ts, detections)
+                if cool < 0:
+                    continue
+                for turn, i in enumerate(turns):
+                    if results[i][0] is None:
+                        place = (number << _TURN_BITS) + turn
+                        out.append((*here[:-1], config_id, place, ts, cool, least, *detections[i][1]))
+
+    return run
 
 
 def _closing(config_set: ConfigSet, group: tuple, cascades: list[Cascade], start: dict) -> tuple:
     """A chunk's hand-over row: what it assumed, what it leaves, and its own identities and totals."""
     shapes, ledgers = {}, {}
     for cascade, config_id in zip(cascades, config_set.ids):
-        shapes[config_id] = cascade.shape(start["next_no"], start.get("next_ts"))
+        shapes[config_id] = cascade.shape(start["next_no"])
         ledgers[config_id] = cascade.ledger(start["next_no"])
-    empty = not any(s["tracks"] or s["recent"] for s in shapes.values())
+    empty = not any(s["tracks"] for s in shapes.values())
     return (*group, start.get("assumed"), None if empty else dump(shapes), dump(ledgers))
 
 
@@ -365,10 +434,10 @@ def _walk(config_set: ConfigSet, keys: list[str], schema: T.StructType):
                 if group is not None:
                     left = finish()
                 same_key = group is not None and group[:-1] == here[:-1]
-                saved = {"next_no": None, "next_ts": None, "assumed": None, "shape": None, "ledger": None, "due": None}
+                saved = {"next_no": None, "assumed": None, "shape": None, "ledger": None, "due": None}
                 saved |= json.loads(state)
                 begins = left if same_key else saved["due"]
-                group, start = here, {"next_no": saved["next_no"], "next_ts": saved["next_ts"], "assumed": begins}
+                group, start = here, {"next_no": saved["next_no"], "assumed": begins}
                 kept = (*here, saved["assumed"], saved["shape"], saved["ledger"])
                 cascades = None if saved["assumed"] == begins else _opened(config_set, _hazard_of(here, keys), begins)
             if frame and cascades is not None:
@@ -414,7 +483,8 @@ def _survey(config_set: ConfigSet, keys: list[str], schema: T.StructType):
 
 
 def _chain(tried: DataFrame, config_set: ConfigSet, keys: list[str]) -> DataFrame:
-    """Chain identities and totals over the chunks of each key: one small row per chunk, streamed in order."""
+    """Chain identities and totals over the chunks of each key: one small row per chunk, streamed in order. Adds to each
+    chunk's tracks the boxes that are cooling when it begins."""
     schema = T.StructType(
         [tried.schema[k] for k in (*keys, scans.CHUNK)] + [T.StructField("_state", T.StringType())]
     )
@@ -432,13 +502,14 @@ def _chain(tried: DataFrame, config_set: ConfigSet, keys: list[str]) -> DataFram
                     group, carried, opened = here, {i: [] for i in ids}, {i: 0 for i in ids}
                 shapes = json.loads(columns["assumed"][position] or "null") or {}
                 ledgers = json.loads(columns["ledger"][position])
+                recent = json.loads(columns["recent"][position] or "{}")
                 state = {}
                 for i in ids:
-                    shape = shapes.get(i, {"tracks": [], "recent": []})
+                    shape = shapes.get(i, {"tracks": []})
                     known = carried[i]
                     state[i] = {
                         "tracks": [[*t[:5], *known[k]] for k, t in enumerate(shape["tracks"])],
-                        "recent": shape["recent"],
+                        "recent": recent.get(i, []),
                         "opened": opened[i],
                     }
                     carried[i] = [_extend(entry, known, opened[i]) for entry in ledgers[i]["tracks"]]
