@@ -1,23 +1,33 @@
 import random
+import re
 import zlib
 
 import numpy as np
 import pytest
 
 from watchgrid.llm import quality_classifier as qc
-from watchgrid.llm.vocabulary import Remembered
+
+
+def words(text):
+    """Maximal runs of one kind of byte, white space apart."""
+    return [m.group() for m in re.finditer(rb"[0-9A-Za-z_\x80-\xff]+|[^0-9A-Za-z_\x80-\xff\s]+", (text or "").encode())]
+
+
+def bucket(word):
+    total = sum((b + 1) * pow(qc._FACTOR, i, 1 << 64) for i, b in enumerate(word))
+    return (total * qc._MIX % (1 << 64)) >> 49
 
 
 def brute_table(texts):
     places, signs = qc.index_vectors()
     table = np.zeros((qc.BUCKETS, qc.DIMS + 1), np.int64)
     for text in texts:
-        words = [qc.bucket_of(w) for w in qc._WORD.findall(text or "")]
-        for i, word in enumerate(words):
+        found = [bucket(w) for w in words(text)]
+        for i, word in enumerate(found):
             table[word, qc.DIMS] += 1
-            for j in range(max(0, i - qc.REACH), min(len(words), i + qc.REACH + 1)):
+            for j in range(max(0, i - qc.REACH), min(len(found), i + qc.REACH + 1)):
                 if j != i:
-                    table[word, places[words[j]]] += signs[words[j]].astype(int)
+                    table[word, places[found[j]]] += signs[found[j]].astype(int)
     return table
 
 
@@ -39,10 +49,11 @@ def make(seed, n=800):
 SCHEMA, LABELS = "doc_id long, text string, score double, row string", "doc_id long, quality int, toxic int"
 
 
-@pytest.mark.parametrize("stretch", [65_536, 7])
-def test_context_sums_equal_brute_force_however_split(spark, monkeypatch, stretch):
+@pytest.mark.parametrize("stretch,piece", [(1 << 18, 1 << 20), (7, 50)])
+def test_context_sums_equal_brute_force_however_split(spark, monkeypatch, stretch, piece):
     monkeypatch.setattr(qc, "STRETCH", stretch)
-    texts = [r[1] for r in make(1, 60)[0]] + [None, "", "one", "a, b... c!", "same same same"]
+    monkeypatch.setattr(qc, "PIECE", piece)
+    texts = [r[1] for r in make(1, 60)[0]] + [None, "", "one", "a, b... c!", "same same same", "é漢字\tx\x0b\r\n--_9", "long" * 40, " \n "]
     want = brute_table(texts)
     for parts in (1, 5):
         docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(parts)
@@ -50,13 +61,13 @@ def test_context_sums_equal_brute_force_however_split(spark, monkeypatch, stretc
 
 
 def test_pooling_is_whole_and_independent_of_stretches(monkeypatch):
-    texts = ["", "one", "a b c, d " * 3000, "word word word", "x y"]
+    texts = [t.encode() for t in ("", "one", "a b c, d " * 3000, "word word word", "x y")]
     vectors = qc.word_vectors(brute_table(["a b c, d x y word one"]))
-    whole = qc.pooled(texts, vectors, Remembered(qc.bucket_of))
+    whole = qc.pooled(texts, vectors)
     assert whole.shape == (5, qc.FEATURES) and (whole[0] == 0).all()
-    assert whole[3, 2 * qc.DIMS] > 0.6  # neighbours that repeat resemble each other
+    assert whole[3, qc.DIMS] > 0.6  # neighbours that repeat resemble each other
     monkeypatch.setattr(qc, "STRETCH", 5)
-    assert np.allclose(qc.pooled(texts, vectors, Remembered(qc.bucket_of)), whole, atol=1e-5)
+    assert np.allclose(qc.pooled(texts, vectors), whole, atol=1e-5)
 
 
 def test_held_out_accuracy_folds_and_defined_cases(spark):

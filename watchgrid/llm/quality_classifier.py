@@ -1,13 +1,13 @@
 """A quality classifier on random-indexing word vectors, pooled per document, under a two-layer network.
 
-Random indexing: every word has a fixed sparse index vector of a few signed ones, drawn from its hash. Its context vector
+Random indexing: every word has a fixed sparse index vector of two signed ones, drawn from its hash. Its context vector
 is the sum of the index vectors of the words within two places of it, over every occurrence in the whole corpus. Words
-(letters and digits, or a run of signs, case kept) fall into a fixed number of hash buckets, so the table of sums has the
-same size for any corpus. Each task sums into a table of its own; the tables are added block by block, and integer sums
-make the result independent of the order.
+(letters, digits and all that is not ASCII, or a run of signs, case kept) fall into a fixed number of hash buckets, so the
+table of sums has the same size for any corpus. Words are found and hashed in the bytes of many texts at once. Each task
+sums into a table of its own; the tables are added block by block, and integer sums make the result independent of the
+order.
 
-A document is pooled into the mean and the spread of its word vectors and how much neighbours resemble each other; a
-network of one hidden layer, in numpy, is trained on a bounded sample of labelled documents (``most_labelled``), and a
+A document is pooled into the mean of its word vectors and how much neighbours resemble each other; a network of one hidden layer, in numpy, is trained on a bounded sample of labelled documents (``most_labelled``), and a
 temperature fitted on a fold of its own turns its margins into probabilities. Scoring reads every document once and
 shuffles nothing.
 
@@ -19,39 +19,57 @@ whole, a stretch at a time; an empty table gives no row; other columns travel on
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
-from watchgrid.llm.vocabulary import Remembered
-
 FOLDS = 5
 HELD_OUT = 0
 CALIBRATION = 1
 MOST_LABELLED = 20_000
 THRESHOLD = 0.3
 BUCKETS = 1 << 15
-DIMS = 48
+DIMS = 32
 #: Signed ones of an index vector, and how far the context reaches.
-ONES = 4
+ONES = 2
 REACH = 2
 #: Buckets that are added up as one row, and words that are worked on at a time.
 BLOCK = 256
-STRETCH = 65_536
-FEATURES = 2 * DIMS + REACH + 1
-_WORD = regex.compile(r"\w+|[^\w\s]+")
+STRETCH = 1 << 18
+FEATURES = DIMS + REACH + 1
+#: Bytes that are searched for words at a time, if there is white space to cut at.
+PIECE = 1 << 20
+_FACTOR, _MIX = 0x100000001B3, 0x9E3779B97F4A7C15
+_KIND = np.array([0 if b in b"\t\n\v\f\r " else 1 if b > 127 or chr(b).isalnum() or b == 95 else 2 for b in range(256)], np.uint8)
 
 
 def remainder(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")), F.lit(FOLDS)), F.lit(FOLDS)).cast("int")
 
 
-def bucket_of(word: str) -> int:
-    return zlib.crc32(word.encode("utf-8", "surrogatepass")) % BUCKETS
+@lru_cache(maxsize=1)
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd factor and of its inverse, modulo 2**64."""
+    inverse = pow(_FACTOR, -1, 1 << 64)
+    return tuple(np.r_[np.uint64(1), np.full(size, f, np.uint64)].cumprod(dtype=np.uint64) for f in (_FACTOR, inverse))
+
+
+def words_of(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket and first byte of every word: maximal runs of one kind of byte, white space apart. A word's hash is a
+    polynomial in its bytes, taken from running sums over all of them."""
+    kind = _KIND[np.frombuffer(data, np.uint8)]
+    edges = np.flatnonzero(np.diff(kind, prepend=np.uint8(0), append=np.uint8(0)))
+    starts, ends = edges[:-1], edges[1:]
+    real = kind[starts] > 0
+    starts, ends = starts[real], ends[real]
+    powers, inverse = _powers(1 << max(PIECE.bit_length(), len(data).bit_length()))
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((np.frombuffer(data, np.uint8) + np.uint64(1)) * powers[: len(data)], out=sums[1:])
+    mixed = (sums[ends] - sums[starts]) * inverse[starts] * np.uint64(_MIX)
+    return (mixed >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int32), starts
 
 
 def index_vectors() -> tuple[np.ndarray, np.ndarray]:
@@ -61,11 +79,22 @@ def index_vectors() -> tuple[np.ndarray, np.ndarray]:
     return places.astype(np.int64), rng.choice([-1.0, 1.0], (BUCKETS, ONES))
 
 
-def numbered(texts: list[str], buckets: Remembered) -> tuple[np.ndarray, np.ndarray]:
+def numbered(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of all words of the texts, and which text each belongs to."""
-    found = [np.fromiter(map(buckets.__getitem__, _WORD.findall(t)), np.int32) for t in texts]
-    sizes = [len(f) for f in found]
-    return np.concatenate(found) if found else np.zeros(0, np.int32), np.repeat(np.arange(len(texts)), sizes)
+    data = b" ".join(texts)
+    begins = np.cumsum([0, *[len(t) + 1 for t in texts[:-1]]])
+    words, places, at = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], 0
+    while at < len(data):
+        end = at + PIECE
+        if end < len(data):
+            cut = max(data.rfind(b" ", at, end), data.rfind(b"\n", at, end))
+            following = [c for c in (data.find(b" ", end), data.find(b"\n", end)) if c >= 0]
+            end = cut if cut > at else min(following, default=len(data))
+        found, starts = words_of(data[at:end])
+        words.append(found)
+        places.append(starts + at)
+        at = end
+    return np.concatenate(words), np.searchsorted(begins, np.concatenate(places), side="right") - 1
 
 
 def add_contexts(table: np.ndarray, words: np.ndarray, of: np.ndarray, places: np.ndarray, signs: np.ndarray) -> None:
@@ -89,10 +118,10 @@ def context_sums(docs: DataFrame) -> np.ndarray:
     width = DIMS + 1
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, buckets, (places, signs) = np.zeros((BUCKETS, width), np.int64), Remembered(bucket_of), index_vectors()
+        table, (places, signs) = np.zeros((BUCKETS, width), np.int64), index_vectors()
         for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                words, of = numbered(batch.column(0).slice(start, 500).to_pylist(), buckets)
+            for start in range(0, batch.num_rows, 1000):
+                words, of = numbered(batch.column(0).slice(start, 1000).to_pylist())
                 add_contexts(table, words, of, places, signs)
         seen = [b for b in range(BUCKETS // BLOCK) if table[b * BLOCK : (b + 1) * BLOCK].any()]
         sums = [pa.compress(table[b * BLOCK : (b + 1) * BLOCK].tobytes(), "zstd", asbytes=True) for b in seen]
@@ -108,7 +137,7 @@ def context_sums(docs: DataFrame) -> np.ndarray:
         sums = pa.array([total[b].tobytes() for b in blocks], pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), sums], names=["block", "sums"])
 
-    parts = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(count, "block int, sums binary")
+    parts = docs.select(_bytes("text")).mapInArrow(count, "block int, sums binary")
     table = np.zeros((BUCKETS, width), np.int64)
     for block, sums in parts.repartition("block").mapInArrow(add, "block int, sums binary").collect():  # at most BUCKETS / BLOCK rows
         table[block * BLOCK : (block + 1) * BLOCK] = np.frombuffer(sums, np.int64).reshape(BLOCK, width)
@@ -129,24 +158,24 @@ def word_vectors(table: np.ndarray) -> np.ndarray:
     return (both / np.maximum(np.linalg.norm(both, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
 
-def pooled(texts: list[str], vectors: np.ndarray, buckets: Remembered) -> np.ndarray:
+def pooled(texts: list[bytes], vectors: np.ndarray) -> np.ndarray:
     """One row of features per text."""
-    words, of = numbered(texts, buckets)
+    words, of = numbered(texts)
     count = np.bincount(of, minlength=len(texts)).astype(float)
-    total = np.zeros((len(texts), 2 * DIMS + REACH))
+    total = np.zeros((len(texts), DIMS + REACH))
     for start in range(0, len(words), STRETCH):
-        here = of[start : start + STRETCH]
-        mine = vectors[words[start : start + STRETCH]]
-        parts = [mine, mine * mine]
+        before = min(REACH, start)
+        here = of[start - before : start + STRETCH]
+        mine = vectors[words[start - before : start + STRETCH]]
+        alike = np.zeros((len(here), REACH), np.float32)
         for far in range(1, REACH + 1):
-            before = np.maximum(np.arange(start, start + len(here)) - far, 0)
-            same = (of[before] == here) & (np.arange(start, start + len(here)) >= far)
-            parts.append((np.einsum("ij,ij->i", mine, vectors[words[before]]) * same)[:, None])
+            same = here[far:] == here[:-far]
+            alike[far:, far - 1] = np.einsum("ij,ij->i", mine[far:], mine[:-far]) * same
+        here = here[before:]
         edges = np.flatnonzero(np.r_[True, here[1:] != here[:-1]])
-        total[here[edges]] += np.add.reduceat(np.concatenate(parts, axis=1).astype(float), edges, axis=0)
-    mean = total / np.maximum(count, 1)[:, None]
-    mean[:, DIMS : 2 * DIMS] = np.sqrt(np.maximum(mean[:, DIMS : 2 * DIMS] - mean[:, :DIMS] ** 2, 0))
-    return np.concatenate([mean, np.log1p(count)[:, None]], axis=1)
+        total[here[edges], :DIMS] += np.add.reduceat(mine[before:], edges, axis=0)
+        total[here[edges], DIMS:] += np.add.reduceat(alike[before:], edges, axis=0)
+    return np.concatenate([total / np.maximum(count, 1)[:, None], np.log1p(count)[:, None]], axis=1)
 
 
 class Network:
@@ -200,17 +229,20 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(self.margins(x) / self.temperature, -30, 30)))
 
 
+def _bytes(name: str) -> Column:
+    return F.coalesce(F.col(name), F.lit("")).cast("binary").alias("text")
+
+
 def mapped(docs: DataFrame, carry: tuple[str, ...], name: str, kind: str, make: Callable) -> DataFrame:
-    """``row`` (the carried columns) and one column made from the texts, 500 at a time."""
-    narrow = docs.select(F.struct(*carry).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
+    """``row`` (the carried columns) and one column made from the texts, 1000 at a time."""
+    narrow = docs.select(F.struct(*carry).alias("row"), _bytes("text"))
     schema = narrow.select("row", F.lit(None).cast(kind).alias(name)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        buckets = Remembered(bucket_of)
         for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
-                yield pa.RecordBatch.from_arrays([part.column(0), make(part.column(1).to_pylist(), buckets)], names=["row", name])
+            for start in range(0, batch.num_rows, 1000):
+                part = batch.slice(start, 1000)
+                yield pa.RecordBatch.from_arrays([part.column(0), make(part.column(1).to_pylist())], names=["row", name])
 
     return narrow.mapInArrow(run, schema)
 
@@ -229,8 +261,8 @@ def train(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED
     """A scorer: ``score(docs, carry)`` gives ``row``, ``held_out``, ``score``, ``predicted``."""
     vectors = word_vectors(context_sums(docs))
 
-    def dense(texts: list[str], buckets: Remembered) -> pa.Array:
-        return pa.array(list(pooled(texts, vectors, buckets)), pa.list_(pa.float64()))
+    def dense(texts: list[bytes]) -> pa.Array:
+        return pa.array(list(pooled(texts, vectors)), pa.list_(pa.float64()))
 
     sample = mapped(labelled_sample(docs, labels, most_labelled), ("doc_id", "label", "part"), "dense", "array<double>", dense)
     once = sample.groupBy("row.doc_id").agg(F.min(F.struct("row.label", "row.part", "dense")).alias("it"))
@@ -245,8 +277,8 @@ def train(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED
         if len(set(y[rest])) == 2:
             network.calibrate(x[rest], y[rest])
 
-    def rated(texts: list[str], buckets: Remembered) -> pa.Array:
-        found = network.probabilities(pooled(texts, vectors, buckets)) if network else np.full(len(texts), share)
+    def rated(texts: list[bytes]) -> pa.Array:
+        found = network.probabilities(pooled(texts, vectors)) if network else np.full(len(texts), share)
         return pa.array(found, pa.float64())
 
     def score(what: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
