@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from watchgrid.operators.cascade import box_iou
+from watchgrid.operators.components import components
 from watchgrid.session import cut_lineage
 
 #: Slices of a path that one task reduces to pointers.
@@ -151,31 +152,19 @@ def _nodes_and_bonds(spotted: DataFrame, keys: list[str]) -> tuple[DataFrame, Da
 def _groups(nodes: DataFrame, bonds: DataFrame, keys: list[str]) -> DataFrame:
     """Per spot ``of`` (the earliest spot it is bonded with, over any number of bonds) and ``tangled``."""
     here, there = F.struct("slice", "spot"), F.struct(F.col("to_slice").alias("slice"), F.col("to_spot").alias("spot"))
-    ends = bonds.select(
-        *keys, "same", F.explode(F.array(F.struct(here.alias("node"), there.alias("near"), F.lit(1).alias("on")),
-                                         F.struct(there.alias("node"), here.alias("near"), F.lit(0).alias("on")))).alias("e")
-    ).select(*keys, "same", "e.*")
-    ends = cut_lineage(ends)
-    counted = ends.groupBy(*keys, "node").agg(
-        F.sum("on").alias("ahead"), F.sum(1 - F.col("on")).alias("behind"), F.min("same").alias("same")
+    sides = bonds.select(*keys, "same", here.alias("a"), there.alias("b"))
+    forward = sides.select(*keys, F.col("a").alias("node"), "same", F.lit(1).alias("ahead"), F.lit(0).alias("behind"))
+    backward = sides.select(*keys, F.col("b").alias("node"), "same", F.lit(0).alias("ahead"), F.lit(1).alias("behind"))
+    counted = forward.unionByName(backward).groupBy(*keys, "node").agg(
+        F.sum("ahead").alias("ahead"), F.sum("behind").alias("behind"), F.min("same").alias("same")
     )
-    state = nodes.select(*keys, here.alias("node"), "whole").join(counted, [*keys, "node"], "left")
+    known = nodes.select(*keys, here.alias("node"), "whole").join(counted, [*keys, "node"], "left")
+    known = known.join(components(sides, keys), [*keys, "node"], "left")
     plain = F.coalesce(F.col("same") & (F.col("ahead") <= 1) & (F.col("behind") <= 1), F.lit(True))
-    state = cut_lineage(state.select(*keys, "node", (~(F.col("whole") & plain)).alias("odd"), F.col("node").alias("of")))
-    while True:
-        labels = state.select(*keys, F.col("node").alias("near"), F.col("of").alias("there"))
-        met = ends.join(labels, [*keys, "near"]).groupBy(*keys, "node").agg(F.min("there").alias("there"))
-        nearer = state.join(met, [*keys, "node"], "left").withColumn("new", F.least("of", "there")).drop("there")
-        nearer = cut_lineage(nearer)
-        hop = nearer.select(*keys, F.col("node").alias("new"), F.col("new").alias("hop"))
-        moved = nearer.join(hop, [*keys, "new"], "left")
-        moved = moved.select(*keys, "node", "odd", F.col("of").alias("old"), F.least("new", "hop").alias("of"))
-        moved = cut_lineage(moved)
-        state = moved.drop("old")
-        if moved.filter("old != of").isEmpty():
-            break
-    tangled = state.groupBy(*keys, "of").agg(F.max("odd").alias("tangled"))
-    return state.join(tangled, [*keys, "of"]).select(*keys, "node.slice", "node.spot", "of", "tangled")
+    known = known.select(*keys, "node", (~(F.col("whole") & plain)).alias("odd"), F.coalesce("of", "node").alias("of"))
+    known = cut_lineage(known)
+    tangled = known.groupBy(*keys, "of").agg(F.max("odd").alias("tangled"))
+    return known.join(tangled, [*keys, "of"]).select(*keys, "node.slice", "node.spot", "of", "tangled")
 
 
 # Paths: pointers between blocks.
