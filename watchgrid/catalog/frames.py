@@ -598,7 +598,7 @@ def st07(spark, sf_dir):
     cascade(
         """SELECT hazard, make_timestamp((min(ts) * 1000000)::BIGINT) AS window_start, count(*) AS events FROM (
              SELECT *, sum(fresh) OVER (PARTITION BY hazard ORDER BY ts, det_seq) AS s FROM (
-               SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY hazard ORDER BY ts, det_seq) < 21600 THEN 0 ELSE 1 END AS fresh FROM confirmed_rows))
+               SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY hazard ORDER BY ts, det_seq) <= 21600 THEN 0 ELSE 1 END AS fresh FROM confirmed_rows))
            GROUP BY hazard, s""",
         extra=_EVENTS,
     ),

@@ -327,8 +327,39 @@ def event_windows(events: DataFrame, width: str = "1 hour", slide: str | None =
     )
 
 
-def event_sessions(events: DataFrame, gap: str = "6 hours", keys: Sequence[str] = ("hazard",)) -> DataFrame:
-    """Events joined into sessions that end after ``gap`` without one."""
-    return events.groupBy(*keys, F.session_window("event_time", gap).alias("_w")).agg(F.count("*").alias("events")).select(
-        *keys, F.col("_w.start").alias("window_start"), F.col("_w.end").alias("window_end"), "events"
-    )
+def event_sessions(
+    events: DataFrame, gap: str = "6 hours", keys: Sequence[str] = ("hazard",), chunk: str = "1 day"
+) -> DataFrame:
+    """Events joined into sessions that end after ``gap`` without one; an event exactly ``gap`` later still belongs. A stream
+    is handed to the engine's own session window, whose state is one open session per key and whose rule this is.
+
+    On a table no key is brought together. Inside (key, ``chunk`` of time) events fall into runs; runs between a chunk's
+    first and last are sessions already. First and last runs, two small rows per chunk, are put in order and merged over
+    the borders, however many chunks a session spans or a pause skips."""
+    keys = list(keys)
+    if events.isStreaming:
+        return events.groupBy(*keys, F.session_window("event_time", gap).alias("_w")).agg(F.count("*").alias("events")).select(
+            *keys, F.col("_w.start").alias("window_start"), F.col("_w.end").alias("window_end"), "events"
+        )
+    pause = F.expr(f"INTERVAL {gap}")
+
+    def numbered(runs: DataFrame, by: list[str]) -> DataFrame:
+        """Count up where a run begins more than ``gap`` behind the end of the one before."""
+        order = Window.partitionBy(*by).orderBy("_start", "_last")
+        fresh = F.coalesce(F.col("_start") > F.lag("_last").over(order) + pause, F.lit(True))
+        return runs.withColumn("_fresh", fresh.cast("int")).withColumn("_run", F.sum("_fresh").over(order))
+
+    def merged(runs: DataFrame, by: list[str]) -> DataFrame:
+        return runs.groupBy(*by, "_run").agg(F.min("_start").alias("_start"), F.max("_last").alias("_last"), F.sum("events").alias("events"))
+
+    # Events of one instant are one row before anything is ordered; events without a time belong to no session.
+    instants = events.filter("event_time IS NOT NULL").groupBy(*keys, "event_time").agg(F.count("*").alias("events"))
+    single = instants.select(*keys, F.col("event_time").alias("_start"), F.col("event_time").alias("_last"), "events")
+    placed = single.withColumn("_chunk", F.window("_start", chunk)["start"])
+    runs = merged(numbered(placed, [*keys, "_chunk"]), [*keys, "_chunk"])
+    ends = runs.withColumn("_runs", F.max("_run").over(Window.partitionBy(*keys, "_chunk")))
+    at_border = (F.col("_run") == 1) | (F.col("_run") == F.col("_runs"))
+    closed = ends.filter(~at_border).select(*keys, "_start", "_last", "events")
+    joined = merged(numbered(ends.filter(at_border).drop("_run", "_runs", "_chunk"), keys), keys)
+    sessions = closed.unionByName(joined.drop("_run"))
+    return sessions.select(*keys, F.col("_start").alias("window_start"), (F.col("_last") + pause).alias("window_end"), "events")

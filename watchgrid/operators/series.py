@@ -10,6 +10,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from watchgrid.functions.stats import array_corr
 from watchgrid.operators import scans
+from watchgrid.session import cut_lineage
 
 
 def nearest_join(
@@ -89,40 +90,118 @@ def frame_gaps(frames: DataFrame, keys: Sequence[str], chunk: Column, order: Seq
     return before.withColumn("gap", F.col("ts") - F.col("_prev_ts")).drop("_prev_ts")
 
 
-def track_trails(confirmed: DataFrame, length: int = 24, keys: Sequence[str] = ("camera_id", "hazard")) -> DataFrame:
+_POINT = "struct<x: int, y: int>"
+
+
+def _centres(batch: pa.RecordBatch, group: Sequence[str]) -> Iterator[tuple[tuple, int, dict]]:
+    columns = [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in (*group, "frame_no", "x1", "y1", "x2", "y2")]
+    for *here, number, x1, y1, x2, y2 in zip(*columns):
+        yield tuple(here), number, {"x": int((x1 + x2) / 2), "y": int((y1 + y2) / 2)}
+
+
+def track_trails(
+    confirmed: DataFrame, length: int = 24, keys: Sequence[str] = ("camera_id", "hazard"), chunk_frames: int = 65_536
+) -> DataFrame:
     """The trail of centres at every sighting of a confirmed track: at most ``length`` points, one dropped per frame in
     which the track was not seen, so it is gone at ``fades_at`` unless seen before.
 
-    ``confirmed``: keys, track_id, frame_no, x1..y2. The ordered pass holds one trail at a time."""
+    ``confirmed``: keys, track_id, frame_no, x1..y2. A track is cut into chunks of ``chunk_frames`` frames. How many points
+    a trail has behind a chunk is a bounded shift of how many it had before it, and such shifts compose; the points are
+    always the newest sightings. So a chunk first reports its shift and its newest ``length`` centres, these small rows are
+    chained per track, and every chunk then begins with the exact trail. A fixed number of frames in front of a chunk
+    would not do: a track seen every other frame keeps its trail's length for ever."""
     group_keys = [*keys, "track_id"]
+    by_chunk = [*group_keys, scans.CHUNK]
+    sightings = confirmed.select(*group_keys, "frame_no", "x1", "y1", "x2", "y2", scans.chunk_of(F.col("frame_no"), chunk_frames).alias(scans.CHUNK))
+    sightings = cut_lineage(sightings)
+    spans = sightings.groupBy(*group_keys).agg(F.min(scans.CHUNK).alias("_a"), F.max(scans.CHUNK).alias("_b")).filter("_a < _b")
+    state = f"trail array<{_POINT}>, last long"
+    long = sightings.join(spans.select(*group_keys), group_keys, "left_semi")
+    starts = _trails_between(long, length, group_keys, by_chunk, state)
+    feed = sightings.withColumns({"trail": F.lit(None).cast(f"array<{_POINT}>"), "last": F.lit(None).cast("long")})
+    blank = [F.lit(None).cast(feed.schema[c].dataType).alias(c) for c in ("x1", "y1", "x2", "y2")]
+    feed = feed.unionByName(starts.select(*by_chunk, F.lit(-1).cast(feed.schema["frame_no"].dataType).alias("frame_no"), *blank, "trail", "last"))
     schema = T.StructType(
         [confirmed.schema[k] for k in (*group_keys, "frame_no")]
-        + T.StructType.fromDDL("trail array<struct<x: int, y: int>>, trail_length int, fades_at long").fields
+        + T.StructType.fromDDL(f"trail array<{_POINT}>, trail_length int, fades_at long").fields
     )
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, trail, last = None, [], 0
+        group, trail, last = None, [], None
         for batch in batches:
-            columns = [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in (*group_keys, "frame_no", "x1", "y1", "x2", "y2")]
+            names = batch.schema.names
+            columns = [batch.column(names.index(n)).to_pylist() for n in (*by_chunk, "frame_no", "x1", "y1", "x2", "y2", "trail", "last")]
             out = []
-            for *here, number, x1, y1, x2, y2 in zip(*columns):
+            for *here, number, x1, y1, x2, y2, given, given_last in zip(*columns):
                 if here != group:
-                    group, trail = here, []
-                else:
-                    trail = trail[max(0, number - last - 1) :]
+                    group, trail, last = here, [], None
+                if x1 is None:
+                    trail, last = given, given_last
+                    continue
+                trail = trail[max(0, number - last - 1) :] if last is not None else []
                 trail = [*trail, {"x": int((x1 + x2) / 2), "y": int((y1 + y2) / 2)}][-length:]
                 last = number
-                out.append((*here, number, trail, len(trail), number + len(trail)))
+                out.append((*here[:-1], number, trail, len(trail), number + len(trail)))
             if out:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, type=f.type) for c, f in zip(zip(*out), arrow)], schema=arrow
                 )
 
-    ordered = confirmed.repartition(*group_keys).sortWithinPartitions(*group_keys, "frame_no")
+    ordered = feed.repartition(*by_chunk).sortWithinPartitions(*by_chunk, "frame_no")
     return ordered.mapInArrow(run, schema)
 
 
+def _trails_between(sightings: DataFrame, length: int, group_keys: list[str], by_chunk: list[str], state: str) -> DataFrame:
+    """The trail, and the frame it was last added to, with which every chunk but a track's first begins."""
+    kept = [sightings.schema[k] for k in by_chunk]
+    report = T.StructType(kept + T.StructType.fromDDL(f"first long, last long, shift long, least int, most int, newest array<{_POINT}>").fields)
+    chained = T.StructType(kept + T.StructType.fromDDL(state).fields)
+    report_arrow, chained_arrow = to_arrow_schema(report), to_arrow_schema(chained)
+
+    def packed(rows: list[tuple], arrow: pa.Schema) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
+
+    def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Behind its first sighting a chunk turns a trail of x points into one of min(most, max(least, x + shift))."""
+        group, row, out = None, None, []
+        for batch in batches:
+            for here, number, centre in _centres(batch, by_chunk):
+                if here != group:
+                    if group is not None:
+                        out.append((*group, *row))
+                    group, row = here, [number, number, 0, 0, length, [centre]]
+                    continue
+                by = 1 - max(0, number - row[1] - 1)
+                row[2] += by
+                row[3], row[4] = (min(length, max(1, bound + by)) for bound in row[3:5])
+                row[1], row[5] = number, [*row[5], centre][-length:]
+            if out:
+                yield packed(out, report_arrow)
+                out = []
+        if group is not None:
+            yield packed([(*group, *row)], report_arrow)
+
+    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, trail, last = None, [], None
+        for batch in batches:
+            names, out = batch.schema.names, []
+            columns = [batch.column(names.index(n)).to_pylist() for n in report.names]
+            for *here, first, until, shift, least, most, newest in zip(*columns):
+                if here[:-1] != group:
+                    group, trail, last = here[:-1], [], None
+                if last is not None:
+                    out.append((*here, trail, last))
+                points = min(length, max(1, len(trail) + 1 - (first - last - 1))) if last is not None else 1
+                points = min(most, max(least, points + shift))
+                trail, last = [*trail, *newest][-points:], until
+            if out:
+                yield packed(out, chained_arrow)
+
+    reported = sightings.repartition(*by_chunk).sortWithinPartitions(*by_chunk, "frame_no").mapInArrow(summarise, report)
+    return reported.repartition(*group_keys).sortWithinPartitions(*by_chunk).mapInArrow(chain, chained)
+
+
 def latency_profile(timings: DataFrame, n: int = 200, key: str = "detector") -> DataFrame:
     """Median over each detector's last n inferences, and the rate it implies."""
     last = recent(timings, n, [key], [F.desc("seq")])
