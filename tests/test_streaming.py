@@ -109,6 +109,46 @@ def test_late_frames_are_dropped_and_counted(spark, tmp_path):
     assert late_rows(query) == 1
 
 
+def test_late_frames_come_out_by_name_and_the_rest_as_before(spark, tmp_path):
+    box = (0, 0, 60.0, 60.0)
+    seen = [frame_row("cam", "fire", i, float(i + 1), [(i, 0.9, box)]) for i in range(5)]
+    late = [frame_row("cam", "fire", 6, 2.5, [(6, 0.9, box)]), frame_row("new", "flood", 1, 5990.0, [(7, 0.9, box)]), frame_row("cam", "fire", 8, 5995.0, [(8, 0.9, box)])]
+    batches = [seen, [frame_row("cam", "fire", 5, 5000.0, [])], [frame_row("cam", "fire", 7, 6000.0, [])], late, [frame_row("end", "fire", 1, 9000.0, [])], [frame_row("end", "fire", 2, 9001.0, [])]]
+    write_batches(tmp_path / "in", batches)
+    stream = st.validate_stream(source(spark, tmp_path / "in", FRAME), [ValidatorConfig("a")], delay="8 seconds", name_late=True)
+    out, query = run(stream, tmp_path, "named")
+    rows = spark.read.parquet(out).collect()
+    named = {(r.camera_id, r.hazard, r.frame_index): (r.late_ms, r.ts, r.config_id, r.track_id) for r in rows if r.status == "late"}
+    assert named == {("cam", "fire", 6): (5_990_000, 2.5, None, -1), ("new", "flood", 1): (2000, 5990.0, None, -1)}
+    assert {r.det_seq for r in rows if r.status is None} == {0, 1, 2, 3, 4, 8}
+    assert late_rows(query) == 0  # the engine had nothing to drop
+
+
+def test_alerts_are_stored_once_by_event_id_whatever_is_repeated(spark, tmp_path):
+    from watchgrid.sources.alerts import alert_writer
+
+    def events(frames, track=1):
+        rows = [("a", "cam", "fire", 0.9, 0.0, 0.0, 60.0, float(track), 1, f, 1.0, f * 40_000.0, 3, track, 1.0) for f in frames]
+        return spark.createDataFrame(rows, "config_id string, camera_id string, hazard string, confidence double, x1 double, y1 double, x2 double, y2 double,"
+            "first_seen_frame long, confirmed_frame long, first_seen_time double, confirmed_time double, supporting_detections long, track_id long, seconds_to_confirm double")
+
+    path = str(tmp_path / "alerts")
+    stored = lambda: sorted((r.track_id, r.confirmed_frame, str(r.day)) for r in spark.read.json(path).collect())
+    sink = alert_writer(path)
+    sink(events([]), 0)
+    sink(events([1, 2, 3]), 1)
+    sink(events([1, 2, 3]), 1)  # the batch is replayed
+    first = stored()
+    assert first == [(1, 1, "1970-01-01"), (1, 2, "1970-01-01"), (1, 3, "1970-01-02")]
+    # A restart from nothing cuts its batches elsewhere; one event is new, one is twice in a batch.
+    again = alert_writer(path)
+    again(events([1]), 0)
+    again(events([2, 3, 4, 4]), 1)
+    again(events([2], track=2), 2)
+    assert stored() == [*first, (1, 4, "1970-01-02"), (2, 2, "1970-01-01")]
+    assert spark.read.json(path).select("event_id").distinct().count() == 5
+
+
 def test_an_idle_camera_is_forgotten(spark, tmp_path):
     box = (0, 0, 60.0, 60.0)
     rows = [[frame_row("cam", "fire", i, float(i), [(i, 0.9, box)])] for i in range(2)]

@@ -131,12 +131,14 @@ def st03(spark, sf_dir):
 def st04(spark, sf_dir):
     folder = fx.shared_folder(spark)
     events = confirmed_events(validated(spark, sf_dir))
-    streams.start_alert_sink(events, f"{folder}/alerts", f"{folder}/mark").awaitTermination()
+    # Once, and once more as after a restart that lost its checkpoint: every event is stored once.
+    for mark in ("mark", "restarted"):
+        streams.start_alert_sink(events, f"{folder}/alerts", f"{folder}/{mark}").awaitTermination()
     schema = (
         "hazard string, camera_id string, first_seen_frame long, confirmed_frame long, supporting_detections long, "
         "track_id long, evidence string"
     )
-    return spark.read.schema(schema).json(f"{folder}/alerts/batch_id=*")
+    return spark.read.schema(schema).json(f"{folder}/alerts").drop("day")
 
 
 @query(
@@ -184,6 +186,60 @@ def st08(spark, sf_dir):
     return out.agg(F.count("*").alias("processed")).withColumn("late", F.lit(late_rows(done)).cast("long"))
 
 
+@query(
+    "st08_late_rows",
+    fx.with_ctes(
+        "SELECT camera_id, hazard, frame_index, round(ts, 3) AS ts, 'late' AS status FROM detections WHERE hazard = 'fire'", "detections"
+    ),
+)
+def st08_rows(spark, sf_dir):
+    """The same late frames by name: one row each, from the stream that drops them."""
+    streams.use_rocksdb(spark)
+    frames = whole_frames(fx.detections(spark, sf_dir))
+    late = F.col("hazard") == "fire"
+    stream = streams.validate_stream(replay(spark, frames.filter(~late), late=frames.filter(late)), DEFAULTS, name_late=True)
+    out, _ = drain(spark, stream)
+    return out.filter("status = 'late'").select("camera_id", "hazard", "frame_index", F.round("ts", 3).alias("ts"), "status")
+
+
+#: A wave of the idle replay is one file and one batch, so timers fire at known points.
+_WAVE, _IDLE = 3 * 86_400, 2 * 86_400
+
+
+@query(
+    "st09_idle_expiry",
+    fx.with_ctes(
+        f"""SELECT camera_id, hazard, frame_index, row_number() OVER (PARTITION BY camera_id, hazard, visit ORDER BY frame_index) AS visit_frame
+            FROM (SELECT *, sum(fresh) OVER (PARTITION BY camera_id, hazard ORDER BY frame_index) AS visit FROM (
+              SELECT *, CASE WHEN mark >= last_ms + {_IDLE} * 1000 THEN 1 ELSE 0 END AS fresh FROM (
+                SELECT d.camera_id, d.hazard, d.frame_index, m.mark,
+                       floor(lag(d.ts) OVER (PARTITION BY d.camera_id, d.hazard ORDER BY d.frame_index) * 1000) AS last_ms
+                FROM detections d JOIN marks m ON m.wave = floor(d.ts / {_WAVE}))))""",
+        "detections",
+        extra={
+            "waves": f"SELECT floor(ts / {_WAVE}) AS wave, max(ts) AS newest FROM detections GROUP BY ALL",
+            # A frame cancels the timer of its key when it comes in, so the watermark of the batch before decides.
+            "marks": "SELECT wave, floor(max(newest) OVER (ORDER BY wave ROWS BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING) * 1000) - 60000 AS mark FROM waves",
+        },
+    ),
+)
+def st09(spark, sf_dir):
+    """Frames in waves of three days; a camera that is quiet for two days is forgotten as soon as the stream has got so far."""
+    streams.use_rocksdb(spark)
+    folder = fx.shared_folder(spark)
+    rows = whole_frames(fx.stored_detections(spark, sf_dir)).select("camera_id", "hazard", "frame_index", "ts")
+    rows = rows.withColumn("event_time", F.timestamp_micros((F.col("ts") * 1_000_000).cast("long")))
+    wave = F.floor(F.col("ts") / _WAVE)
+    for number in sorted(r.wave for r in rows.select(wave.alias("wave")).distinct().collect()):  # a span of days: a few numbers
+        rows.filter(wave == number).coalesce(1).write.mode("append").json(folder)
+    for n in (0, 1):
+        last = rows.limit(1).select(F.lit(_END_KEY).cast(rows.schema["camera_id"].dataType).alias("camera_id"), F.lit("fire").alias("hazard"), F.lit(n).cast("long").alias("frame_index"), F.lit(_END + n).alias("ts"))
+        last.withColumn("event_time", F.timestamp_micros((F.col("ts") * 1_000_000).cast("long"))).coalesce(1).write.mode("append").json(folder)
+    source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).json(folder)
+    out, _ = drain(spark, streams.visits_stream(source, idle_seconds=_IDLE))
+    return out.filter(F.col("camera_id") != _END_KEY).select("camera_id", "hazard", "frame_index", "visit_frame")
+
+
 @query("ux03_frame_hook", cascade("SELECT hazard, count(*) AS rows_seen FROM annotated GROUP BY ALL"))
 def ux03(spark, sf_dir):
     """A user's hook sees every annotated batch."""

@@ -75,9 +75,11 @@ def validate_stream(
     time: str = "event_time",
     delay: str = "1 minute",
     idle_seconds: float | None = None,
+    name_late: bool = False,
 ) -> DataFrame:
     """The cascade over a stream of whole frames: keys, event_time, frame_index, ts, detections (array of box,
-    confidence and optionally det_seq; empty arrays age tracks). Emits what ``validate`` emits. A camera that is quiet for
+    confidence and optionally det_seq; empty arrays age tracks). Emits what ``validate`` emits, and with ``name_late``
+    the frames that came too late (see ``step_in_order``). A camera that is quiet for
     ``idle_seconds`` loses its tracks; that may not be shorter than a cooldown, which would be forgotten with them."""
     longest = max((c.cooldown_seconds for c in configs if c.enable_cooldown), default=0.0)
     if idle_seconds is not None and idle_seconds < longest:
@@ -91,8 +93,9 @@ def validate_stream(
         delay=delay,
         idle_seconds=idle_seconds,
         forget=quiet_cascade,
+        name_late=name_late,
     )
-    confirmed = F.when(F.col("rejected_by").isNull(), F.col("track")).otherwise(F.lit(-1).cast("long"))
+    confirmed = F.when(F.col("rejected_by").isNull(), F.coalesce("track", F.lit(-1))).otherwise(F.lit(-1)).cast("long")
     return annotated.withColumn("track_id", confirmed)
 
 
@@ -161,6 +164,18 @@ def drop_repeats_stream(frames: DataFrame, *, keys: Sequence[str] = ("camera_id"
     return step_in_order(frames, keys, one_by_one(step), "frame_index long, ts double, signature string", **options)
 
 
+def visits_stream(frames: DataFrame, *, idle_seconds: float, keys: Sequence[str] = ("camera_id", "hazard"), **options) -> DataFrame:
+    """Numbers a key's frames within a visit; a key that was quiet for ``idle_seconds`` is forgotten, and its next frame
+    opens a new visit. A key is found quiet by a timer in event time, once the watermark has passed it."""
+
+    def step(memo: dict, row: dict) -> list[tuple]:
+        memo["frames"] = memo.get("frames", 0) + 1
+        return [(row["frame_index"], row["ts"], memo["frames"])]
+
+    output = "frame_index long, ts double, visit_frame long"
+    return step_in_order(frames, keys, one_by_one(step), output, idle_seconds=idle_seconds, **options)
+
+
 def live_counters(annotated: DataFrame, keys: Sequence[str] = ("camera_id",)) -> DataFrame:
     """Running totals per camera over annotated detections, table or stream (update or complete mode)."""
     reason = F.col("rejected_by")
@@ -174,7 +189,8 @@ def live_counters(annotated: DataFrame, keys: Sequence[str] = ("camera_id",)) ->
 def start_alert_sink(
     events: DataFrame, path: str, checkpoint: str, on_alert: Callable[[DataFrame, int], None] | None = None, **trigger
 ):
-    """Write confirmed events as alert files; a batch that is replayed after a failure replaces its own files."""
+    """Write confirmed events as alert files, each event once: after a failure, after a replay, and after a restart with a
+    checkpoint that knows nothing of the alerts already stored."""
     writer = events.writeStream.foreachBatch(alert_writer(path, on_alert)).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 

@@ -1,7 +1,8 @@
 """Stateful operators over streams of frames: the batch semantics, applied in frame order once the watermark has passed.
 
 Every operator buffers a key's frames until no earlier one can arrive, then steps its state through them in (event time,
-frame index) order. State is one JSON value and the pending frames; late frames are dropped by the engine and counted.
+frame index) order. State is one JSON value and the pending frames. Late frames are dropped by the engine and counted, or,
+with ``name_late``, come out as rows of their own.
 """
 
 from __future__ import annotations
@@ -9,13 +10,18 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import DataFrame, Row, types as T
+from pyspark.sql import DataFrame, Row, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery, StreamingQueryListener
 
 #: Steps the frames that are due: (state, frames as dicts, in order) -> rows to emit. ``state`` is a JSON-ready dict that
 #: the step may change; it is read and written once per key and batch.
 Step = Callable[[dict, list[dict]], list[tuple]]
 
+LATE = "late"
+#: How late a row may be and still be named, where late rows are asked for.
+GRACE = "36500 days"
+_CLOCK = "_clock"
+
 
 def one_by_one(step: Callable[[dict, dict], list[tuple]]) -> Step:
     """A step over single frames as a step over all that are due."""
@@ -35,7 +41,9 @@ class OrderedProcessor(StatefulProcessor):
         time: str,
         idle_seconds: float | None,
         forget: Callable[[dict], dict | None] | None = None,
+        name_late: bool = False,
     ):
+        self._name_late = name_late
         self._step, self._columns, self._names = step, list(keys), list(names)
         self._time, self._idle, self._forget = time, idle_seconds, forget
 
@@ -50,13 +58,20 @@ class OrderedProcessor(StatefulProcessor):
         return {"memo": {}, "timer": None, "last_ms": None, "arrivals": 0}
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        state, fresh = self._load(), []
+        state, fresh, watermark = self._load(), [], timerValues.getCurrentWatermarkInMs()
         for row in rows:
             frame = row.asDict(recursive=True)
-            at_ms = int(frame.pop(self._time).timestamp() * 1000)
+            at = frame.pop(self._time)
+            at_ms = int(at.timestamp() * 1000)
+            if self._name_late:
+                frame.pop(_CLOCK)
+                if 0 < watermark and at_ms <= watermark:
+                    known = [frame.get(name) for name in self._names[len(self._columns) : -3]]
+                    yield Row(*self._names)(*key, *known, LATE, at, watermark - at_ms)
+                    continue
             state["arrivals"] += 1
             fresh.append((at_ms, int(frame.get("frame_index") or 0), state["arrivals"], json.dumps(frame)))
-        yield from self._release(key, state, fresh, timerValues.getCurrentWatermarkInMs())
+        yield from self._release(key, state, fresh, watermark)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         state = self._load()
@@ -81,7 +96,8 @@ class OrderedProcessor(StatefulProcessor):
             state["last_ms"] = ready[-1][0]
             named = dict(zip(self._columns, key))
             frames = [{**json.loads(payload), **named} for *_, payload in ready]
-            emitted = [record(*key, *values) for values in self._step(state["memo"], frames)]
+            rest = (None, None, None) if self._name_late else ()
+            emitted = [record(*key, *values, *rest) for values in self._step(state["memo"], frames)]
         wake = left[0][0] if left else None
         if wake is None and self._idle is not None and state["last_ms"] is not None:
             wake = state["last_ms"] + int(self._idle * 1000)
@@ -115,14 +131,25 @@ def step_in_order(
     delay: str = "1 minute",
     idle_seconds: float | None = None,
     forget: Callable[[dict], dict | None] | None = None,
+    name_late: bool = False,
 ) -> DataFrame:
     """Run ``step`` over each key's rows in event-time order. ``output`` names the columns after the keys. A key that is
-    quiet for ``idle_seconds`` keeps of its state only what ``forget`` returns."""
+    quiet for ``idle_seconds`` keeps of its state only what ``forget`` returns.
+
+    With ``name_late`` every row behind the watermark with which its batch began comes out too: ``status`` is 'late',
+    ``late_event_time`` and ``late_ms`` (how far behind it was) are set, and of ``output`` the columns that the row itself
+    has. For that the watermark runs on the event time moved ahead by ``GRACE``, with a delay longer by as much: it stands
+    where it would, but the engine finds no row old enough to drop, and the operator sees all of them."""
     keys = list(keys)
-    schema = T.StructType([stream.schema[k] for k in keys] + T.StructType.fromDDL(output).fields)
-    marked = stream.withWatermark(time, delay)
+    extra = "status string, late_event_time timestamp, late_ms long"
+    schema = T.StructType([stream.schema[k] for k in keys] + T.StructType.fromDDL(output + (f", {extra}" if name_late else "")).fields)
+    if name_late:
+        clock = F.col(time) + F.expr(f"INTERVAL {GRACE}")
+        marked = stream.withColumn(_CLOCK, clock).withWatermark(_CLOCK, f"{delay} {GRACE}")
+    else:
+        marked = stream.withWatermark(time, delay)
     return marked.groupBy(*keys).transformWithState(
-        statefulProcessor=OrderedProcessor(step, keys, schema.names, time, idle_seconds, forget),
+        statefulProcessor=OrderedProcessor(step, keys, schema.names, time, idle_seconds, forget, name_late),
         outputStructType=schema,
         outputMode="Append",
         timeMode="EventTime",
