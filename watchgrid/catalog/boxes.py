@@ -227,8 +227,14 @@ def pixels(spark, sf_dir):
     )
 
 
-def flat_predictions(spark, sf_dir):
-    return fx.predictions(spark, sf_dir).select("*", *[F.col(f"box.{c}").alias(c) for c in BOX_COLUMNS])
+def flat(pred):
+    return pred.select("*", *[F.col(f"box.{c}").alias(c) for c in BOX_COLUMNS])
+
+
+def pairs_by_class(spark, sf_dir):
+    """(predictions, truth) with an image and a class as one key."""
+    pred, wanted = fx.stored_pairs(spark, sf_dir)
+    return fx.by_class(pred), fx.by_class(wanted)
 
 
 @query(
@@ -236,7 +242,7 @@ def flat_predictions(spark, sf_dir):
     fx.with_ctes("SELECT image_id, det_seq, round(grey_fraction, 6) AS grey_fraction FROM grey", "lines", "boxes", "pred", extra=_PIXELS),
 )
 def p19(spark, sf_dir):
-    shares = detect.grey_fraction(flat_predictions(spark, sf_dir), pixels(spark, sf_dir), 40, keys=("image_id",))
+    shares = detect.grey_fraction(flat(fx.predictions(spark, sf_dir)), pixels(spark, sf_dir), 40, keys=("image_id",))
     return rounded(shares, "grey_fraction")
 
 
@@ -485,15 +491,15 @@ def g02(spark, sf_dir):
     fx.with_ctes(
         f"""SELECT tp, fp, fn, tn, {_BETAS} FROM (SELECT *, {_RATES} FROM (
               SELECT count(*) FILTER (a AND t) AS tp, count(*) FILTER (a AND NOT t) AS fp, count(*) FILTER (NOT a AND t) AS fn, count(*) FILTER (NOT a AND NOT t) AS tn
-              FROM (SELECT image_id IN (SELECT image_id FROM pred WHERE confidence >= 0.6) AS a, image_id IN (SELECT image_id FROM truth WHERE class = 'A') AS t FROM images)))""",
-        *PAIRS,
-        "images",
+              FROM (SELECT image_id IN (SELECT image_id FROM pred WHERE confidence >= 0.6) AS a, image_id IN (SELECT image_id FROM truth) AS t FROM images)))""",
+        "lines",
+        extra=fx.BY_CLASS,
     ),
 )
 def g03(spark, sf_dir):
-    strong = detect.above_floor(fx.predictions(spark, sf_dir), 0.6)
-    wanted = fx.truth(spark, sf_dir).filter("class = 'A'")
-    return rounded(metrics.image_confusion(strong, wanted, fx.images(spark, sf_dir)), *_METRICS)
+    pred, wanted = pairs_by_class(spark, sf_dir)
+    strong = detect.above_floor(pred, 0.6)
+    return rounded(metrics.image_confusion(strong, wanted, fx.each_class(fx.images(spark, sf_dir))), *_METRICS)
 
 
 _BY_CLASS = {
@@ -540,24 +546,18 @@ SWEEP_COLUMNS = tuple(f"box_{n}" for n in ("precision", "recall", "f1", "f2")) +
     f"img_{n}" for n in ("precision", "recall", "f2", "false_alarm_rate")
 )
 FLOORS = (0.05, 0.10, 0.15, 0.20, 0.30, 0.50)
-# Truth is kept for one class only, so that images without any truth exist.
-_SWEEP_TRUTH = {"truth": fx.SQL["truth"] + " WHERE class = 'R'"}
-
-
-def sweep_truth(spark, sf_dir):
-    return fx.truth(spark, sf_dir).filter("class = 'R'")
 
 
 @query(
     "g05_confidence_sweep",
     fx.with_ctes(
         _sweep_sql(", ".join(f"({f}::DOUBLE)" for f in FLOORS), "pred"),
-        "lines", "boxes", "pred", "images", extra={**_SWEEP_TRUTH, **_MATCH}, recursive=True,
+        "lines", extra={**fx.BY_CLASS, **_MATCH}, recursive=True,
     ),
 )
 def g05(spark, sf_dir):
-    pred, wanted = fx.stored_pairs(spark, sf_dir)
-    rows = metrics.confidence_sweep(pred, wanted.filter("class = 'R'"), fx.images(spark, sf_dir), FLOORS)
+    pred, wanted = pairs_by_class(spark, sf_dir)
+    rows = metrics.confidence_sweep(pred, wanted, fx.each_class(fx.images(spark, sf_dir)), FLOORS)
     return rounded(rows, *SWEEP_COLUMNS)
 
 
@@ -581,11 +581,9 @@ def _renamed(ctes: dict, suffix: str) -> dict:
     fx.with_ctes(
         _mode_sql("baseline", "full_frame", "matched_a") + " UNION ALL " + _mode_sql("sliced", "merged", "matched_b"),
         "lines",
-        "boxes",
-        "images",
         extra={
-            **_SWEEP_TRUTH,
-            **_TILES,
+            **fx.BY_CLASS,
+            **{name: text.replace("FROM boxes", "FROM pred") for name, text in _TILES.items()},
             **fx.nms_sql("everything", 0.5, False),
             "merged": "SELECT * FROM everything SEMI JOIN kept USING (image_id, det_seq)",
             **_renamed(fx.match_sql("full_frame", "truth", 0.3), "_a"),
@@ -595,9 +593,8 @@ def _renamed(ctes: dict, suffix: str) -> dict:
     ),
 )
 def e06(spark, sf_dir):
-    rows = cut_lineage(fx.boxes(spark, sf_dir))
-    wanted = fx.truth_of(rows).filter("class = 'R'")
-    return rounded(experiments.sliced_vs_full(*tiled(rows), wanted, fx.images(spark, sf_dir)), *SWEEP_COLUMNS)
+    pred, wanted = pairs_by_class(spark, sf_dir)
+    return rounded(experiments.sliced_vs_full(*tiled(pred), wanted, fx.each_class(fx.images(spark, sf_dir))), *SWEEP_COLUMNS)
 
 
 @query(
@@ -609,13 +606,13 @@ def e06(spark, sf_dir):
               FROM (SELECT image_id IN (SELECT image_id FROM {source}) AS a, image_id IN (SELECT image_id FROM truth) AS t FROM images)))"""
             for name, source in [("colour off", "pred"), *[(f"S<={c}", f"greys WHERE g{c} >= 0.1") for c in CUTOFFS]]
         ),
-        "lines", "boxes", "pred", "images", extra={**_SWEEP_TRUTH, **_PIXELS, "greys": _GREYS},
+        "lines", extra={**fx.BY_CLASS, **_PIXELS, "pixels": _PIXELS["pixels"].replace("k AS image_id", "k * 3 + c AS image_id") + " CROSS JOIN range(3) AS t(c)", "greys": _GREYS},
     ),
 )
 def e07(spark, sf_dir):
-    rows = experiments.colour_prior_stills(
-        flat_predictions(spark, sf_dir), pixels(spark, sf_dir), sweep_truth(spark, sf_dir), fx.images(spark, sf_dir), cutoffs=CUTOFFS
-    )
+    pred, wanted = pairs_by_class(spark, sf_dir)
+    images, shown = fx.each_class(fx.images(spark, sf_dir)), fx.each_class(pixels(spark, sf_dir))
+    rows = experiments.colour_prior_stills(flat(pred), shown, wanted, images, cutoffs=CUTOFFS)
     return rounded(rows, *_METRICS)
 
 

@@ -232,6 +232,9 @@ def e04(spark, sf_dir):
 MULTI = [
     ValidatorConfig("multi", "fire", min_confidence=0.20, cooldown_seconds=600.0),
     ValidatorConfig("multi", "traffic", min_confidence=0.40, cooldown_seconds=10.0, track_iou=0.15),
+    ValidatorConfig("multi", "flood", min_confidence=0.50, min_frames=2, cooldown_seconds=300_000.0),
+    ValidatorConfig("multi", "drowning", min_confidence=0.30, max_misses=2, cooldown_seconds=90_000.0),
+    ValidatorConfig("multi", "building_access", min_confidence=0.20, enable_persistence=False, cooldown_seconds=200_000.0),
 ]
 
 
@@ -240,7 +243,7 @@ MULTI = [
     sequence_sql(
         MULTI,
         """SELECT hazard, raw_detections, coalesce(n, 0) AS confirmed_events, round(1 - coalesce(n, 0) / raw_detections, 6) AS suppression
-           FROM (SELECT hazard, count(*) AS raw_detections FROM detections WHERE confidence >= 0.25 AND hazard IN ('fire', 'traffic') GROUP BY ALL)
+           FROM (SELECT hazard, count(*) AS raw_detections FROM detections WHERE confidence >= 0.25 GROUP BY ALL)
            LEFT JOIN (SELECT hazard, count(*) AS n FROM annotated WHERE rejected_by IS NULL GROUP BY ALL) USING (hazard)""",
     ),
 )

@@ -185,7 +185,7 @@ def p12(spark, sf_dir):
 
 # Joins in time.
 
-_GAUGE = "SELECT user_id AS camera_id, epoch_us(ts) / 1e6 AS ts, value AS height FROM events WHERE event_type IN ('purchase', 'error')"
+_GAUGE = "SELECT user_id AS camera_id, epoch_us(ts) / 1e6 AS ts, value AS height FROM events WHERE event_type IN ('purchase', 'error', 'signup')"
 _COVERAGE = "SELECT user_id AS camera_id, event_id, epoch_us(ts) / 1e6 AS ts, value / 600 AS area_fraction FROM events WHERE event_type IN ('view', 'click')"
 _NEAREST = {
     "gauge": _GAUGE,
@@ -201,7 +201,7 @@ def gauge_tables(spark, sf_dir):
     events = fx.table(spark, sf_dir, "events")
     ts = sources.epoch_seconds(F.col("ts")).alias("ts")
     camera = F.col("user_id").alias("camera_id")
-    gauge = events.filter("event_type IN ('purchase', 'error')").select(camera, ts, F.col("value").alias("height"))
+    gauge = events.filter("event_type IN ('purchase', 'error', 'signup')").select(camera, ts, F.col("value").alias("height"))
     seen = events.filter("event_type IN ('view', 'click')").select(camera, "event_id", ts, (F.col("value") / 600).alias("area_fraction"))
     return seen, gauge
 
@@ -464,14 +464,21 @@ def e08(spark, sf_dir):
 # Clips: per-frame class probabilities from vectors; fifty clips.
 
 _PROBS = {
-    "weights": """SELECT vec_id, vec_id % 50 AS clip, list_transform([embedding[1], embedding[2], embedding[3], embedding[4]], lambda v: exp(v::DOUBLE * 10)) AS w FROM embeddings""",
+    "sums": """SELECT vec_id, list_transform(range(4), lambda c: list_sum(list_transform(range((len(embedding) - c + 3) // 4), lambda j: embedding[4 * j + c + 1]::DOUBLE))) AS s
+        FROM embeddings""",
+    "weights": "SELECT vec_id, vec_id % 50 AS clip, list_transform(s, lambda v: exp(v * 10)) AS w FROM sums",
     "probs": """SELECT clip, vec_id, unnest(['fire', 'flood', 'drowning', 'building_access']) AS class, unnest(list_transform(w, lambda v: v / list_sum(w))) AS probability FROM weights""",
 }
 
 
 def clip_probs(spark, sf_dir):
-    first = F.transform(F.slice("embedding", 1, 4), lambda v: v.cast("double") * 10)
-    probs = fx.table(spark, sf_dir, "embeddings").select((F.col("vec_id") % 50).alias("clip"), softmax(first).alias("p"))
+    def share(c: int):
+        """Entries c, c + 4, c + 8, ... of the vector, added up."""
+        mine = F.filter("embedding", lambda _, i: i % 4 == c)
+        return F.aggregate(mine, F.lit(0.0), lambda total, v: total + v.cast("double")) * 10
+
+    logits = F.array(*map(share, range(4)))
+    probs = fx.table(spark, sf_dir, "embeddings").select((F.col("vec_id") % 50).alias("clip"), softmax(logits).alias("p"))
     names = F.array(*[F.lit(c) for c in ("fire", "flood", "drowning", "building_access")])
     return probs.select("clip", F.inline(F.arrays_zip(names.alias("class"), F.col("p").alias("probability"))))
 

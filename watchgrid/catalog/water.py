@@ -90,7 +90,7 @@ def f03(spark, sf_dir):
         "mask_runs",
         extra={
             **_REGIONS,
-            "grouped": "SELECT camera_id % 1 AS camera_id, frame_index, x1, y1, x2, y2, area FROM regions",
+            "grouped": "SELECT frame_index // 50 AS camera_id, frame_index, x1, y1, x2, y2, area FROM regions",
             "best": """SELECT camera_id, frame_index, n, largest, x1, y1, x2, y2 FROM (SELECT *, count(*) OVER w AS n, max(area) OVER w / sum(area) OVER w AS largest,
                 row_number() OVER (PARTITION BY camera_id, frame_index ORDER BY area DESC, y1, x1) AS r FROM grouped WINDOW w AS (PARTITION BY camera_id, frame_index)) WHERE r = 1""",
         },
@@ -99,7 +99,7 @@ def f03(spark, sf_dir):
 )
 def g30(spark, sf_dir):
     regions = flood.mask_regions(fx.mask_runs(spark, sf_dir), fx.mask_frames(spark, sf_dir))
-    return rounded(reports.region_stability(regions.withColumn("camera_id", F.lit(0))), "median_largest_share", "median_step_iou")
+    return rounded(reports.region_stability(regions.withColumn("camera_id", F.floor(F.col("frame_index") / 50))), "median_largest_share", "median_step_iou")
 
 
 @query(
