@@ -35,6 +35,9 @@ FOLDS = 4
 HELD_OUT = 2
 CALIBRATION = 3
 MOST_LABELLED = 20_000
+LEAST_ODDS = 1.5
+#: Words that a worker remembers its findings of.
+REMEMBERED = 100_000
 THRESHOLD = 0.3
 
 #: Second-person words of the four languages, and signs that stand for letters.
@@ -81,7 +84,7 @@ class Scorer:
     def __init__(self, lexicon: dict[str, float]):
         self._lexicon, self._rank = lexicon, {term: i for i, term in enumerate(lexicon)}
         self._longest = max((len(term) for term in lexicon if not term.endswith("*")), default=0)
-        self._tokens = Remembered(self._token)
+        self._tokens = Remembered(self._token, REMEMBERED)
 
     def _term(self, *words: str) -> str:
         """The surest term that one of the words stands for, or nothing."""
@@ -183,7 +186,8 @@ def learn_lexicon(sample: DataFrame) -> dict[str, float]:
     """Terms of toxic texts with their smoothed log odds; ``sample`` has ``text`` and ``toxic``.
 
     A term belongs if it is commoner in toxic texts by a likelihood ratio that chance alone would not be expected to
-    reach for any of the terms tried: the bar, 2 ln(terms), rises with their number."""
+    reach for any of the terms tried: the bar, 2 ln(terms) + ln(texts), rises with both. Terms under ``LEAST_ODDS`` say
+    too little to be worth finding."""
     sizes = {bool(r.toxic): r.n for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     toxic, clean = sizes.get(True, 0), sizes.get(False, 0)
     if not toxic or not clean:
@@ -191,13 +195,13 @@ def learn_lexicon(sample: DataFrame) -> dict[str, float]:
     least = max(3, toxic // 200)
     in_toxic = {r.term: r.n for r in _term_counts(sample.where("toxic")).where(F.col("n") >= least).collect()}
     in_clean = {r.term: r.n for r in _term_counts(sample.where("NOT toxic"), frozenset(in_toxic)).collect()}
-    bar = 2 * math.log(max(2, len(in_toxic)))
+    bar = 2 * math.log(max(2, len(in_toxic))) + math.log(toxic + clean)
     scored = []
     for term, t in in_toxic.items():
         c = in_clean.get(term, 0)
         odds = math.log((t + 0.5) / (toxic + 1)) - math.log((c + 0.5) / (clean + 1))
         certainty = likelihood_ratio(t, toxic, c, clean)
-        if odds > 0 and certainty > bar:
+        if odds > LEAST_ODDS and certainty > bar:
             scored.append((certainty, term, odds))
     return {term: odds for _, term, odds in sorted(scored, reverse=True)}
 
