@@ -173,6 +173,23 @@ def test_claims_within_tolerance(spark):
     assert {r.figure: r.status for r in experiments.verify_claims(claims, facts).collect()} == {"f": "ok", "g": "mismatch"}
 
 
+def test_claims_and_facts_are_whole_on_both_sides(spark):
+    claims = [("m", "ok", "r", "a", 0.5), ("m", "path", "r", "gone", 0.5), ("m", "file", "lost", "a", 0.5), ("m", "none", None, "a", 0.5), ("m", "null", "r", "n", 0.5), ("m", "registry", "r", "a", None), ("m", "text", "r", "t", 1.0)]
+    facts = [("r", "a", "0.5"), ("r", "n", None), ("r", "t", "words"), ("r", "spare", "0.1"), ("alone", "a", "1")]
+    c = spark.createDataFrame(claims, "model string, figure string, file string, path string, claimed double")
+    f = spark.createDataFrame(facts, "file string, path string, value string")
+    got = sorted((r.figure or "", r.file or "", r.path, r.status) for r in experiments.verify_claims(c, f).collect())
+    assert got == sorted([
+        ("ok", "r", "a", "ok"), ("path", "r", "gone", "path_absent"), ("file", "lost", "a", "file_absent"), ("none", "", "a", "no_source_cited"),
+        ("null", "r", "n", "absent_from_results"), ("registry", "r", "a", "absent_from_registry"), ("text", "r", "t", "absent_from_results"),
+        ("", "r", "spare", "unclaimed"), ("", "alone", "a", "unclaimed"),
+    ])
+    models = spark.createDataFrame([], "model string, status string, results_file string, harness string")
+    failed = experiments.audit_results(c, f, models).collect()
+    assert len(failed) == len(got) - 1 and {r.path for r in failed if r.status == "unclaimed"} == {"spare", "a"}
+    assert experiments.verify_claims(c.limit(0), f.limit(0)).count() == 0
+
+
 def test_readers(spark, tmp_path):
     from watchgrid.sources import detections, registry, results, truth
     from watchgrid.sources.dims import merge_dim

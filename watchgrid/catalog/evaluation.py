@@ -252,9 +252,13 @@ def e05(spark, sf_dir):
     return rounded(table, "suppression")
 
 
+# Every arm is run as cameras of its own.
+_CUTOFFS = (40, 60, 80, 100, 120)
 _GREY = {
-    "grey_boxes": "SELECT *, (det_seq * 7 % 100) AS saturation, (det_seq * 11 % 256) AS value FROM sequences",
-    "grey_kept": "SELECT * FROM grey_boxes WHERE saturation <= 60 AND value >= 50",
+    "arms_of": "SELECT * FROM (VALUES ('colour off', 0, 0), " + ", ".join(f"('S<={c}', {c}, {n})" for n, c in enumerate(_CUTOFFS, 1)) + ") AS t(prior, cut, arm)",
+    "sequence_arms": """SELECT s.* REPLACE (camera_id * 10 + arm AS camera_id, det_seq * 10 + arm AS det_seq), prior, cut, (s.det_seq * 7 % 100) AS saturation, (s.det_seq * 11 % 256) AS value
+        FROM sequences s CROSS JOIN arms_of""",
+    "grey_kept": "SELECT * FROM sequence_arms WHERE cut = 0 OR (saturation <= cut AND value >= 50)",
 }
 
 
@@ -262,9 +266,10 @@ _GREY = {
     "e07_colour_prior_sequences",
     sequence_sql(
         BASE,
-        rounded_sql("SELECT 'S<=60' AS prior, * FROM (" + metrics_sql(ids="SELECT 'cascade' AS config_id") + ")"),
+        rounded_sql(metrics_sql(by="prior", source="sequence_arms", ids="SELECT 'cascade' AS config_id")),
         extra=_GREY,
         source="grey_kept",
+        by="prior",
     ),
 )
 def e07(spark, sf_dir):
@@ -274,8 +279,8 @@ def e07(spark, sf_dir):
         *KEYS, "frame_index", F.lit(10).alias("y"), F.col("x1").cast("long").alias("x0"), F.col("x2").cast("long").alias("x1"),
         (F.col("det_seq") * 7 % 100).alias("saturation"), (F.col("det_seq") * 11 % 256).alias("value"),
     )
-    rows = experiments.colour_prior_sequences(det, pixels, det, cutoffs=(60,), keys=tuple(KEYS))
-    return rounded(rows.filter("prior = 'S<=60'"), *RATE_COLUMNS)
+    rows = experiments.colour_prior_sequences(det, pixels, det, cutoffs=_CUTOFFS, keys=tuple(KEYS))
+    return rounded(rows, *RATE_COLUMNS)
 
 
 _COUNTS = """SELECT o_orderpriority AS name, count(*) FILTER (o_orderkey % 3 = 0) AS tp, count(*) FILTER (o_orderkey % 5 = 1) AS fp, count(*) FILTER (o_orderkey % 7 = 2) AS fn,

@@ -407,12 +407,15 @@ def a12_curve(spark, sf_dir):
 
 _CLAIMS = {
     "facts": "SELECT 'f' || user_id AS file, event_type AS path, avg(value) / 1000 AS value FROM events GROUP BY ALL",
-    "claims": """SELECT 'model_' || user_id AS model, event_type AS figure, CASE WHEN user_id % 11 <> 0 THEN 'f' || user_id END AS file,
+    "claims": """SELECT 'model_' || user_id AS model, event_type AS figure,
+          CASE WHEN user_id % 11 = 0 THEN NULL WHEN user_id % 17 = 0 THEN 'lost' || user_id ELSE 'f' || user_id END AS file,
           CASE WHEN user_id % 13 = 0 THEN 'nowhere' ELSE event_type END AS path,
           CASE WHEN user_id % 7 = 0 THEN NULL ELSE avg(value) / 1000 + (user_id % 5) * 0.0002 END AS claimed FROM events GROUP BY user_id, event_type""",
-    "checked": """SELECT model, figure, c.file, c.path, claimed, value, CASE WHEN c.file IS NULL THEN 'no_source_cited' WHEN claimed IS NULL THEN 'absent_from_registry'
-          WHEN value IS NULL THEN 'absent_from_results' WHEN abs(claimed - value) > 5e-4 THEN 'mismatch' ELSE 'ok' END AS status
-        FROM claims c LEFT JOIN facts f ON f.file = c.file AND f.path = c.path""",
+    "checked": """SELECT model, figure, coalesce(c.file, f.file) AS file, coalesce(c.path, f.path) AS path, claimed, value,
+          CASE WHEN model IS NULL THEN 'unclaimed' WHEN c.file IS NULL THEN 'no_source_cited' WHEN claimed IS NULL THEN 'absent_from_registry'
+          WHEN c.file NOT IN (SELECT file FROM facts) THEN 'file_absent' WHEN f.file IS NULL THEN 'path_absent'
+          WHEN abs(claimed - value) > 5e-4 THEN 'mismatch' ELSE 'ok' END AS status
+        FROM claims c FULL JOIN facts f ON f.file = c.file AND f.path = c.path""",
 }
 
 
@@ -422,7 +425,7 @@ def claim_tables(spark, sf_dir):
     file = F.concat(F.lit("f"), user.cast("string"))
     facts = means.select(file.alias("file"), F.col("event_type").alias("path"), F.col("mean").alias("value"))
     claims = means.select(
-        F.concat(F.lit("model_"), user.cast("string")).alias("model"), F.col("event_type").alias("figure"), F.when(user % 11 != 0, file).alias("file"),
+        F.concat(F.lit("model_"), user.cast("string")).alias("model"), F.col("event_type").alias("figure"), F.when(user % 11 == 0, None).when(user % 17 == 0, F.concat(F.lit("lost"), user.cast("string"))).otherwise(file).alias("file"),
         F.when(user % 13 == 0, "nowhere").otherwise(F.col("event_type")).alias("path"),
         F.when(user % 7 != 0, F.col("mean") + (user % 5) * 0.0002).alias("claimed"),
     )
@@ -442,9 +445,9 @@ def j11(spark, sf_dir):
 @query(
     "e08_audit_results",
     fx.with_ctes(
-        """SELECT model, figure, status FROM checked WHERE status <> 'ok'
-           UNION ALL SELECT model, NULL, 'cites_no_results_file' FROM models WHERE user_id % 3 > 0 AND user_id % 11 = 0
-           UNION ALL SELECT model, NULL, 'names_no_harness' FROM models WHERE user_id % 3 > 0 AND user_id % 17 = 0""",
+        """SELECT model, figure, file, path, status FROM checked WHERE status <> 'ok'
+           UNION ALL SELECT model, NULL, NULL, NULL, 'cites_no_results_file' FROM models WHERE user_id % 3 > 0 AND user_id % 11 = 0
+           UNION ALL SELECT model, NULL, NULL, NULL, 'names_no_harness' FROM models WHERE user_id % 3 > 0 AND user_id % 17 = 0""",
         extra={**_CLAIMS, "models": "SELECT DISTINCT user_id, 'model_' || user_id AS model FROM events"},
     ),
 )

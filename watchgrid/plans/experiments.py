@@ -329,27 +329,36 @@ TOLERANCE = 5e-4
 
 
 def verify_claims(claims: DataFrame, facts: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
-    """Every claim (model, figure, file, path, claimed) against the fact (file, path, value) it cites."""
-    joined = claims.join(facts, ["file", "path"], "left")
-    off = F.abs(F.col("claimed") - F.col("value").cast("double")) > tolerance
+    """Claims (model, figure, file, path, claimed) and facts (file, path, value) held against each other, whole on both
+    sides: every claim has a status, and so has every fact that no claim cites (``unclaimed``, model and figure null).
+
+    A cited file of which there is no fact at all is ``file_absent``; a file that is there without the cited path is
+    ``path_absent``; a path whose value is null or no number is ``absent_from_results``."""
+    files = facts.filter("file IS NOT NULL").select("file").distinct().withColumn("_there", F.lit(True))
+    known = facts.select("file", "path", F.expr("try_cast(value AS double)").alias("value"), F.lit(True).alias("_fact"))
+    joined = claims.withColumn("_claim", F.lit(True)).join(known, ["file", "path"], "full").join(files, "file", "left")
+    off = F.abs(F.col("claimed") - F.col("value")) > tolerance
     status = (
-        F.when(F.col("file").isNull(), "no_source_cited")
+        F.when(F.col("_claim").isNull(), "unclaimed")
+        .when(F.col("file").isNull(), "no_source_cited")
         .when(F.col("claimed").isNull(), "absent_from_registry")
+        .when(F.col("_there").isNull(), "file_absent")
+        .when(F.col("_fact").isNull(), "path_absent")
         .when(F.col("value").isNull(), "absent_from_results")
         .when(off, "mismatch")
         .otherwise("ok")
     )
-    return joined.select("model", "figure", "file", "path", "claimed", F.col("value").cast("double").alias("value"), status.alias("status"))
+    return joined.select("model", "figure", "file", "path", "claimed", "value", status.alias("status"))
 
 
 def audit_results(claims: DataFrame, facts: DataFrame, models: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
-    """All failures: claims that do not match, and measured models that cite no file or name no harness.
-    ``models``: model, status, results_file, harness."""
-    failed = verify_claims(claims, facts, tolerance).filter("status <> 'ok'").select("model", "figure", "status")
+    """All failures: claims that do not match, facts that nobody claims, and measured models that cite no file or name no
+    harness. ``models``: model, status, results_file, harness. ``file`` and ``path`` name what a claim or fact is about."""
+    failed = verify_claims(claims, facts, tolerance).filter("status <> 'ok'").select("model", "figure", "file", "path", "status")
     measured = models.filter(F.col("status").isNotNull() & (F.col("status") != "not_yet_measured"))
     gaps = measured.select(
         "model",
-        F.lit(None).cast("string").alias("figure"),
+        *[F.lit(None).cast("string").alias(c) for c in ("figure", "file", "path")],
         F.explode(
             F.array_compact(
                 F.array(
