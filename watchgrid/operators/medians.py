@@ -1,8 +1,9 @@
 """Exact medians of any number of values, without gathering a group.
 
-``percentile`` keeps one counter per distinct value in one task, which suits bounded values. For continuous ones a
-mergeable sketch brackets the middle first; only values inside the bracket are put in order, everything below it is
-merely counted.
+Distributed selection: a key with many values is narrowed round by round. A mergeable sketch of what is left gives cut
+points of equal rank; the range of cut points that holds the middle is kept, what lies below it is counted, and the rest
+is dropped. Each round keeps a few thousandths, so a handful of rounds serve any size. At most ``MOST`` values of a key, equal
+ones merged, are put in order at last.
 """
 
 from __future__ import annotations
@@ -11,43 +12,71 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from watchgrid.session import cut_lineage
+
+#: Rank error of the sketch (one part in so many), and cut points of a round. A cut point's error must stay below a step.
 ACCURACY = 100_000
-#: Up to this many values the bracket is the whole range.
-SMALL = 200_000
+STEPS = 500
+#: So many values of one key may be put in order in one task.
+MOST = 100_000
 
 
 def exact_medians(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Per key: n, lower (element (n-1) // 2 of the order), middle (mean of both) and upper (element n // 2)."""
+    """Per key: n, lower (element (n-1) // 2 of the order), middle (mean of both) and upper (element n // 2). Nulls count
+    as no value; nan is the largest."""
     keys = list(keys)
-    v = F.col(value)
-    rows = df.filter(v.isNotNull()).select(*keys, v.alias("_v"))
-    margin = 5 / ACCURACY
-    sketch = F.percentile_approx("_v", [0.5 - margin, 0.5 + margin], ACCURACY)
-    few = F.col("n") <= SMALL
-    bracket = (
-        rows.groupBy(*keys)
-        .agg(F.count("*").alias("n"), sketch.alias("_b"), F.min("_v").alias("_min"), F.max("_v").alias("_max"))
-        .select(
-            *keys,
-            "n",
-            F.when(few, F.col("_min")).otherwise(F.col("_b")[0]).alias("_lo"),
-            F.when(few, F.col("_max")).otherwise(F.col("_b")[1]).alias("_hi"),
-        )
-    )
-    placed = rows.join(bracket, keys)
-    below = F.count(F.when(F.col("_v") < F.col("_lo"), 1))
-    # Equal values are merged before the shuffle; rows outside the bracket collapse into one counter per key.
-    inside = (F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi"))
-    counted = placed.groupBy(*keys, F.when(inside, F.col("_v")).alias("_v")).agg(
-        F.first("n").alias("n"), F.count(F.when(inside, 1)).alias("_count"), below.alias("_below")
-    )
-    order = Window.partitionBy(*keys).orderBy(F.col("_v").asc_nulls_first())
-    # The collapsed row has no value, sorts first, and contributes what lies below the bracket.
-    reached = F.sum(F.col("_count") + F.col("_below")).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    ranked = counted.withColumn("_at", reached)
+    rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    sizes = cut_lineage(sizes.withColumn("_below", F.lit(0).cast("long")))
+    large = sizes.filter((F.col("n") > MOST) & (F.col("_lo") < F.col("_hi")))
+    ready = rows.join(sizes.join(large.select(*keys), keys, "left_anti").select(*keys, "n", "_below"), keys)
+    parts = [ready]
+    held = rows.join(large.select(*keys, "n", "_below"), keys)
+    left = large.select(*keys, F.col("n").alias("_left"))
+    while not left.isEmpty():
+        narrowed = _narrowed(held, left, keys)
+        again = narrowed.groupBy(*keys).agg(F.count("*").alias("_left"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        again = cut_lineage(again.join(left.withColumnRenamed("_left", "_before"), keys))
+        # Ties that no cut point divides are merged below; so is what is small enough.
+        more = (F.col("_left") > MOST) & (F.col("_lo") < F.col("_hi")) & (F.col("_left") < F.col("_before"))
+        parts.append(narrowed.join(again.filter(~more).select(*keys), keys, "left_semi"))
+        left = again.filter(more).select(*keys, "_left")
+        held = narrowed.join(left.select(*keys), keys, "left_semi")
+    kept = parts[0]
+    for part in parts[1:]:
+        kept = kept.unionByName(part)
+    # Equal values are merged before the shuffle.
+    return _ranked(kept.groupBy(*keys, "_v").agg(F.count("*").alias("_count"), F.first("n").alias("n"), F.first("_below").alias("_below")), keys)
+
+
+def _narrowed(held: DataFrame, left: DataFrame, keys: list[str]) -> DataFrame:
+    """The values of each key around the two middle ranks, with what lies below them added to ``_below``."""
+    cuts = F.percentile_approx("_v", [i / STEPS for i in range(STEPS + 1)], ACCURACY)
+    found = held.groupBy(*keys).agg(cuts.alias("_cuts"), F.first("n").alias("n"), F.first("_below").alias("_below")).join(left, keys)
+
+    def step(rank: Column) -> Column:
+        return (rank - F.col("_below")) * STEPS / F.col("_left")
+
+    first = F.greatest(F.floor(step(F.floor((F.col("n") - 1) / 2))) - 1, F.lit(0)).cast("int")
+    last = F.least(F.ceil(step(F.floor(F.col("n") / 2) + 1)) + 1, F.lit(STEPS)).cast("int")
+    # The outermost cut points are open, so that no rounding of a sketch loses an end.
+    low, high = F.when(first > 0, F.col("_cuts")[first]), F.when(last < STEPS, F.col("_cuts")[last])
+    bounds = cut_lineage(found.select(*keys, low.alias("_low"), high.alias("_high")))
+    placed = held.join(bounds, keys)
+    under = F.col("_low").isNotNull() & (F.col("_v") < F.col("_low"))
+    over = F.col("_high").isNotNull() & (F.col("_v") > F.col("_high"))
+    passed = placed.groupBy(*keys).agg(F.count(F.when(under, 1)).alias("_passed"))
+    inside = placed.filter(~under & ~over).join(passed, keys)
+    return cut_lineage(inside.select(*keys, "_v", "n", (F.col("_below") + F.col("_passed")).alias("_below")))
+
+
+def _ranked(counted: DataFrame, keys: list[str]) -> DataFrame:
+    """Medians from the distinct values that are left, each with its count."""
+    order = Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counted.withColumn("_at", F.sum("_count").over(order) + F.col("_below"))
 
-    def element(rank) -> Column:
-        return F.min(F.when((F.col("_at") > rank) & F.col("_v").isNotNull(), F.col("_v")))
+    def element(rank: Column) -> Column:
+        return F.min(F.when(F.col("_at") > rank, F.col("_v")))
 
     low, high = element(F.floor((F.col("n") - 1) / 2)), element(F.floor(F.col("n") / 2))
     return ranked.groupBy(*keys).agg(F.first("n").alias("n"), low.alias("lower"), high.alias("upper")).select(
