@@ -36,6 +36,8 @@ HELD_OUT = 2
 CALIBRATION = 3
 MOST_LABELLED = 20_000
 LEAST_ODDS = 1.5
+#: Terms that may enter the lexicon by chance, of all that are tried.
+CHANCE_TERMS = 2.0
 #: Words that a worker remembers its findings of.
 REMEMBERED = 100_000
 THRESHOLD = 0.3
@@ -185,9 +187,9 @@ def likelihood_ratio(t: int, toxic: int, c: int, clean: int) -> float:
 def learn_lexicon(sample: DataFrame) -> dict[str, float]:
     """Terms of toxic texts with their smoothed log odds; ``sample`` has ``text`` and ``toxic``.
 
-    A term belongs if it is commoner in toxic texts by a likelihood ratio that chance alone would not be expected to
-    reach for any of the terms tried: the bar, 2 ln(terms) + ln(texts), rises with both. Terms under ``LEAST_ODDS`` say
-    too little to be worth finding."""
+    A term belongs if it is commoner in toxic texts by a likelihood ratio that chance alone would give no more than
+    ``CHANCE_TERMS`` of all terms tried, so the bar rises with their number. Terms under ``LEAST_ODDS`` say too little to
+    be worth finding."""
     sizes = {bool(r.toxic): r.n for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     toxic, clean = sizes.get(True, 0), sizes.get(False, 0)
     if not toxic or not clean:
@@ -195,13 +197,14 @@ def learn_lexicon(sample: DataFrame) -> dict[str, float]:
     least = max(3, toxic // 200)
     in_toxic = {r.term: r.n for r in _term_counts(sample.where("toxic")).where(F.col("n") >= least).collect()}
     in_clean = {r.term: r.n for r in _term_counts(sample.where("NOT toxic"), frozenset(in_toxic)).collect()}
-    bar = 2 * math.log(max(2, len(in_toxic))) + math.log(toxic + clean)
     scored = []
     for term, t in in_toxic.items():
         c = in_clean.get(term, 0)
         odds = math.log((t + 0.5) / (toxic + 1)) - math.log((c + 0.5) / (clean + 1))
         certainty = likelihood_ratio(t, toxic, c, clean)
-        if odds > LEAST_ODDS and certainty > bar:
+        # The upper tail of chi-square with one degree of freedom, one-sided.
+        by_chance = len(in_toxic) * math.erfc(math.sqrt(max(0.0, certainty) / 2)) / 2
+        if odds > LEAST_ODDS and by_chance <= CHANCE_TERMS:
             scored.append((certainty, term, odds))
     return {term: odds for _, term, odds in sorted(scored, reverse=True)}
 
