@@ -56,6 +56,35 @@ def test_matches_brute_force(spark):
     assert got == brute(table)
 
 
+def test_a_large_group_of_edited_copies_stays_linear(spark, monkeypatch):
+    from watchgrid.llm import near_duplicates as nd
+
+    rng = random.Random(31)
+    base = [f"v{rng.randrange(9000)}" for _ in range(260)]
+    # The smallest number is far from most; edits of up to a tenth of the words break up to a third of the shingles.
+    rows = [" ".join(edited(rng, base, 16))] + [" ".join(edited(rng, base, rng.randrange(0, 14))) for _ in range(420)]
+    table = list(enumerate(rows))
+    seen, joined = [], nd.prefix_pairs
+
+    def counted(live, sets, percent):
+        pairs = joined(live, sets, percent)
+        seen.append((live.count(), pairs.count()))
+        return pairs
+
+    monkeypatch.setattr(nd, "prefix_pairs", counted)
+    docs = spark.createDataFrame(table, "doc_id long, text string").repartition(4)
+    assert sorted(tuple(r) for r in near_duplicates(docs).collect()) == brute(table)
+    assert seen[0][1] <= 12 * len(rows)  # all pairs: 210 times the rows
+
+
+def test_a_very_long_text_is_whole(spark):
+    rng = random.Random(2)
+    long = [f"w{rng.randrange(10**6)}" for _ in range(200_000)]
+    rows = [(1, " ".join(long)), (2, " ".join([*long[:-1], "other"])), (3, " ".join(long[:100_000]))]
+    got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3}
+
+
 def test_nulls_repeats_and_empty(spark):
     rows = [(5, "one two three four five six"), (5, "one two three four five six"), (2, "ONE two three four five six"), (None, "one two three four five six"), (7, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")

@@ -6,14 +6,15 @@ band come from different permutations. 32 bands of four values miss a pair at si
 
 Documents with equal shingle sets form a class, and only its number goes on, so an id with several texts has a class for each;
 the smallest id names a component at the end, and of its classes with that id the first by digest is kept. Classes that share a band are not paired
-all with all: each member of a bucket is compared with the bucket's smallest number, which joins nearly all of a group of
-copies. Members of buckets that are then still of several components, hub aside, meet once more in a prefix-filtered join
-across components only: the rarest shingles of both must meet, so members of a large group that are too far edited to be
+all with all: each member of a bucket is compared with one pivot of the bucket a round, which joins nearly all of a group of
+copies within a few rounds. Members of buckets that are then still of several components meet once more in a prefix-filtered
+join across components only: the rarest shingles of both must meet, so members of a large group that are too far edited to be
 linked with any other find no partner there. No link between components is lost, and every link is confirmed on the full
 shingle sets, which are made again from the texts of bucket members only.
 
 Defined results: a null, empty or blank text has no shingles, is linked with nothing and is kept; a null id is linked with
-nothing, its ``component_id`` is null and it is kept; repeated rows each get the same result; an empty table gives none;
+nothing, its ``component_id`` is null and it is kept; repeated rows each get the same result; a very long text is shingled
+whole, its signature taken in stretches; an empty table gives none;
 columns other than id and text are ignored.
 """
 
@@ -34,6 +35,10 @@ SHINGLE = 5
 PERMUTATIONS = 64
 BAND = 4
 PERCENT = 75
+#: Rounds of pivots at most, and the share of components a round must leave under to be followed by another. What the
+#: rounds leave apart is settled by the prefix join, whatever these are.
+MOST_TURNS = 10
+LEAST_GAIN = 0.9
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -175,6 +180,32 @@ def prefix_pairs(live: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return met.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
 
 
+def _pivot_links(members: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links found by rounds of pivots, and the members (``rep``, ``n``, ``comp``) whose buckets still hold several components.
+
+    In a round every member of a bucket that is not in the pivot's component is compared with the pivot, so a round is
+    linear in the members. The first pivot is the bucket's smallest number; later ones are drawn by a hash of the round,
+    since an outlier as pivot ties nobody. Rounds go on while they bring members together."""
+    placed, links, before = members.select("key", "rep", "n", F.col("rep").alias("comp")), None, None
+    for turn in range(MOST_TURNS):
+        order = F.struct("rep") if turn == 0 else F.struct(F.xxhash64("rep", F.lit(turn)), "rep")
+        hubs = placed.groupBy("key").agg(F.min_by(F.struct("rep", "n", "comp"), order).alias("hub"))
+        alike = 100 * F.least("n", "hub.n") >= percent * F.greatest("n", "hub.n")
+        others = placed.join(hubs, "key").where((F.col("comp") != F.col("hub.comp")) & alike)
+        pairs = others.select(F.col("hub.rep").alias("a"), F.col("rep").alias("b")).distinct()
+        found = cut_lineage(_confirmed(pairs, sets, percent))
+        links = found if links is None else cut_lineage(links.union(found))
+        roots = components(links)
+        placed = members.join(roots, F.col("rep") == F.col("node"), "left").select("key", "rep", "n", F.coalesce("root", "rep").alias("comp"))
+        apart = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("key")
+        placed = cut_lineage(placed.join(apart, "key"))
+        now = placed.select("key", "comp").distinct().count()
+        if not now or (before is not None and now > LEAST_GAIN * before):
+            break
+        before = now
+    return links, placed.select("rep", "n", "comp").distinct()
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, digest: bool = False) -> DataFrame:
     """Per row of ``docs``: ``doc_id``, ``n_shingles``, ``component_id``, ``kept`` and, if asked for, ``digest``."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -188,17 +219,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, digest: bool = Fals
     members = cut_lineage(banded.join(shared, "key"))
     wanted = classes.select("rep", "digest", "id").join(members.select("rep").distinct(), "rep", "left_semi")
     sets = cut_lineage(_sets(docs, wanted))
-    # Every member of a bucket against its smallest number.
-    hubs = members.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("hub"))
-    others = members.join(hubs, "key").where(F.col("rep") != F.col("hub.rep")).select("key", "rep", "n", "hub")
-    alike = 100 * F.least("n", "hub.n") >= percent * F.greatest("n", "hub.n")
-    pairs = others.where(alike).select(F.col("hub.rep").alias("a"), F.col("rep").alias("b")).distinct()
-    links = cut_lineage(_confirmed(pairs, sets, percent))
-    roots = components(links)
-    # Members that a bucket's other members may still tie to another component.
-    placed = others.join(roots, F.col("rep") == F.col("node"), "left").select("key", "rep", "n", F.coalesce("root", "rep").alias("comp"))
-    apart = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("key")
-    live = placed.join(apart, "key").select("rep", "n", "comp").distinct()
+    links, live = _pivot_links(members, sets, percent)
     more = _confirmed(cut_lineage(prefix_pairs(live, sets, percent)), sets, percent)
     roots = components(links.union(more))
     # A component is named by its smallest id; of several classes with that id the first stays.
