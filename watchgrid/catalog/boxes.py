@@ -227,7 +227,7 @@ def pixels(spark, sf_dir):
     )
 
 
-def flat(pred):
+def with_sides(pred):
     return pred.select("*", *[F.col(f"box.{c}").alias(c) for c in BOX_COLUMNS])
 
 
@@ -242,7 +242,7 @@ def pairs_by_class(spark, sf_dir):
     fx.with_ctes("SELECT image_id, det_seq, round(grey_fraction, 6) AS grey_fraction FROM grey", "lines", "boxes", "pred", extra=_PIXELS),
 )
 def p19(spark, sf_dir):
-    shares = detect.grey_fraction(flat(fx.predictions(spark, sf_dir)), pixels(spark, sf_dir), 40, keys=("image_id",))
+    shares = detect.grey_fraction(with_sides(fx.predictions(spark, sf_dir)), pixels(spark, sf_dir), 40, keys=("image_id",))
     return rounded(shares, "grey_fraction")
 
 
@@ -612,7 +612,7 @@ def e06(spark, sf_dir):
 def e07(spark, sf_dir):
     pred, wanted = pairs_by_class(spark, sf_dir)
     images, shown = fx.each_class(fx.images(spark, sf_dir)), fx.each_class(pixels(spark, sf_dir))
-    rows = experiments.colour_prior_stills(flat(pred), shown, wanted, images, cutoffs=CUTOFFS)
+    rows = experiments.colour_prior_stills(with_sides(pred), shown, wanted, images, cutoffs=CUTOFFS)
     return rounded(rows, *_METRICS)
 
 
