@@ -14,12 +14,33 @@ BEFORE = "__before"
 #: Most bytes of a table that is sent whole to every executor.
 BROADCAST_BYTES = 48_000_000
 SLOT = "__slot"
+#: About how many bytes of a batch are turned into Python objects, and sent back, at a time.
+SLICE_BYTES = 2_000_000
 
 
 def tables(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def slices(batches: Iterator[pa.RecordBatch], most_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in runs of rows of about ``most_bytes``, one row at least, so that what a task makes of them stays small."""
+    for batch in batches:
+        step = max(1, most_bytes * batch.num_rows // max(1, batch.nbytes))
+        for start in range(0, batch.num_rows, step):
+            yield batch.slice(start, step)
+
+
+def with_row(docs: DataFrame, carry: tuple[str, ...]) -> DataFrame:
+    """``row`` (the carried columns), and ``text`` unless the row holds it already: a text travels to Python once."""
+    row = F.struct(*carry).alias("row")
+    return docs.select(row) if "text" in {c.strip("`") for c in carry} else docs.select(row, "text")
+
+
+def texts_of(batch: pa.RecordBatch) -> list[str | None]:
+    """The texts of a batch of ``with_row``."""
+    return (batch.column(1) if batch.schema.names[1:2] == ["text"] else batch.column(0).field("text")).to_pylist()
+
+
 def running_number(codes: np.ndarray, seen: dict[int, int]) -> np.ndarray:
     """0, 1, 2, ... within each code, carrying on from the counts in ``seen`` (updated in place)."""
     order = np.argsort(codes, kind="stable")

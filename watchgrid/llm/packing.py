@@ -31,11 +31,13 @@ import tiktoken
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
-from watchgrid.llm.common import number_within
+from watchgrid.llm.common import number_within, slices, texts_of, with_row
 from watchgrid.llm.vocabulary import SPLIT, Remembered, plain_lines, special_ids
 from watchgrid.session import cut_lineage
 
 _RANK_BITS = 44
+#: Words that a worker remembers the ids of, at the start of a line and after a blank each.
+REMEMBERED = 60_000
 
 
 class Encoder:
@@ -48,8 +50,8 @@ class Encoder:
         self._encoding = tiktoken.Encoding("pieces", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens=special)
         self._special = set(special)
         ordinary = self._encoding.encode_ordinary
-        self._words = Remembered(lambda word: array("I", ordinary(" " + word)).tobytes())
-        self._firsts = Remembered(lambda word: array("I", ordinary(word)).tobytes())
+        self._words = Remembered(lambda word: array("I", ordinary(" " + word)).tobytes(), REMEMBERED)
+        self._firsts = Remembered(lambda word: array("I", ordinary(word)).tobytes(), REMEMBERED)
         self._feed = array("I", ordinary("\n")).tobytes()
 
     def encode(self, text: str) -> bytes:
@@ -75,7 +77,7 @@ def tokenise(
     docs: DataFrame, ranks_path: str, path: str, end_id: int, capacity: int, carry: tuple[str, ...] = ("doc_id",)
 ) -> DataFrame:
     """Per piece: ``row`` (the carried columns), ``piece``, ``start``, ``length``, ``ids`` (little-endian 32-bit)."""
-    narrow = docs.select(F.struct(*carry).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
+    narrow = with_row(docs, carry)
     schema = StructType(
         [
             narrow.schema["row"],
@@ -88,10 +90,10 @@ def tokenise(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = encoder(ranks_path, path).encode, array("I", [end_id]).tobytes()
-        for batch in batches:
+        for batch in slices(batches):
             taken, pieces, starts, lengths, ids = [], [], [], [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                found = encode(text) + end
+            for i, text in enumerate(texts_of(batch)):
+                found = encode(text or "") + end
                 for k, (start, length) in enumerate(piece_starts(len(found) // 4, capacity)):
                     taken.append(i)
                     pieces.append(k)

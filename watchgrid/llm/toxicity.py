@@ -28,6 +28,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, functions as F
 
+from watchgrid.llm.common import SLICE_BYTES, slices, texts_of, with_row
 from watchgrid.llm.vocabulary import Remembered
 from watchgrid.session import cut_lineage
 
@@ -163,7 +164,7 @@ def _term_counts(texts: DataFrame, wanted: frozenset[str] | None = None) -> Data
     """In how many of the texts each term stands (of the wanted ones, if given)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 8 * SLICE_BYTES):
             seen: Counter[str] = Counter()
             for text in batch.column(0).to_pylist():
                 terms = {t for w in set(plain_words(text)) for t in terms_of(w)}
@@ -211,13 +212,13 @@ def learn_lexicon(sample: DataFrame) -> dict[str, float]:
 
 def with_features(docs: DataFrame, lexicon: dict[str, float], carry: tuple[str, ...]) -> DataFrame:
     """Per row: ``row`` (the carried columns) and ``dense``."""
-    narrow = docs.select(F.struct(*carry).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
+    narrow = with_row(docs, carry)
     schema = narrow.select("row", F.array(F.lit(0.0)).alias("dense")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(lexicon)
-        for batch in batches:
-            dense = pa.array([scorer.features(t) for t in batch.column(1).to_pylist()], pa.list_(pa.float64()))
+        for batch in slices(batches):
+            dense = pa.array([scorer.features(t or "") for t in texts_of(batch)], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), dense], names=["row", "dense"])
 
     return narrow.mapInArrow(run, schema)
