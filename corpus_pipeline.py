@@ -27,7 +27,7 @@ def _all(docs: DataFrame) -> tuple[str, ...]:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return judged(docs, _all(docs), keep_counts=False).where("kept").select("row.*")
+    return judged(docs, _all(docs)).where("kept").select("row.*")
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
