@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from watchgrid.llm.common import sent_if_small
 from watchgrid.session import cut_lineage
 
 BLANK = " \t\n\x0b\f\r"
@@ -113,22 +114,16 @@ def host_verdicts(counts: DataFrame, host_limit: float = HOST_LIMIT) -> DataFram
     return hosts
 
 
-def judged(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), keep_counts: bool = True) -> DataFrame:
-    """Per row: ``row``, the counts, ``base_failed`` and ``kept``.
-
-    ``keep_counts`` writes the counts once for both passes; without it they are made twice and no text is written.
-    """
-    counts = measured(docs, carry)
-    if keep_counts:
-        counts = cut_lineage(counts)
-        verdicts = host_verdicts(counts)
-    else:
-        verdicts = host_verdicts(measured(docs))
+def judged(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Per row: ``row``, the counts, ``base_failed`` and ``kept``. The counts are written once, with the row, for both passes."""
+    counts = cut_lineage(measured(docs, carry))
+    verdicts = host_verdicts(counts)
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     mild, severe = broken(mild=True), broken(mild=False)
     fails = F.lit(False)
     for r in RULES:
         fails = fails | severe[r] | (mild[r] & F.col(f"condemned_{r}"))
-    joined = counts.join(verdicts.select("of_host", *[f"condemned_{r}" for r in RULES]), F.col("host").eqNullSafe(F.col("of_host")))
+    verdicts = sent_if_small(verdicts.select("of_host", *[f"condemned_{r}" for r in RULES]))
+    joined = counts.join(verdicts, F.col("host").eqNullSafe(F.col("of_host")))
     columns = ["row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return joined.select(*columns, base.alias("base_failed"), (~base & ~fails).alias("kept"))
