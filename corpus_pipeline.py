@@ -2,7 +2,7 @@
 
 Each stage takes the documents its predecessor kept and returns the documents it keeps, columns unchanged; the last returns
 one row per packed piece. Between stages the rows are written to the shared checkpoint folder, since every stage reads its
-input more than once.
+input more than once. A stage first has the files removed that nothing refers to since its predecessor was written.
 
 Null and repeated rows, empty texts and empty tables behave as each operator's docstring says. In near-deduplication rows
 that share an id and a shingle set count as one document; rows without an id stay, one of each text if there are several such rows.
@@ -19,7 +19,7 @@ from watchgrid.llm.packing import pack_documents
 from watchgrid.llm.quality import judged
 from watchgrid.llm.queries import VOCABULARY, VOCABULARY_RANKS
 from watchgrid.llm.toxicity import train
-from watchgrid.session import cut_lineage
+from watchgrid.session import cut_lineage, free_finished
 
 
 def _all(docs: DataFrame) -> tuple[str, ...]:
@@ -31,11 +31,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    free_finished(spark)
     score = train(docs, tables(spark, sf_dir, "labels"))
     return score(docs, _all(docs)).where("predicted = 0").select("row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    free_finished(spark)
     found = cut_lineage(near_duplicates(docs, digest=True))
     rows = found.groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__rows"), F.count(F.when(F.col("kept"), 1)).alias("__kept"))
     rows = cut_lineage(rows)
@@ -52,11 +54,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    free_finished(spark)
     found = contamination(docs, tables(spark, sf_dir, "benchmark"), _all(docs))
     return found.where(F.size("spans") == 0).select("row.*")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    free_finished(spark)
     return pack_documents(docs, VOCABULARY_RANKS, VOCABULARY)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -58,6 +59,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def free_finished(spark: SparkSession) -> None:
+    """Have the driver notice which shuffles and checkpoints nothing refers to any more, so that Spark's cleaner removes their
+    files now and not at the next full collection of a driver that hardly fills its heap. Files still in use stay."""
+    gc.collect()
+    spark.sparkContext._jvm.java.lang.System.gc()
+
+
 def small_or_shuffled(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast only when a bounded count proves the table small; otherwise leave the join to shuffle."""
     if df.limit(limit + 1).count() <= limit:
