@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from watchgrid.llm.common import sent_if_small
-from watchgrid.session import cut_lineage
+from watchgrid.session import cut_lineage, free_finished
 
 SHINGLE = 5
 PERMUTATIONS = 64
@@ -203,6 +203,7 @@ def _pivot_links(members: DataFrame, sets: DataFrame, percent: int) -> tuple[Dat
         if not now or (before is not None and now > LEAST_GAIN * before):
             break
         before = now
+        free_finished(members.sparkSession)
     return links, placed.select("rep", "n", "comp").distinct()
 
 
@@ -219,8 +220,10 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, digest: bool = Fals
     members = cut_lineage(banded.join(shared, "key"))
     wanted = classes.select("rep", "digest", "id").join(members.select("rep").distinct(), "rep", "left_semi")
     sets = cut_lineage(_sets(docs, wanted))
+    free_finished(docs.sparkSession)
     links, live = _pivot_links(members, sets, percent)
     more = _confirmed(cut_lineage(prefix_pairs(live, sets, percent)), sets, percent)
+    free_finished(docs.sparkSession)
     roots = components(links.union(more))
     # A component is named by its smallest id; of several classes with that id the first stays.
     placed = roots.union(roots.select("root", F.col("root")).distinct()).toDF("node", "root")
