@@ -7,7 +7,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from watchgrid.llm.packing import pack, pack_documents, plan, sequences, tokenise
+from watchgrid.llm.packing import best_fit, led_by_complements, pack, pack_documents, plan, sequences, tokenise
 from watchgrid.llm.token_counts import count_tokens
 from watchgrid.session import cut_lineage
 
@@ -83,3 +83,15 @@ def test_plan_uses_every_piece_once_and_few_sequences(seed):
     assert used == counts
     bound = max(-(-sum(k * n for k, n in counts.items()) // 1024), sum(n for k, n in counts.items() if k > 512))
     assert total <= bound * 1.02 + 1
+
+
+@pytest.mark.parametrize("low, high", [(1, 1024), (200, 700), (1, 120), (500, 1024)])
+def test_plan_is_no_longer_than_complements_alone_or_best_fit_alone(low, high):
+    rng = random.Random(low)
+    counts = defaultdict(int)
+    for _ in range(5000):
+        counts[rng.randint(low, high)] += 1
+    size = lambda found: sum(times for _, times in found)
+    made = size(plan(counts, 1024))
+    assert made <= size(led_by_complements(counts, 1024))
+    assert made <= size(best_fit([counts.get(n, 0) for n in range(1025)], 1024))

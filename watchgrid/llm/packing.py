@@ -5,7 +5,8 @@ first piece taking what is left over. What has to be packed is then described fu
 length, at most ``capacity`` numbers, so the plan is made from that histogram on the driver, whatever the corpus holds:
 
 * Exact complements. Sets of lengths index which single, pair and triple sums are to be had. From the longest length down,
-  a combination that fills the gap exactly is used as often as the counts allow; each use leaves some length short.
+  a combination that fills the gap exactly is used as often as the counts allow; each use leaves some length short. Plans
+  that spare more or fewer short pieces are compared, and the one of fewest sequences is taken.
 * Best fit. What no combination completes goes, longest first, into the open sequences with the smallest sufficient gap.
 
 A plan entry says: pieces of this length with these ranks go into these sequences at this place. There are a few thousand
@@ -36,6 +37,8 @@ from watchgrid.llm.vocabulary import SPLIT, Remembered, plain_lines, special_ids
 from watchgrid.session import cut_lineage
 
 _RANK_BITS = 44
+#: Sixteenths of a sequence under which pieces are kept from complements, in the plans that are compared.
+SPARED = (0, 1, 2, 4, 6, 8)
 #: Words that a worker remembers the ids of, at the start of a line and after a blank each.
 REMEMBERED = 60_000
 
@@ -199,15 +202,26 @@ def best_fit(left: list[int], capacity: int) -> list[tuple[tuple[int, ...], int]
     return full + [group for gap in gaps for group in groups[gap]]
 
 
-def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns of piece lengths, each with the number of sequences that follow it."""
-    index, patterns = Complements(counts, capacity), []
+def led_by_complements(counts: dict[int, int], capacity: int, shortest: int = 1) -> list[tuple[tuple[int, ...], int]]:
+    """Exact complements among pieces of at least ``shortest``, then best fit for all that is left."""
+    index = Complements({length: n for length, n in counts.items() if length >= shortest}, capacity)
+    patterns = []
     for length in range(capacity, 0, -1):
         while index.left[length] and (pattern := index.filling(length)):
             times = index.times(pattern)
             index.use(pattern, times)
             patterns.append((pattern, times))
-    return patterns + best_fit(index.left, capacity)
+    left = [n if length >= shortest else counts.get(length, 0) for length, n in enumerate(index.left)]
+    return patterns + best_fit(left, capacity)
+
+
+def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """Patterns of piece lengths, each with the number of sequences that follow it.
+
+    Short pieces are worth most at the end, in gaps that no combination fills. How many of them complements may use up is
+    tried out, from all to none but the longest; the plan of fewest sequences is taken, the one led furthest of equal ones."""
+    plans = (led_by_complements(counts, capacity, max(1, capacity * part // 16)) for part in SPARED)
+    return min(plans, key=lambda found: sum(times for _, times in found))
 
 
 def places(patterns: list[tuple[tuple[int, ...], int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
