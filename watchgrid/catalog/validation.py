@@ -198,6 +198,8 @@ def v09(spark, sf_dir):
     rows = annotated(spark, sf_dir, SWEEP)
     return rows.groupBy("config_id", "camera_id", "hazard").agg(F.count(F.when(F.col("rejected_by").isNull(), 1)).alias("confirmed"))
 
+#: So many clips a camera may have before its numbers run into those of the next one.
+_CLIPS = 2**32
 
 
 @query(
@@ -206,7 +208,7 @@ def v09(spark, sf_dir):
         "SELECT camera_id, hazard, det_seq, rejected_by, track FROM annotated",
         extra={
             "clips": fx.SQL["detections"]
-            .replace("user_id AS camera_id", "user_id * 10 + event_id // 2500 AS camera_id")
+            .replace("user_id AS camera_id", f"user_id * {_CLIPS} + event_id // 2500 AS camera_id")
             .replace("PARTITION BY user_id, event_type", "PARTITION BY user_id, event_id // 2500, event_type"),
             **fx.cascade_sql(DEFAULTS, "clips"),
         },
@@ -215,7 +217,7 @@ def v09(spark, sf_dir):
 )
 def v10(spark, sf_dir):
     """The clip is part of the key, so each clip starts with fresh tracks and its own track numbers."""
-    clip = F.col("camera_id") * 10 + F.floor(F.col("det_seq") / 2500)
+    clip = F.col("camera_id") * _CLIPS + F.floor(F.col("det_seq") / 2500)
     clips = fx.raw_detections(spark, sf_dir).withColumn("camera_id", clip)
     chunk = fx.scans.chunk_of(F.col("ts"), fx.MONTH)
     det = cut_lineage(fx.scans.ordinal(clips, ["camera_id", "hazard"], chunk, [F.col("ts"), F.col("det_seq")], "frame_index"))
