@@ -22,3 +22,95 @@ def test_clips_of_two_cameras_never_share_a_key(spark, tmp_path):
     got = v10(spark, events_of(spark, tmp_path, rows)).collect()
     assert len({r.camera_id for r in got}) == 2
     assert {r.rejected_by for r in got} == {"persistence"}
+
+
+class Store:
+    """A state store of one key in memory that notes the calls made to it."""
+
+    def __init__(self):
+        self.value, self.entries, self.timers, self.calls = None, [], set(), []
+
+    def getValueState(self, name, schema):  # noqa: N802
+        return Part(self, "value")
+
+    def getListState(self, name, schema):  # noqa: N802
+        return Part(self, "list")
+
+    def registerTimer(self, at):  # noqa: N802
+        self.timers.add(at)
+
+    def deleteTimer(self, at):  # noqa: N802
+        self.timers.discard(at)
+
+
+class Part:
+    def __init__(self, store, kind):
+        self.store, self.kind = store, kind
+
+    def __getattr__(self, call):
+        def made(*given):
+            store = self.store
+            store.calls.append((self.kind, call))
+            if self.kind == "value":
+                if call == "get":
+                    return store.value
+                if call == "exists":
+                    return store.value is not None
+                store.value = given[0] if call == "update" else None
+            elif call == "exists":
+                return bool(store.entries)
+            elif call == "get":
+                return iter(list(store.entries))
+            else:
+                store.entries = (store.entries if call == "appendList" else []) + list(given[0] if given else [])
+
+        return made
+
+
+def play(batches, idle=None):
+    """Feed batches of (watermark in seconds, seconds of the frames) to a key; returns (frames stepped, the store)."""
+    from datetime import datetime, timezone
+    from types import SimpleNamespace
+
+    from pyspark.sql import Row
+
+    from watchgrid.streaming.ordered import OrderedProcessor, one_by_one
+
+    processor = OrderedProcessor(one_by_one(lambda memo, row: [(row["frame_index"],)]), ["camera_id"], ["camera_id", "frame_index"], "event_time", idle)
+    store, out = Store(), []
+    processor.init(store)
+    for watermark, seconds in batches:
+        clock = SimpleNamespace(getCurrentWatermarkInMs=lambda w=watermark: int(w * 1000))
+        rows = [Row(camera_id=7, frame_index=s, event_time=datetime.fromtimestamp(s, timezone.utc)) for s in seconds]
+        out += processor.handleInputRows((7,), iter(rows), clock)
+    return [row.frame_index for row in out], store
+
+
+def test_few_pending_frames_cost_one_read_and_one_write_of_state():
+    out, store = play([(0, [3, 1, 2]), (2, [5, 4]), (9, [])], idle=100)
+    assert out == [1, 2, 3, 4, 5]
+    assert {call for kind, call in store.calls if kind == "list"} == set()
+    assert store.calls.count(("value", "get")) == store.calls.count(("value", "update")) == 3
+    assert len(store.calls) == 6
+
+
+def test_many_pending_frames_are_read_once_they_are_due():
+    frames = list(range(1, 1001))
+    out, store = play([(0, frames[::-1]), (0, [1001]), (500, []), (990, [1002]), (2000, [])])
+    assert out == [*frames, 1001, 1002]
+    # Written in entries of several frames, read in the two batches in which some are due and the list is not empty.
+    assert [call for kind, call in store.calls if kind == "list"].count("get") == 2
+    assert not store.entries
+
+
+def test_pending_frames_of_an_older_checkpoint_are_stepped():
+    import json
+
+    from watchgrid.streaming import ordered
+
+    _, store = play([])
+    processor = ordered.OrderedProcessor(ordered.one_by_one(lambda memo, row: [(row["frame_index"],)]), ["camera_id"], ["camera_id", "frame_index"], "event_time", None)
+    processor.init(store)
+    store.value = (json.dumps({"memo": {}, "timer": 2000, "last_ms": None, "arrivals": 2}),)
+    store.entries = [(3000, 3, 1, json.dumps({"frame_index": 3})), (2000, 2, 2, json.dumps({"frame_index": 2}))]
+    assert [row.frame_index for row in processor._release((7,), processor._load(), [], 5000)] == [2, 3]

@@ -229,9 +229,11 @@ def st09(spark, sf_dir):
     folder = fx.shared_folder(spark)
     rows = whole_frames(fx.stored_detections(spark, sf_dir)).select("camera_id", "hazard", "frame_index", "ts")
     rows = rows.withColumn("event_time", F.timestamp_micros((F.col("ts") * 1_000_000).cast("long")))
-    wave = F.floor(F.col("ts") / _WAVE)
-    for number in sorted(r.wave for r in rows.select(wave.alias("wave")).distinct().collect()):  # a span of days: a few numbers
-        rows.filter(wave == number).coalesce(1).write.mode("append").json(folder)
+    # Each wave is read by itself, so that more waves do not mean more passes over all rows.
+    rows.withColumn("wave", F.floor(F.col("ts") / _WAVE)).write.partitionBy("wave").parquet(f"{folder}-waves")
+    waves = spark.read.parquet(f"{folder}-waves")
+    for number in sorted(r.wave for r in waves.select("wave").distinct().collect()):  # a span of days: a few numbers
+        waves.filter(F.col("wave") == number).select(*rows.columns).coalesce(1).write.mode("append").json(folder)
     for n in (0, 1):
         last = rows.limit(1).select(F.lit(_END_KEY).cast(rows.schema["camera_id"].dataType).alias("camera_id"), F.lit("fire").alias("hazard"), F.lit(n).cast("long").alias("frame_index"), F.lit(_END + n).alias("ts"))
         last.withColumn("event_time", F.timestamp_micros((F.col("ts") * 1_000_000).cast("long"))).coalesce(1).write.mode("append").json(folder)

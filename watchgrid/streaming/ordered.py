@@ -1,7 +1,8 @@
 """Stateful operators over streams of frames: the batch semantics, applied in frame order once the watermark has passed.
 
 Every operator buffers a key's frames until no earlier one can arrive, then steps its state through them in (event time,
-frame index) order. State is one JSON value and the pending frames. Late frames are dropped by the engine and counted, or,
+frame index) order. State is one JSON value, which holds a few pending frames itself; more of them lie in a list beside it,
+several to an entry. Late frames are dropped by the engine and counted, or,
 with ``name_late``, come out as rows of their own.
 """
 
@@ -21,6 +22,10 @@ LATE = "late"
 #: How late a row may be and still be named, where late rows are asked for.
 GRACE = "36500 days"
 _CLOCK = "_clock"
+#: So many pending frames of a key lie in its state value, which saves every call for the list beside it.
+INLINE = 128
+#: Frames of one entry of that list.
+ENTRY = 64
 
 
 def one_by_one(step: Callable[[dict, dict], list[tuple]]) -> Step:
@@ -53,9 +58,23 @@ class OrderedProcessor(StatefulProcessor):
         self._pending = handle.getListState("pending", "at_ms long, frame_index long, seq long, payload string")
 
     def _load(self) -> dict:
-        if self._state.exists():
-            return json.loads(self._state.get()[0])
-        return {"memo": {}, "timer": None, "last_ms": None, "arrivals": 0}
+        stored = self._state.get()
+        if stored is not None:
+            return json.loads(stored[0])
+        return {"memo": {}, "timer": None, "last_ms": None, "arrivals": 0, "held": [], "listed": False}
+
+    def _listed(self) -> list[list]:
+        """The frames of the list; an entry holds several, or one as it was written before there were several."""
+        found = []
+        for at_ms, frame_index, seq, payload in self._pending.get() if self._pending.exists() else ():
+            frames = json.loads(payload)
+            found += frames if isinstance(frames, list) else [[at_ms, frame_index, seq, frames]]
+        return found
+
+    @staticmethod
+    def _entries(frames: list[list]) -> list[tuple]:
+        parts = [frames[n : n + ENTRY] for n in range(0, len(frames), ENTRY)]
+        return [(*part[0][:3], json.dumps(part)) for part in parts]
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         state, fresh, watermark = self._load(), [], timerValues.getCurrentWatermarkInMs()
@@ -70,7 +89,7 @@ class OrderedProcessor(StatefulProcessor):
                     yield Row(*self._names)(*key, *known, LATE, at, watermark - at_ms)
                     continue
             state["arrivals"] += 1
-            fresh.append((at_ms, int(frame.get("frame_index") or 0), state["arrivals"], json.dumps(frame)))
+            fresh.append([at_ms, int(frame.get("frame_index") or 0), state["arrivals"], frame])
         yield from self._release(key, state, fresh, watermark)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
@@ -78,27 +97,33 @@ class OrderedProcessor(StatefulProcessor):
         state["timer"] = None
         yield from self._release(key, state, [], timerValues.getCurrentWatermarkInMs())
 
-    def _release(self, key, state: dict, fresh: list[tuple], watermark: int) -> Iterator[Row]:
-        # Whole lists cross to the state store at once: one read and one write per key and batch, not one per frame.
-        held = [tuple(entry) for entry in self._pending.get()] if self._pending.exists() else []
-        waiting = sorted(held + fresh)
-        ready = [entry for entry in waiting if entry[0] <= watermark]
-        left = waiting[len(ready) :]
-        if not ready:
+    def _release(self, key, state: dict, fresh: list[list], watermark: int) -> Iterator[Row]:
+        # Every call to the state store costs as much as many frames: the list is left alone unless a frame of it is due.
+        listed, first = state.get("listed", True), state.get("first")
+        if listed and first is not None and min([first, *[entry[0] for entry in fresh]]) > watermark:
+            ready, wake = [], min([first, *[entry[0] for entry in fresh]])
             if fresh:
-                self._pending.appendList(fresh)
-        elif left:
-            self._pending.put(left)
+                self._pending.appendList(self._entries(fresh))
+            state["first"] = wake
         else:
-            self._pending.clear()
+            held = self._listed() if listed else state["held"]
+            waiting = sorted(held + fresh)
+            due = sum(entry[0] <= watermark for entry in waiting)
+            ready, left = waiting[:due], waiting[due:]
+            state["listed"] = len(left) > INLINE
+            if state["listed"]:
+                self._pending.put(self._entries(left))
+            elif listed:
+                self._pending.clear()
+            state["held"] = [] if state["listed"] else left
+            wake = state["first"] = left[0][0] if left else None
         emitted, record = [], Row(*self._names)
         if ready:
             state["last_ms"] = ready[-1][0]
             named = dict(zip(self._columns, key))
-            frames = [{**json.loads(payload), **named} for *_, payload in ready]
+            frames = [{**frame, **named} for *_, frame in ready]
             rest = (None, None, None) if self._name_late else ()
             emitted = [record(*key, *values, *rest) for values in self._step(state["memo"], frames)]
-        wake = left[0][0] if left else None
         if wake is None and self._idle is not None and state["last_ms"] is not None:
             wake = state["last_ms"] + int(self._idle * 1000)
             if wake <= watermark:
