@@ -114,3 +114,23 @@ def test_pending_frames_of_an_older_checkpoint_are_stepped():
     store.value = (json.dumps({"memo": {}, "timer": 2000, "last_ms": None, "arrivals": 2}),)
     store.entries = [(3000, 3, 1, json.dumps({"frame_index": 3})), (2000, 2, 2, json.dumps({"frame_index": 2}))]
     assert [row.frame_index for row in processor._release((7,), processor._load(), [], 5000)] == [2, 3]
+
+
+def test_values_of_one_key_are_narrowed_where_they_lie(spark, monkeypatch):
+    """No task gets all values of a key, and a key that is null has a median too."""
+    from watchgrid.operators import medians
+
+    seen, real = [], medians._narrowed
+
+    def noted(*given):
+        made = real(*given)
+        seen.append(made[0].select(F.spark_partition_id().alias("p")).distinct().count())
+        return made
+
+    monkeypatch.setattr(medians, "MOST", 100)
+    monkeypatch.setattr(medians, "_narrowed", noted)
+    rows = spark.range(0, 20_001, 1, 8).select(F.lit("k").alias("k"), (F.col("id") * 7919 % 20_001).cast("double").alias("v"))
+    rows = rows.unionByName(spark.createDataFrame([(None, 1.0), (None, 2.0), ("s", 5.0)], "k string, v double"))
+    got = {r.k: (r.n, r.lower, r.middle, r.upper) for r in medians.exact_medians(rows, ["k"], "v").collect()}
+    assert got == {"k": (20_001, 10_000.0, 10_000.0, 10_000.0), None: (2, 1.0, 1.5, 2.0), "s": (1, 5.0, 5.0, 5.0)}
+    assert seen and seen[0] > 1
