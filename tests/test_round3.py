@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 
@@ -134,3 +135,34 @@ def test_values_of_one_key_are_narrowed_where_they_lie(spark, monkeypatch):
     got = {r.k: (r.n, r.lower, r.middle, r.upper) for r in medians.exact_medians(rows, ["k"], "v").collect()}
     assert got == {"k": (20_001, 10_000.0, 10_000.0, 10_000.0), None: (2, 1.0, 1.5, 2.0), "s": (1, 5.0, 5.0, 5.0)}
     assert seen and seen[0] > 1
+
+
+def test_small_frames_are_compared_without_a_grid_and_lose_no_pair(spark, monkeypatch):
+    import random
+
+    from tests.brute import iou
+    from watchgrid.operators import detect
+
+    rng, grids, real = random.Random(5), [], detect._pairs_by_grid
+    monkeypatch.setattr(detect, "_pairs_by_grid", lambda *given: grids.append(1) or real(*given))
+
+    def rows(seed, sizes):
+        return [
+            (image, n, (x, y, x + rng.uniform(-1, 30), y + rng.uniform(1, 30)))
+            for image, size in enumerate(sizes)
+            for n, (x, y) in enumerate((rng.uniform(0, 60), rng.uniform(0, 60)) for _ in range(size))
+        ]
+
+    def pairs(a, b):
+        kind = "image_id long, det_seq long, box struct<x1: double, y1: double, x2: double, y2: double>"
+        made = detect.iou_pairs(spark.createDataFrame(a, kind), spark.createDataFrame(b, kind), 0.2, ["image_id"])
+        valid = [(p, q) for p in a for q in b if p[0] == q[0] and p[2][2] > p[2][0] and q[2][2] > q[2][0]]
+        wanted = {(p[0], p[1], q[1]): iou(p[2], q[2]) for p, q in valid}
+        wanted = {k: pytest.approx(v) for k, v in wanted.items() if v >= 0.2}
+        got = [((r.image_id, r.a_seq, r.b_seq), r.iou) for r in made.collect()]
+        assert len(got) == len(wanted) and dict(got) == wanted
+
+    pairs(rows(1, [5, 3, 8]), rows(2, [4, 6, 0]))
+    assert not grids
+    pairs(rows(3, [5, 50, 8]), rows(4, [4, 50, 70]))
+    assert len(grids) == 1

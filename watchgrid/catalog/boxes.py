@@ -255,8 +255,8 @@ def p19(spark, sf_dir):
     ),
 )
 def j07(spark, sf_dir):
-    wanted = fx.truth(spark, sf_dir).withColumnRenamed("truth_seq", "det_seq")
-    return rounded(detect.iou_pairs(fx.predictions(spark, sf_dir), wanted, 0.3, ["image_id"]), "iou")
+    pred, wanted = fx.stored_pairs(spark, sf_dir)
+    return rounded(detect.iou_pairs(pred, wanted.withColumnRenamed("truth_seq", "det_seq"), 0.3, ["image_id"]), "iou")
 
 
 # Suppression and matching.

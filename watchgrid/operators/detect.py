@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from watchgrid.functions import geometry as geo
 from watchgrid.functions.stats import argmax, sigmoid
+from watchgrid.session import cut_lineage
 from watchgrid.sources import dims
 
 
@@ -136,6 +137,8 @@ def passes_grey(boxes: DataFrame, shares: DataFrame, cut: int, min_fraction: flo
 # Geometry between boxes of one frame.
 
 
+#: Frames of at most so many boxes, both sides together, are compared box by box.
+FRAME_BOXES = 64
 #: No box spans more than this many cells of its frame's grid, plus one, in either direction.
 _WIDEST = 16
 
@@ -147,38 +150,82 @@ def _cell_sizes(boxes: DataFrame, keys: Sequence[str]) -> DataFrame:
     return boxes.filter(side > 0).groupBy(*keys).agg(size.alias("_cell"))
 
 
-def iou_pairs(a: DataFrame, b: DataFrame, threshold: float, keys: Sequence[str], cell: float | None = None) -> DataFrame:
-    """Pairs of boxes of the same frame with IoU >= threshold (> 0). Boxes meet only where they share a grid cell, and
-    the cell that holds the overlap's upper left corner reports the pair once. ``a``, ``b``: keys, det_seq, box. Without
-    ``cell`` each frame's cell follows from the boxes of ``a``."""
-    if cell is None:
+def oversize(counted: DataFrame, keys: Sequence[str], limit: int) -> DataFrame | None:
+    """The keys holding more than ``limit`` rows, or None when there are none."""
+    large = counted.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > limit).select(*keys)
+    large = cut_lineage(large)
+    return large if large.limit(1).count() else None
+
+
+def split_off(df: DataFrame, large: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    return df.join(large, list(keys), "left_anti"), df.join(large, list(keys), "left_semi")
+
+
+def iou_pairs(
+    a: DataFrame, b: DataFrame, threshold: float, keys: Sequence[str], cell: float | None = None, frame_boxes: int = FRAME_BOXES
+) -> DataFrame:
+    """Pairs of boxes of the same frame with IoU >= threshold (> 0). ``a``, ``b``: keys, det_seq, box. In frames of at most
+    ``frame_boxes`` boxes all pairs are compared. In larger ones boxes meet only where they share a grid cell, and the cell
+    that holds the overlap's upper left corner reports the pair once. Without ``cell`` each frame's cell follows from the
+    boxes of ``a``; a given cell serves all frames, small ones too."""
+    keys, box = list(keys), F.col("box")
+    valid = (box["x2"] > box["x1"]) & (box["y2"] > box["y1"])
+    a, b = (df.filter(valid).select(*keys, "det_seq", "box") for df in (a, b))
+    if cell is not None or frame_boxes == 0:
+        return _pairs_by_grid(a, b, threshold, keys, cell)
+    large = oversize(a.select(*keys).unionByName(b.select(*keys)), keys, frame_boxes)
+    if large is None:
+        return _pairs_in_frame(a, b, threshold, keys)
+    (a_few, a_many), (b_few, b_many) = split_off(a, large, keys), split_off(b, large, keys)
+    return _pairs_in_frame(a_few, b_few, threshold, keys).unionByName(_pairs_by_grid(a_many, b_many, threshold, keys, None))
+
+
+_SIDES = ("x1", "y1", "x2", "y2")
+
+
+def _flat(df: DataFrame, side: str) -> DataFrame:
+    """Coordinates in plain columns and the area once per box, so that what is left to do per pair is short."""
+    box = F.col("box")
+    named = [box[c].alias(f"{side}_{c}") for c in _SIDES]
+    return df.select(*[c for c in df.columns if c not in ("det_seq", "box")], F.col("det_seq").alias(f"{side}_seq"), *named, geo.box_area(box).alias(f"{side}_area"))
+
+
+def _corner(name: str) -> Column:
+    return F.greatest(F.col(f"a_{name}"), F.col(f"b_{name}"))
+
+
+def _enough(pairs: DataFrame, threshold: float, keys: list[str]) -> DataFrame:
+    wide = F.least(F.col("a_x2"), F.col("b_x2")) - _corner("x1")
+    high = F.least(F.col("a_y2"), F.col("b_y2")) - _corner("y1")
+    shared = wide * high
+    overlap = F.try_divide(shared, F.col("a_area") + F.col("b_area") - shared)
+    found = pairs.filter((wide > 0) & (high > 0)).select(*keys, "a_seq", "b_seq", overlap.alias("iou"))
+    return found.filter((F.col("iou") >= threshold) & (F.col("iou") > 0))
+
+
+def _pairs_in_frame(a: DataFrame, b: DataFrame, threshold: float, keys: list[str]) -> DataFrame:
+    return _enough(_flat(a, "a").join(_flat(b, "b"), keys), threshold, keys)
+
+
+def _pairs_by_grid(a: DataFrame, b: DataFrame, threshold: float, keys: list[str], given: float | None) -> DataFrame:
+    if given is None:
         sizes = _cell_sizes(a, keys)
-        a, b = a.join(sizes, list(keys)), b.join(sizes, list(keys))
-        cell = F.col("_cell")
+        a, b = a.join(sizes, keys), b.join(sizes, keys)
     else:
-        a, b = a.withColumn("_cell", F.lit(float(cell))), b.withColumn("_cell", F.lit(float(cell)))
-        cell = F.col("_cell")
+        a, b = a.withColumn("_cell", F.lit(float(given))), b.withColumn("_cell", F.lit(float(given)))
+    cell = F.col("_cell")
 
     def cells(df: DataFrame, side: str) -> DataFrame:
         box = F.col("box")
         xs = F.sequence(F.floor(box["x1"] / cell), F.floor(box["x2"] / cell))
         ys = F.sequence(F.floor(box["y1"] / cell), F.floor(box["y2"] / cell))
-        valid = df.filter((box["x2"] > box["x1"]) & (box["y2"] > box["y1"]))
-        return valid.select(
-            *keys, F.col("det_seq").alias(f"{side}_seq"), box.alias(f"{side}_box"), F.explode(xs).alias("_cx"), ys.alias("_ys"), "_cell"
-        ).select(*keys, f"{side}_seq", f"{side}_box", "_cx", F.explode("_ys").alias("_cy"), "_cell")
+        spread = df.select("*", F.explode(xs).alias("_cx"), ys.alias("_ys")).select(*df.columns, "_cx", F.explode("_ys").alias("_cy"))
+        return _flat(spread, side)
 
     left, right = cells(a, "a"), cells(b, "b").drop("_cell")
     joined = left.join(right, [*keys, "_cx", "_cy"])
-    corner_x = F.floor(F.greatest(F.col("a_box.x1"), F.col("b_box.x1")) / cell)
-    corner_y = F.floor(F.greatest(F.col("a_box.y1"), F.col("b_box.y1")) / cell)
-    overlap = geo.iou(F.col("a_box"), F.col("b_box"))
-    return (
-        joined.filter((corner_x == F.col("_cx")) & (corner_y == F.col("_cy")))
-        .withColumn("iou", overlap)
-        .filter((F.col("iou") >= threshold) & (F.col("iou") > 0))
-        .select(*keys, "a_seq", "b_seq", "iou")
-    )
+    at_corner = (F.floor(_corner("x1") / cell) == F.col("_cx")) & (F.floor(_corner("y1") / cell) == F.col("_cy"))
+    return _enough(joined.filter(at_corner), threshold, keys)
 
 
 def top_k(det: DataFrame, k: int, keys: Sequence[str]) -> DataFrame:

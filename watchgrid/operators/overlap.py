@@ -13,23 +13,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from watchgrid.functions import geometry as geo
 from watchgrid.functions.stats import argmax, sigmoid
-from watchgrid.operators.detect import iou_pairs, label_for, top_k
+from watchgrid.operators.detect import iou_pairs, label_for, oversize, split_off, top_k
 from watchgrid.session import cut_lineage
 
 ARRAY_BOXES = 4_096
 
 
-def _oversize(counted: DataFrame, keys: Sequence[str], limit: int) -> DataFrame | None:
-    """The keys holding more than ``limit`` rows, or None when there are none."""
-    large = counted.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > limit).select(*keys)
-    large = cut_lineage(large)
-    return large if large.limit(1).count() else None
-
-
-def _split(df: DataFrame, large: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    return df.join(large, list(keys), "left_anti"), df.join(large, list(keys), "left_semi")
-
-
 # Suppression.
 
 
@@ -46,10 +35,10 @@ def nms(
         return boxes.groupBy(*keys).agg(strongest).select(*keys, "_b.*")
     if iou > 1 or (iou == 1 and keep_equal):
         return boxes
-    large = _oversize(boxes, keys, array_boxes)
+    large = oversize(boxes, keys, array_boxes)
     if large is None:
         return _nms_fold(boxes, iou, keys, keep_equal)
-    small_part, large_part = _split(boxes, large, keys)
+    small_part, large_part = split_off(boxes, large, keys)
     return _nms_fold(small_part, iou, keys, keep_equal).unionByName(
         _nms_rounds(_drop_copies(large_part, keys), iou, keys, keep_equal)
     )
@@ -93,7 +82,7 @@ def _nms_fold(boxes: DataFrame, iou: float, keys: list[str], keep_equal: bool) -
 def _nms_rounds(boxes: DataFrame, iou: float, keys: list[str], keep_equal: bool) -> DataFrame:
     boxes = cut_lineage(boxes)
     rank = [*keys, "det_seq"]
-    pairs = iou_pairs(boxes, boxes, iou if iou > 0 else 1e-300, keys)
+    pairs = iou_pairs(boxes, boxes, iou if iou > 0 else 1e-300, keys, frame_boxes=0)
     if keep_equal:
         pairs = pairs.filter(F.col("iou") > iou)
     order = boxes.select(*keys, "det_seq", "confidence")
@@ -132,11 +121,11 @@ def match_predictions(
     truth_seq, box. Returns keys, det_seq, confidence, truth_seq and match_iou (null where nothing was claimed)."""
     keys = list(keys)
     sized = pred.select(*keys).unionByName(truth.select(*keys))
-    large = _oversize(sized, keys, array_boxes)
+    large = oversize(sized, keys, array_boxes)
     if large is None:
         return _match_fold(pred, truth, iou, keys)
-    small_pred, large_pred = _split(pred, large, keys)
-    small_truth, large_truth = _split(truth, large, keys)
+    small_pred, large_pred = split_off(pred, large, keys)
+    small_truth, large_truth = split_off(truth, large, keys)
     return _match_fold(small_pred, small_truth, iou, keys).unionByName(
         _match_rounds(large_pred, large_truth, iou, keys)
     )
@@ -197,6 +186,7 @@ def _match_rounds(pred: DataFrame, truth: DataFrame, iou: float, keys: list[str]
         truth.select(*keys, F.col("truth_seq").alias("det_seq"), "box"),
         iou if iou > 0 else 1e-300,
         keys,
+        frame_boxes=0,
     )
     open_pairs = cut_lineage(
         pairs.join(pred.select(*keys, F.col("det_seq").alias("a_seq"), "confidence"), [*keys, "a_seq"])
