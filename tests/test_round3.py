@@ -166,3 +166,17 @@ def test_small_frames_are_compared_without_a_grid_and_lose_no_pair(spark, monkey
     assert not grids
     pairs(rows(3, [5, 50, 8]), rows(4, [4, 50, 70]))
     assert len(grids) == 1
+
+
+def test_colour_priors_judge_all_images_in_one_pass(spark):
+    from watchgrid.plans import experiments
+
+    kind = "image_id long, det_seq long, x1 double, y1 double, x2 double, y2 double"
+    det = spark.createDataFrame([(0, 1, 0.0, 0.0, 10.0, 10.0), (0, 2, 20.0, 0.0, 30.0, 10.0), (2, 1, 0.0, 0.0, 10.0, 10.0)], kind)
+    pixels = spark.createDataFrame(
+        [(0, 1, 0, 10, 50, 99), (0, 1, 20, 30, 90, 99), (2, 1, 0, 10, 10, 10)], "image_id long, y long, x0 long, x1 long, saturation long, value long"
+    )
+    truth = spark.createDataFrame([(0,), (1,)], "image_id long")
+    made = experiments.colour_prior_stills(det, pixels, truth, spark.range(4).withColumnRenamed("id", "image_id"), cutoffs=(40, 60))
+    assert {r.prior: (r.tp, r.fp, r.fn, r.tn) for r in made.collect()} == {"colour off": (1, 1, 1, 1), "S<=40": (0, 0, 2, 2), "S<=60": (1, 0, 1, 2)}
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("Range (") == 1

@@ -128,9 +128,13 @@ def grey_fraction(boxes: DataFrame, pixels: DataFrame, cut: int, min_value: int
     return grey_fractions(boxes, pixels, [cut], min_value, keys).withColumnRenamed(f"grey_{cut}", "grey_fraction")
 
 
+def grey_enough(cut: int, min_fraction: float = 0.10) -> Column:
+    return F.col(f"grey_{cut}") >= min_fraction
+
+
 def passes_grey(boxes: DataFrame, shares: DataFrame, cut: int, min_fraction: float = 0.10, keys=("camera_id", "frame_index")) -> DataFrame:
     """The boxes whose share at the cut (from ``grey_fractions``) is large enough."""
-    enough = shares.filter(F.col(f"grey_{cut}") >= min_fraction)
+    enough = shares.filter(grey_enough(cut, min_fraction))
     return boxes.join(enough.select(*keys, "det_seq"), [*keys, "det_seq"], "left_semi")
 
 

@@ -33,19 +33,29 @@ def aggregate_counts(counts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 def image_confusion(pred: DataFrame, truth: DataFrame, images: DataFrame, keys: Sequence[str] = ("image_id",)) -> DataFrame:
     """Did each image alarm, and should it have? ``images`` lists all of them, silent ones included."""
+    alarmed = pred.select(*keys).distinct().withColumn("all", F.lit(True))
+    return image_confusions(alarmed, truth, images, keys, ["all"], "arm").drop("arm")
+
+
+def image_confusions(
+    alarmed: DataFrame, truth: DataFrame, images: DataFrame, keys: Sequence[str], arms: Sequence[str], name: str
+) -> DataFrame:
+    """``image_confusion`` of several arms from one pass over the images. ``alarmed``: keys, once each, and a boolean column
+    per arm (null: no alarm). Returns a row per arm, named in the last column, ``name``."""
     keys = list(keys)
-    alarmed = pred.select(*keys).distinct().withColumn("_alarm", F.lit(True))
     wanted = truth.select(*keys).distinct().withColumn("_truth", F.lit(True))
     joined = images.select(*keys).join(alarmed, keys, "left").join(wanted, keys, "left")
-    a, t = F.col("_alarm").isNotNull(), F.col("_truth").isNotNull()
-    return confusion_metrics(
-        joined.agg(
-            F.count(F.when(a & t, 1)).alias("tp"),
-            F.count(F.when(a & ~t, 1)).alias("fp"),
-            F.count(F.when(~a & t, 1)).alias("fn"),
-            F.count(F.when(~a & ~t, 1)).alias("tn"),
-        )
-    )
+    t = F.col("_truth").isNotNull()
+
+    def counts(arm: str) -> list[Column]:
+        a = F.coalesce(F.col(f"`{arm}`"), F.lit(False))
+        sides = {"tp": a & t, "fp": a & ~t, "fn": ~a & t, "tn": ~a & ~t}
+        return [F.count(F.when(side, 1)).alias(f"{arm}_{n}") for n, side in sides.items()]
+
+    summed = joined.agg(*[c for arm in arms for c in counts(arm)])
+    rows = [F.struct(F.lit(arm).alias(name), *[F.col(f"`{arm}_{n}`").alias(n) for n in ("tp", "fp", "fn", "tn")]) for arm in arms]
+    made = confusion_metrics(summed.select(F.inline(F.array(*rows))))
+    return made.select(*[c for c in made.columns if c != name], name)
 
 
 def per_class_metrics(pred: DataFrame, truth: DataFrame, iou: float = 0.3, key: str = "image_id") -> DataFrame:

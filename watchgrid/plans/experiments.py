@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from watchgrid.operators import metrics, reports
 from watchgrid.operators.cascade import ValidatorConfig
-from watchgrid.operators.detect import grey_fractions, passes_grey
+from watchgrid.operators.detect import grey_enough, grey_fractions, passes_grey
 from watchgrid.operators.overlap import merge_tiles
 from watchgrid.operators.sampling import camera_folds
 from watchgrid.operators.validator import validate
@@ -288,15 +288,11 @@ def colour_prior_stills(
     keys: Sequence[str] = ("image_id",),
 ) -> DataFrame:
     """Image-level confusion with and without a prior on achromatic boxes, per saturation cut."""
-    rows = [metrics.image_confusion(det, truth, images, keys).withColumn("prior", F.lit("colour off"))]
-    shares = cut_lineage(grey_fractions(det, pixels, cutoffs, keys=tuple(keys)))
-    for cut in cutoffs:
-        kept = passes_grey(det, shares, cut, keys=tuple(keys))
-        rows.append(metrics.image_confusion(kept, truth, images, keys).withColumn("prior", F.lit(f"S<={cut}")))
-    out = rows[0]
-    for row in rows[1:]:
-        out = out.unionByName(row)
-    return out
+    shares = grey_fractions(det, pixels, cutoffs, keys=tuple(keys))
+    # An image passes a cut if any of its boxes does, so one row per image serves every cut.
+    passed = shares.groupBy(*keys).agg(*[F.max(grey_enough(cut)).alias(f"S<={cut}") for cut in cutoffs])
+    alarmed = det.select(*keys).distinct().withColumn("colour off", F.lit(True)).join(passed, list(keys), "left")
+    return metrics.image_confusions(alarmed, truth, images, keys, ["colour off", *[f"S<={cut}" for cut in cutoffs]], "prior")
 
 
 def colour_prior_sequences(
