@@ -180,3 +180,28 @@ def test_colour_priors_judge_all_images_in_one_pass(spark):
     made = experiments.colour_prior_stills(det, pixels, truth, spark.range(4).withColumnRenamed("id", "image_id"), cutoffs=(40, 60))
     assert {r.prior: (r.tp, r.fp, r.fn, r.tn) for r in made.collect()} == {"colour off": (1, 1, 1, 1), "S<=40": (0, 0, 2, 2), "S<=60": (1, 0, 1, 2)}
     assert made._jdf.queryExecution().optimizedPlan().toString().count("Range (") == 1
+
+
+def test_folds_of_very_many_cameras_are_numbered_in_chunks(spark):
+    """The transfer takes chunks for its folds, with the same table; a sequence alarms once per floor."""
+    from watchgrid.operators import scans
+    from watchgrid.plans import experiments
+
+    rows = [
+        (camera, "fire", n, float(60 * n), camera * 100 + n, ((camera * 37 + n * 53) % 100) / 100, float(60 * (n - 10)), 0.0, 0.0, 9.0, 9.0)
+        for camera in range(9)
+        for n in range(1, 21)
+    ]
+    kind = "camera_id long, hazard string, frame_index long, ts double, det_seq long, confidence double, offset double, x1 double, y1 double, x2 double, y2 double"
+    det = spark.createDataFrame(rows, kind)
+    keys = ["camera_id", "hazard"]
+    chunk = scans.chunk_of(F.col("camera_id"), 2)
+    plain, cut = (
+        sorted(experiments.threshold_transfer(det, det, keys, target_far=0.3, **given).collect()) for given in ({}, {"chunk": chunk})
+    )
+    assert plain == cut and len(plain) == 2
+    sweep = {r.floor: r for r in experiments.floor_sweep(det, det, keys).collect()}
+    for floor, row in sweep.items():
+        firsts = sorted(min(s) / 60 for c in range(9) if (s := [r[6] for r in rows if r[0] == c and r[5] >= floor and r[6] > 0]))
+        assert row.sequences_detected == len(firsts)
+        assert row.median_minutes_to_detect == (firsts[len(firsts) // 2] if firsts else None)

@@ -225,7 +225,7 @@ _FOLDED = {
 )
 def e04(spark, sf_dir):
     det = numbered(spark, sf_dir)
-    table = experiments.threshold_transfer(det, det, KEYS, target_far=0.3)
+    table = experiments.threshold_transfer(det, det, KEYS, target_far=0.3, chunk=fx.scans.chunk_of(F.col("camera_id"), 65_536))
     return rounded(table, "far_on_train", "transfer_far", "transfer_recall", "oracle_far", "cascade_far", "cascade_recall")
 
 

@@ -122,13 +122,16 @@ def floor_sweep(
         by,
         ["alarmed_pre", "alarmed_post"],
     )
-    # A sequence's first alert at a floor is the earliest over all stronger buckets: at most one row per floor.
+    # A sequence's first alert at a floor is the earliest over all stronger buckets. It holds from a bucket's floor down to
+    # the next weaker bucket, so a sequence has at most one row per floor and none is merged again.
     ladder = F.array(*[F.lit(float(f)) for f in floors])
+    stronger = Window.partitionBy(*by, *keys).orderBy(F.desc("floor"))
+    weaker = F.coalesce(F.lead("floor").over(stronger), F.lit(float("-inf")))
+    earliest = F.min("_first").over(stronger.rowsBetween(Window.unboundedPreceding, 0))
     firsts = (
         per_sequence.filter(F.col("_first").isNotNull())
-        .withColumn("floor", F.explode(F.filter(ladder, lambda f: f <= F.col("floor"))))
-        .groupBy(*by, *keys, "floor")
-        .agg((F.min("_first") / 60.0).alias("_minutes"))
+        .select(*by, *keys, "floor", weaker.alias("_weaker"), (earliest / 60.0).alias("_minutes"))
+        .withColumn("floor", F.explode(F.filter(ladder, lambda f: (f <= F.col("floor")) & (f > F.col("_weaker")))))
         .groupBy(*by, "floor")
         .agg(F.count("*").alias("sequences_detected"), metrics.median_upper("_minutes").alias("median_minutes_to_detect"))
     )
@@ -185,10 +188,12 @@ def threshold_transfer(
     target_far: float = 0.010,
     camera: str = "camera_id",
     fallback: float = 0.95,
+    chunk: Column | None = None,
     **options,
 ) -> DataFrame:
-    """Tune a floor on one half of the cameras, apply it to the other, both ways, against the untuned cascade."""
-    folds = cut_lineage(camera_folds(frames, camera=camera))
+    """Tune a floor on one half of the cameras, apply it to the other, both ways, against the untuned cascade. ``chunk``
+    cuts the order of very many cameras (see ``camera_folds``)."""
+    folds = cut_lineage(camera_folds(frames, chunk, camera))
     det, frames = det.join(folds, camera), frames.join(folds, camera)
     sweep = cut_lineage(floor_sweep(det, frames, keys, by=["fold"]))
     targets = folds.select("fold").distinct().withColumn("target_far", F.lit(float(target_far)))
