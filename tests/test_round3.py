@@ -205,3 +205,13 @@ def test_folds_of_very_many_cameras_are_numbered_in_chunks(spark):
         firsts = sorted(min(s) / 60 for c in range(9) if (s := [r[6] for r in rows if r[0] == c and r[5] >= floor and r[6] > 0]))
         assert row.sequences_detected == len(firsts)
         assert row.median_minutes_to_detect == (firsts[len(firsts) // 2] if firsts else None)
+
+
+def test_hazards_are_compared_and_not_their_clips(spark):
+    from watchgrid.operators.reports import uncovered_hazards
+
+    rows = [("fire", False, True), ("fire", True, False), ("flood", False, None), ("flood", None, False), ("traffic", True, False), (None, False, False)]
+    manifest = spark.createDataFrame(rows, "hazard string, reference_only boolean, publishable boolean")
+    made = uncovered_hazards(manifest)
+    assert {r.hazard for r in made.collect()} == {"flood", None}
+    assert "Join" not in made._jdf.queryExecution().optimizedPlan().toString()
