@@ -215,3 +215,15 @@ def test_hazards_are_compared_and_not_their_clips(spark):
     made = uncovered_hazards(manifest)
     assert {r.hazard for r in made.collect()} == {"flood", None}
     assert "Join" not in made._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_sweep_reads_its_images_once(spark):
+    from watchgrid.operators import metrics
+
+    box = "box struct<x1: double, y1: double, x2: double, y2: double>"
+    pred = spark.createDataFrame([(0, 1, 0.9, (0.0, 0.0, 9.0, 9.0)), (1, 1, 0.4, (0.0, 0.0, 9.0, 9.0))], f"image_id long, det_seq long, confidence double, {box}")
+    truth = spark.createDataFrame([(0, 1, (0.0, 0.0, 9.0, 9.0)), (2, 1, (0.0, 0.0, 9.0, 9.0))], f"image_id long, truth_seq long, {box}")
+    images = spark.range(4_321).withColumnRenamed("id", "image_id")
+    made = metrics.confidence_sweep(pred, truth, images, (0.3, 0.5))
+    assert {r.floor: (r.img_tp, r.img_fp, r.img_fn, r.img_tn) for r in made.collect()} == {0.3: (1, 1, 1, 4_318), 0.5: (1, 0, 1, 4_319)}
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("Range (0, 4321") == 0

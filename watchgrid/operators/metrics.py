@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from watchgrid.functions.stats import fbeta, safe_ratio, wilson
 from watchgrid.operators.overlap import match_predictions
+from watchgrid.session import cut_lineage
 
 
 def rates(tp: Column, fp: Column, fn: Column, tn: Column) -> dict[str, Column]:
@@ -114,14 +115,14 @@ def confidence_sweep(
     wanted = truth.select(key).distinct().withColumn("_truth", F.lit(True))
     flags = images.select(key).join(wanted, key, "left").join(peaks, key, "left")
     should = F.col("_truth").isNotNull()
-    alarmed = (
-        flags.filter(F.col("_peak").isNotNull())
-        .groupBy(floor_of(F.col("_peak"), floors).alias("floor"))
-        .agg(F.count(F.when(should, 1)).alias("img_tp"), F.count(F.when(~should, 1)).alias("img_fp"))
+    # Images without an alarm are the row without a floor, so one pass over the images serves alarms and totals.
+    sides = flags.groupBy(floor_of(F.col("_peak"), floors).alias("floor")).agg(
+        F.count(F.when(should, 1)).alias("img_tp"), F.count(F.when(~should, 1)).alias("img_fp")
     )
-    alarmed = at_or_above(alarmed, floors, [], ["img_tp", "img_fp"])
+    sides = cut_lineage(sides)
+    alarmed = at_or_above(sides.filter("floor IS NOT NULL"), floors, [], ["img_tp", "img_fp"])
     table = boxes.join(alarmed, "floor")
-    table = attach_totals(table, flags, [], {"_pos": F.count(F.when(should, 1)), "_neg": F.count(F.when(~should, 1))})
+    table = attach_totals(table, sides, [], {n: F.coalesce(F.sum(c), F.lit(0)) for n, c in (("_pos", "img_tp"), ("_neg", "img_fp"))})
     table = attach_totals(table, truth, [], {"_truths": F.count("*")})
     box = rates(F.col("box_tp"), F.col("box_fp"), F.col("box_fn"), F.lit(0))
     img = rates(F.col("img_tp"), F.col("img_fp"), F.col("img_fn"), F.col("img_tn"))

@@ -63,17 +63,22 @@ def _drop_copies(boxes: DataFrame, keys: list[str]) -> DataFrame:
 def _nms_fold(boxes: DataFrame, iou: float, keys: list[str], keep_equal: bool) -> DataFrame:
     others = [c for c in boxes.columns if c not in keys]
     item = F.struct(
-        (-F.col("confidence")).alias("_order"), F.col("det_seq").alias("_seq"), F.struct(*others).alias("row")
+        (-F.col("confidence")).alias("_order"), F.col("det_seq").alias("_seq"), F.struct(*others).alias("row"), geo.box_area(F.col("box")).alias("a")
     )
     ordered = boxes.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("_sorted"))
     empty = F.array().cast(ordered.schema["_sorted"].dataType)
 
     def keep(kept: Column, candidate: Column) -> Column:
-        def apart(other: Column) -> Column:
-            overlap = geo.iou(other["row"]["box"], candidate["row"]["box"])
-            return overlap <= iou if keep_equal else overlap < iou
+        # Areas are known and each intersection is computed once; boxes that do not touch are apart at any limit left here.
+        def shared(other: Column) -> Column:
+            return F.struct(geo.intersection(other["row"]["box"], candidate["row"]["box"]).alias("i"), other["a"].alias("a"))
 
-        return F.when(F.forall(kept, apart), F.concat(kept, F.array(candidate))).otherwise(kept)
+        def apart(m: Column) -> Column:
+            union = m["a"] + candidate["a"] - m["i"]
+            overlap = F.when(union > 0, m["i"] / union).otherwise(F.lit(0.0))
+            return (m["i"] <= 0) | (overlap <= iou if keep_equal else overlap < iou)
+
+        return F.when(F.forall(F.transform(kept, shared), apart), F.concat(kept, F.array(candidate))).otherwise(kept)
 
     kept = ordered.select(*keys, F.explode(F.aggregate("_sorted", empty, keep)).alias("_k"))
     return kept.select(*keys, "_k.row.*")
