@@ -227,3 +227,10 @@ def test_a_sweep_reads_its_images_once(spark):
     made = metrics.confidence_sweep(pred, truth, images, (0.3, 0.5))
     assert {r.floor: (r.img_tp, r.img_fp, r.img_fn, r.img_tn) for r in made.collect()} == {0.3: (1, 1, 1, 4_318), 0.5: (1, 0, 1, 4_319)}
     assert made._jdf.queryExecution().optimizedPlan().toString().count("Range (0, 4321") == 0
+
+
+def test_the_state_store_does_not_count_its_rows(spark):
+    from watchgrid.streaming.operators import use_rocksdb
+
+    use_rocksdb(spark)
+    assert spark.conf.get("spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows") == "false"
