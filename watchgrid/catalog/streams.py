@@ -202,10 +202,21 @@ def st08_rows(spark, sf_dir):
     return out.filter("status = 'late'").select("camera_id", "hazard", "frame_index", F.round("ts", 3).alias("ts"), "status")
 
 
-#: A wave of the idle replay is one file and one batch, so timers fire at known points.
+#: A wave of the idle replay is one batch of ``FILES`` files, so timers fire at known points.
 _WAVE, _IDLE = 3 * 86_400, 2 * 86_400
 
 
+def end_frames(spark, rows, count, number, ts):
+    """So many rows of the camera that is no real one, each a file of its own."""
+    last = spark.range(count, numPartitions=count).select(
+        F.lit(_END_KEY).cast(rows.schema["camera_id"].dataType).alias("camera_id"),
+        F.lit("fire").alias("hazard"),
+        F.lit(number).cast("long").alias("frame_index"),
+        F.lit(ts).alias("ts"),
+    )
+    return last.withColumn("event_time", F.timestamp_micros((F.col("ts") * 1_000_000).cast("long")))
+
+
 @query(
     "st09_idle_expiry",
     fx.with_ctes(
@@ -232,12 +243,16 @@ def st09(spark, sf_dir):
     # Each wave is read by itself, so that more waves do not mean more passes over all rows.
     rows.withColumn("wave", F.floor(F.col("ts") / _WAVE)).write.partitionBy("wave").parquet(f"{folder}-waves")
     waves = spark.read.parquet(f"{folder}-waves")
-    for number in sorted(r.wave for r in waves.select("wave").distinct().collect()):  # a span of days: a few numbers
-        waves.filter(F.col("wave") == number).select(*rows.columns).coalesce(1).write.mode("append").json(folder)
+    numbers = sorted(r.wave for r in waves.select("wave").distinct().collect())  # a span of days: a few numbers
+    for place, number in enumerate(numbers, start=1):
+        waves.filter(F.col("wave") == number).select(*rows.columns).repartition(FILES).write.mode("append").json(folder)
+        # A wave of few rows may fill fewer files, and the batch would reach into the next one.
+        missing = FILES * place - len(spark.read.schema(rows.schema).json(folder).inputFiles())
+        if missing > 0:
+            end_frames(spark, rows, missing, 0, float(number * _WAVE)).write.mode("append").json(folder)
     for n in (0, 1):
-        last = rows.limit(1).select(F.lit(_END_KEY).cast(rows.schema["camera_id"].dataType).alias("camera_id"), F.lit("fire").alias("hazard"), F.lit(n).cast("long").alias("frame_index"), F.lit(_END + n).alias("ts"))
-        last.withColumn("event_time", F.timestamp_micros((F.col("ts") * 1_000_000).cast("long"))).coalesce(1).write.mode("append").json(folder)
-    source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).json(folder)
+        end_frames(spark, rows, FILES, n, _END + n).write.mode("append").json(folder)
+    source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", FILES).json(folder)
     out, _ = drain(spark, streams.visits_stream(source, idle_seconds=_IDLE))
     return out.filter(F.col("camera_id") != _END_KEY).select("camera_id", "hazard", "frame_index", "visit_frame")
 

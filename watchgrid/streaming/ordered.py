@@ -1,17 +1,20 @@
 """Stateful operators over streams of frames: the batch semantics, applied in frame order once the watermark has passed.
 
 Every operator buffers a key's frames until no earlier one can arrive, then steps its state through them in (event time,
-frame index) order. State is one JSON value, which holds a few pending frames itself; more of them lie in a list beside it,
-several to an entry. Late frames are dropped by the engine and counted, or,
-with ``name_late``, come out as rows of their own.
+frame index) order. Keys are dealt into groups, each with one state value of text lines: a call to the state store, a timer
+and an Arrow batch cost as much as hundreds of frames. Keys or frames of other types than text, whole numbers, doubles and
+truth values keep a state for each key: one JSON value, which holds a few pending frames itself; more of them lie in a list
+beside it, several to an entry. Late frames are dropped by the engine and counted, or, with ``name_late``, come out as rows
+of their own.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator, Sequence
+from datetime import datetime, timedelta, timezone
 
-from pyspark.sql import DataFrame, Row, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Row, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery, StreamingQueryListener
 
 #: Steps the frames that are due: (state, frames as dicts, in order) -> rows to emit. ``state`` is a JSON-ready dict that
@@ -22,6 +25,10 @@ LATE = "late"
 #: How late a row may be and still be named, where late rows are asked for.
 GRACE = "36500 days"
 _CLOCK = "_clock"
+#: Groups that the keys of a stream are dealt into. A checkpoint is good for one number only.
+GROUPS = 2048
+_GROUP, _LINE = "_group", "_line"
+_EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 #: So many pending frames of a key lie in its state value, which saves every call for the list beside it.
 INLINE = 128
 #: Frames of one entry of that list.
@@ -146,6 +153,144 @@ class OrderedProcessor(StatefulProcessor):
         pass
 
 
+def _numbers(value, kind: T.DataType):
+    """NaN and the infinities, which ``to_json`` writes as text, as numbers again."""
+    if value is None:
+        return None
+    if isinstance(kind, T.DoubleType):
+        return float(value)
+    if isinstance(kind, T.ArrayType):
+        return [_numbers(v, kind.elementType) for v in value]
+    if isinstance(kind, T.StructType):
+        return {f.name: _numbers(value[f.name], f.dataType) for f in kind.fields}
+    return value
+
+
+class GroupedProcessor(StatefulProcessor):
+    """What ``OrderedProcessor`` does for one key, for all keys of a group. The state value holds a line for each key (key,
+    time of its last frame, memo) and one for each pending frame (time, key, frame) in order of arrival; of these texts only
+    those of due frames and their keys are parsed. Rows bring such a line as one column, as Spark unpacks each value of a row
+    by itself."""
+
+    def __init__(
+        self,
+        step: Step,
+        keys: Sequence[str],
+        names: Sequence[str],
+        frame: T.StructType,
+        idle_seconds: float | None,
+        forget: Callable[[dict], dict | None] | None = None,
+        name_late: bool = False,
+    ):
+        self._step, self._columns, self._names, self._frame = step, list(keys), list(names), frame
+        self._idle, self._forget, self._name_late = idle_seconds, forget, name_late
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
+        self._state = handle.getValueState("state", "known string, held string, timer long")
+
+    def _load(self) -> tuple[dict[str, tuple[int | None, str]], list[str], int | None]:
+        stored = self._state.get()
+        if stored is None:
+            return {}, [], None
+        known = {}
+        for line in stored[0].split("\n") if stored[0] else ():
+            key, last, memo = line.split("\t", 2)
+            known[key] = (int(last) if last else None, memo)
+        return known, stored[1].split("\n") if stored[1] else [], stored[2]
+
+    def _read(self, frame: str) -> dict:
+        found = json.loads(frame)
+        return _numbers(found, self._frame) if 'NaN"' in frame or 'Infinity"' in frame else found
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        known, held, timer = self._load()
+        watermark = timerValues.getCurrentWatermarkInMs()
+        for row in rows:
+            line = row[_LINE]
+            if self._name_late and 0 < watermark:
+                at, name, frame = line.split("\t", 2)
+                late = watermark - int(at) // 1000
+                if late >= 0:
+                    given = self._read(frame)
+                    values = [given.get(column) for column in self._names[len(self._columns) : -3]]
+                    when = _EPOCH + timedelta(microseconds=int(at))
+                    yield Row(*self._names)(*json.loads(name).values(), *values, LATE, when, late)
+                    continue
+            held.append(line)
+        yield from self._release(known, held, timer, watermark)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        known, held, _ = self._load()
+        yield from self._release(known, held, None, timerValues.getCurrentWatermarkInMs())
+
+    def _release(self, known: dict, held: list, timer: int | None, watermark: int) -> Iterator[Row]:
+        due, left, waiting, wake = {}, [], set(), None
+        for place, line in enumerate(held):
+            at, key, frame = line.split("\t", 2)
+            at_ms = int(at) // 1000
+            if at_ms <= watermark:
+                read = self._read(frame)
+                due.setdefault(key, []).append((at_ms, int(read.get("frame_index") or 0), place, read))
+            else:
+                left.append(line)
+                waiting.add(key)
+                wake = at_ms if wake is None or at_ms < wake else wake
+        emitted, record = [], Row(*self._names)
+        rest = (None, None, None) if self._name_late else ()
+        for key, ready in due.items():
+            ready.sort()
+            named = json.loads(key)
+            memo = json.loads(known[key][1]) if key in known else {}
+            rows = self._step(memo, [{**frame, **named} for *_, frame in ready])
+            emitted += [record(*named.values(), *values, *rest) for values in rows]
+            known[key] = (ready[-1][0], json.dumps(memo))
+        if self._idle is not None:
+            for key, (last, memo) in list(known.items()):
+                if last is None or key in waiting:
+                    continue
+                quiet = last + int(self._idle * 1000)
+                if quiet > watermark:
+                    wake = quiet if wake is None else min(wake, quiet)
+                    continue
+                # The key has gone quiet: drop what would have aged out; counters stay, so that ids never repeat.
+                kept = self._forget(json.loads(memo)) if self._forget else None
+                if kept is None:
+                    del known[key]
+                else:
+                    known[key] = (None, json.dumps(kept))
+        if wake != timer:
+            if timer is not None:
+                self._handle.deleteTimer(timer)
+            if wake is not None:
+                self._handle.registerTimer(wake)
+        if known or left:
+            lines = [f"{key}\t{'' if last is None else last}\t{memo}" for key, (last, memo) in known.items()]
+            self._state.update(("\n".join(lines), "\n".join(left), wake))
+        else:
+            self._state.clear()
+        yield from emitted
+
+    def close(self) -> None:
+        pass
+
+
+#: Types that come back from JSON text as they were; as keys, equal values have equal text.
+_AS_KEY = (T.StringType(), T.LongType(), T.IntegerType(), T.ShortType(), T.ByteType(), T.BooleanType())
+
+
+def _as_text(kind: T.DataType) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return _as_text(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return all(_as_text(f.dataType) for f in kind.fields)
+    return kind in _AS_KEY or kind == T.DoubleType()
+
+
+def _text(names: Sequence[str]) -> Column:
+    return F.to_json(F.struct(*names), {"ignoreNullFields": "false"})
+
+
 def step_in_order(
     stream: DataFrame,
     keys: Sequence[str],
@@ -157,9 +302,11 @@ def step_in_order(
     idle_seconds: float | None = None,
     forget: Callable[[dict], dict | None] | None = None,
     name_late: bool = False,
+    groups: int | None = GROUPS,
 ) -> DataFrame:
     """Run ``step`` over each key's rows in event-time order. ``output`` names the columns after the keys. A key that is
-    quiet for ``idle_seconds`` keeps of its state only what ``forget`` returns.
+    quiet for ``idle_seconds`` keeps of its state only what ``forget`` returns. Keys share the state of one of ``groups``;
+    None gives each its own, as checkpoints from before there were groups have it.
 
     With ``name_late`` every row behind the watermark with which its batch began comes out too: ``status`` is 'late',
     ``late_event_time`` and ``late_ms`` (how far behind it was) are set, and of ``output`` the columns that the row itself
@@ -173,6 +320,21 @@ def step_in_order(
         marked = stream.withColumn(_CLOCK, clock).withWatermark(_CLOCK, f"{delay} {GRACE}")
     else:
         marked = stream.withWatermark(time, delay)
+    frame = T.StructType([f for f in stream.schema if f.name not in (*keys, time)])
+    if groups and _as_text(frame) and all(stream.schema[k].dataType in _AS_KEY for k in keys):
+        at = F.unix_micros(F.col(time).cast("timestamp")).cast("string")
+        line = F.concat_ws("\t", at, _text(keys), _text(frame.names) if frame.names else F.lit("{}"))
+        packed = marked.select(
+            _CLOCK if name_late else time,
+            F.pmod(F.xxhash64(*keys), F.lit(groups)).alias(_GROUP),
+            F.when(at.isNotNull(), line).alias(_LINE),
+        )
+        return packed.groupBy(_GROUP).transformWithState(
+            statefulProcessor=GroupedProcessor(step, keys, schema.names, frame, idle_seconds, forget, name_late),
+            outputStructType=schema,
+            outputMode="Append",
+            timeMode="EventTime",
+        )
     return marked.groupBy(*keys).transformWithState(
         statefulProcessor=OrderedProcessor(step, keys, schema.names, time, idle_seconds, forget, name_late),
         outputStructType=schema,
