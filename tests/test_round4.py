@@ -120,3 +120,29 @@ def test_a_wave_of_the_idle_replay_is_one_batch_of_several_files(spark, tmp_path
             want[camera, len([k for k in want if k[0] == camera]) + 1] = count[camera]
         newest.append((3 * w + 3 + 0.05 * (size - 1)) * day)
     assert got == want and 1 in [v for k, v in got.items() if k[1] > 11]
+
+
+def test_the_cascade_can_keep_rejected_rows_to_itself(spark, tmp_path, monkeypatch):
+    """The same confirmed rows, and the alert sink takes no others out of the operator."""
+    from tests.test_validator import make
+    from watchgrid.catalog import streams
+    from watchgrid.operators.cascade import ValidatorConfig
+
+    configs = [ValidatorConfig("a", cooldown_seconds=12.0), ValidatorConfig("b", enable_cooldown=False)]
+    by_key: dict = {}
+    for camera, hazard, index, ts, found in make(11, cameras=2, length=60):
+        dets = [dict(confidence=c, box=box, det_seq=seq) for seq, c, box in found]
+        by_key.setdefault((camera, hazard), []).append(dict(hazard=hazard, frame_index=index, ts=ts, detections=dets))
+    confirmed, memos = 0, ({}, {})
+    for key, frames in by_key.items():
+        for start in range(0, len(frames), 20):  # the state goes on from call to call
+            every, kept = (st.cascade_step(configs, only)(memo.setdefault(key, {}), frames[start : start + 20]) for only, memo in zip((False, True), memos))
+            assert kept == [row for row in every if row[9] is None] and len(kept) < len(every)
+            confirmed += len(kept)
+    assert confirmed and memos[0] == memos[1]
+
+    options, real = [], st.validate_stream
+    monkeypatch.setattr(st, "validate_stream", lambda *a, **k: options.append(k) or real(*a, **k))
+    rows = [(4 * n, 60.0 * n + 60, 2, "error", 90.0) for n in range(4)]
+    got = streams.st04(spark, events_of(spark, tmp_path, rows)).collect()
+    assert [(r.confirmed_frame, r.supporting_detections) for r in got] == [(3, 3)] and options == [{"confirmed_only": True}]

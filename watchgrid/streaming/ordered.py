@@ -199,9 +199,10 @@ class GroupedProcessor(StatefulProcessor):
             known[key] = (int(last) if last else None, memo)
         return known, stored[1].split("\n") if stored[1] else [], stored[2]
 
-    def _read(self, frame: str) -> dict:
-        found = json.loads(frame)
-        return _numbers(found, self._frame) if 'NaN"' in frame or 'Infinity"' in frame else found
+    def _read(self, frames: list[str]) -> list[dict]:
+        text = f"[{','.join(frames)}]"
+        found = json.loads(text)
+        return _numbers(found, T.ArrayType(self._frame)) if 'NaN"' in text or 'Infinity"' in text else found
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         known, held, timer = self._load()
@@ -212,7 +213,7 @@ class GroupedProcessor(StatefulProcessor):
                 at, name, frame = line.split("\t", 2)
                 late = watermark - int(at) // 1000
                 if late >= 0:
-                    given = self._read(frame)
+                    given = self._read([frame])[0]
                     values = [given.get(column) for column in self._names[len(self._columns) : -3]]
                     when = _EPOCH + timedelta(microseconds=int(at))
                     yield Row(*self._names)(*json.loads(name).values(), *values, LATE, when, late)
@@ -225,17 +226,20 @@ class GroupedProcessor(StatefulProcessor):
         yield from self._release(known, held, None, timerValues.getCurrentWatermarkInMs())
 
     def _release(self, known: dict, held: list, timer: int | None, watermark: int) -> Iterator[Row]:
-        due, left, waiting, wake = {}, [], set(), None
-        for place, line in enumerate(held):
+        times, frames, left, waiting, wake = [], [], [], set(), None
+        for line in held:
             at, key, frame = line.split("\t", 2)
             at_ms = int(at) // 1000
             if at_ms <= watermark:
-                read = self._read(frame)
-                due.setdefault(key, []).append((at_ms, int(read.get("frame_index") or 0), place, read))
+                times.append((at_ms, key))
+                frames.append(frame)
             else:
                 left.append(line)
                 waiting.add(key)
                 wake = at_ms if wake is None or at_ms < wake else wake
+        due = {}
+        for place, ((at_ms, key), frame) in enumerate(zip(times, self._read(frames))):
+            due.setdefault(key, []).append((at_ms, int(frame.get("frame_index") or 0), place, frame))
         emitted, record = [], Row(*self._names)
         rest = (None, None, None) if self._name_late else ()
         for key, ready in due.items():
